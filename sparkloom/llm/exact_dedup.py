@@ -11,11 +11,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WHITE = r"[\x20\x09-\x0D]+"
+#: White space but for the space itself.
+OTHER_WHITE = "\t\n\x0b\f\r"
 
 
 def normalised(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), WHITE, " ")
+    """Each run of ASCII white space becomes one space; only texts with longer runs meet a pattern."""
+    out = F.coalesce(text, F.lit(""))
+    for c in OTHER_WHITE:
+        out = F.replace(out, F.lit(c), F.lit(" "))
+    return F.when(F.contains(out, F.lit("  ")), F.regexp_replace(out, " {2,}", " ")).otherwise(out)
 
 
 def content_hash(norm: Column) -> Column:
@@ -26,41 +31,16 @@ def content_hash(norm: Column) -> Column:
 def exact_dedup(docs: DataFrame, hash_of: Callable[[Column], Column] = content_hash) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of each row of ``docs(doc_id, text)``.
 
-    Only hashes are shuffled for all rows. Texts move for rows in groups of two or more, to compare
-    bytes with the text of the row that stays; rows that differ from it (a collision of hashes) are
-    grouped by hash and text."""
-    norm = docs.select("doc_id", normalised(F.col("text")).alias("norm"))
-    rows = norm.select("doc_id", hash_of(F.col("norm")).alias("h"), F.sha2("norm", 256).alias("text_sha256"))
-    groups = rows.groupBy("h").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    several = groups.where("group_size > 1").select("h", "keep_id")
-
-    member = norm.withColumn("h", hash_of(F.col("norm"))).join(several, "h")
-    first = (
-        member.where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-        .groupBy("h").agg(F.min("norm").alias("first_norm"))
-    )
-    odd = member.join(first, "h").where(F.col("norm") != F.col("first_norm")).select("doc_id", "h", "norm")
-    odd_groups = odd.groupBy("h", "norm").agg(F.min("doc_id").alias("odd_keep"), F.count(F.lit(1)).alias("odd_size")).select(
-        "h", F.sha2("norm", 256).alias("text_sha256"), "odd_keep", "odd_size"
-    )
-    lost = odd_groups.groupBy("h").agg(F.sum("odd_size").alias("lost"))
-
-    out = (
-        rows.join(groups, "h")
-        .join(odd_groups, ["h", "text_sha256"], "left")
-        .join(lost, "h", "left")
-        .select(
-            "h", "doc_id", "text_sha256",
-            F.when(F.col("odd_size").isNotNull(), F.col("odd_keep")).otherwise(F.col("keep_id")).alias("keep_id"),
-            F.coalesce("odd_size", F.col("group_size") - F.coalesce("lost", F.lit(0))).alias("group_size"),
-        )
-    )
-    copies = Window.partitionBy("text_sha256", "doc_id").orderBy("h")
-    return out.select(
-        "doc_id", "keep_id", "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.row_number().over(copies) == 1)).alias("kept"),
-        "text_sha256",
-    )
+    Groups are keyed by hash and then by the bytes of the text, so that texts with colliding hashes
+    stay apart. Copies combine before the shuffle, in which a text of any number of copies moves once
+    a partition; the rows themselves move as hashes only."""
+    norm = docs.select("doc_id", normalised(F.col("text")).alias("norm")).withColumn("h", hash_of(F.col("norm")))
+    groups = norm.groupBy("h", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    sha = F.sha2("norm", 256).alias("text_sha256")
+    rows = norm.select("doc_id", "h", sha).join(groups.select("h", sha, "keep_id", "group_size"), ["h", "text_sha256"])
+    copies = Window.partitionBy("text_sha256", "doc_id").orderBy("keep_id")
+    first = F.row_number().over(copies) == 1  # of rows with one id and text, one stays
+    return rows.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & first).alias("kept"), "text_sha256")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
