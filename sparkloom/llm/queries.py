@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, exact_dedup, mixing, simhash, token_files
+from sparkloom.llm import bpe, exact_dedup, fixity, imatch, mixing, quality, secrets, simhash, token_files, toxicity
 from sparkloom.llm.common import shared_folder, table
 
 
@@ -21,14 +21,37 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_spans(token_files.read_token_files(spark, folder))
 
 
+def op3_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = fixity.warc_records(table(spark, sf_dir, "pages"))
+    return fixity.fixity_audit(records, fixity.damaged(records))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_components(table(spark, sf_dir, "documents"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.edit_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(table(spark, sf_dir, "documents"))
     return plan.select(
@@ -43,12 +66,29 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_token_files": op2_token_files,
+    "op3_fixity_audit": op3_fixity_audit,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_secret_scan": op5_secret_scan,
+    "op6_toxicity": op6_toxicity,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_imatch_fingerprints": op8_imatch_fingerprints,
+    "op9_quality": op9_quality,
     "op10_source_mixing": op10_source_mixing,
 }
 
 ORACLES = {
+    "op3_fixity_audit": r"""
+        WITH r AS (SELECT page_id // 512 AS file, page_id,
+            'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id
+            || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: '
+            || octet_length(encode(coalesce(html, ''))) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '')
+            || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM pages),
+        o AS (SELECT *, coalesce(sum(octet_length(encode(record))) OVER (PARTITION BY file ORDER BY page_id, record
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM r),
+        d AS (SELECT *, crc32(page_id::VARCHAR) % 64 AS draw, length(record) // 2 AS mid FROM o)
+        SELECT file, "offset", page_id, CASE draw WHEN 1 THEN 'missing' ELSE 'changed' END AS damage, sha256(record) AS first_sha256,
+            CASE draw WHEN 0 THEN sha256(substr(record, 1, mid - 1) || '~' || substr(record, mid + 1)) END AS second_sha256
+        FROM d WHERE draw IN (0, 1)""",
     "op7_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
         g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY norm)
