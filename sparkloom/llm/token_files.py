@@ -1,7 +1,7 @@
 """Token-ID files: one independent zstandard frame a document, a trailing seek table, checksums.
 
-A file holds, in ascending order of id, a frame with the ids of each document (little-endian unsigned
-32-bit), then a skippable frame with the document ids, then the seek table of the public seekable
+A file holds, in ascending order of id, a frame with the ids of each document (little-endian, of 16 bits
+where the vocabulary allows, else of 32), then a skippable frame with that width and the document ids, then the seek table of the public seekable
 zstandard format: for each frame its two sizes and the low half of the XXH64 of its content. A reader
 opens the tail, then reads and decompresses only the frames asked for.
 
@@ -14,6 +14,7 @@ before all others; repeated rows give repeated frames; no rows give an empty man
 from __future__ import annotations
 
 import functools
+import os
 import struct
 import uuid
 import zlib
@@ -43,18 +44,21 @@ MANIFEST = "file string, first_id long, last_id long, n_docs long, n_tokens long
 
 @functools.cache
 def library(path: str) -> LibraryEncoder:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task a core
     return LibraryEncoder(path)
 
 
 class FileWriter:
     """Appends frames to a stream; what it keeps of each is 20 bytes."""
 
-    def __init__(self, out, level: int = 3):
-        self.out, self.compressor = out, zstandard.ZstdCompressor(level=level)
+    def __init__(self, out, width: int = 4, level: int = 1):
+        self.out, self.width, self.compressor = out, width, zstandard.ZstdCompressor(level=level)
         self.entries = bytearray()
         self.doc_ids = bytearray()
 
-    def add(self, doc_id: int | None, content: bytes) -> None:
+    def add(self, doc_id: int | None, ids: bytes) -> None:
+        """ids: unsigned 32-bit integers."""
+        content = ids if self.width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
         frame = self.compressor.compress(content)
         self.out.write(frame)
         self.entries += struct.pack("<III", len(frame), len(content), xxhash.xxh64_intdigest(content) & 0xFFFFFFFF)
@@ -62,8 +66,8 @@ class FileWriter:
 
     def finish(self) -> None:
         n = len(self.entries) // 12
-        self.out.write(struct.pack("<II", INDEX, len(self.doc_ids)) + self.doc_ids)
-        self.entries += struct.pack("<III", 8 + len(self.doc_ids), 0, xxhash.xxh64_intdigest(b"") & 0xFFFFFFFF)
+        self.out.write(struct.pack("<IIB", INDEX, len(self.doc_ids) + 1, self.width) + self.doc_ids)
+        self.entries += struct.pack("<III", 9 + len(self.doc_ids), 0, xxhash.xxh64_intdigest(b"") & 0xFFFFFFFF)
         self.out.write(struct.pack("<II", SKIPPABLE, len(self.entries) + 9) + self.entries)
         self.out.write(struct.pack("<IBI", n + 1, CHECKSUMS, SEEKABLE))
 
@@ -80,7 +84,8 @@ class FileReader:
         table = np.frombuffer(self.at(size - 9 - 12 * n, 12 * n), "<u4").reshape(n, 3)
         self.sizes, self.lengths, self.sums = (table[:-1, k].astype(np.int64) for k in range(3))
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
-        self.doc_ids = np.frombuffer(self.at(int(self.starts[-1]) + 8, 8 * (n - 1)), "<i8")
+        index = self.at(int(self.starts[-1]) + 8, 8 * (n - 1) + 1)
+        self.width, self.doc_ids = index[0], np.frombuffer(index[1:], "<i8")
         self.decompressor = zstandard.ZstdDecompressor()
 
     def at(self, start: int, length: int) -> bytes:
@@ -88,10 +93,11 @@ class FileReader:
         return self.stream.read(length)
 
     def document(self, k: int) -> bytes:
+        """The ids as unsigned 32-bit integers."""
         content = self.decompressor.decompress(self.at(int(self.starts[k]), int(self.sizes[k])))
         if len(content) != self.lengths[k] or xxhash.xxh64_intdigest(content) & 0xFFFFFFFF != self.sums[k]:
             raise ValueError(f"frame {k} doesn't match its checksum")
-        return content
+        return content if self.width == 4 else np.frombuffer(content, "<u2").astype("<u4").tobytes()
 
 
 def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end_id: int | None = 1) -> None:
@@ -101,13 +107,14 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pyarrow.fs.FileSystem.from_uri(folder)
+        width = 2 if max(library(path).tokenizer.get_vocab_size(), end_id or 0) < 1 << 16 else 4
         encoder, writer, name, first, last, tokens, n = library(path), None, f"{uuid.uuid4().hex}.ids.zst", None, None, 0, 0
         for b in slices(batches):
             for doc_id, ids in zip(b.column(0).to_pylist(), encoder.encode_batch(b.column(1).to_pylist()), strict=True):
                 if writer is None:
                     fs.create_dir(base, recursive=True)
                     out = fs.open_output_stream(f"{base}/{name}", compression=None)
-                    writer, first = FileWriter(out), doc_id
+                    writer, first = FileWriter(out, width), doc_id
                 writer.add(doc_id, ids + end)
                 tokens, last, n = tokens + len(ids + end) // 4, doc_id, n + 1
         if writer:
@@ -132,7 +139,7 @@ def read_token_files(spark: SparkSession, folder: str, doc_ids: list[int] | None
             for name, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 with fs.open_input_file(f"{base}/{name}") as stream:
                     reader = FileReader(stream)
-                    starts = start + np.concatenate([[0], np.cumsum(reader.lengths // 4)])
+                    starts = start + np.concatenate([[0], np.cumsum(reader.lengths // reader.width)])
                     chosen = np.arange(len(reader.doc_ids)) if wanted is None else np.flatnonzero(np.isin(reader.doc_ids, wanted))
                     for some in np.array_split(chosen, max(1, len(chosen) // 512)):
                         ids = [None if x == NO_ID else x for x in reader.doc_ids[some].tolist()]
