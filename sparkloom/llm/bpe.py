@@ -36,6 +36,8 @@ NOT_LATIN = re.compile("[^\\x00-\\u017f]")
 LATIN = {k: [c for c in map(chr, range(0x180)) if unicodedata.category(c)[0] == k] for k in "LN"}
 #: White space by the Unicode property; ``str.split`` also cuts at four separators that are none.
 SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
+#: Letters, then perhaps ASCII punctuation.
+TAILED = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)")
 SEPARATOR = re.compile("[\\x1c-\\x1f]")
 
 
@@ -63,10 +65,32 @@ class ByChunk:
             self.ids = {}
         cut = [(SPACE.split(t) if SEPARATOR.search(t) else t.split()) if t else [] for t in texts]
         known = self.ids
-        if new := list({c for chunks in cut for c in chunks if c not in known}):
-            self.learn(new)
-        ids = known.__getitem__
-        return [b"".join(map(ids, chunks)) for chunks in cut]
+        found = [list(map(known.get, chunks)) for chunks in cut]
+        lacking = [k for k, ids in enumerate(found) if None in ids]
+        if lacking:
+            self.add({c for k in lacking for c, x in zip(cut[k], found[k], strict=True) if x is None})
+            for k in lacking:
+                found[k] = [known[c] if x is None else x for c, x in zip(cut[k], found[k], strict=True)]
+        return [b"".join(ids) for ids in found]
+
+    def add(self, new: set[str]) -> None:
+        """Letters with punctuation behind them are learned apart, as many chunks share them: no token spans the two."""
+        apart: dict[str, tuple[str, str]] = {}
+        needed: set[str] = set()
+        for c in new:
+            if (m := TAILED.fullmatch(c)) and not NOT_LATIN.search(c):
+                core, tail = m[1].lower(), m[2]
+                needed.add(core)
+                if core != c:
+                    apart[c] = core, tail
+                    if tail:
+                        needed.add(tail)
+            else:
+                needed.add(c)
+        if needed := [c for c in needed if c not in self.ids]:
+            self.learn(needed)
+        for c, (core, tail) in apart.items():
+            self.ids[c] = self.ids[core] + self.ids[tail] if tail else self.ids[core]
 
 
 class LibraryEncoder(ByChunk):
