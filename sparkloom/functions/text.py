@@ -80,7 +80,7 @@ def normalise_corpus(text: Column) -> Column:
     """Lower case, one kind of quote, punctuation set apart or dropped, digits to spaces."""
     out = F.translate(F.lower(text), "’′‘`“”«»", "''''\"\"\"\"")
     out = F.regexp_replace(out, r"([.,()!?;/:])", " $1 ")
-    return F.regexp_replace(F.translate(out, '"*_|-', "    "), r"[0-9]", " ")
+    return F.regexp_replace(F.translate(out, '"*_|-', "     "), r"[0-9]", " ")
 
 
 def strip_wiki(text: Column) -> Column:
