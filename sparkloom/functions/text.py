@@ -164,7 +164,7 @@ def sid_text(sid: Column) -> Column:
     """Bytes of a Windows SID as ``S-revision-authority-parts``; the authority is big-endian, parts little-endian."""
     byte = lambda i, n: F.conv(F.hex(F.substring(sid, i, n)), 16, 10)
     parts = F.transform(
-        F.sequence(F.lit(0), (F.octet_length(sid) - 12) / 4),
+        F.sequence(F.lit(0), ((F.octet_length(sid) - 12) / 4).cast("int")),
         lambda k: F.conv(F.concat(*[F.hex(F.substr(sid, (k * 4 + 12 - j).cast("int"), F.lit(1))) for j in range(4)]), 16, 10),
     )
     return F.concat(F.lit("S-"), byte(1, 1), F.lit("-"), byte(3, 6), F.lit("-"), F.array_join(parts, "-"))
