@@ -116,7 +116,7 @@ def edit_fingerprints(docs: DataFrame) -> DataFrame:
     )
     sides = F.array(*[F.struct(F.lit(k).alias("side"), F.col(c).alias("t")) for k, c in enumerate(("text", "_edited"))])
     each = paired.select("_bucket", "_row", "_ghost", "doc_id", "n_chars", F.unhex(F.sha2("_edited", 256)).alias("_sha"), F.explode(sides).alias("_of"))
-    each = each.withColumn("_terms", terms(F.col("_of.t"))).withColumn("_whole", F.xxhash64(F.array_sort("_terms")))
+    each = each.withColumn("_terms", terms(F.col("_of.t"))).withColumn("_whole", F.xxhash64(F.array_sort("_terms"), F.lit("all")))
     rows = each.select("_bucket", "_row", "_ghost", "doc_id", "n_chars", "_sha", "_of.side", "_whole", F.explode_outer("_terms").alias("_term"))
     rows = rows.withColumn("_h", F.xxhash64("_term")).join(known, F.col("_h") == F.col("term_hash"), "left")
     per_side = [

@@ -85,7 +85,7 @@ ORACLES = {
             || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM pages),
         o AS (SELECT *, coalesce(sum(octet_length(encode(record))) OVER (PARTITION BY file ORDER BY page_id, record
             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM r),
-        d AS (SELECT *, crc32(page_id::VARCHAR) % 64 AS draw, length(record) // 2 AS mid FROM o)
+        d AS (SELECT *, ('0x' || substr(md5(page_id::VARCHAR), 1, 8))::BIGINT % 64 AS draw, length(record) // 2 AS mid FROM o)
         SELECT file, "offset", page_id, CASE draw WHEN 1 THEN 'missing' ELSE 'changed' END AS damage, sha256(record) AS first_sha256,
             CASE draw WHEN 0 THEN sha256(substr(record, 1, mid - 1) || '~' || substr(record, mid + 1)) END AS second_sha256
         FROM d WHERE draw IN (0, 1)""",
