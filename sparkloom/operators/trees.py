@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.text import name_prefix, strip_sql_comments
 
-MOST_BROADCAST_NAMES = 100_000
 
 
 def mention_edges(texts: DataFrame, names: DataFrame, reverse: bool = False) -> DataFrame:
