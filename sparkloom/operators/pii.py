@@ -123,6 +123,22 @@ def apply_mapping(df: DataFrame, mapping: DataFrame, cols: list[str], source: st
     return df
 
 
+def random_mapping(df: DataFrame, cols: list[str]) -> DataFrame:
+    """column, original, token: one random token a distinct value, written to the checkpoint folder before use, so
+    that a task run again can't give others."""
+    long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "column", "original")
+    return long.where("original is not null").distinct().withColumn("token", F.uuid()).checkpoint()
+
+
+def row_mail_mapping(df: DataFrame, mail: str, first: str, last: str, order: str, key: str) -> DataFrame:
+    """column, original, token: addresses made of the pseudonyms of the names in the first row, by ``order``, that
+    holds the address. A missing name gives ``user``; equal names are told apart by four digits of the digest."""
+    named = F.struct(token(F.col(first).cast("string"), "first_name", key).alias("f"), token(F.col(last).cast("string"), "last_name", key).alias("l"))
+    one = df.where(F.col(mail).isNotNull()).groupBy(F.col(mail).cast("string").alias("original")).agg(F.min_by(named, order).alias("n"))
+    name = F.lower(F.coalesce(F.nullif(F.concat_ws(".", "n.f", "n.l"), F.lit("")), F.lit("user")))
+    return one.select(F.lit(mail).alias("column"), "original", F.concat(name, digits(hmac_hex(F.col("original"), key), 4), F.lit("@example.org")).alias("token"))
+
+
 def collisions(mapping: DataFrame) -> DataFrame:
     """Tokens that stand for several originals, which a reversal can't tell apart."""
     return mapping.groupBy("column", "token").agg(F.count(F.lit(1)).alias("originals")).where("originals > 1")

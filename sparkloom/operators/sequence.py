@@ -21,15 +21,14 @@ def split_rows(df: DataFrame, n: int, k: int, order_by: list[str]) -> DataFrame:
 
 
 def with_row_number(df: DataFrame, order_by: list[str], parts: int = 64) -> DataFrame:
-    """``df`` with _row, its number from 1 in the order, by ranges of the first order column and their counts."""
-    first = F.col(order_by[0])
-    kind = df.schema[order_by[0]].dataType.simpleString()
-    numeric = kind in ("int", "bigint", "double", "float", "smallint", "tinyint", "timestamp", "date")
-    if not numeric:
-        return df.withColumn("_row", F.row_number().over(Window.orderBy(*order_by)))
-    value = first.cast("timestamp").cast("double") if kind in ("timestamp", "date") else first.cast("double")
-    bounds = df.select(F.percentile_approx(value, [i / parts for i in range(1, parts)], 10_000).alias("b")).first().b or []
-    bucket = F.size(F.filter(F.lit(sorted(set(bounds))).cast("array<double>"), lambda b: b < F.coalesce(value, F.lit(-math.inf))))
+    """``df`` with _row, its number from 1 in the order (nulls first), by ranges of all order columns and their
+    counts. The bounds of the ranges come from a bounded random sample; they only decide how even the work is."""
+    keys = F.struct(*order_by)
+    sample = sorted_sample(df.select(*order_by), order_by, parts * 32)
+    bounds = [sample[len(sample) * i // parts] for i in range(1, parts)] if sample else []
+    kinds = [df.schema[c].dataType for c in order_by]
+    fixed = [F.struct(*[F.lit(v).cast(k).alias(c) for c, v, k in zip(order_by, b, kinds, strict=True)]) for b in dict.fromkeys(map(tuple, bounds))]
+    bucket = F.size(F.filter(F.array(*fixed), lambda b: b < keys)) if fixed else F.lit(0)
     ranged = df.withColumn("_bucket", bucket)
     sizes = ranged.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -38,6 +37,10 @@ def with_row_number(df: DataFrame, order_by: list[str], parts: int = 64) -> Data
     return ranged.withColumn("_own", own).join(F.broadcast(sizes), "_bucket").withColumn("_row", F.col("_before") + F.col("_own")).drop("_bucket", "_own", "_before")
 
 
+def sorted_sample(df: DataFrame, order_by: list[str], n: int) -> list:
+    return df.orderBy(F.rand(1)).limit(n).orderBy(*order_by).collect()
+
+
 def split_columns(df: DataFrame, n: int, k: int, keys: list[str]) -> DataFrame:
     """Chunk ``k`` of ``n`` of the columns: keys in each, the rest spread evenly, the first chunks one more."""
     rest = [c for c in df.columns if c not in keys]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import name_prefix, strip_sql_comments
+from sparkloom.operators.sequence import with_row_number
 
 
 
@@ -74,8 +75,8 @@ def zip_lists(a: DataFrame, b: DataFrame, order: str) -> DataFrame:
     """Rows of two lists side by side, by their number; lists of unlike length are an error."""
     if a.count() != b.count():
         raise ValueError("lists differ in length")
-    num = lambda x: x.withColumn("_n", F.row_number().over(Window.orderBy(order))).drop(order)
-    return num(a).join(num(b), "_n").withColumnRenamed("_n", order)
+    num = lambda x: with_row_number(x, [order]).drop(order)
+    return num(a).join(num(b), "_row").withColumnRenamed("_row", order)
 
 
 def step_edges(steps: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +12,17 @@ from pyspark.sql import types as T
 
 from sparkloom.operators.sequence import with_row_number
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``); a local one only where none is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        context = spark.sparkContext
+        if not context.getCheckpointDir():
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
+        folder = context.getCheckpointDir()
+    return folder.rstrip("/")
+
+
 ENCODINGS = ("utf-8", "utf-8-sig", "cp1252", "latin1")
 
 
@@ -154,6 +166,23 @@ def synthetic(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n).select(F.col("id").alias("record_id"), F.concat(F.lit("record "), F.col("id").cast("string")).alias("name"))
 
 
+NOTEBOOK = "struct<cells:array<struct<cell_type:string,source:array<string>,outputs:array<struct<data:map<string,string>>>>>>"
+
+
+def notebook_grids(raw: DataFrame) -> DataFrame:
+    """path, source, recorded, actual, row (a map) from notebooks read as whole texts (columns path, value): results
+    of ``SELECT * FROM source`` cells. ``recorded`` is the count that the first output tells, ``actual`` that of the rows
+    in the table output; a table without rows gives one row with null."""
+    cells = raw.select("path", F.explode(F.from_json("value", NOTEBOOK)["cells"]).alias("c")).where("c.cell_type = 'code'")
+    grid = F.filter(F.transform("c.outputs", lambda o: o["data"]["application/vnd.dataresource+json"]), lambda d: d.isNotNull())
+    found = cells.select(
+        "path", F.trim(F.regexp_replace(F.array_join("c.source", ""), r"(?i)^\s*select \* from ", "")).alias("source"),
+        F.regexp_extract(F.try_element_at("c.outputs", F.lit(1))["data"]["text/html"], r"(\d+)", 1).try_cast("long").alias("recorded"),
+        F.from_json(F.try_element_at(grid, F.lit(1)), "struct<data:array<map<string,string>>>")["data"].alias("rows"),
+    ).where("rows is not null")
+    return found.select("path", "source", "recorded", F.size("rows").alias("actual"), F.explode_outer("rows").alias("row"))
+
+
 def notebook_cells(raw: DataFrame) -> DataFrame:
     """path, cell, cell_type, source from notebooks read as JSON with column ``path``."""
     cells = raw.select("path", F.posexplode("cells").alias("cell", "c"))

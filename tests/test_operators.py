@@ -5,6 +5,8 @@ import hashlib
 import hmac
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as tx
@@ -148,3 +150,67 @@ def test_loads(spark, tmp_path):
     assert ingest.load_table(b, first, second, F.col("g") == "x")
     assert {r.id for r in spark.read.parquet(second).collect()} == {1, 3, 4}
     assert [r.g for r in ingest.changed_groups(b, a, "g").collect()] == ["x"]
+
+
+def test_huffman_codes_are_prefix_free_and_shortest(spark):
+    from sparkloom.operators import embed
+
+    vocabulary = spark.createDataFrame([(w, c, k) for k, (w, c) in enumerate([("a", 50), ("b", 20), ("c", 20), ("d", 9), ("e", 1)], 1)], "word string, cn long, rank int")
+    got = {r.word: r for r in embed.huffman(vocabulary).collect()}
+    codes = ["".join(map(str, r.code)) for r in got.values()]
+    assert not any(x != y and y.startswith(x) for x in codes for y in codes)
+    assert sum(r.cn * len(r.code) for r in got.values()) == 50 + 2 * 20 + 3 * 20 + 4 * 9 + 4 * 1
+    assert all(r.point[0] == 3 and len(r.point) == len(r.code) for r in got.values())
+
+
+@pytest.mark.parametrize("cbow,negative,softmax", [(True, 5, False), (False, 5, False), (True, 0, True), (False, 0, True)])
+def test_vectors_tell_two_topics_apart(spark, cbow, negative, softmax):
+    from sparkloom.operators import embed
+
+    rng = random.Random(3)
+    topics = (["ash", "elm", "oak", "fir"], ["cod", "eel", "ray", "carp"])
+    rows = [(k, 0, p, w) for k in range(600) for p, w in enumerate(rng.choices(topics[k % 2], k=8))]
+    tokens = spark.createDataFrame(rows, "doc int, line int, pos int, word string")
+    made = embed.train(tokens, "doc", vectors.vocab(tokens, 1), size=16, window=3, cbow=cbow, negative=negative, softmax=softmax, rate=0.1, epochs=8, parts=2)
+    v = {r.word: np.array(r.vector) / np.linalg.norm(r.vector) for r in made.collect()}
+    inside = min(v["ash"] @ v["elm"], v["oak"] @ v["fir"], v["cod"] @ v["eel"], v["ray"] @ v["carp"])
+    across = max(v["ash"] @ v["cod"], v["oak"] @ v["eel"], v["fir"] @ v["ray"])
+    assert inside > across + 0.2
+
+
+def test_analogy_answers(spark):
+    from sparkloom.operators import embed
+
+    v = spark.createDataFrame([("man", [1.0, 0.0, 0.1]), ("woman", [1.0, 1.0, 0.1]), ("king", [0.1, 0.0, 1.0]), ("queen", [0.1, 1.0, 1.0])], "word string, vector array<double>")
+    q = spark.createDataFrame([(1, "s", 1, "man", "woman", "king", "queen"), (2, "s", 1, "man", "woman", "king", "lost")], "query_id int, section string, section_no int, a string, b string, c string, expected string")
+    assert {(r.query_id, r.known, r.correct) for r in embed.analogy_answers(v, q).collect()} == {(1, True, True), (2, False, False)}
+
+
+def test_row_numbers_with_ties_nulls_and_text(spark):
+    from sparkloom.operators.sequence import with_row_number
+
+    rows = [(k % 3 and f"g{k % 7}" or None, k) for k in range(500)]
+    got = with_row_number(spark.createDataFrame(rows, "g string, k int"), ["g", "k"]).collect()
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    assert [(r.g, r.k) for r in sorted(got, key=lambda r: r._row)] == want and sorted(r._row for r in got) == list(range(1, 501))
+    assert with_row_number(spark.createDataFrame([], "g string"), ["g"]).count() == 0
+
+
+def test_row_mail(spark):
+    df = spark.createDataFrame([(1, "a@x.org", "Ann", "Lee"), (2, "a@x.org", "Bob", "Ray"), (3, None, "C", "D"), (4, "b@x.org", None, None)], "n int, mail string, fn string, ln string")
+    got = {r.original: r.token for r in pii.row_mail_mapping(df, "mail", "fn", "ln", "n", "k").collect()}
+    first = df.where("n = 1").select(pii.token(F.col("fn"), "first_name", "k"), pii.token(F.col("ln"), "last_name", "k")).first()
+    assert got["a@x.org"].startswith(f"{first[0]}.{first[1]}".lower()) and got["b@x.org"].startswith("user") and len(got) == 2
+
+
+def test_failure_runs_over_two_batches(spark, tmp_path):
+    from sparkloom.streaming import status
+
+    src = tmp_path / "src"
+    src.mkdir()
+    (src / "0.csv").write_text("a,2024-01-01 00:00:00,true\na,2024-01-01 00:01:00,false\nb,2024-01-01 00:01:00,false\n")
+    stream = spark.readStream.schema("k string, ts timestamp, ok boolean").option("maxFilesPerTrigger", 1).csv(str(src))
+    runs = status.failure_runs(stream, "k", "ts", F.col("ok"))
+    (src / "1.csv").write_text("a,2024-01-01 00:02:00,\nb,2024-01-01 00:03:00,true\nb,2024-01-01 00:02:00,false\n")
+    last = status.drained(runs, "update").groupBy("key").agg(F.max_by("failures", "batch").alias("f"))
+    assert {(r.key, r.f) for r in last.collect()} == {("a", 2), ("b", 0)}
