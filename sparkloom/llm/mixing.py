@@ -20,6 +20,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
 
+def hash_draw(doc_id: Column, seed: int) -> Column:
+    """0 to 1 (exclusive) from the first 32 bits of an MD5, which other engines have as well."""
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 8)
+    return F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 32))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0) -> DataFrame:
     """source, source_size, target, rate from ``sizes(source, source_size)``.
 
@@ -51,7 +57,7 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float
     )
     if targets.count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    draw = hash_draw(F.col("doc_id"), seed)
     floor = F.floor("_rate")
     copies = floor + (draw < F.col("_rate") - floor).cast("long")
     return sized.join(targets, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_copies", copies).drop("_source", "_rate")
