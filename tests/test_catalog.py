@@ -3,7 +3,7 @@
 import pytest
 
 from oracle import compare, connect
-from sparkloom import catalog, catalog_more, catalog_text  # noqa: F401  (the others register their queries in the first)
+from sparkloom import catalog, catalog_loads, catalog_more, catalog_text  # noqa: F401  (the others register their queries in the first)
 
 
 @pytest.fixture(scope="module")
