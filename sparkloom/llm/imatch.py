@@ -42,20 +42,28 @@ def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
     return kept.select(F.xxhash64("term").alias("term_hash")).distinct()
 
 
-def within(shift: int, rate: int, k: int):
-    return lambda x: F.shiftright(x, shift).bitwiseAND(rate - 1) == k
+def slot(x: Column, s: int) -> Column:
+    """What a term's hash draws for the s-th rate, from bits of its own; the term is in subset k if it draws k."""
+    return F.shiftright(x, 14 * s).bitwiseAND(RATES[s] - 1)
 
 
-def subset_hashes(kept: Column, whole: Column) -> Column:
-    """The fingerprint as an array, from the sorted hashes of terms in the band and a hash of all terms."""
-    out = []
-    for s, rate in enumerate(RATES):
-        for k in range(EACH):
-            # each rate looks at bits of its own
-            out.append(F.xxhash64(F.filter(kept, within(14 * s, rate, k))))
-    raw = F.array(*out)
-    some = F.exists(raw, lambda x: x != NONE)
-    return F.when(some, raw).otherwise(F.array_repeat(F.when(F.size(kept) > 0, F.xxhash64(kept)).otherwise(whole), len(out)))
+def in_subsets(kept: Column, s: int) -> Column:
+    """The hashes that lie in any subset of the s-th rate, a quarter of all or less."""
+    return F.filter(kept, lambda x: slot(x, s) < EACH)
+
+
+def subset_hashes(by_rate: list[Column]) -> Column:
+    """One hash for each subset, from the sorted hashes of terms that ``in_subsets`` gives for each rate."""
+    def drawn(s: int, k: int):
+        return lambda x: slot(x, s) == k
+
+    return F.array(*[F.xxhash64(F.filter(kept, drawn(s, k))) for s, kept in enumerate(by_rate) for k in range(EACH)])
+
+
+def fingerprint(raw: Column, kept: Column, whole: Column) -> Column:
+    """``raw``, or without a term in any subset the hash of the terms in the band, or else of all terms."""
+    instead = F.when(F.size(kept) > 0, F.xxhash64(kept)).otherwise(whole)
+    return F.when(F.exists(raw, lambda x: x != NONE), raw).otherwise(F.array_repeat(instead, len(RATES) * EACH))
 
 
 def as_text(fingerprint: Column) -> Column:
@@ -126,10 +134,11 @@ def edit_fingerprints(docs: DataFrame) -> DataFrame:
         )
     ]
     grouped = rows.groupBy("_bucket", "_row", "_ghost", "doc_id", "n_chars", "_sha").agg(*per_side)
-    prints = grouped.select(
-        "_bucket", "_row", "_ghost", "doc_id", "n_chars", "_sha",
-        subset_hashes(F.col("_kept0"), F.col("_whole0")).alias("_a"), subset_hashes(F.col("_kept1"), F.col("_whole1")).alias("_b"),
-    )
+    # each step's columns are used many times in the next, so Spark keeps the steps apart
+    base = ("_bucket", "_row", "_ghost", "doc_id", "n_chars", "_sha")
+    parts = grouped.select("*", *[in_subsets(F.col(f"_kept{k}"), s).alias(f"_in{k}_{s}") for k in (0, 1) for s in range(len(RATES))])
+    raw = parts.select(*base, "_kept0", "_whole0", "_kept1", "_whole1", *[subset_hashes([F.col(f"_in{k}_{s}") for s in range(len(RATES))]).alias(f"_raw{k}") for k in (0, 1)])
+    prints = raw.select(*base, *[fingerprint(F.col(f"_raw{k}"), F.col(f"_kept{k}"), F.col(f"_whole{k}")).alias(c) for k, c in enumerate(("_a", "_b"))])
     after = Window.partitionBy("_bucket").orderBy("_row")
     return prints.withColumn("_c", F.lead("_a").over(after)).where("_ghost = 0").select(
         "doc_id", "n_chars", F.lower(F.hex("_sha")).alias("edited_sha256"), as_text(F.col("_a")).alias("fingerprint"),
