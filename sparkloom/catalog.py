@@ -428,7 +428,15 @@ def a8_word_counts(spark, sf_dir):
     return tx.term_counts(t(spark, sf_dir, "documents"), "text", strip=False)
 
 
-@query()
+IRREGULAR = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in tx.IRREGULAR.items()) + "}"
+UNDOUBLED = "regexp_replace({0}, '(b)b$|(d)d$|(g)g$|(m)m$|(n)n$|(p)p$|(r)r$|(t)t$', '\\1\\2\\3\\4\\5\\6\\7\\8')"
+
+
+@query(f"""WITH w AS (SELECT term AS w, length(term) AS n, count(*) AS c FROM ({SQL_WORDS.format('text', 'documents')}) GROUP BY ALL),
+    l AS (SELECT c, coalesce({IRREGULAR}[w], CASE WHEN w LIKE '%ies' AND n > 4 THEN left(w, n - 3) || 'y' WHEN regexp_matches(w, '(s|x|z)es$') AND n > 4 THEN left(w, n - 2)
+        WHEN regexp_matches(w, '[^s]s$') AND n > 3 THEN left(w, n - 1) WHEN w LIKE '%ied' AND n > 4 THEN left(w, n - 3) || 'y'
+        WHEN w LIKE '%ed' AND n > 4 THEN {UNDOUBLED.format('left(w, n - 2)')} WHEN w LIKE '%ing' AND n > 5 THEN {UNDOUBLED.format('left(w, n - 3)')} ELSE w END) AS term FROM w)
+    SELECT term, sum(c)::BIGINT AS count, term IN ({STOPS}) AS is_stopword FROM l GROUP BY 1""")
 def a9_lemma_counts(spark, sf_dir):
     return tx.term_counts(t(spark, sf_dir, "documents"), "text", "lemma", strip=False)
 
