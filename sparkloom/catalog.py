@@ -457,7 +457,9 @@ def f5_normalise_corpus(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", tx.normalise_corpus(F.col("text")).alias("body"))
 
 
-@query()
+@query(r"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<(script|style)\b[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g') AS b FROM pages)
+    SELECT page_id, trim(regexp_replace(translate(replace(replace(replace(replace(replace(replace(b, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), chr(160), ' '),
+        '[ \t\r\n]+', ' ', 'g'), ' ') AS body FROM p""")
 def f7_html_text(spark, sf_dir):
     return t(spark, sf_dir, "pages").select("page_id", tx.html_text(F.col("html")).alias("body"))
 
