@@ -136,9 +136,8 @@ def links(distinct: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_components(docs: DataFrame, radius: int = 4, width: int = 4, block: int = BLOCK) -> DataFrame:
-    """doc_id, fingerprint, component_id of each row: the smallest doc_id reachable over links."""
-    each = written(fingerprints(docs, width), "simhash")
+def placed_rows(each: DataFrame, radius: int, block: int) -> DataFrame:
+    """fp, component (the key of the component), component_id of each distinct fingerprint of ``each``."""
     # of equal fingerprints one stands for all
     distinct = each.groupBy("fp").agg(F.min("doc_id").alias("least"))
     found = connected_components(links(distinct.select("fp"), radius, block))
@@ -146,12 +145,30 @@ def near_components(docs: DataFrame, radius: int = 4, width: int = 4, block: int
         "fp", "least", F.coalesce("component", "fp").alias("component")
     )
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_fp = placed.join(least, "component").select("fp", "component_id")
+    return placed.join(least, "component").select("fp", "component", "component_id")
+
+
+def near_components(docs: DataFrame, radius: int = 4, width: int = 4, block: int = BLOCK) -> DataFrame:
+    """doc_id, fingerprint, component_id of each row: the smallest doc_id reachable over links."""
+    each = written(fingerprints(docs, width), "simhash")
+    of_fp = placed_rows(each, radius, block).select("fp", "component_id")
     return each.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_representatives(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is that of their component, one for each; all columns stay."""
-    stay = near_components(docs, radius, width).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = stay.select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_stays"]), "left_semi").dropDuplicates(["doc_id"])
+    """One row of ``docs`` for each component, with all columns: that with the smallest doc_id, a null last, and
+    then with the smallest SHA-256 of its text.
+
+    A component is known by its key, not by an id, so that components whose rows have no id, or one id,
+    each keep a row. Texts are not moved to pick the rows; a component's rows combine before the shuffle."""
+    sha = F.sha2(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), 256)
+    each = written(fingerprints(docs.withColumn("doc_id", F.struct("doc_id", sha.alias("sha"))), width), "simhash")
+    each = each.select(F.col("doc_id.doc_id").alias("doc_id"), F.col("doc_id.sha").alias("sha"), "fp")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "sha"))
+    of_fp = each.groupBy("fp").agg(first.alias("first"))
+    of_component = of_fp.join(placed_rows(each, radius, BLOCK), "fp").groupBy("component").agg(F.min("first").alias("first"))
+    # equal texts have one fingerprint, so id and hash belong to one component
+    stay = of_component.select(F.col("first.doc_id").alias("_stays"), F.col("first.sha").alias("_stays_sha"))
+    rows = docs.withColumn("_sha", sha)
+    rows = rows.join(stay, rows["doc_id"].eqNullSafe(stay["_stays"]) & (rows["_sha"] == stay["_stays_sha"]), "left_semi")
+    return rows.dropDuplicates(["doc_id", "_sha"]).drop("_sha")

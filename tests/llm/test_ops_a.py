@@ -147,6 +147,23 @@ def test_simhash_equals_brute_force(spark, sf_dir, odd, empty):
     assert simhash.keep_representatives(odd).columns == odd.columns
 
 
+def test_representatives_with_null_and_repeated_ids(spark):
+    """Each component keeps the row that comes first by id, null last, and hash of the text."""
+    rng = random.Random(11)
+    apart = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(12)]
+    rows = [(None, apart[0]), (None, apart[1]), (None, apart[1]), (7, apart[2]), (7, apart[3]), (7, apart[3]), (8, apart[4]), (None, apart[4]), (9, apart[5] + " x"), (9, apart[5]), (None, apart[6]), (3, apart[6])]
+    rows += [(20 + k % 2, text) for k, text in enumerate(apart[7:])]
+    fps = [brute_simhash(text) for _, text in rows]
+    comp = brute_components(fps, range(len(rows)))
+    best = {}
+    for k, (d, text) in enumerate(rows):
+        key = (d is None, d or 0, hashlib.sha256(text.encode()).hexdigest())
+        best[comp[k]] = min(best.get(comp[k], (key, d, text)), (key, d, text), key=lambda x: x[0])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in simhash.keep_representatives(docs).collect()]
+    assert sorted(got, key=str) == sorted(((d, text) for _, d, text in best.values()), key=str) and len(got) == len(best) == 12
+
+
 @pytest.mark.parametrize("block", [4, 512])
 def test_links_lose_none(spark, block):
     rng = random.Random(3)
