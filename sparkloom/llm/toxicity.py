@@ -1,21 +1,20 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine.
 
-Terms are runs of letters in lower case. The lexicon has the terms that labelled examples of the class
-hold far more often than the others; vectors are TF-IDF over it, of length 1. Examples lie in an
-inverted index whose postings are cut into blocks of examples; the largest weight of each block bounds
-what any example in it can reach, so blocks are read from the highest bound until no block left can
-reach the k-th best: the result is exact. Votes weigh by closeness, and a rising fit to votes of the
-examples on each other (each left out of its own) makes them probabilities.
-
-Defined results: a text without a lexicon term, so also a null or empty one, has no neighbour and gets
-the share of the class among examples without such a term, 0 if there are no examples; equally near
-examples count by smaller id; extra columns aren't looked at; repeated rows give repeated rows; no rows
-give no rows."""
+Terms are runs of letters in lower case. A vector has all terms of its text that some example has: TF-IDF
+times a weight that grows, from EVERY, with the share of the class among the examples with the term, so
+that no term is left out however few examples there are. The scores of a query against all examples are
+summed in full: the terms of most examples by a product of matrices, the others along an inverted index,
+so the nearest are exact. Votes weigh by closeness, and a rising fit to votes of the examples on each
+other (each left out of its own, also in the weights of its terms) makes them probabilities.
+
+Defined results: a text without a term of an example, so also a null or empty one, has no neighbour and
+gets the share of the class among the examples, 0 if there are none; equally near examples count by
+smaller id; of examples with a plain TF-IDF cosine of COPY and one label only the one with the smallest id
+counts; of several texts with one id the least is learned from; extra columns aren't looked at; repeated
+rows give repeated rows; no rows give no rows."""
 
 from __future__ import annotations
 
-import functools
-import heapq
 import math
 import re
 from collections import Counter
@@ -24,19 +23,26 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import slices, written
+from sparkloom.llm.common import slices
 from sparkloom.llm.labelled import is_held_out, rising_fit, training_rows
 
 FOLDS, HELD_OUT, CUT = 5, 0, 0.5
-#: Bounds of what is learned from: labelled rows and terms of the lexicon.
-MOST_ROWS, MOST_TERMS = 16_000, 2_000
-#: A term needs so many examples of the class and so many standard deviations more than by chance.
-LEAST_EXAMPLES, LEAST_Z = 5, 8.0
-NEIGHBOURS, BLOCK = 25, 64
+#: Bound of what is learned from: labelled rows.
+MOST_ROWS = 16_000
+#: Examples with a cosine of this are copies.
+COPY = 0.8
+#: Weight of a term that says nothing about the class, and how many examples at the prior share each term starts with.
+EVERY, PRIOR_EXAMPLES = 0.02, 10.0
+#: Examples at the prior share that each step of the fit starts with, as a step of few examples says little.
+FIT_EXAMPLES = 2
+NEIGHBOURS, QUERIES = 25, 32
+#: Terms of more than this share of the examples, at most so many, are multiplied as a matrix.
+DENSE_SHARE, MOST_DENSE = 0.2, 256
 TERM = re.compile(r"[^\W\d_]+")
 
 
@@ -44,17 +50,26 @@ def terms_of(text: str) -> list[str]:
     return TERM.findall(text.lower())
 
 
+def unit(rows: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+    """Entries ``x`` of ``n`` vectors, each made of length 1."""
+    norm = np.sqrt(np.bincount(rows, x * x, n))
+    return x / np.where(norm > 0, norm, 1)[rows]
+
+
 @dataclass
 class Index:
-    """Block-max inverted index of unit vectors."""
+    """Inverted index of unit vectors; columns number the terms."""
 
     ids: list[int]
     labels: np.ndarray
     idf: dict[str, float]
-    #: For each term: the blocks that hold it, their largest weights, and where their postings begin.
-    blocks: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
-    #: For each term: positions within the block, weights.
-    postings: dict[str, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
+    column: dict[str, int] = field(default_factory=dict)
+    n: int = 0
+    #: Positions and weights of all postings, by column; where those of each column begin.
+    at: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    begins: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    dense: np.ndarray | None = None
 
     def vector(self, tf: dict[str, int]) -> dict[str, float]:
         raw = {t: (1 + math.log(n)) * self.idf[t] for t, n in tf.items() if t in self.idf}
@@ -62,136 +77,276 @@ class Index:
         return {t: x / norm for t, x in raw.items()} if norm else {}
 
     def build(self, vectors: list[dict[str, float]]) -> Index:
-        lists: dict[str, list[tuple[int, float]]] = {}
-        for k, v in enumerate(vectors):
-            for t, x in v.items():
-                lists.setdefault(t, []).append((k, x))
-        for t, entries in lists.items():
-            at, weight = np.array([k for k, _ in entries]), np.array([x for _, x in entries])
-            blocks, begins = np.unique(at // BLOCK, return_index=True)
-            self.blocks[t] = blocks, np.maximum.reduceat(weight, begins), np.append(begins, len(at))
-            self.postings[t] = at % BLOCK, weight
+        self.column = {t: k for k, t in enumerate(self.idf)}
+        rows = np.array([k for k, v in enumerate(vectors) for _ in v], np.int32)
+        columns = np.array([self.column[t] for v in vectors for t in v], np.int32)
+        return self.lay(rows, columns, np.array([x for v in vectors for x in v.values()], float), len(vectors), len(self.idf))
+
+    def lay(self, rows: np.ndarray, columns: np.ndarray, weight: np.ndarray, n: int, words: int) -> Index:
+        """Entries of ``n`` vectors over ``words`` columns; within a column in the order of the vectors."""
+        order = np.lexsort((rows, columns))
+        self.n, self.at, self.weight = n, rows[order].astype(np.int32), weight[order]
+        self.begins = np.concatenate([[0], np.cumsum(np.bincount(columns, minlength=words))])
         return self
 
-    def nearest(self, query: dict[str, float], k: int, without: int = -1) -> list[tuple[float, int]]:
+    def prepare(self) -> None:
+        """The matrix of frequent terms; made where it is used, so that it isn't sent."""
+        sizes = np.diff(self.begins)
+        often = np.flatnonzero(sizes > DENSE_SHARE * self.n)
+        often = often[np.argsort(-sizes[often], kind="stable")][:MOST_DENSE]
+        self.slot = np.full(len(sizes), -1)
+        self.slot[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), self.n))
+        for k, c in enumerate(often.tolist()):
+            self.dense[k, self.at[self.begins[c] : self.begins[c + 1]]] = self.weight[self.begins[c] : self.begins[c + 1]]
+
+    def cosines(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """For queries of columns and weights: a row each, the cosine with every example."""
+        if self.dense is None:
+            self.prepare()
+        often = np.zeros((len(queries), len(self.dense)))
+        rest = []
+        for k, (columns, x) in enumerate(queries):
+            slot = self.slot[columns]
+            often[k, slot[slot >= 0]] = x[slot >= 0]
+            rest.append((columns[slot < 0], x[slot < 0]))
+        out = often @ self.dense
+        for k, (columns, x) in enumerate(rest):
+            begins = self.begins[columns]
+            sizes = self.begins[columns + 1] - begins
+            ends = np.cumsum(sizes)
+            if len(ends) and ends[-1]:
+                where = np.arange(ends[-1]) + np.repeat(begins - ends + sizes, sizes)
+                out[k] += np.bincount(self.at[where], self.weight[where] * np.repeat(x, sizes), self.n)
+        return out
+
+    def nearest_of(self, cosines: np.ndarray, k: int) -> list[tuple[float, int]]:
+        least = max(1e-12, np.partition(cosines, -k)[-k] - 1e-11 if len(cosines) > k else 0.0)
+        at = np.flatnonzero(cosines >= least)
+        scores = np.round(cosines[at], 12)
+        order = np.lexsort((at, -scores))[:k]
+        return list(zip(scores[order].tolist(), at[order].tolist(), strict=True))
+
+    def nearest(self, query: dict[str, float], k: int) -> list[tuple[float, int]]:
         """Cosine and position of the k nearest examples with a cosine over 0, nearest first, then by position."""
-        bound = np.zeros((len(self.ids) + BLOCK - 1) // BLOCK)
-        terms = [(t, x) for t, x in query.items() if t in self.blocks]
-        for t, x in terms:
-            blocks, most, _ = self.blocks[t]
-            bound[blocks] += x * most
-        best: list[tuple[float, int]] = []  # a heap of (cosine, -position)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[0][0] - 1e-9:
-                break
-            scores = np.zeros(BLOCK)
-            for t, x in terms:
-                blocks, _, begins = self.blocks[t]
-                j = int(np.searchsorted(blocks, b))
-                if j < len(blocks) and blocks[j] == b:
-                    at, weight = self.postings[t]
-                    scores[at[begins[j] : begins[j + 1]]] += x * weight[begins[j] : begins[j + 1]]
-            for p in np.flatnonzero(scores > 0).tolist():
-                if b * BLOCK + p != without:
-                    entry = (round(float(scores[p]), 12), -(b * BLOCK + p))
-                    if len(best) < k:
-                        heapq.heappush(best, entry)
-                    elif entry > best[0]:
-                        heapq.heapreplace(best, entry)
-        return [(s, -p) for s, p in sorted(best, reverse=True)]
+        known = [(self.column[t], x) for t, x in query.items() if t in self.column]
+        columns, x = np.array([c for c, _ in known], int), np.array([x for _, x in known], float)
+        return self.nearest_of(self.cosines([(columns, x)])[0], k)
 
     def vote(self, near: list[tuple[float, int]], prior: float) -> float:
-        """Votes weighted by 1 / distance; one vote of weight 1 for the prior."""
-        weights = [1 / (1.05 - s) for s, _ in near]
+        """Votes weighted by cosine / distance, so that far examples hardly count; one vote of weight 1 for the prior."""
+        weights = [s / (1.05 - s) for s, _ in near]
         return (prior + sum(w * self.labels[p] for w, (_, p) in zip(weights, near, strict=True))) / (1 + sum(weights))
 
 
 @dataclass
 class Model:
+    """What is learned, ready for use."""
+
+    examples: Examples
     index: Index
     prior: float
-    #: The share of the class among examples without a term of the lexicon.
-    without: float
     fit: tuple[np.ndarray, np.ndarray]
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
-    @functools.cached_property
-    def remembered(self):
-        """Scores by terms and counts, as most texts have few; the copy in a Python worker holds them."""
-        return functools.lru_cache(100_000)(self.of_terms)
-
-    def score(self, text: str) -> tuple[float, list[int]]:
-        """Probability, and the ids of the nearest examples as evidence."""
-        idf = self.index.idf
-        tf = Counter(w for w in terms_of(text) if w in idf)
-        return self.remembered(frozenset(tf.items())) if tf else (self.without, [])
+    def made(self) -> Model:
+        return self
 
-    def of_terms(self, tf: frozenset) -> tuple[float, list[int]]:
-        near = self.index.nearest(self.index.vector(dict(tf)), NEIGHBOURS)
-        p = float(np.interp(self.index.vote(near, self.prior), *self.fit)) if near else self.without
-        return p, [self.index.ids[k] for _, k in near[:5]]
+    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Columns and weights; terms that no example has count in the length only."""
+        tf, column = Counter(terms_of(text)), self.index.column
+        known = [(column[t], n) for t, n in tf.items() if t in column]
+        columns, counts = np.array([c for c, _ in known], int), np.array([n for _, n in known], float)
+        x = (1 + np.log(counts)) * self.weights[columns]
+        new = EVERY * self.examples.idf(0) * (1 + np.log(np.array([n for t, n in tf.items() if t not in column], float)))
+        return columns, x / (math.sqrt((x * x).sum() + (new * new).sum()) or 1)
+
+    def scores(self, texts: list[str | None]) -> Iterator[tuple[float, list[int]]]:
+        """For each text its probability, and the ids of the nearest examples as evidence."""
+        index = self.index
+        for start in range(0, len(texts), QUERIES):
+            queries = [self.vector(t or "") for t in texts[start : start + QUERIES]]
+            if not any(len(c) for c, _ in queries):
+                yield from ((self.prior, []) for _ in queries)
+                continue
+            for row in index.cosines(queries):
+                near = index.nearest_of(row, NEIGHBOURS)
+                p = float(np.interp(index.vote(near, self.prior), *self.fit)) if near else self.prior
+                yield p, [index.ids[k] for _, k in near[:5]]
 
 
 def tokenised(rows: DataFrame) -> DataFrame:
-    """doc_id, y, terms with their counts, and a key that near copies mostly share: the least hash of five words."""
+    """doc_id, y, and terms with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            keys, terms, counts = [], [], []
-            for text in b.column(1).to_pylist():
-                words = terms_of(text)
-                spans = [" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))]
-                keys.append(min(map(xxhash.xxh64_intdigest, spans)) >> 1)
-                tf = Counter(words)
-                terms.append(list(tf))
-                counts.append(list(tf.values()))
+            tfs = [Counter(terms_of(text)) for text in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array(keys, pa.int64()), pa.array(terms, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int32()))],
-                ["doc_id", "y", "copy", "terms", "counts"],
+                [b.column(0), b.column(2), pa.array(map(list, tfs), pa.list_(pa.string())), pa.array([list(tf.values()) for tf in tfs], pa.list_(pa.int32()))],
+                ["doc_id", "y", "terms", "counts"],
             )
 
-    return rows.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, copy long, terms array<string>, counts array<int>")
+    return rows.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, terms array<string>, counts array<int>")
+
+
+@dataclass
+class Examples:
+    """Term counts of examples in the order of their ids, with where the entries of each begin."""
+
+    ids: np.ndarray
+    labels: np.ndarray
+    begins: np.ndarray
+    columns: np.ndarray
+    counts: np.ndarray
+    words: list[str]
+    #: What a Python worker has made of these, by name; the last only.
+    made: dict = field(default_factory=dict)
+
+    def __getstate__(self):
+        return self.__dict__ | {"made": {}}
+
+    def once(self, name: str, make):
+        if name not in self.made:
+            self.made.clear()
+            self.made[name] = make()
+        return self.made[name]
+
+    @property
+    def rows(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.begins))
+
+    @property
+    def tf(self) -> np.ndarray:
+        return 1 + np.log(self.counts)
+
+    def kept(self, stay: np.ndarray) -> Examples:
+        entries = np.repeat(stay, np.diff(self.begins))
+        used, columns = np.unique(self.columns[entries], return_inverse=True)
+        begins = np.concatenate([[0], np.cumsum(np.diff(self.begins)[stay])])
+        return Examples(self.ids[stay], self.labels[stay], begins, columns.astype(np.int32), self.counts[entries], [self.words[k] for k in used.tolist()])
+
+    def seen(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each term: examples, and examples of the class."""
+        return np.bincount(self.columns, minlength=len(self.words)), np.bincount(self.columns, self.labels[self.rows], len(self.words))
+
+    def idf(self, df):
+        return np.log((1 + len(self.ids)) / (1 + df)) + 1
+
+    def weights(self, df: np.ndarray, hits: np.ndarray) -> np.ndarray:
+        """IDF of terms times EVERY and the cube of how far they raise the log odds of the class."""
+        prior = self.labels.mean()
+        share = (hits + PRIOR_EXAMPLES * prior) / (df + PRIOR_EXAMPLES)
+        return self.idf(df) * (EVERY + np.maximum(np.log(share / (1 - share)) - math.log(prior / (1 - prior)), 0) ** 3)
+
+    def index(self, weights: np.ndarray) -> tuple[Index, np.ndarray]:
+        """The index, and the weights of all entries in it."""
+        x = unit(self.rows, self.tf * weights[self.columns], len(self.ids))
+        return Index(self.ids.tolist(), self.labels, {}, {t: k for k, t in enumerate(self.words)}).lay(self.rows, self.columns, x, len(self.ids), len(self.words)), x
+
+    def without_own(self, df: np.ndarray, hits: np.ndarray) -> np.ndarray:
+        """Entries of the unit vectors in which the weights of each example's terms don't know that example."""
+        own = self.weights(df[self.columns] - 1, hits[self.columns] - self.labels[self.rows])
+        return unit(self.rows, self.tf * own, len(self.ids))
+
+    def plain(self):
+        """Index, entries as queries."""
+        index, x = self.index(self.idf(self.seen()[0]))
+        index.column = {}
+        return self, index, x
+
+    def learned(self, stay: np.ndarray):
+        """Examples without copies, their index, entries as queries, weights of the terms."""
+        left = self.kept(stay)
+        df, hits = left.seen()
+        weights = left.weights(df, hits)
+        return left, left.index(weights)[0], left.without_own(df, hits), weights
+
+
+def against_all(shared, name: str, make, of, n: int, least: int = 256) -> np.ndarray:
+    """``of(index, k, cosines)`` of each of ``n`` examples in what ``make`` makes of the shared ones; by the executors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, QUERIES):
+            examples, index, x, *_ = shared.value.once(name, lambda: make(shared.value))
+            ks, begins = b.column(0).to_pylist(), examples.begins
+            rows = index.cosines([(examples.columns[begins[k] : begins[k + 1]], x[begins[k] : begins[k + 1]]) for k in ks])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([float(of(index, k, row)) for k, row in zip(ks, rows, strict=True)], pa.float64())], ["id", "value"])
+
+    spark = SparkSession.active()
+    parts = max(1, min(spark.sparkContext.defaultParallelism, n // least))
+    found = spark.range(0, n, 1, parts).mapInArrow(run, "id long, value double").toArrow()
+    out = np.zeros(n)
+    out[found.column("id").to_numpy()] = found.column("value").to_numpy()
+    return out
+
+
+def is_copy(index: Index, k: int, cosines: np.ndarray) -> bool:
+    return bool(((cosines[:k] >= COPY) & (index.labels[:k] == index.labels[k])).any())
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Learns from at most MOST_ROWS rows; of near copies the one with the smallest id counts."""
+def left_out_vote(index: Index, k: int, cosines: np.ndarray) -> float:
+    cosines[k] = 0
+    return index.vote(index.nearest_of(cosines, NEIGHBOURS), float(index.labels.mean()))
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Model | Learned:
+    """Learns from at most MOST_ROWS rows."""
     ids = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    rows = written(tokenised(training_rows(ids, labels, "toxic", FOLDS, HELD_OUT, MOST_ROWS)), "toxic-rows")
-    first = rows.groupBy("copy").agg(F.min("doc_id").alias("doc_id"))
-    rows = rows.join(first, ["copy", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    total, bad = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
-    if not bad or bad == total:
-        share = float(bad) / total if total else 0.0
-        return Model(Index([], np.zeros(0), {}), share, share, (np.array([0.0]), np.array([share])))
-    pairs = rows.select("doc_id", "y", F.explode(F.arrays_zip("terms", "counts")).alias("e")).select("doc_id", "y", F.col("e.terms").alias("term"), F.col("e.counts").alias("n"))
-    seen = pairs.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("y").alias("hits")).where(F.col("hits") >= LEAST_EXAMPLES)
-    share = F.col("df") / total
-    z = (F.col("hits") / bad - (F.col("df") - F.col("hits")) / (total - bad)) / F.sqrt(share * (1 - share) * (1 / bad + 1 / (total - bad)) + 1e-12)
-    lexicon = seen.withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(MOST_TERMS)
-    idf = {r.term: math.log((1 + total) / (1 + r.df)) + 1 for r in lexicon.collect()}
-    held = pairs.where(F.col("term").isin(list(idf))) if idf else pairs.limit(0)
-    examples = held.groupBy("doc_id", "y").agg(F.map_from_entries(F.collect_list(F.struct("term", "n"))).alias("tf")).collect()
-    # examples with the same heaviest term lie side by side, so that blocks differ in their largest weights
-    index = Index([], np.zeros(0), idf)
-    vectors = [(max(v, key=lambda t: (v[t], t)), r.doc_id, r.y, v) for r in examples for v in [index.vector(r.tf)]]
-    vectors.sort(key=lambda x: x[:2])
-    index.ids, index.labels = [x[1] for x in vectors], np.array([x[2] for x in vectors], float)
-    index.build([x[3] for x in vectors])
-    prior = bad / total
-    without = (bad - index.labels.sum()) / max(1, total - len(vectors))
-    votes = [index.vote(index.nearest(v, NEIGHBOURS, without=k), prior) for k, (_, _, _, v) in enumerate(vectors)]
-    fit = rising_fit(np.array(votes), index.labels) if vectors else (np.array([0.0]), np.array([without]))
-    return Model(index, prior, float(without), fit)
-
-
-def score(docs: DataFrame, model: Model) -> DataFrame:
+    rows = training_rows(ids, labels, "toxic", FOLDS, HELD_OUT, MOST_ROWS).groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    known = tokenised(rows).toArrow().sort_by("doc_id").combine_chunks()
+    y = known.column("y").to_numpy().astype(float)
+    begins = np.concatenate([[0], np.cumsum(pc.list_value_length(known.column("terms")).to_numpy())]).astype(np.int64)
+    coded = pc.list_flatten(known.column("terms")).combine_chunks().dictionary_encode()
+    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+    counts = pc.list_flatten(known.column("counts")).to_numpy()
+    counts = counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
+    every = Examples(known.column("doc_id").to_numpy(), y, begins, coded.indices.to_numpy().astype(np.int32), counts, coded.dictionary.to_pylist())
+    del known, coded, counts, begins
+    if not y.any() or y.all():
+        share = float(y.mean()) if len(y) else 0.0
+        return Model(every, Index([], np.zeros(0), {}), share, (np.array([0.0]), np.array([share])))
+    shared = docs.sparkSession.sparkContext.broadcast(every)
+    del every  # the driver needs the labels only
+    stay = against_all(shared, "plain", Examples.plain, is_copy, len(y)) == 0
+    votes = against_all(shared, "learned", lambda e: e.learned(stay), left_out_vote, int(stay.sum()))
+    prior = float(y[stay].mean())
+    return Learned(shared, stay, prior, careful_fit(votes, y[stay], prior))
+
+
+@dataclass
+class Learned:
+    """A model as it is sent: the shared examples, which of them stay, and the fit. The driver holds no index."""
+
+    shared: Broadcast
+    stay: np.ndarray
+    prior: float
+    fit: tuple[np.ndarray, np.ndarray]
+
+    def made(self) -> Model:
+        left, index, _, weights = self.shared.value.once("learned", lambda: self.shared.value.learned(self.stay))
+        return Model(left, index, self.prior, self.fit, weights)
+
+    def scores(self, texts: list[str | None]) -> Iterator[tuple[float, list[int]]]:
+        return self.made().scores(texts)
+
+
+def careful_fit(votes: np.ndarray, labels: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """The rising fit with FIT_EXAMPLES more examples in each step; still non-decreasing."""
+    at, value = rising_fit(votes, labels)
+    each = np.sort(votes)
+    n = np.searchsorted(each, at[1::2], "right") - np.searchsorted(each, at[::2], "left")
+    steps = np.maximum.accumulate((value[::2] * n + FIT_EXAMPLES * prior) / (n + FIT_EXAMPLES))
+    return at, np.repeat(steps, 2)
+
+
+def score(docs: DataFrame, model: Model | Learned) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence (ids of near examples); the model has a bounded size."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = model.made()
         for b in slices(batches):
-            out = [m.score(t or "") for t in b.column(1).to_pylist()]
+            out = list(m.scores(b.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([p for p, _ in out], pa.float64()), pa.array([e for _, e in out], pa.list_(pa.int64()))], ["doc_id", "score", "evidence"]
             )
@@ -200,14 +355,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return scored.select("doc_id", is_held_out(FOLDS, HELD_OUT).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"), "evidence")
 
 
-def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
+def keep_clean(docs: DataFrame, model: Model | Learned) -> DataFrame:
     """The rows of ``docs`` that aren't predicted toxic, with all their columns, in one pass."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = model.made()
         for b in slices(batches):
-            yield b.filter(pa.array([m.score(t or "")[0] < CUT for t in b.column(at).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([p < CUT for p, _ in m.scores(b.column(at).to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

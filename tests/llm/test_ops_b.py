@@ -131,6 +131,34 @@ def test_held_out_labels(spark, name, label, least):
         assert all(r.toxic for r in rows if r.predicted)
 
 
+@pytest.mark.parametrize(("size", "least"), [("sf0.001", 0.5), ("sf0.01", 0.7)])
+def test_toxicity_recall_on_few_labels(spark, monkeypatch, size, least):
+    """Recall over five held-out folds; about a fifth of the toxic labels, four of eleven at sf0.001, sit on texts without a toxic word."""
+    labels = spark.read.parquet(f"/root/testdata/{size}/labels.parquet").select("doc_id", "toxic")
+    rows = []
+    for fold in range(toxicity.FOLDS):
+        monkeypatch.setattr(toxicity, "HELD_OUT", fold)
+        rows += queries.op6_toxicity(spark, f"/root/testdata/{size}").where("held_out").join(labels, "doc_id").collect()
+    found = sum(r.toxic for r in rows if r.predicted)
+    assert found >= least * sum(r.toxic for r in rows)
+    assert found >= 0.9 * sum(r.predicted for r in rows)
+
+
+def test_toxicity_without_a_common_term(spark):
+    """Each toxic word is in a few of the toxic examples only; a text near them is still compared with them."""
+    rng = random.Random(3)
+    plain = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(20) for j in range(20)]
+    bad = [f"bad{chr(97 + i)}" for i in range(20)]
+    made = [" ".join(rng.choices(plain, k=20) + (rng.sample(bad, 3) if k % 5 == 0 else [])) for k in range(400)]
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(400)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    new = [(" ".join(rng.choices(plain, k=20) + (rng.sample(bad, 3) if k % 2 else [])), k % 2) for k in range(100)]
+    scored = list(model.scores([text for text, _ in new]))
+    assert all(len(e) == 5 for _, e in scored)
+    assert sum((p >= 0.5) == y for (p, _), (_, y) in zip(scored, new, strict=True)) >= 95
+
+
 @pytest.mark.parametrize("module", [toxicity, quality])
 def test_models_on_odd_rows(spark, odd, empty, module):
     labels = spark.createDataFrame([(1, 1, 0), (3, 0, 1), (None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
