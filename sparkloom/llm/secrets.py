@@ -7,8 +7,7 @@ at the fixpoint. Characters of a layer know the span of the text that they come
 layer is a span of the text.
 
 Defined results: a null text counts as empty; a text without finds has empty strings of spans; extra
-columns aren't looked at; repeated rows give repeated rows; no rows give no rows. A compressed layer of
-over INFLATED bytes isn't opened."""
+columns aren't looked at; repeated rows give repeated rows; no rows give no rows."""
 
 from __future__ import annotations
 
@@ -42,7 +41,6 @@ BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 PIECE = re.compile(r"[^/_-]{16,}")
 URL_SAFE = str.maketrans("-_", "+/")
 NOT_TEXT = re.compile(r"[\x00-\x08\x0e-\x1a\x1c-\x1f\x7f]")
-INFLATED = 1 << 24
 
 Span = tuple[str, int, int]
 
@@ -123,27 +121,38 @@ def unicode_chars(run: str) -> list[tuple[str, int]] | None:
     return None if any("\ud800" <= c < "\ue000" for c, _ in out) else out
 
 
+def members(data: bytes, opener) -> bytes:
+    """All members or streams of ``data``, one after another; what follows them and is none stays out.
+
+    A member that is cut short gives what it holds."""
+    parts: list[bytes] = []
+    while data:
+        one = opener()
+        try:
+            parts.append(one.decompress(data))
+        except (zlib.error, zstandard.ZstdError, OSError, EOFError, ValueError):
+            if not parts:
+                raise
+            break
+        data = one.unused_data if one.eof else b""
+    return b"".join(parts)
+
+
 def inflated(data: bytes) -> bytes:
-    """Compressed content opened, layer by layer; other content as it is."""
+    """Compressed content opened, layer by layer, all its members; other content as it is."""
     while True:
         try:
             if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 6 and (data[0] << 8 | data[1]) % 31 == 0:
-                opener = zlib.decompressobj(47)
-                out = opener.decompress(data, INFLATED)
-                whole = opener.eof
+                out = members(data, lambda: zlib.decompressobj(47))
             elif data[:4] == b"\x28\xb5\x2f\xfd":
-                with zstandard.ZstdDecompressor().stream_reader(data) as stream:
-                    out = stream.read(INFLATED + 1)
-                whole = len(out) <= INFLATED
+                out = members(data, lambda: zstandard.ZstdDecompressor().decompressobj())
             elif data[:3] == b"BZh":
-                opener = bz2.BZ2Decompressor()
-                out = opener.decompress(data, INFLATED)
-                whole = opener.eof
+                out = members(data, bz2.BZ2Decompressor)
             else:
                 return data
         except (zlib.error, zstandard.ZstdError, OSError, EOFError, ValueError):
             return data
-        if not whole or out == data:
+        if not out or out == data:
             return data
         data = out
 

@@ -1,6 +1,7 @@
 """Fixity, secrets, toxicity, I-Match, quality and the pipeline against brute force, round trips and held-out labels."""
 
 import base64
+import bz2
 import gzip
 import hashlib
 import math
@@ -10,6 +11,7 @@ import urllib.parse
 from collections import Counter
 
 import pytest
+import zstandard
 from oracle import compare, connect
 from pyspark.sql import functions as F
 from test_ops_a import ODD, SCHEMA
@@ -89,6 +91,14 @@ def test_hidden_layers(spark):
     assert rows[2].base_sha256 == hashlib.sha256(b"").hexdigest() and rows[2].spans == ""
 
 
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, zstandard.ZstdCompressor().compress])
+def test_secrets_in_later_members_and_large_layers(pack):
+    secret = b"password = hunter2hunter2"
+    for data in (pack(b"nothing here ") + pack(secret), pack(b"a " * (9 << 20) + secret)):
+        text = base64.b64encode(data).decode()
+        assert secrets.find_secrets(text)[1] == {("assign", 0, len(text))}
+
+
 def test_secrets_on_odd_rows(odd, empty):
     assert secrets.scan_secrets(odd).count() == len(ODD) and secrets.scan_secrets(empty).count() == 0
 
