@@ -31,13 +31,12 @@ WORD_BPE = "word_bpe_49k.json"
 #: Chunks whose ids a Python worker keeps; beyond it starts anew.
 CACHED_CHUNKS = 800_000
 #: Where a symbol was that a merge has taken.
-DEAD = 1 << 15 << 15
+DEAD = 1 << 30
 NOT_LATIN = re.compile("[^\\x00-\\u017f]")
 LATIN = {k: [c for c in map(chr, range(0x180)) if unicodedata.category(c)[0] == k] for k in "LN"}
 #: White space by the Unicode property; ``str.split`` also cuts at four separators that are none.
 SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
-#: Letters, then perhaps ASCII punctuation.
-TAILED = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)")
+ASCII_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SEPARATOR = re.compile("[\\x1c-\\x1f]")
 
 
@@ -74,37 +73,56 @@ class ByChunk:
         return [b"".join(ids) for ids in found]
 
     def add(self, new: set[str]) -> None:
-        """Letters with punctuation behind them are learned apart, as many chunks share them: no token spans the two."""
-        apart: dict[str, tuple[str, str]] = {}
+        """Latin letters with ASCII punctuation behind them are learned apart, as many chunks share them: no token
+        spans the two. Of one letter (U+0130) the lower case ends in a mark, which goes with the punctuation."""
+        apart: list[tuple[str, str, str]] = []
         needed: set[str] = set()
         for c in new:
-            if (m := TAILED.fullmatch(c)) and not NOT_LATIN.search(c):
-                core, tail = m[1].lower(), m[2]
-                needed.add(core)
-                if core != c:
-                    apart[c] = core, tail
+            core = c.rstrip(ASCII_MARKS)
+            if core.isalpha() and (core.isascii() or not NOT_LATIN.search(core) and "\u0130" not in core):
+                low = core.lower()
+                needed.add(low)
+                if low is not c:
+                    tail = c[len(core) :]
+                    apart.append((c, low, tail))
                     if tail:
                         needed.add(tail)
             else:
                 needed.add(c)
         if needed := [c for c in needed if c not in self.ids]:
             self.learn(needed)
-        for c, (core, tail) in apart.items():
-            self.ids[c] = self.ids[core] + self.ids[tail] if tail else self.ids[core]
+        ids = self.ids
+        for c, low, tail in apart:
+            ids[c] = ids[low] + ids[tail] if tail else ids[low]
 
 
 class LibraryEncoder(ByChunk):
-    """The tokenizers library, asked once for each distinct chunk."""
+    """The tokenizers library, asked once for each distinct chunk.
+
+    Latin letters alone are one word each, and of a word only the last token ends it, so many go as one text."""
 
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        end = model["end_of_word_suffix"]
+        self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+        self.ends[[i for s, i in model["vocab"].items() if s.endswith(end)]] = True
 
     def learn(self, chunks: list[str]) -> None:
-        for at in range(0, len(chunks), 20_000):
-            some = chunks[at : at + 20_000]
+        words = [c for c in chunks if c.isalpha() and (c.isascii() or not NOT_LATIN.search(c) and "\u0130" not in c)]
+        texts = [words[at : at + 500] for at in range(0, len(words), 500)]
+        for some, e in zip(texts, self.tokenizer.encode_batch_fast([" ".join(x) for x in texts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            upto = np.concatenate([[0], 4 * (np.flatnonzero(self.ends[ids]) + 1)]).tolist()
+            raw = ids.tobytes()
+            self.ids.update(zip(some, [raw[a:z] for a, z in zip(upto, upto[1:], strict=False)], strict=True))
+        rest = [c for c in chunks if c not in self.ids]
+        for at in range(0, len(rest), 20_000):
+            some = rest[at : at + 20_000]
             for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 self.ids[c] = array("I", e.ids).tobytes()
 

@@ -70,6 +70,19 @@ def test_bpe_random_unicode(library):
         assert encoder(public_tokenizers.path(bpe.WORD_BPE)).encode_batch(texts) == [ids_of(library, t) for t in texts]
 
 
+def test_bpe_letters_before_marks(library):
+    """Each Latin letter before each ASCII mark, and words of a few such letters, as Turkish capitals."""
+    letters = [chr(c) for c in range(0x41, 0x250) if chr(c).isalpha()]
+    marks = [chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum()]
+    rng = random.Random(4)
+    texts = [a + m for a in letters for m in marks] + ["ALİ,", "AVNİ.", "İ", "İİ!", "diyarbakİr's", "İ_", "xİ\u0307,", "ſ's", "ª.", "ªİ²,"]
+    texts += ["".join(rng.choices(letters + ["\u0130"] * 9, k=rng.randrange(1, 5))) + "".join(rng.choices(marks + ["\u0307"], k=rng.randrange(4))) for _ in range(60_000)]
+    rng.shuffle(texts)
+    want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+    for encoder in (bpe.WordBpe, bpe.LibraryEncoder):
+        assert encoder(public_tokenizers.path(bpe.WORD_BPE)).encode_batch(texts) == want
+
+
 def test_token_files(spark, sf_dir, odd, empty, library):
     want, start = {}, 0
     for d, t in sorted(documents(spark, sf_dir)):
