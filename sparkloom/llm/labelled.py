@@ -48,11 +48,12 @@ def logistic(x: np.ndarray, fit: tuple[float, float, float, float]) -> np.ndarra
 
 
 def rising_fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Points of the non-decreasing step function nearest to y, for np.interp; neighbours that fall are pooled."""
+    """Points of the non-decreasing step function nearest to y, for np.interp; equal x are one, then neighbours that fall are pooled."""
+    each, place = np.unique(x, return_inverse=True)
     pools: list[list[float]] = []
-    for a, b in sorted(zip(x.tolist(), y.tolist(), strict=True)):
-        pools.append([b, 1.0, a, a])
-        while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
+    for a, b, m in zip(each.tolist(), np.bincount(place, y, len(each)).tolist(), np.bincount(place, minlength=len(each)).tolist(), strict=True):
+        pools.append([b, m, a, a])
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
             s, n, _, z = pools.pop()
             pools[-1] = [pools[-1][0] + s, pools[-1][1] + n, pools[-1][2], z]
     at = [p for _, _, a, z in pools for p in (a, z)]

@@ -2,19 +2,20 @@
 
 Terms are runs of letters in lower case. A vector has all terms of its text that some example has: TF-IDF
 times a weight that grows, from EVERY, with the share of the class among the examples with the term, so
-that no term is left out however few examples there are. The scores of a query against all examples are
-summed in full: the terms of most examples by a product of matrices, the others along an inverted index,
-so the nearest are exact. Votes weigh by closeness, and a rising fit to votes of the examples on each
+that no term is left out however few examples there are. The nearest are exact, by an inverted index with
+block maxima (``blockmax``). Votes weigh by closeness, and a rising fit to votes of the examples on each
 other (each left out of its own, also in the weights of its terms) makes them probabilities.
 
 Defined results: a text without a term of an example, so also a null or empty one, has no neighbour and
 gets the share of the class among the examples, 0 if there are none; equally near examples count by
 smaller id; of examples with a plain TF-IDF cosine of COPY and one label only the one with the smallest id
-counts; of several texts with one id the least is learned from; extra columns aren't looked at; repeated
-rows give repeated rows; no rows give no rows."""
+counts; of several texts with one id the least is learned from; very long texts are read whole, a batch
+of a few hundred rows at a time; extra columns, of any name, aren't looked at; repeated rows give repeated
+rows; no rows give no rows."""
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -28,6 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.llm.blockmax import BlockMax, Query
 from sparkloom.llm.common import slices
 from sparkloom.llm.labelled import is_held_out, rising_fit, training_rows
 
@@ -40,9 +42,7 @@ COPY = 0.8
 EVERY, PRIOR_EXAMPLES = 0.02, 10.0
 #: Examples at the prior share that each step of the fit starts with, as a step of few examples says little.
 FIT_EXAMPLES = 2
-NEIGHBOURS, QUERIES = 25, 32
-#: Terms of more than this share of the examples, at most so many, are multiplied as a matrix.
-DENSE_SHARE, MOST_DENSE = 0.2, 256
+NEIGHBOURS, QUERIES = 25, 128
 TERM = re.compile(r"[^\W\d_]+")
 
 
@@ -56,87 +56,11 @@ def unit(rows: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
     return x / np.where(norm > 0, norm, 1)[rows]
 
 
-@dataclass
-class Index:
-    """Inverted index of unit vectors; columns number the terms."""
-
-    ids: list[int]
-    labels: np.ndarray
-    idf: dict[str, float]
-    column: dict[str, int] = field(default_factory=dict)
-    n: int = 0
-    #: Positions and weights of all postings, by column; where those of each column begin.
-    at: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
-    weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    begins: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
-    dense: np.ndarray | None = None
-
-    def vector(self, tf: dict[str, int]) -> dict[str, float]:
-        raw = {t: (1 + math.log(n)) * self.idf[t] for t, n in tf.items() if t in self.idf}
-        norm = math.sqrt(sum(x * x for x in raw.values()))
-        return {t: x / norm for t, x in raw.items()} if norm else {}
-
-    def build(self, vectors: list[dict[str, float]]) -> Index:
-        self.column = {t: k for k, t in enumerate(self.idf)}
-        rows = np.array([k for k, v in enumerate(vectors) for _ in v], np.int32)
-        columns = np.array([self.column[t] for v in vectors for t in v], np.int32)
-        return self.lay(rows, columns, np.array([x for v in vectors for x in v.values()], float), len(vectors), len(self.idf))
-
-    def lay(self, rows: np.ndarray, columns: np.ndarray, weight: np.ndarray, n: int, words: int) -> Index:
-        """Entries of ``n`` vectors over ``words`` columns; within a column in the order of the vectors."""
-        order = np.lexsort((rows, columns))
-        self.n, self.at, self.weight = n, rows[order].astype(np.int32), weight[order]
-        self.begins = np.concatenate([[0], np.cumsum(np.bincount(columns, minlength=words))])
-        return self
-
-    def prepare(self) -> None:
-        """The matrix of frequent terms; made where it is used, so that it isn't sent."""
-        sizes = np.diff(self.begins)
-        often = np.flatnonzero(sizes > DENSE_SHARE * self.n)
-        often = often[np.argsort(-sizes[often], kind="stable")][:MOST_DENSE]
-        self.slot = np.full(len(sizes), -1)
-        self.slot[often] = np.arange(len(often))
-        self.dense = np.zeros((len(often), self.n))
-        for k, c in enumerate(often.tolist()):
-            self.dense[k, self.at[self.begins[c] : self.begins[c + 1]]] = self.weight[self.begins[c] : self.begins[c + 1]]
-
-    def cosines(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """For queries of columns and weights: a row each, the cosine with every example."""
-        if self.dense is None:
-            self.prepare()
-        often = np.zeros((len(queries), len(self.dense)))
-        rest = []
-        for k, (columns, x) in enumerate(queries):
-            slot = self.slot[columns]
-            often[k, slot[slot >= 0]] = x[slot >= 0]
-            rest.append((columns[slot < 0], x[slot < 0]))
-        out = often @ self.dense
-        for k, (columns, x) in enumerate(rest):
-            begins = self.begins[columns]
-            sizes = self.begins[columns + 1] - begins
-            ends = np.cumsum(sizes)
-            if len(ends) and ends[-1]:
-                where = np.arange(ends[-1]) + np.repeat(begins - ends + sizes, sizes)
-                out[k] += np.bincount(self.at[where], self.weight[where] * np.repeat(x, sizes), self.n)
-        return out
-
-    def nearest_of(self, cosines: np.ndarray, k: int) -> list[tuple[float, int]]:
-        least = max(1e-12, np.partition(cosines, -k)[-k] - 1e-11 if len(cosines) > k else 0.0)
-        at = np.flatnonzero(cosines >= least)
-        scores = np.round(cosines[at], 12)
-        order = np.lexsort((at, -scores))[:k]
-        return list(zip(scores[order].tolist(), at[order].tolist(), strict=True))
-
-    def nearest(self, query: dict[str, float], k: int) -> list[tuple[float, int]]:
-        """Cosine and position of the k nearest examples with a cosine over 0, nearest first, then by position."""
-        known = [(self.column[t], x) for t, x in query.items() if t in self.column]
-        columns, x = np.array([c for c, _ in known], int), np.array([x for _, x in known], float)
-        return self.nearest_of(self.cosines([(columns, x)])[0], k)
-
-    def vote(self, near: list[tuple[float, int]], prior: float) -> float:
-        """Votes weighted by cosine / distance, so that far examples hardly count; one vote of weight 1 for the prior."""
-        weights = [s / (1.05 - s) for s, _ in near]
-        return (prior + sum(w * self.labels[p] for w, (_, p) in zip(weights, near, strict=True))) / (1 + sum(weights))
+def vote(near: tuple[np.ndarray, np.ndarray], labels: np.ndarray, prior: float) -> float:
+    """Votes weighted by cosine / distance, so that far examples hardly count; one vote of weight 1 for the prior."""
+    cosines, at = near
+    weights = cosines / (1.05 - cosines)
+    return (prior + float(weights @ labels[at])) / (1 + float(weights.sum()))
 
 
 @dataclass
@@ -144,7 +68,7 @@ class Model:
     """What is learned, ready for use."""
 
     examples: Examples
-    index: Index
+    index: BlockMax | None
     prior: float
     fit: tuple[np.ndarray, np.ndarray]
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
@@ -154,7 +78,7 @@ class Model:
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Columns and weights; terms that no example has count in the length only."""
-        tf, column = Counter(terms_of(text)), self.index.column
+        tf, column = Counter(terms_of(text)), self.examples.column
         known = [(column[t], n) for t, n in tf.items() if t in column]
         columns, counts = np.array([c for c, _ in known], int), np.array([n for _, n in known], float)
         x = (1 + np.log(counts)) * self.weights[columns]
@@ -163,16 +87,16 @@ class Model:
 
     def scores(self, texts: list[str | None]) -> Iterator[tuple[float, list[int]]]:
         """For each text its probability, and the ids of the nearest examples as evidence."""
-        index = self.index
+        ids, labels = self.examples.ids.tolist(), self.examples.labels
         for start in range(0, len(texts), QUERIES):
-            queries = [self.vector(t or "") for t in texts[start : start + QUERIES]]
-            if not any(len(c) for c, _ in queries):
-                yield from ((self.prior, []) for _ in queries)
+            some = texts[start : start + QUERIES]
+            if self.index is None:
+                yield from ((self.prior, []) for _ in some)
                 continue
-            for row in index.cosines(queries):
-                near = index.nearest_of(row, NEIGHBOURS)
-                p = float(np.interp(index.vote(near, self.prior), *self.fit)) if near else self.prior
-                yield p, [index.ids[k] for _, k in near[:5]]
+            for near in self.index.search([self.vector(t or "") for t in some], NEIGHBOURS):
+                found = len(near[0])
+                p = float(np.interp(vote(near, labels, self.prior), *self.fit)) if found else self.prior
+                yield p, [ids[k] for k in near[1][:5].tolist()]
 
 
 def tokenised(rows: DataFrame) -> DataFrame:
@@ -217,7 +141,7 @@ class Examples:
 
     @property
     def tf(self) -> np.ndarray:
-        return 1 + np.log(self.counts)
+        return 1 + np.log(self.counts, dtype=float)
 
     def kept(self, stay: np.ndarray) -> Examples:
         entries = np.repeat(stay, np.diff(self.begins))
@@ -238,10 +162,16 @@ class Examples:
         share = (hits + PRIOR_EXAMPLES * prior) / (df + PRIOR_EXAMPLES)
         return self.idf(df) * (EVERY + np.maximum(np.log(share / (1 - share)) - math.log(prior / (1 - prior)), 0) ** 3)
 
-    def index(self, weights: np.ndarray) -> tuple[Index, np.ndarray]:
-        """The index, and the weights of all entries in it."""
-        x = unit(self.rows, self.tf * weights[self.columns], len(self.ids))
-        return Index(self.ids.tolist(), self.labels, {}, {t: k for k, t in enumerate(self.words)}).lay(self.rows, self.columns, x, len(self.ids), len(self.words)), x
+    @functools.cached_property
+    def column(self) -> dict[str, int]:
+        return {t: k for k, t in enumerate(self.words)}
+
+    def index(self, x: np.ndarray) -> BlockMax:
+        return BlockMax(self.begins, self.columns, x, len(self.words), self.labels)
+
+    def query(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        entries = slice(self.begins[k], self.begins[k + 1])
+        return self.columns[entries], x[entries]
 
     def without_own(self, df: np.ndarray, hits: np.ndarray) -> np.ndarray:
         """Entries of the unit vectors in which the weights of each example's terms don't know that example."""
@@ -249,28 +179,28 @@ class Examples:
         return unit(self.rows, self.tf * own, len(self.ids))
 
     def plain(self):
-        """Index, entries as queries."""
-        index, x = self.index(self.idf(self.seen()[0]))
-        index.column = {}
-        return self, index, x
+        """Examples, index, entries as queries."""
+        x = unit(self.rows, self.tf * self.idf(self.seen()[0])[self.columns], len(self.ids))
+        return self, self.index(x), x
 
     def learned(self, stay: np.ndarray):
         """Examples without copies, their index, entries as queries, weights of the terms."""
         left = self.kept(stay)
         df, hits = left.seen()
         weights = left.weights(df, hits)
-        return left, left.index(weights)[0], left.without_own(df, hits), weights
+        x = unit(left.rows, left.tf * weights[left.columns], len(left.ids))
+        return left, left.index(x), left.without_own(df, hits), weights
 
 
 def against_all(shared, name: str, make, of, n: int, least: int = 256) -> np.ndarray:
-    """``of(index, k, cosines)`` of each of ``n`` examples in what ``make`` makes of the shared ones; by the executors."""
+    """``of(examples, index, queries, ks)`` for all positions ``ks`` below ``n`` in what ``make`` makes of the shared ones; by the executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, QUERIES):
             examples, index, x, *_ = shared.value.once(name, lambda: make(shared.value))
-            ks, begins = b.column(0).to_pylist(), examples.begins
-            rows = index.cosines([(examples.columns[begins[k] : begins[k + 1]], x[begins[k] : begins[k + 1]]) for k in ks])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([float(of(index, k, row)) for k, row in zip(ks, rows, strict=True)], pa.float64())], ["id", "value"])
+            ks = b.column(0).to_pylist()
+            values = of(examples, index, [examples.query(x, k) for k in ks], ks)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values, pa.float64())], ["id", "value"])
 
     spark = SparkSession.active()
     parts = max(1, min(spark.sparkContext.defaultParallelism, n // least))
@@ -280,13 +210,15 @@ def against_all(shared, name: str, make, of, n: int, least: int = 256) -> np.nda
     return out
 
 
-def is_copy(index: Index, k: int, cosines: np.ndarray) -> bool:
-    return bool(((cosines[:k] >= COPY) & (index.labels[:k] == index.labels[k])).any())
+def are_copies(examples: Examples, index: BlockMax, queries: list[Query], ks: list[int]) -> list[float]:
+    labels = examples.labels
+    return [float(bool((labels[at[at < k]] == labels[k]).any())) for k, (_, at) in zip(ks, index.search(queries, least=COPY), strict=True)]
 
 
-def left_out_vote(index: Index, k: int, cosines: np.ndarray) -> float:
-    cosines[k] = 0
-    return index.vote(index.nearest_of(cosines, NEIGHBOURS), float(index.labels.mean()))
+def left_out_votes(examples: Examples, index: BlockMax, queries: list[Query], ks: list[int]) -> list[float]:
+    prior = float(examples.labels.mean())
+    found = [(c[at != k][:NEIGHBOURS], at[at != k][:NEIGHBOURS]) for k, (c, at) in zip(ks, index.search(queries, NEIGHBOURS + 1), strict=True)]
+    return [vote(near, examples.labels, prior) for near in found]
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | Learned:
@@ -304,11 +236,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | Learned:
     del known, coded, counts, begins
     if not y.any() or y.all():
         share = float(y.mean()) if len(y) else 0.0
-        return Model(every, Index([], np.zeros(0), {}), share, (np.array([0.0]), np.array([share])))
+        return Model(every, None, share, (np.array([0.0]), np.array([share])))
     shared = docs.sparkSession.sparkContext.broadcast(every)
     del every  # the driver needs the labels only
-    stay = against_all(shared, "plain", Examples.plain, is_copy, len(y)) == 0
-    votes = against_all(shared, "learned", lambda e: e.learned(stay), left_out_vote, int(stay.sum()))
+    stay = against_all(shared, "plain", Examples.plain, are_copies, len(y)) == 0
+    votes = against_all(shared, "learned", lambda e: e.learned(stay), left_out_votes, int(stay.sum()))
     prior = float(y[stay].mean())
     return Learned(shared, stay, prior, careful_fit(votes, y[stay], prior))
 

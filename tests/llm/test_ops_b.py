@@ -4,12 +4,15 @@ import base64
 import bz2
 import gzip
 import hashlib
+import itertools
 import math
 import random
 import re
 import urllib.parse
+import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 import zstandard
 from oracle import compare, connect
@@ -17,7 +20,7 @@ from pyspark.sql import functions as F
 from test_ops_a import ODD, SCHEMA
 
 import corpus_pipeline
-from sparkloom.llm import fixity, imatch, queries, quality, secrets, toxicity
+from sparkloom.llm import blockmax, fixity, imatch, queries, quality, secrets, toxicity
 from sparkloom.llm.labelled import rising_fit
 
 MID = "/root/testdata/sf0.01"
@@ -103,19 +106,90 @@ def test_secrets_on_odd_rows(odd, empty):
     assert secrets.scan_secrets(odd).count() == len(ODD) and secrets.scan_secrets(empty).count() == 0
 
 
-def test_nearest_is_exact():
-    rng = random.Random(8)
-    vocabulary = [f"t{i}" for i in range(30)]
-    index = toxicity.Index(list(range(300)), [], {t: 1 + i / 30 for i, t in enumerate(vocabulary)})
-    made = [index.vector(Counter(rng.choices(vocabulary, k=rng.randrange(1, 6)))) for _ in range(300)]
-    index.build(made)
-    for _ in range(200):
-        q = index.vector(Counter(rng.choices(vocabulary, k=rng.randrange(1, 5))))
-        brute = sorted(((-round(sum(x * v.get(t, 0) for t, x in q.items()), 12), p) for p, v in enumerate(made)))
-        brute = [(-s, p) for s, p in brute if s < 0][:25]
-        got = index.nearest(q, 25)
-        assert [round(s, 9) for s, _ in got] == [round(s, 9) for s, _ in brute]
-        assert {p for s, p in got if s > got[-1][0] + 1e-9} == {p for s, p in brute if s > brute[-1][0] + 1e-9}
+@pytest.mark.parametrize(("n", "words", "each"), [(0, 5, 2), (3, 5, 2), (300, 30, 6), (900, 400, 25)])
+def test_nearest_is_exact(n, words, each):
+    rng = np.random.default_rng(8)
+    made = np.zeros((n, words))
+    for row in made:
+        some = rng.choice(words, rng.integers(0, min(each, words)), replace=False)
+        row[some] = rng.choice([0.5, 1.0, 3.0], len(some)) + some / words
+    made[1::7] = made[: len(made[1::7])]  # ties
+    made /= np.maximum(np.linalg.norm(made, axis=1, keepdims=True), 1e-9)
+    rows, columns = np.nonzero(made)
+    begins = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))]).astype(int)
+    index = blockmax.BlockMax(begins, columns, made[rows, columns], words, rng.integers(0, 2, n))
+    asked = np.concatenate([made[:40], np.zeros((1, words)), rng.random((20, words)) / words])
+    queries = [(np.flatnonzero(q), q[np.flatnonzero(q)]) for q in asked]
+    for k, least in ((25, 1e-12), (1, 1e-12), (None, 0.8), (25, 0.5)):
+        for q, (got, at) in zip(asked, index.search(queries, k, least), strict=True):
+            cosines = np.round(made @ q, 9)
+            want = sorted((-c, p) for p, c in enumerate(cosines.tolist()) if c >= least)[:k]
+            assert [(-round(c, 9) or 0.0, p) for c, p in zip(got.tolist(), at.tolist(), strict=True)] == want
+
+
+def brute_toxicity(docs, labels):
+    """doc_id: score and nearest ids, by plain loops over all examples and all terms."""
+    term, unit = re.compile(r"[^\W\d_]+"), lambda v: {t: x / (math.sqrt(sum(y * y for y in v.values())) or 1) for t, x in v.items()}
+    dot = lambda a, b: sum(x * b.get(t, 0) for t, x in a.items())
+    known = dict(labels)
+    ids = sorted(d for d, _ in docs if d in known and zlib.crc32(str(d).encode()) % 5)
+    text = dict(docs)
+    tf = {d: {t: 1 + math.log(n) for t, n in Counter(term.findall(text[d].lower())).items()} for d in ids}
+
+    def seen(ids, without=None):
+        df, hits = Counter(), Counter()
+        for d in ids:
+            if d != without:
+                df.update(tf[d].keys())
+                hits.update(dict.fromkeys(tf[d], known[d]))
+        return df, hits
+
+    idf = lambda n, df: math.log((1 + n) / (1 + df)) + 1
+    df, _ = seen(ids)
+    plain = {d: unit({t: x * idf(len(ids), df[t]) for t, x in tf[d].items()}) for d in ids}
+    ids = [d for k, d in enumerate(ids) if not any(known[e] == known[d] and dot(plain[e], plain[d]) >= 0.8 for e in ids[:k])]
+    prior = sum(known[d] for d in ids) / len(ids)
+
+    def weighted(v, df, hits):
+        share = {t: (hits[t] + 10 * prior) / (df[t] + 10) for t in v}
+        lift = {t: max(math.log(s / (1 - s)) - math.log(prior / (1 - prior)), 0) for t, s in share.items()}
+        return unit({t: x * idf(len(ids), df[t]) * (0.02 + lift[t] ** 3) for t, x in v.items()})
+
+    df, hits = seen(ids)
+    vectors = {d: weighted(tf[d], df, hits) for d in ids}
+
+    def vote(q, others):
+        near = sorted(((-round(dot(q, vectors[d]), 12), d) for d in others))[:25]
+        near = [(-c, d) for c, d in near if c <= -1e-12]
+        weights = [c / (1.05 - c) for c, _ in near]
+        return (prior + sum(w * known[d] for w, (_, d) in zip(weights, near, strict=True))) / (1 + sum(weights)), near
+
+    votes = [(vote(weighted(tf[d], *seen(ids, d)), [e for e in ids if e != d])[0], known[d]) for d in ids]
+    pools = []
+    for x in sorted({v for v, _ in votes}):
+        ys = [y for v, y in votes if v == x]
+        pools.append([sum(ys), len(ys), x, x])
+        while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
+            s, n, _, z = pools.pop()
+            pools[-1] = [pools[-1][0] + s, pools[-1][1] + n, pools[-1][2], z]
+    steps = list(itertools.accumulate(((s + 2 * prior) / (n + 2) for s, n, _, _ in pools), max))
+    at, value = [x for p in pools for x in p[2:]], [v for v in steps for _ in range(2)]
+    out = {}
+    for d, t in docs:
+        counts = {t: 1 + math.log(n) for t, n in Counter(term.findall(t.lower())).items()}
+        p, near = vote(weighted(counts, df, hits), ids)
+        out[d] = (float(np.interp(p, at, value)) if near else prior), [e for _, e in near[:5]]
+    return out
+
+
+def test_toxicity_equals_brute_force(spark, sf_dir):
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    labels = [(r.doc_id, r.toxic) for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()]
+    want = brute_toxicity(docs, labels)
+    got = queries.op6_toxicity(spark, sf_dir).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert math.isclose(r.score, want[r.doc_id][0], abs_tol=1e-9) and list(r.evidence) == want[r.doc_id][1], r.doc_id
 
 
 def auc(pairs):
@@ -179,8 +253,8 @@ def test_models_on_odd_rows(spark, odd, empty, module):
 
 
 def test_rising_fit():
-    import numpy as np
-
+    tied = np.array([0.5] * 10)
+    assert list(np.interp(tied, *rising_fit(tied, np.array([0.0] * 9 + [1.0])))) == pytest.approx([0.1] * 10)
     x, y = rising_fit(np.array([1.0, 2.0, 3.0, 4.0]), np.array([0.0, 1.0, 0.0, 1.0]))
     assert list(y) == sorted(y) and math.isclose(float(np.interp(2.5, x, y)), 0.5)
 
