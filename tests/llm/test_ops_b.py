@@ -5,6 +5,7 @@ import bz2
 import gzip
 import hashlib
 import itertools
+import lzma
 import math
 import random
 import re
@@ -102,6 +103,82 @@ def test_secrets_in_later_members_and_large_layers(pack):
         assert secrets.find_secrets(text)[1] == {("assign", 0, len(text))}
 
 
+def flate(data):
+    one = zlib.compressobj(9, zlib.DEFLATED, -15)
+    return one.compress(data) + one.flush()
+
+
+WRAPS = {
+    "url": lambda x: urllib.parse.quote(x, safe=""),
+    "all_url": lambda x: "".join(f"%{b:02X}" for b in x.encode()),
+    "unicode": lambda x: "".join(f"\\u{ord(c):04x}" for c in x),
+    "unicode_long": lambda x: "".join(rf"\u{{{ord(c):x}}}" if k % 2 else rf"\x{ord(c):02x}" for k, c in enumerate(x)),
+    "base64": lambda x: base64.b64encode(x.encode()).decode(),
+    "url_safe": lambda x: base64.urlsafe_b64encode(x.encode()).decode().rstrip("="),
+    "wrapped": lambda x: base64.encodebytes(x.encode()).decode().strip(),
+    "short_lines": lambda x: "\r\n  ".join(re.findall(".{1,20}", base64.b64encode(x.encode()).decode())),
+    "utf16": lambda x: base64.b64encode(x.encode("utf-16")).decode(),
+    "utf16_be": lambda x: base64.b64encode(x.encode("utf-16-be")).decode(),
+    **{p.__name__: lambda x, p=p: base64.b64encode(p(x.encode())).decode() for p in (gzip.compress, bz2.compress, zlib.compress, flate)},
+    "xz": lambda x: base64.b64encode(lzma.compress(x.encode())).decode(),
+    "lzma": lambda x: base64.b64encode(lzma.compress(x.encode(), lzma.FORMAT_ALONE)).decode(),
+    "zstd": lambda x: base64.b64encode(zstandard.compress(x.encode())).decode(),
+    "gzip_url": lambda x: urllib.parse.quote(gzip.compress(x.encode()), safe=""),
+    "gzip_escapes": lambda x: "".join(f"\\x{b:02x}" for b in gzip.compress(x.encode())),
+    "gzip_xz": lambda x: base64.b64encode(gzip.compress(lzma.compress(x.encode()))).decode(),
+}
+
+
+@pytest.mark.parametrize("outer", WRAPS)
+def test_nested_layers_are_found(outer):
+    """Each wrapping around each other one, and random nestings of three: the find lies in what hides it."""
+    rng = random.Random(outer)
+    secret = "so password = abcd1234efgh here"
+    chains = [(outer,)] + [(outer, x) for x in WRAPS] + [(outer, *rng.choices(list(WRAPS), k=2)) for _ in range(6)]
+    for chain in chains:
+        hidden = secret
+        for name in reversed(chain):
+            hidden = WRAPS[name](hidden)
+        for before, after in (("Ünd so ", " end"), ("x\n", "\nThe end."), ("", "")):
+            text = before + hidden + after
+            base, spans = secrets.find_secrets(text)
+            inside = [(a, z) for k, a, z in spans if k == "assign" and len(before) <= a < z <= len(before) + len(hidden)]
+            assert inside and not base, chain
+
+
+def test_layers_in_detail():
+    assign = lambda text: {s for s in secrets.find_secrets(text)[1] if s[0] == "assign"}
+    secret = "password=abcd1234efgh"
+    escaped = "".join(f"%{ord(c):02x}" for c in secret)
+    assert assign("%ff" + escaped + "%e2%82") == {("assign", 3, 3 + len(escaped))}
+    halves = "".join(f"\\u{ord(c):04x}" for c in secret)
+    assert assign("\\ud800" + halves + "\\udc00") == {("assign", 6, 6 + len(halves))}
+    assert assign("\\U00110000" + halves) == {("assign", 10, 10 + len(halves))}
+    assert assign(f"é%41 {secret} \\ud83d\\ude00") == {("assign", 5, 5 + len(secret))}  # offsets hold behind escapes
+    part = "é%41 pass%77ord=ab\\u0063d1234efgh x"
+    assert assign(part) == {("assign", 5, len(part) - 2)}
+    for raw in (b"\0\1" + secret.encode() + b"\xff\xfe", b"\xff" + secret.encode("utf-16-le"), b"a" + secret.encode("utf-16-be")):
+        text = base64.b64encode(raw).decode()
+        assert ("assign", 0, len(text)) in assign(text)
+    for pack in (gzip.compress, bz2.compress, lzma.compress, zstandard.compress):
+        text = base64.b64encode(pack(b"nothing ") + pack(secret.encode())).decode()
+        assert ("assign", 0, len(text)) in assign(text)
+        cut = base64.b64encode(pack(secret.encode()) + pack(b"more")[:-3] + b"rest").decode()
+        assert ("assign", 0, len(cut)) in assign(cut)
+    many = secret
+    for _ in range(300):
+        many = gzip.compress(many.encode() if isinstance(many, str) else many)
+    assert assign(base64.b64encode(many).decode())
+    assert assign("a" * 400_000 + "%41" * 200_000 + escaped)
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zstandard.compress, lzma.compress, lambda x: gzip.compress(zstandard.compress(x))])
+def test_secrets_deep_in_large_layers(pack):
+    data = b"a " * (17 << 20) + b"password=abcd1234efgh" + b" b" * (17 << 20)
+    text = base64.b64encode(pack(data)).decode()
+    assert ("assign", 0, len(text)) in secrets.find_secrets(text)[1]
+
+
 def test_secrets_on_odd_rows(odd, empty):
     assert secrets.scan_secrets(odd).count() == len(ODD) and secrets.scan_secrets(empty).count() == 0
 
