@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,11 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (``spark.checkpoint.dir``).
 
-    Only where a session has none, as in tests on one machine, a local temporary folder is set."""
+    A session on one machine may have none and gets a local one; a cluster must name its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         context = spark.sparkContext
         if not context.getCheckpointDir():
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
         folder = context.getCheckpointDir()
     return folder.rstrip("/")
@@ -35,6 +38,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Of ``total`` rows, at most so many keys can each have more than a share of 1 in as many.
+HEAVY = 1024
+
+
+def join_counted(rows: DataFrame, values: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """``rows`` with the columns of ``values``, a row a key, whose column ``count`` says how many of the ``total`` rows have the key.
+
+    Keys of more than total / HEAVY rows are few, so their values are broadcast and their rows stay where they
+    are; all other rows meet their values by a shuffle, in which no key is heavy."""
+    heavy = values.where(F.col(count) > total / HEAVY)
+    spread = rows.join(F.broadcast(heavy), keys)
+    rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti")
+    return spread.unionByName(rest.join(values, keys)).drop(count)
+
+
+def as_doc(docs: DataFrame) -> Column:
+    """All columns in one named ``doc``, so that no name of theirs meets another; ``doc.*`` gives them back."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, so that few whole texts are held as Python objects."""
     for batch in batches:

@@ -1,8 +1,9 @@
 """Exact dedup: groups by a 128-bit content hash, byte comparison inside groups, smallest id stays.
 
 Defined results: a null text counts as empty; empty texts are equal to each other; a null ``doc_id``
-sorts after all others; of several rows with the same id and text exactly one stays; other columns
-of the input are not looked at; no rows give no rows."""
+sorts after all others; of several rows with the same id and text exactly one stays; very long texts are
+compared whole; other columns of the input, of any name, are not looked at and stay as they are; no rows
+give no rows."""
 
 from __future__ import annotations
 
@@ -11,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.llm.common import as_doc, join_counted, written
+
 #: White space but for the space itself.
 OTHER_WHITE = "\t\n\x0b\f\r"
 
@@ -33,11 +36,13 @@ def exact_dedup(docs: DataFrame, hash_of: Callable[[Column], Column] = content_h
 
     Groups are keyed by hash and then by the bytes of the text, so that texts with colliding hashes
     stay apart. Copies combine before the shuffle, in which a text of any number of copies moves once
-    a partition; the rows themselves move as hashes only."""
+    a partition; the rows themselves move as hashes only, those of very large groups not at all."""
     norm = docs.select("doc_id", normalised(F.col("text")).alias("norm")).withColumn("h", hash_of(F.col("norm")))
-    groups = norm.groupBy("h", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     sha = F.sha2("norm", 256).alias("text_sha256")
-    rows = norm.select("doc_id", "h", sha).join(groups.select("h", sha, "keep_id", "group_size"), ["h", "text_sha256"])
+    each = written(norm.select("doc_id", "h", sha), "exact-rows")
+    groups = norm.groupBy("h", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = written(groups.select("h", sha, "keep_id", "group_size", F.col("group_size").alias("n")), "exact-groups")
+    rows = join_counted(each, groups, ["h", "text_sha256"], "n", each.count())
     copies = Window.partitionBy("text_sha256", "doc_id").orderBy("keep_id")
     first = F.row_number().over(copies) == 1  # of rows with one id and text, one stays
     return rows.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & first).alias("kept"), "text_sha256")
@@ -45,8 +50,7 @@ def exact_dedup(docs: DataFrame, hash_of: Callable[[Column], Column] = content_h
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    sha = F.sha2(normalised(F.col("text")), 256)
-    stay = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha"))
-    marked = docs.withColumn("_sha", sha)
-    rows = marked.join(stay, marked["doc_id"].eqNullSafe(stay["_keep_id"]) & (marked["_sha"] == stay["_keep_sha"]), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+    stay = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("stays"), F.col("text_sha256").alias("stays_sha"))
+    rows = docs.select(as_doc(docs), F.col("doc_id").alias("id"), F.sha2(normalised(F.col("text")), 256).alias("sha"))
+    rows = rows.join(stay, rows["id"].eqNullSafe(stay["stays"]) & (rows["sha"] == stay["stays_sha"]), "left_semi")
+    return rows.dropDuplicates(["id", "sha"]).select("doc.*")

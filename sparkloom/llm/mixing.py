@@ -2,14 +2,15 @@
 
 Defined results: a null text has size 0; the null source is a source of its own, last in order;
 a source without words has target and rate 0; repeated rows each take part on their own and, with
-the same id, draw the same number of copies; no rows give no rows. Extra columns pass through."""
+the same id, draw the same number of copies; the words of very long texts are all counted; extra columns,
+of any name, pass through; no rows give no rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import written
+from sparkloom.llm.common import as_doc, written
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Sources are one row each; up to so many go to all executors, more are joined by a shuffle.
@@ -49,21 +50,19 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most:
 
 
 def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0, seed: int = 7) -> DataFrame:
-    """``docs`` with _size, _source_size, _target and _copies, the times that the mix emits the row."""
-    sized = docs.withColumn("_size", word_count(F.col("text")))
-    sums = sized.groupBy("source").agg(F.sum("_size").alias("source_size"))
-    targets = written(source_targets(sums, weights, most), "mix-targets").withColumnsRenamed(
-        {"source": "_source", "source_size": "_source_size", "target": "_target", "rate": "_rate"}
-    )
+    """doc (all columns of a row of ``docs``), size, source_size, target and copies, the times that the mix emits the row."""
+    sized = docs.select(as_doc(docs), F.col("source").alias("from_source"), word_count(F.col("text")).alias("size"))
+    sums = sized.groupBy(F.col("from_source").alias("source")).agg(F.sum("size").alias("source_size"))
+    targets = written(source_targets(sums, weights, most), "mix-targets")
     if targets.count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
-    draw = hash_draw(F.col("doc_id"), seed)
-    floor = F.floor("_rate")
-    copies = floor + (draw < F.col("_rate") - floor).cast("long")
-    return sized.join(targets, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_copies", copies).drop("_source", "_rate")
+    floor = F.floor("rate")
+    copies = floor + (hash_draw(F.col("doc.doc_id"), seed) < F.col("rate") - floor).cast("long")
+    joined = sized.join(targets, F.col("from_source").eqNullSafe(F.col("source")))
+    return joined.select("doc", "size", "source_size", "target", copies.alias("copies"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0, seed: int = 7) -> DataFrame:
     """The rows of the mix, each document repeated as often as drawn, with the columns of ``docs``."""
-    plan = mix_plan(docs, weights, most, seed).where("_copies > 0")
-    return plan.withColumn("_copy", F.explode(F.expr("sequence(1L, _copies)"))).select(*docs.columns)
+    plan = mix_plan(docs, weights, most, seed).where("copies > 0")
+    return plan.select("doc", F.explode(F.expr("sequence(1L, copies)"))).select("doc.*")

@@ -6,8 +6,9 @@ two fingerprints differ don't span all r+1 dimensions, so some v is orthogonal t
 table the two agree. So every pair within the radius collides in some table.
 
 Defined results: a null text counts as empty and has fingerprint 0, linked like any other; a null
-``doc_id`` takes part, and is the id of a component only where it has no other; repeated rows give
-repeated rows; other columns of the input are not looked at; no rows give no rows."""
+``doc_id`` takes part, and is the id of a component only where it has no other; texts that share an id each
+have their own fingerprint and component; very long texts are read whole; repeated rows give repeated rows;
+other columns of the input, of any name, are not looked at; no rows give no rows."""
 
 from __future__ import annotations
 
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import slices, text_bytes, written
+from sparkloom.llm.common import as_doc, join_counted, slices, text_bytes, written
 from sparkloom.llm.components import connected_components
 
 #: Buckets with more fingerprints than this are compared in pairs of blocks of about this many.
@@ -102,15 +103,16 @@ def group_links(groups: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.nd
 
 
 def links(distinct: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame:
-    """a, b: links between distinct fingerprints ``fp`` that connect what all links connect.
+    """a, b: links between distinct fingerprints ``fp`` (of a written table) that connect what all links connect.
 
     A bucket of up to ``block`` fingerprints is one group. A larger one is dealt into blocks, and each
     pair of its blocks is a group, so that no group holds more than about two blocks whatever the
     bucket; every pair of a bucket meets in some group. A group gives at most a forest, not its pairs."""
+    total = distinct.count()
     tables = F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in covering_masks(radius)])
     keyed = distinct.select("fp", F.posexplode(tables).alias("t", "key"))
-    sizes = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = keyed.join(sizes, ["t", "key"]).select("fp", F.xxhash64("t", "key").alias("bucket"), F.ceil(F.col("n") / block).alias("blocks"))
+    sizes = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("rows", F.col("n"))
+    met = join_counted(keyed, sizes, ["t", "key"], "rows", total * len(covering_masks(radius))).select("fp", F.xxhash64("t", "key").alias("bucket"), F.ceil(F.col("n") / block).alias("blocks"))
     met = met.withColumn("own", F.pmod(F.xxhash64("fp", F.lit("block")), "blocks"))
     other = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     met = met.withColumn("other", F.explode(other))
@@ -136,39 +138,35 @@ def links(distinct: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def placed_rows(each: DataFrame, radius: int, block: int) -> DataFrame:
-    """fp, component (the key of the component), component_id of each distinct fingerprint of ``each``."""
-    # of equal fingerprints one stands for all
-    distinct = each.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = connected_components(links(distinct.select("fp"), radius, block))
-    placed = distinct.join(found, distinct["fp"] == found["node"], "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("component")
-    )
-    least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    return placed.join(least, "component").select("fp", "component", "component_id")
+def placed(of_fp: DataFrame, radius: int, block: int) -> DataFrame:
+    """``of_fp`` (a written table, a row a fingerprint ``fp``, with ``first``) with ``first`` of its component in its place."""
+    found = connected_components(links(of_fp.select("fp"), radius, block))
+    in_component = of_fp.join(found, of_fp["fp"] == found["node"], "left").withColumn("component", F.coalesce("component", "fp")).drop("node")
+    least = in_component.groupBy("component").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("fps"))
+    return join_counted(in_component.drop("first"), least, ["component"], "fps", of_fp.count()).withColumnRenamed("least", "first")
 
 
 def near_components(docs: DataFrame, radius: int = 4, width: int = 4, block: int = BLOCK) -> DataFrame:
     """doc_id, fingerprint, component_id of each row: the smallest doc_id reachable over links."""
     each = written(fingerprints(docs, width), "simhash")
-    of_fp = placed_rows(each, radius, block).select("fp", "component_id")
-    return each.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # of equal fingerprints one stands for all
+    of_fp = written(each.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
+    rows = join_counted(each, placed(of_fp, radius, block).drop("component"), ["fp"], "n", each.count())
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first").alias("component_id"))
 
 
 def keep_representatives(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
     """One row of ``docs`` for each component, with all columns: that with the smallest doc_id, a null last, and
-    then with the smallest SHA-256 of its text.
+    then with the smallest SHA-256 of its text; of rows with one id and text any.
 
     A component is known by its key, not by an id, so that components whose rows have no id, or one id,
     each keep a row. Texts are not moved to pick the rows; a component's rows combine before the shuffle."""
-    sha = F.sha2(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), 256)
-    each = written(fingerprints(docs.withColumn("doc_id", F.struct("doc_id", sha.alias("sha"))), width), "simhash")
-    each = each.select(F.col("doc_id.doc_id").alias("doc_id"), F.col("doc_id.sha").alias("sha"), "fp")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "sha"))
-    of_fp = each.groupBy("fp").agg(first.alias("first"))
-    of_component = of_fp.join(placed_rows(each, radius, BLOCK), "fp").groupBy("component").agg(F.min("first").alias("first"))
+    sha = F.sha2(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), 256).alias("sha")
+    each = written(fingerprints(docs.select(F.struct("doc_id", sha).alias("doc_id"), "text"), width), "simhash")
+    first = F.min(F.struct(F.col("doc_id.doc_id").isNull().alias("last"), "doc_id.doc_id", "doc_id.sha"))
+    of_fp = written(each.groupBy("fp").agg(first.alias("first"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
     # equal texts have one fingerprint, so id and hash belong to one component
-    stay = of_component.select(F.col("first.doc_id").alias("_stays"), F.col("first.sha").alias("_stays_sha"))
-    rows = docs.withColumn("_sha", sha)
-    rows = rows.join(stay, rows["doc_id"].eqNullSafe(stay["_stays"]) & (rows["_sha"] == stay["_stays_sha"]), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+    stay = placed(of_fp, radius, BLOCK).where("fp = component").select(F.col("first.doc_id").alias("stays"), F.col("first.sha").alias("stays_sha"))
+    rows = docs.select(as_doc(docs), F.col("doc_id").alias("id"), sha)
+    rows = rows.join(stay, rows["id"].eqNullSafe(stay["stays"]) & (rows["sha"] == stay["stays_sha"]), "left_semi")
+    return rows.dropDuplicates(["id", "sha"]).select("doc.*")
