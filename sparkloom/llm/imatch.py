@@ -7,11 +7,12 @@ fingerprints is the share of subsets with equal hashes among those that hold a t
 
 Defined results: a null text counts as empty; a text without a term in any subset is hashed by its
 terms in the band or else by all its terms, so empty texts are alike; a null ``doc_id`` sorts last, and
-rows with one id by a hash of their text; a lone document is its own next; repeated rows give repeated
-rows; other columns aren't looked at; no rows give no rows."""
+rows with one id by a hash of their text; a lone document is its own next; very long texts are read whole;
+repeated rows give repeated rows; other columns, of any name, aren't looked at; no rows give no rows."""
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,6 +26,8 @@ BAND = (0.001, 0.3)
 RATES, EACH = (64, 128, 256, 512), 16
 #: A lexicon has at most (mean number of distinct terms) / BAND[0] terms. Beyond this it isn't broadcast.
 BROADCAST_TERMS = 2_000_000
+#: Terms in more than this share of all documents, (mean number of distinct terms) / HEAVY_SHARE at most, are heavy keys.
+HEAVY_SHARE = 0.01
 #: What xxhash64 gives for an empty array.
 NONE = 42
 
@@ -35,11 +38,11 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
-    """term_hash of the terms within the band, from all of ``docs(text)``."""
+    """term_hash of the terms within the band, df (documents with it) and n (all), from all of ``docs(text)``."""
     found = docs.select(F.explode(terms(F.coalesce("text", F.lit("")))).alias("term"))
     n = docs.count()
     kept = found.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df").between(band[0] * n, band[1] * n))
-    return kept.select(F.xxhash64("term").alias("term_hash")).distinct()
+    return kept.groupBy(F.xxhash64("term").alias("term_hash")).agg(F.max("df").alias("df")).withColumn("n", F.lit(n))
 
 
 def slot(x: Column, s: int) -> Column:
@@ -86,22 +89,31 @@ def ranged(docs: DataFrame, parts: int) -> DataFrame:
     documents that follow its last one in descending order of id (for the last bucket, the first of all).
 
     So what follows a document is found within its bucket, and no task holds more than a few buckets.
-    Bounds come from a scan of ids; the largest id of each bucket, one number a bucket, goes by the driver."""
+    The largest id of each bucket comes from Spark's own range partitioning of the ids; these, one number a
+    bucket, go by the driver and into the plan as one constant, which is searched in two steps."""
     key = order_key()
-    at = [k / parts for k in range(1, parts)]
-    bounds = sorted(set(docs.select(F.percentile_approx(key, at, 100 * parts).alias("b")).first().b or [])) if at else []
-    step = max(1, math.isqrt(len(bounds)))
-    coarse, fine = F.lit(bounds[::step]).cast("array<long>"), F.lit(bounds).cast("array<long>")
+    dealt = docs.select(key.alias("k")).repartitionByRange(parts, "k").groupBy(F.spark_partition_id()).agg(F.max("k").alias("k"))
+    bounds = sorted(r.k for r in dealt.select("k").collect())
+    own = docs.withColumn("_ghost", F.lit(0))
+    if not bounds:
+        return own.withColumn("_bucket", F.lit(0))
+    step = math.isqrt(len(bounds))
+    coarse, fine = (F.from_json(F.lit(json.dumps(x)), "array<bigint>") for x in (bounds[::step], bounds))
     block = F.greatest(F.size(F.filter(coarse, lambda b: b < key)) - 1, F.lit(0)) * step
-    bucket = block + F.size(F.filter(F.slice(fine, block + 1, step), lambda b: b < key))
-    own = docs.withColumn("_bucket", bucket).withColumn("_ghost", F.lit(0))
-    heads = sorted((r[0], r[1]) for r in docs.select(bucket.alias("b"), key.alias("k")).groupBy("b").agg(F.max("k")).collect())
-    if not heads:
-        return own
-    follows = {heads[i - 1][1]: heads[i][0] for i in range(len(heads))}  # heads[-1], the largest, follows the lowest bucket
-    to = F.create_map(*[F.lit(x) for pair in follows.items() for x in pair])
-    ghosts = docs.where(key.isin(list(follows))).withColumn("_bucket", F.element_at(to, key)).withColumn("_ghost", F.lit(1))
-    return own.unionByName(ghosts)
+    own = own.withColumn("_bucket", block + F.size(F.filter(F.slice(fine, block + 1, step), lambda b: b < key)))
+    # the largest of a bucket follows the last of the bucket above; the largest of all that of the lowest
+    ghosts = own.where(F.element_at(fine, F.col("_bucket") + 1) == key)
+    return own.unionByName(ghosts.withColumns({"_ghost": F.lit(1), "_bucket": ((F.col("_bucket") + 1) % len(bounds)).cast("int")}))
+
+
+def with_terms(rows: DataFrame, known: DataFrame, terms_known: int) -> DataFrame:
+    """``rows`` with term_hash, that of the lexicon or null; many terms are joined by a shuffle, the most frequent of them broadcast."""
+    if terms_known <= BROADCAST_TERMS:
+        return rows.join(F.broadcast(known.select("term_hash")), F.col("_h") == F.col("term_hash"), "left")
+    heavy = F.broadcast(known.where(F.col("df") > HEAVY_SHARE * F.col("n")).select("term_hash"))
+    met = rows.join(heavy, F.col("_h") == F.col("term_hash"))
+    rest = rows.join(heavy, F.col("_h") == F.col("term_hash"), "left_anti").join(known.select("term_hash"), F.col("_h") == F.col("term_hash"), "left")
+    return met.unionByName(rest)
 
 
 def edit_fingerprints(docs: DataFrame) -> DataFrame:
@@ -110,8 +122,6 @@ def edit_fingerprints(docs: DataFrame) -> DataFrame:
     Whole texts move once, to their bucket; all else happens there, as later steps group by bucket first."""
     spark = docs.sparkSession
     known = written(lexicon(docs), "imatch-lexicon")
-    if known.count() <= BROADCAST_TERMS:
-        known = F.broadcast(known)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = Window.partitionBy("_bucket").orderBy("_ghost", order_key().desc(), F.xxhash64("text"), "text")
@@ -126,7 +136,7 @@ def edit_fingerprints(docs: DataFrame) -> DataFrame:
     each = paired.select("_bucket", "_row", "_ghost", "doc_id", "n_chars", F.unhex(F.sha2("_edited", 256)).alias("_sha"), F.explode(sides).alias("_of"))
     each = each.withColumn("_terms", terms(F.col("_of.t"))).withColumn("_whole", F.xxhash64(F.array_sort("_terms"), F.lit("all")))
     rows = each.select("_bucket", "_row", "_ghost", "doc_id", "n_chars", "_sha", "_of.side", "_whole", F.explode_outer("_terms").alias("_term"))
-    rows = rows.withColumn("_h", F.xxhash64("_term")).join(known, F.col("_h") == F.col("term_hash"), "left")
+    rows = with_terms(rows.withColumn("_h", F.xxhash64("_term")), known, known.count())
     per_side = [
         x for k in (0, 1) for x in (
             F.sort_array(F.collect_list(F.when(F.col("side") == k, F.col("term_hash")))).alias(f"_kept{k}"),

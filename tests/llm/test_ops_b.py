@@ -14,11 +14,15 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
+import regex
+import xxhash
 import zstandard
 from oracle import compare, connect
 from pyspark.sql import functions as F
 from test_ops_a import ODD, SCHEMA
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from sparkloom.llm import blockmax, fixity, imatch, queries, quality, secrets, toxicity
@@ -364,6 +368,84 @@ def test_imatch(spark, sf_dir):
     assert sum(r.near_edited for r in rows) > 5 * sum(r.near_next for r in rows)
 
 
+def spark_hash(*parts):
+    """Spark's xxhash64 of strings and whole numbers, one after another, as an unsigned number."""
+    h = 42
+    for x in parts:
+        h = xxhash.xxh64_intdigest(x.encode() if isinstance(x, str) else (x % (1 << 64)).to_bytes(8, "little"), h)
+    return h
+
+
+signed = lambda x: x - (1 << 64) if x >> 63 else x
+
+
+def brute_imatch(docs):
+    """doc_id: fingerprint, edited fingerprint, likeness to both; term by term and subset by subset."""
+    terms_of = lambda t: set(regex.findall(r"[\p{L}\p{N}]+", t.lower()))
+    df = Counter(x for _, t in docs for x in terms_of(t))
+    band = {x for x, n in df.items() if 0.001 * len(docs) <= n <= 0.3 * len(docs)}
+
+    def prints(text):
+        terms = terms_of(text)
+        kept = sorted(signed(spark_hash(x)) for x in terms & band)
+        out = [
+            spark_hash(*[h for h in kept if (h >> 14 * s) % rate == k]) for s, rate in enumerate((64, 128, 256, 512)) for k in range(16)
+        ]
+        if all(h == 42 for h in out):
+            out = [spark_hash(*kept) if kept else spark_hash(*sorted(terms, key=lambda x: x.encode()), "all")] * 64
+        return out
+
+    def like(a, b):
+        return sum(x == y != 42 for x, y in zip(a, b)) / sum(x != 42 or y != 42 for x, y in zip(a, b))
+
+    order = sorted(docs, key=lambda d: -d[0])
+    own = [prints(t) for _, t in order]
+    text = lambda p: "".join(f"{x % (1 << 32):08x}" for x in p)
+    out = {}
+    for k, (d, t) in enumerate(order):
+        after, half = order[(k + 1) % len(order)][1], len(t) // 2
+        edited = prints(t[: len(t) - half] + after[:half])
+        out[d] = text(own[k]), text(edited), like(own[k], edited), like(own[k], own[(k + 1) % len(order)])
+    return out
+
+
+def test_imatch_equals_brute_force(spark, sf_dir, monkeypatch):
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    want = brute_imatch(docs)
+    for most in (imatch.BROADCAST_TERMS, 10):
+        monkeypatch.setattr(imatch, "BROADCAST_TERMS", most)
+        rows = queries.op8_imatch_fingerprints(spark, sf_dir).collect()
+        assert {r.doc_id: (r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in rows} == want
+
+
+def test_quality_equals_brute_force(spark, sf_dir):
+    """Two dictionaries and a fit, from the rows one after another."""
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    ids = [d for d in labels if d in docs and zlib.crc32(str(d).encode()) % 4 != 2]
+    to_fit = [d for d in ids if signed(spark_hash(d)) % 4 == 0]
+    packed = []
+    for y in (1, 0):
+        pieces = [(d, k, docs[d][at : at + 1000]) for d in ids if labels[d] == y and d not in to_fit for k, at in enumerate(range(0, len(docs[d]), 1000))]
+        # the second number is an integer of 4 bytes, which Spark hashes by a step of its own, so only its order is asked for
+        order = {(r.d, r.k): r.h for r in spark.createDataFrame([p[:2] for p in pieces] or [(0, 0)], "d long, k int").selectExpr("d", "k", "xxhash64(d, k) h").collect()}
+        pieces.sort(key=lambda p: (order[p[:2]], *p[:2]))
+        raw = quality.dictionary([p[2].encode() for p in pieces])
+        packed.append(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(raw), write_content_size=False, write_checksum=False))
+    size = lambda c, t: len(c.compress(t.encode()))
+    x = {d: (size(packed[1], t) - size(packed[0], t)) / len(t.encode()) if t else 0.0 for d, t in docs.items()}
+    mean = sum(x[d] for d in to_fit) / len(to_fit)
+    scale = math.sqrt(sum((x[d] - mean) ** 2 for d in to_fit) / len(to_fit))
+    slope = intercept = 0.0
+    for _ in range(20_000):  # plain descent on the same loss
+        p = [1 / (1 + math.exp(-slope * (x[d] - mean) / scale - intercept)) - labels[d] for d in to_fit]
+        slope -= 0.05 * (sum(q * (x[d] - mean) / scale for q, d in zip(p, to_fit)) + 1e-3 * slope)
+        intercept -= 0.05 * (sum(p) + 1e-3 * intercept)
+    for r in queries.op9_quality(spark, sf_dir).collect():
+        assert math.isclose(r.score, 1 / (1 + math.exp(-slope * (x[r.doc_id] - mean) / scale - intercept)), abs_tol=1e-3)
+        assert r.predicted == (r.score >= 0.7) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
 def test_imatch_on_odd_rows(spark, odd, empty):
     rows = imatch.edit_fingerprints(odd.withColumnRenamed("_x", "_kept")).collect()
     assert len(rows) == len(ODD) and all(r.near_next is not None and r.near_edited is not None for r in rows)
@@ -374,18 +456,57 @@ def test_imatch_on_odd_rows(spark, odd, empty):
 
 
 def test_pipeline(spark, sf_dir):
+    """Each stage against plain code on its own input."""
+    from test_ops_a import brute_components, brute_simhash, brute_targets
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = [(r.doc_id, r.toxic) for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()]
     assert [k for k, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "mixing", "bpe"]
-    now = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
+    now, known = docs, brute_toxicity([(r.doc_id, r.text or "") for r in docs.collect()], labels)
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for name, stage in corpus_pipeline.STAGES:
+        rows = now.collect()
         out = stage(spark, now, sf_dir)
-        assert out.columns == docs.columns, name
         if name == "toxicity":
-            bad = queries.op6_toxicity(spark, sf_dir).where("predicted = 1").select("doc_id")
-            assert out.count() == docs.count() - bad.count() and out.join(bad, "doc_id").count() == 0
-        if name == "exact_dedup":
-            assert out.count() == len({re.sub(r"[ \t-\r]+", " ", r.text) for r in now.collect()})
-        now = spark.createDataFrame(out.collect(), docs.schema)
-    ids = corpus_pipeline.STAGES[-1][1](spark, now, sf_dir)
-    assert sorted(r.doc_id for r in ids.collect()) == sorted(r.doc_id for r in now.collect())
-    assert corpus_pipeline.run(spark, sf_dir).count() == now.count()
+            want = [r for r in rows if known[r.doc_id][0] < 0.5]
+        elif name == "exact_dedup":
+            first = {}
+            for r in rows:
+                key = re.sub(r"[ \t-\r]+", " ", r.text or "")
+                first[key] = min(first.get(key, r), r, key=lambda r: r.doc_id)
+            want = list(first.values())
+        elif name == "near_dedup":
+            comp = brute_components([brute_simhash(r.text) for r in rows], [r.doc_id for r in rows])
+            want = [r for r in rows if comp[r.doc_id] == r.doc_id]
+        elif name == "mixing":
+            words = {r.doc_id: len(re.findall(r"[^ \t-\r]+", r.text or "")) for r in rows}
+            sizes = {s: sum(words[r.doc_id] for r in rows if r.source == s) for s in {r.source for r in rows}}
+            rate = {s: t / sizes[s] if sizes[s] else 0 for s, t in brute_targets(sizes).items()}
+            draw = lambda d: int(hashlib.md5(f"7:{d}".encode()).hexdigest()[:8], 16) / 2**32
+            want = [r for r in rows for _ in range(int(rate[r.source]) + (draw(r.doc_id) < rate[r.source] % 1))]
+        else:
+            ids = lambda t: np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()
+            assert sorted((r.doc_id, bytes(r.ids)) for r in out.collect()) == sorted((r.doc_id, ids(r.text)) for r in rows)
+            break
+        assert out.columns == docs.columns, name
+        assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want)), name
+        now = spark.createDataFrame(want, docs.schema)
+    assert sorted((r.doc_id, bytes(r.ids)) for r in corpus_pipeline.run(spark, sf_dir).collect()) == sorted((r.doc_id, ids(r.text)) for r in rows)
+
+
+def test_pipeline_on_odd_rows(spark, odd, empty, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows and no rows pass every stage."""
+    odd.select(*empty.columns).union(spark.createDataFrame([(None, "no id", None, None, None), (7, "another of id 7", "en", "b", 1)], SCHEMA)).write.parquet(f"{tmp_path}/odd/documents.parquet")
+    empty.write.parquet(f"{tmp_path}/none/documents.parquet")
+    for name in ("odd", "none"):
+        spark.createDataFrame([(1, 0), (3, 0), (4, 0), (None, 1), (5, None)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/odd").count() > 0 and corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_secret_query_equals_plain_patterns(spark, sf_dir):
+    for r in queries.op5_secret_scan(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id").collect():
+        base = plain_scan(r.text)
+        text = ",".join(f"{k}:{a}:{z}" for k, a, z in sorted(base, key=lambda s: (s[1], ("assign", "access", "hex").index(s[0]))))
+        assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == x for k, _, _ in base) for x in ("assign", "access", "hex"))
+        assert set(filter(None, text.split(","))) <= set(r.spans.split(","))
