@@ -1,4 +1,9 @@
-"""From raw documents to token ids."""
+"""From raw documents to token ids.
+
+Defined results: null and empty texts are equal to each other, so one of them stays; null ids and ids shared by
+unlike texts keep a row for each text; very long texts are handled whole; ties go to the smaller id and then to
+the hash of the text; repeated rows are exact copies; extra columns, of any name, pass every stage but the last;
+no rows give no rows."""
 
 from __future__ import annotations
 
