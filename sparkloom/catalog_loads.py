@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.catalog import FRESH, NOW, SQL_WORDS, query, run_log, t
 from sparkloom.catalog_more import KEY, hmac_sql
+from sparkloom.catalog_text import pool_sql
 from sparkloom.functions import text as tx
 from sparkloom.operators import diff, pii
 from sparkloom.operators import profile as pf
@@ -73,10 +74,10 @@ def s12_vector_text(spark, sf_dir):
     return files.load_vectors(spark, path, text=True).select("word", F.posexplode("vec").alias("i", "x")).select("word", F.col("i").cast("long").alias("i"), F.col("x").cast("double").alias("x"))
 
 
-@query(f"SELECT term AS word, count(*) AS cn FROM ({SQL_WORDS.format('text', 'documents')}) GROUP BY 1 HAVING count(*) >= 5")
+@query(f"SELECT term AS word, count(*) AS cn FROM ({SQL_WORDS}) GROUP BY 1 HAVING count(*) >= 5")
 def s13_vocab_file(spark, sf_dir):
     path = fresh_path(spark, "vocab")
-    counts = tx.term_counts(t(spark, sf_dir, "documents"), "text", strip=False).where("count >= 5")
+    counts = tx.term_counts(t(spark, sf_dir, "documents"), "text").where("count >= 5")
     files.save_vocab(counts.select(F.col("term").alias("word"), F.col("count").alias("cn")), path)
     return files.load_vocab(spark, path)
 
@@ -149,11 +150,6 @@ def l16_security_extract(spark, sf_dir):
 # --- pseudonyms and types ---------------------------------------------------------------------------------------
 
 
-def pool_sql(pool: tuple[str, ...], digest: str) -> str:
-    """Pools of 8 or 16 names: the last hex digit decides."""
-    return f"list_extract({list(pool)}, ('0x' || right({digest}, 1))::INT % {len(pool)} + 1)"
-
-
 @query(f"""WITH c AS (SELECT *, '+1 555 0' || lpad(c_custkey::VARCHAR, 6, '0') AS phone FROM customer),
     d AS (SELECT *, {hmac_sql('c_custkey::VARCHAR')} AS dk, {hmac_sql('c_name')} AS dn, {hmac_sql('c_mktsegment')} AS dm, {hmac_sql('c_nationkey::VARCHAR')} AS dz, {hmac_sql('phone')} AS dp FROM c)
     SELECT c_custkey, left(dk, 18) AS customer_id, {pool_sql(pii.FIRST, 'dn')} AS first_name, {pool_sql(pii.LAST, 'dn')} AS last_name, {pool_sql(pii.CITIES, 'dm')} AS city,

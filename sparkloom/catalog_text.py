@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import ast
 import uuid
 
 from pyspark.sql import functions as F
 
 from sparkloom.catalog import query, t
-from sparkloom.catalog_more import KEY, SPANS, TOKENS, hmac_sql
+from sparkloom.catalog_more import KEY, SPANS, hmac_sql
 from sparkloom.functions import text as tx
 from sparkloom.operators import aggregate as ag
-from sparkloom.operators import diff, embed, pii, trees, vectors
+from sparkloom.operators import diff, embed, pii, rows, trees, vectors
 from sparkloom.operators import profile as pf
 from sparkloom.plans import ingest as ing
 from sparkloom.sources import files
@@ -19,16 +20,26 @@ from sparkloom.streaming import status
 # --- text -------------------------------------------------------------------------------------------------------
 
 
-@query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '\[\[([^\[\]]*)\]\]', '\1', 'g'), '\[https?:[^ \]]* ([^\]]*)\]', '\1', 'g'), '<[^>]*>', '', 'g')) AS clean
-    FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(?s)<ref[^<]*</ref>', '', 'g'), '(?s)\{\{[^{}]*\}\}', '', 'g'), '\[\[[^\[\]|]*\|([^\[\]]*)\]\]', '\1', 'g') AS text FROM documents)""")
+def chain_sql(text: str, rules) -> str:
+    """The same ordered rules for DuckDB; the fixed patterns are those of both engines."""
+    for pattern, to in rules:
+        text = f"regexp_replace({text}, '{pattern.replace(chr(39), chr(39) * 2)}', '{to.replace(chr(39), chr(39) * 2).replace('$1', chr(92) + '1')}', 'g')"
+    return text
+
+
+@query(f"SELECT page_id, {chain_sql('html', tx.WIKI)} AS clean FROM pages")
 def f6_strip_wiki(spark, sf_dir):
-    return t(spark, sf_dir, "documents").select("doc_id", F.md5(tx.strip_wiki(F.col("text"))).alias("clean"))
+    return t(spark, sf_dir, "pages").select("page_id", tx.strip_wiki(F.col("html")).alias("clean"))
+
 
+#: Turns of conversations as entries of a feed of tickets.
+FEED = """CASE turn % 6 WHEN 0 THEN '<b>Changed Status from Open to Closed.</b> ' || text WHEN 1 THEN 'Assigned this to ' || role || ' today. ' || text WHEN 2 THEN 'Merged 3 tickets (x): ' || text || ' [Merged from T-' || turn || ']'
+    WHEN 3 THEN 'Took primary responsibility from ' || role || '.' || text || '\\r\\n &lt;ok&gt; &quot;it&#39;s&quot; &amp;amp;' WHEN 4 THEN 'Reassigned it from A to B. Added a note.' || text ELSE text END"""
 
-@query(r"""SELECT conv_id, turn, md5(trim(regexp_replace(regexp_replace(text, '[.!?]+', '.', 'g'), '[ \t\r\n]+', ' ', 'g'), ' ')) AS clean FROM conversations""")
-def f8_ordered_rules(spark, sf_dir):
-    rules = [(r"[.!?]+", "."), (r"[ \t\r\n]+", " "), ("^ +| +$", "")]
-    return t(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(tx.apply_rules(F.col("text"), rules)).alias("clean"))
+
+@query(f"SELECT conv_id, turn, {chain_sql(FEED, tx.TICKET)} AS clean FROM conversations")
+def f8_ticket_rules(spark, sf_dir):
+    return t(spark, sf_dir, "conversations").select("conv_id", "turn", tx.clean_ticket(F.expr(FEED.replace("\\", "\\\\"))).alias("clean"))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_brand = 'Brand#1' AND p_size < 25 THEN replace(replace(p_name, 'red', 'rot'), 'bolt', 'Bolzen')
@@ -45,12 +56,27 @@ def f10_category(spark, sf_dir):
     return tx.category(t(spark, sf_dir, "customer"), "c_nationkey", lookup).select("c_custkey", "category")
 
 
-@query("""WITH e AS (SELECT page_id, url, lower(regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1)) AS e FROM pages)
-    SELECT page_id, CASE WHEN regexp_matches(lower(url), 'news|blog') THEN 'Reading' WHEN e IN ('csv','json','xml','xlsx','parquet','sql') THEN 'Data'
-    WHEN e IN ('pdf','docx','doc','txt','md','epub') THEN 'Documents' WHEN e IN ('jpg','jpeg','png','gif','bmp','svg','webp') THEN 'Images' WHEN e IN ('mp3','wav','flac','m4a') THEN 'Audio'
-    WHEN e IN ('mp4','mkv','avi','mov') THEN 'Video' WHEN e IN ('zip','tar','gz','7z','rar') THEN 'Archives' ELSE 'Other' END AS kind FROM e""".replace("\\\\", "\\"))
-def f11_file_kind(spark, sf_dir):
-    return t(spark, sf_dir, "pages").select("page_id", tx.file_kind(F.col("url"), {"Reading": ("news", "blog")}).alias("kind"))
+#: Names of files made of the names of parts.
+WORDS = "['paper', 'invoice', 'tuition', 'oauth', 'neural', 'jks', 'notes', 'revenue', 'course']"
+ENDINGS = "['.pdf', '.MD', '.csv', '.png', '.mkv', '.ogg', '.iso', '.tgz', '.bak', '.log', '.sql', '.docx', '', '.json', '.txt', '.epub']"
+FILE = f"p_name || ' ' || list_extract({WORDS}, (p_size % 9 + 1)::INT) || list_extract({ENDINGS}, (p_partkey % 16 + 1)::INT)"
+
+
+def any_of(words, x: str = "f") -> str:
+    return "(" + " OR ".join(f"contains({x}, '{w}')" for w in words) + ")"
+
+
+def one_of(endings: str) -> str:
+    return "e IN (" + ", ".join(f"'{x}'" for x in endings.split()) + ")"
+
+
+@query(f"""WITH n AS (SELECT p_partkey, lower({FILE}) AS f FROM part), x AS (SELECT *, CASE WHEN contains(f, '.') THEN regexp_extract(f, '\\.([^.]+)$', 1) ELSE '' END AS e FROM n)
+    SELECT p_partkey, CASE {' '.join(f"WHEN {one_of(v)} THEN '{k}'" for k, v in tx.BUCKETS.items())} WHEN {one_of(tx.BOOKS)} AND NOT {any_of(tx.WORK)} THEN 'Reading' WHEN {one_of(tx.NOTES)} AND {any_of(tx.READING)} THEN 'Reading'
+    WHEN {any_of(tx.WORK)} OR {one_of(tx.SQL_OR_NOTEBOOK)} THEN 'Work' ELSE CASE WHEN {one_of(tx.DATA)} THEN 'Data/' ELSE 'Work/' END || CASE {' '.join(f"WHEN {any_of(v)} THEN '{k}'" for k, v in tx.DOMAINS.items())} END END AS place FROM x""")
+def f11_file_place(spark, sf_dir):
+    pick = lambda values, k: F.element_at(F.array(*map(F.lit, ast.literal_eval(values))), (k + 1).cast("int"))
+    path = F.concat(F.lit("/in.box/"), "p_name", F.lit(" "), pick(WORDS, F.col("p_size") % 9), pick(ENDINGS, F.col("p_partkey") % 16))
+    return t(spark, sf_dir, "part").select("p_partkey", tx.file_place(path).alias("place"))
 
 
 @query(r"""SELECT p_partkey, regexp_extract(replace(p_name, ' ', '_'), '^([^_]+)', 1) AS snake, regexp_extract(replace(p_name, ' ', '.'), '^([^.]+)', 1) AS dotted,
@@ -74,9 +100,16 @@ def f13_strip_sql_comments(spark, sf_dir):
     return code(spark, sf_dir).select("p_partkey", tx.strip_sql_comments(F.col("body")).alias("body"))
 
 
-@query("SELECT p_partkey, p_size % 3 > 0 AS is_sql FROM part")
+#: Cells of notebooks, and whether they are SQL.
+CELLS = (
+    ("a note on parts", False), ("-- note\n{body}", True), ("x = 1\n go \n", True), ("\n %%tsql --conn\nfoo", True), ("#!connect mssql x", True), ("from a import b", False), ("/* c\n */ -- d\n;WITH x", True),
+    ("df.select(1).from_(2)", False), ("the select and\nthe FROM", True), ("/* only */", False), ("%sqlite", False), ("Execute x", True), ("selects", False),
+)
+
+
+@query("SELECT p_partkey, list_extract([" + ", ".join(str(x) for _, x in CELLS) + f"], (p_size % {len(CELLS)} + 1)::INT) AS is_sql FROM part")
 def f20_looks_like_sql(spark, sf_dir):
-    source = F.when(F.col("p_size") % 3 == 0, F.lit("a note on parts")).when(F.col("p_size") % 3 == 1, F.concat(F.lit("-- note\n"), "body")).otherwise(F.lit("x = 1\n go \n"))
+    source = F.element_at(F.array(*[F.replace(F.lit(x), F.lit("{body}"), F.col("body")) for x, _ in CELLS]), F.col("p_size") % len(CELLS) + 1)
     return code(spark, sf_dir).select("p_partkey", tx.looks_like_sql(source).alias("is_sql"))
 
 
@@ -129,10 +162,34 @@ def f26_url_base64(spark, sf_dir):
     return t(spark, sf_dir, "part").select("p_partkey", packed.alias("packed"), F.decode(tx.unurl_base64(packed), "utf-8").alias("back"))
 
 
-@query("""SELECT event_id, last_value(CASE WHEN event_id % 7 = 0 THEN year(ts) + event_id % 5 END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS year FROM events""")
-def f27_carry_year(spark, sf_dir):
-    e = t(spark, sf_dir, "events").withColumn("year", F.when(F.col("event_id") % 7 == 0, F.year("ts") + F.col("event_id") % 5))
-    return tx.carry_year(e, "year", "event_id", ["user_id"]).select("event_id", "year")
+@query("""WITH y AS (SELECT *, last_value(CASE WHEN event_id % 7 = 0 THEN 2001 + event_id % 100 END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS year FROM events), e AS (SELECT *, unnest(CASE WHEN event_id % 2 = 0 THEN ['new', 'full'] ELSE ['first', 'last'] END) AS phase FROM y)
+    SELECT event_id, year::INT AS year, phase, month(ts)::INT AS month, day(ts)::INT AS day, strftime(ts, '%H:%M') AS time, CASE WHEN phase IN ('new', 'first') AND event_id % 3 = 0 THEN 'T' ELSE '' END AS code FROM e WHERE year IS NOT NULL""")
+def f27_phase_events(spark, sf_dir):
+    """Lines of a table of moon phases, each with two phases, some with the year that holds until the next."""
+    event = F.date_format("ts", "MMM d HH:mm")
+    first = F.rpad(F.concat(event, F.when(F.col("event_id") % 3 == 0, " T").otherwise("")), 18, " ")
+    head = F.rpad(F.when(F.col("event_id") % 7 == 0, F.concat(F.lit(" "), (F.col("event_id") % 100 + 2001).cast("string"))).otherwise(""), 6, " ")
+    line = F.concat(head, F.when(F.col("event_id") % 2 == 0, F.concat(first, F.lit(" " * 18))).otherwise(F.concat(F.lit(" " * 18), first, F.lit(" " * 16))), event)
+    e = t(spark, sf_dir, "events").select("user_id", "event_id", line.alias("line"))
+    return tx.phase_events(e, "line", "event_id", ["user_id"]).drop("user_id")
+
+
+@query("""SELECT event_id, (2001 + event_id % 99)::INT AS year, month(ts)::INT AS month, day(ts)::INT AS day, CASE event_id % 5 WHEN 0 THEN 'T' WHEN 1 THEN 'A' WHEN 2 THEN 'P' ELSE 'A' END AS code FROM events WHERE event_id % 5 < 4""")
+def f27_eclipse_days(spark, sf_dir):
+    kind = F.element_at(F.array(*map(F.lit, ("T", "Am", "Pb", "H3", "N"))), (F.col("event_id") % 5 + 1).cast("int"))
+    row = F.concat(F.lit("no. 12 "), (F.col("event_id") % 99 + 2001).cast("string"), F.date_format("ts", " MMM dd HH:mm:ss"), F.lit(" 64  12  127 "), kind, F.lit(" -n 0.5"))
+    return tx.eclipse_days(t(spark, sf_dir, "events").select("event_id", row.alias("text")), ["event_id"], "text")
+
+
+@query("""WITH e AS (SELECT *, last_value(CASE WHEN event_id % 7 = 0 THEN 2001 + event_id % 100 END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS year, 350000 + event_id * 37 % 60000 AS a, 356000 + event_id * 91 % 50000 AS b FROM events),
+    d AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN [a] ELSE [b, a] END AS ds FROM e) SELECT event_id, year::INT AS year, list_extract(list_filter(ds, lambda x: x < 390000), 1)::INT AS perigee, list_extract(list_filter(ds, lambda x: x >= 390000), 1)::INT AS apogee FROM d WHERE year IS NOT NULL""")
+def f27_distance_rows(spark, sf_dir):
+    i = F.col("event_id")
+    day = F.date_format("ts", "MMM d HH:mm ")
+    one, two = F.concat(day, (i * 37 % 60_000 + 350_000).cast("string")), F.concat(day, (i * 91 % 50_000 + 356_000).cast("string"))
+    line = F.concat(F.when(i % 7 == 0, F.concat((i % 100 + 2001).cast("string"), F.lit("  "))).otherwise("   "), one, F.when(i % 4 == 0, " M 12.5").otherwise(""), F.when(i % 3 == 0, "").otherwise(F.concat(F.lit("  "), two)))
+    rows = tx.distance_rows(t(spark, sf_dir, "events").select("user_id", "event_id", line.alias("line")), "line", "event_id", ["user_id"])
+    return rows.select("event_id", "year", F.col("perigee.distance").alias("perigee"), F.col("apogee.distance").alias("apogee"))
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'Z' WHEN left(c_mktsegment, 1) = 'H' THEN 'A' ELSE left(c_mktsegment, 1) END AS code FROM customer")
@@ -142,7 +199,8 @@ def f28_override_code(spark, sf_dir):
     return tx.override_code(c, "c_custkey", "c_mktsegment", listed).select("c_custkey", F.col("c_mktsegment").alias("code"))
 
 
-@query()
+@query("""WITH p AS (SELECT p_partkey, unnest(['slow', 'fast', 'bright', 'dark']) AS v FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY md5('1:' || p_partkey || ':' || v), v) AS k FROM p)
+    SELECT p_partkey, string_agg(v, ', ' ORDER BY k) AS items FROM r WHERE k <= ('0x' || substr(md5('1:' || p_partkey), 1, 8))::BIGINT % 3 + 1 GROUP BY 1""")
 def f30_drawn_items(spark, sf_dir):
     return t(spark, sf_dir, "part").select("p_partkey", tx.drawn_items(F.col("p_partkey"), ["slow", "fast", "bright", "dark"]).alias("items"))
 
@@ -241,12 +299,16 @@ def g10_collapse_tree(spark, sf_dir):
 # --- personal data ----------------------------------------------------------------------------------------------
 
 
-@query("SELECT 'mail' AS \"column\" UNION ALL SELECT 'phone'")
+@query(r"""WITH c AS (SELECT c_custkey, c_name, c_mktsegment, CASE WHEN c_custkey % 3 < 2 THEN c_name || '@example.org' ELSE 'none' END AS mail, '+1 555 ' || lpad((c_custkey % 10000000)::VARCHAR, 7, '0') AS phone,
+    CASE WHEN c_custkey % 3 < 1 THEN '123-45-6789' ELSE '2024-01-02' END AS mixed FROM customer), l AS (UNPIVOT c ON c_name, c_mktsegment, mail, phone, mixed INTO NAME "column" VALUE v),
+    f AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY c_custkey) AS n FROM l)
+    SELECT "column" FROM f WHERE n <= 20 GROUP BY 1 HAVING avg((regexp_matches(v, '^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$') OR regexp_matches(v, '^\d{3}-\d{2}-\d{4}$')
+        OR (regexp_matches(v, '^\+?\d[\d ().-]{6,}\d$') AND NOT regexp_matches(v, '^\d{4}[-/]\d{2}[-/]\d{2}$')))::INT) > 0.5""")
 def i1_detect_pii(spark, sf_dir):
-    c = t(spark, sf_dir, "customer")
-    mail, phone = F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit("@example.org")), F.concat(F.lit("+1 555 "), F.lpad((F.col("c_custkey") % 10_000_000).cast("string"), 7, "0"))
-    found = pii.detect_pii(c.withColumns({"mail": mail, "phone": phone}), "c_custkey")
-    return spark.createDataFrame([(x,) for x in found], "column string")
+    i = F.col("c_custkey")
+    mail, phone = F.when(i % 3 < 2, F.concat("c_name", F.lit("@example.org"))).otherwise("none"), F.concat(F.lit("+1 555 "), F.lpad((i % 10_000_000).cast("string"), 7, "0"))
+    c = t(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", mail.alias("mail"), phone.alias("phone"), F.when(i % 3 < 1, "123-45-6789").otherwise("2024-01-02").alias("mixed"))
+    return spark.createDataFrame([(x,) for x in pii.detect_pii(c, "c_custkey")], "column string")
 
 
 @query(f"""WITH d AS (SELECT c_custkey, {hmac_sql('c_name')} AS h, {hmac_sql('c_custkey::VARCHAR')} AS k FROM customer)
@@ -256,32 +318,57 @@ def i3_i6_tokens(spark, sf_dir):
     return t(spark, sf_dir, "customer").select("c_custkey", pii.token(F.col("c_custkey").cast("string"), "customer_id", KEY).alias("id_token"), pii.modulo(F.left(digest, F.lit(15)), 97).alias("part"))
 
 
-@query("SELECT count(*)::BIGINT AS mails, 0::BIGINT AS malformed FROM (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer)")
+def pool_sql(pool: tuple[str, ...], digest: str) -> str:
+    """Pools of 256 or 64 names: the last two hex digits decide."""
+    return f"list_extract({list(pool)}, ('0x' || right({digest}, 2))::INT % {len(pool)} + 1)"
+
+
+@query(f"""WITH c AS (SELECT *, c_mktsegment || '.' || c_nationkey || '@example.com' AS mail FROM customer), f AS (SELECT mail, min(c_custkey) AS c_custkey FROM c GROUP BY 1),
+    d AS (SELECT f.mail, {hmac_sql('c_name')} AS dn, {hmac_sql('c_mktsegment')} AS dm, {hmac_sql('f.mail')} AS d FROM f JOIN c USING (c_custkey)), x AS (SELECT mail, d, lower({pool_sql(pii.FIRST, 'dn')} || '.' || {pool_sql(pii.LAST, 'dm')})
+    || left(translate(d || sha256(d), 'abcdef', '012345'), 4) AS part FROM d) SELECT mail AS original, part || CASE WHEN count(*) OVER (PARTITION BY part) > 1 THEN '.' || left(d, 24) ELSE '' END || '@example.org' AS token FROM x""")
 def i7_row_mail(spark, sf_dir):
-    """Pseudonymised addresses: as many as there were, and how many don't look like one."""
     c = t(spark, sf_dir, "customer").withColumn("mail", F.concat(F.col("c_mktsegment"), F.lit("."), F.col("c_nationkey").cast("string"), F.lit("@example.com")))
-    made = pii.row_mail_mapping(c, "mail", "c_name", "c_mktsegment", "c_custkey", KEY)
-    return made.agg(F.count(F.lit(1)).alias("mails"), F.count(F.when(~F.col("token").rlike(pii.EMAIL), 1)).alias("malformed"))
+    return pii.row_mail_mapping(c, "mail", "c_name", "c_mktsegment", "c_custkey", KEY).select("original", "token")
 
 
-@query("SELECT c_custkey, c_name FROM customer")
+@query("SELECT c_custkey, c_name AS restored, true AS hidden, (SELECT count(DISTINCT c_name) FROM customer) AS tokens FROM customer")
 def i8_random_mode(spark, sf_dir):
-    """Random tokens put in and taken out again."""
+    """Random tokens put in and taken out again; in between each name is another, and there are as many tokens as names."""
     c = t(spark, sf_dir, "customer").select("c_custkey", "c_name")
     mapping = pii.random_mapping(c, ["c_name"])
-    return pii.restore(pii.apply_mapping(c, mapping, ["c_name"], "original", "token"), mapping, ["c_name"])
+    hidden = pii.apply_mapping(c, mapping, ["c_name"], "original", "token")
+    back = pii.restore(hidden, mapping, ["c_name"]).select("c_custkey", F.col("c_name").alias("restored"))
+    both = back.join(hidden.select("c_custkey", F.col("c_name").alias("token")), "c_custkey")
+    tokens = hidden.agg(F.count_distinct("c_name").alias("tokens"))
+    return both.select("c_custkey", "restored", (F.col("token") != F.col("restored")).alias("hidden")).join(F.broadcast(tokens), F.lit(True))
 
 
 # --- profiles, loads, files -------------------------------------------------------------------------------------
 
 
-@query("SELECT unnest(['o_orderkey', 'o_orderstatus', 'o_orderdate']) AS \"column\", unnest(['key', 'text', 'time']) AS kind")
+def int_sql(c: str) -> str:
+    return f"CASE WHEN min({c}) >= 0 AND max({c}) <= 255 THEN 'TINYINT' WHEN max({c}) < 32768 THEN 'SMALLINT' WHEN max({c}) < 2147483648 THEN 'INT' ELSE 'BIGINT' END"
+
+
+def typed_sql(table: str, kinds: dict[str, str]) -> str:
+    """column, type, and the score of a key: 20 for whole numbers, 60 for a name that ends in id, 10 for being unique."""
+    one = """SELECT '{c}' AS "column", {k} AS type, CASE WHEN count(DISTINCT {c}) = count(*) AND {k} NOT LIKE 'DECIMAL%' THEN 10 + CASE WHEN {k} LIKE '%INT' THEN 20 ELSE 0 END + CASE WHEN '{c}' LIKE '%id' THEN 60 ELSE 0 END END AS score FROM {t}"""
+    return " UNION ALL ".join(one.format(c=c, k=k, t=table) for c, k in kinds.items())
+
+
+TEXT = "'NVARCHAR(' || max(length({0})) || ')'"
+MONEY = "'DECIMAL(' || (max(length(ltrim(split_part({0}::DECIMAL(38,4)::VARCHAR, '.', 1), '-0'))) + max(length(rtrim(split_part({0}::DECIMAL(38,4)::VARCHAR, '.', 2), '0')))) || ',' || max(length(rtrim(split_part({0}::DECIMAL(38,4)::VARCHAR, '.', 2), '0'))) || ')'"
+
+
+@query(typed_sql("orders", {"o_orderkey": int_sql("o_orderkey"), "o_custkey": int_sql("o_custkey"), "o_orderstatus": TEXT.format("o_orderstatus"), "o_totalprice": MONEY.format("o_totalprice"), "o_orderdate": "'DATETIME2(3)'", "o_orderpriority": TEXT.format("o_orderpriority")})
+       + " UNION ALL " + typed_sql("events", {"event_id": int_sql("event_id"), "user_id": int_sql("user_id"), "event_type": TEXT.format("event_type")}))
 def t1_t3_types_and_keys(spark, sf_dir):
-    o = t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate")
-    types = pf.infer_types(o)
-    keys = {c for c, _ in pf.key_candidates(pf.profile(o.select("o_orderkey")), types)}
-    kind = lambda c: "key" if c in keys else "time" if types[c].startswith("DATETIME") else "text"
-    return spark.createDataFrame([(c, kind(c)) for c in o.columns], "column string, kind string")
+    out = []
+    for df in (t(spark, sf_dir, "orders"), t(spark, sf_dir, "events").select("event_id", "user_id", "event_type")):
+        types = pf.infer_types(df)
+        scores = dict(pf.key_candidates(pf.profile(df), types))
+        out += [(c, types[c], scores.get(c)) for c in df.columns]
+    return spark.createDataFrame(out, "column string, type string, score int")
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT o_orderkey, o_custkey + 1 FROM orders WHERE o_orderkey % 3 = 0")
@@ -302,13 +389,42 @@ def l14_backup(spark, sf_dir):
     return spark.read.parquet(path).drop("o_orderstatus")
 
 
-@query("SELECT conv_id::VARCHAR AS conv_id, turn::VARCHAR AS turn, role, text FROM conversations WHERE text <> ''")
+@query("SELECT doc_id::VARCHAR AS doc_id, text, lang, source FROM documents")
 def s1_s6_csv_round_trip(spark, sf_dir):
+    """Texts with quotes, separators, line ends, and empty ones."""
     path = f"{files.shared_folder(spark)}/csv-{uuid.uuid4().hex}.csv"
-    files.write_any(t(spark, sf_dir, "conversations").where("text <> ''"), path)
+    files.write_any(t(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), path)
     return files.read_csv(spark, path, encoding="utf-8")
 
 
+@query("SELECT source, md5(string_agg(text, chr(10) || chr(10) ORDER BY doc_id)) AS corpus FROM documents GROUP BY 1")
+def s11_corpus(spark, sf_dir):
+    """Texts written a file each, read again as one corpus a source."""
+    path = f"{files.shared_folder(spark)}/texts-{uuid.uuid4().hex}"
+    d = t(spark, sf_dir, "documents").select("source", F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("doc"), F.col("text").alias("value"))
+    d.write.partitionBy("source", "doc").option("lineSep", "\x00").text(path)
+    read = files.read_corpus(spark, [path])
+    named = read.select(F.regexp_extract("path", "source=([^/]+)/", 1).alias("source"), F.regexp_extract("path", "doc=([^/]+)/", 1).alias("doc"), F.rtrim(F.col("text"), F.lit("\x00")).alias("text"))
+    return ag.list_agg(named, ["source"], F.col("text"), F.col("doc"), "\n\n", "corpus").select("source", F.md5("corpus").alias("corpus"))
+
+
+@query("SELECT o_custkey AS batch, o_orderkey AS record_id, 'record ' || o_orderkey AS name FROM orders")
+def s16_synthetic(spark, sf_dir):
+    """As many records as there are orders, those with a number of an order."""
+    o = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("batch"), F.col("o_orderkey").alias("record_id"))
+    made = files.synthetic(spark, 1 + (o.agg(F.max("record_id")).first()[0] or 0))
+    return made.join(o, "record_id").select("batch", "record_id", "name")
+
+
+@query("""WITH n AS (SELECT p_partkey, ['id', p_brand, CASE WHEN p_size % 4 = 0 THEN '' WHEN p_size % 4 = 1 THEN 'Unnamed: 2' WHEN p_size % 4 = 2 THEN 'ID' ELSE p_type END] AS h FROM part)
+    SELECT p_partkey, CASE WHEN h[3] = '' OR starts_with(h[3], 'Unnamed') THEN 'column 3 has no name' WHEN lower(h[3]) = 'id' THEN 'ID is there twice' ELSE '' END AS problems FROM n""")
+def q3_header_problems(spark, sf_dir):
+    k = F.col("p_size") % 4
+    last = F.when(k == 0, "").when(k == 1, "Unnamed: 2").when(k == 2, "ID").otherwise(F.col("p_type"))
+    p = t(spark, sf_dir, "part").select("p_partkey", F.array(F.lit("id"), "p_brand", last).alias("names"))
+    return p.select("p_partkey", F.array_join(rows.header_problem_list(F.col("names")), "; ").alias("problems"))
+
+
 @query("SELECT event_id, event_type, user_id AS \"who.user\", value AS \"who.value\" FROM events")
 def s4_json_flatten(spark, sf_dir):
     path = f"{files.shared_folder(spark)}/json-{uuid.uuid4().hex}"
@@ -358,34 +474,37 @@ def r1_window_failures(spark, sf_dir):
     return status.drained(status.window_failures(event_stream(spark, sf_dir), "user_id", "ts", F.col("event_type") != "error", "1 day", more_than=1), "append").drop("batch")
 
 
-@query()
+@query("""WITH e AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_id, ('0x' || substr(md5('1:' || event_id), 1, 8))::BIGINT AS h FROM events),
+    r AS (SELECT *, row_number() OVER (PARTITION BY window_start ORDER BY h, event_id) AS k FROM e WHERE window_start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)) SELECT window_start, event_id FROM r WHERE k <= 10""")
 def r2_window_sample(spark, sf_dir):
-    return status.drained(status.window_sample(event_stream(spark, sf_dir), "ts", "event_id", 10, "1 day"), "append").drop("batch")
+    found = status.drained(status.window_sample(event_stream(spark, sf_dir), "ts", "event_id", 10, "1 day"), "append")
+    return status.cut_sample(found, "event_id", 10).withColumn("event_id", F.col("event_id").cast("long"))
 
 
 # --- word vectors -----------------------------------------------------------------------------------------------
 
 
-def turns(spark, sf_dir):
-    c = t(spark, sf_dir, "conversations").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "text")
-    return vectors.words(c, "id", "text")
-
-
 @query()
 def e8_huffman(spark, sf_dir):
-    return embed.huffman(vectors.vocab(turns(spark, sf_dir), 5)).select("word", "cn", "rank", F.array_join("code", "").alias("code"), F.array_join("point", " ").alias("point"))
+    v = vectors.vocab(vectors.line_words(t(spark, sf_dir, "documents"), "doc_id", "text"), 5)
+    return embed.huffman(v).select("word", "cn", "rank", F.array_join("code", "").alias("code"), F.array_join("point", " ").alias("point"))
 
 
 @query()
 def e9_train_vectors(spark, sf_dir):
-    tokens = turns(spark, sf_dir)
-    made = embed.train(tokens, "id", vectors.vocab(tokens, 5), size=32, epochs=2)
-    return made.select("word", F.size("vector").alias("size"))
+    d = t(spark, sf_dir, "documents")
+    return embed.train(vectors.words(d, "doc_id", "text"), "doc_id", vectors.vocab(vectors.line_words(d, "doc_id", "text"), 5))
 
 
-@query()
+@query("""WITH u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS u FROM embeddings WHERE vec_id < 30000),
+    q AS (SELECT x.vec_id AS query_id, x.label, a.vec_id AS a, b.vec_id AS b, c.vec_id AS c, d.vec_id AS expected, list_transform(list_zip(a.u, b.u, c.u), lambda x: x[2] - x[1] + x[3]) AS q FROM embeddings x LEFT JOIN u a ON a.vec_id = x.vec_id
+        LEFT JOIN u b ON b.vec_id = x.vec_id + 1 LEFT JOIN u c ON c.vec_id = x.vec_id + 2 LEFT JOIN u d ON d.vec_id = x.vec_id + 3 WHERE x.vec_id % 50 = 0),
+    k AS (SELECT * FROM q WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL AND expected IS NOT NULL), s AS (SELECT query_id, u.vec_id AS id, round(list_dot_product(q, u), 12) AS score FROM k JOIN u ON u.vec_id NOT IN (a, b, c)),
+    r AS (SELECT query_id, arg_max('V' || id, (score, -id)) AS answer FROM s WHERE score > 0 GROUP BY 1),
+    m AS (SELECT CASE WHEN q.label <= 5 THEN 'semantic' ELSE 'syntactic' END AS kind, q.label::VARCHAR AS section, k.query_id IS NOT NULL AS known, coalesce(r.answer = 'V' || q.expected, false) AS correct FROM q LEFT JOIN k USING (query_id) LEFT JOIN r USING (query_id))
+    SELECT kind, section, count(*) AS asked, sum(known::INT)::BIGINT AS seen, sum((known AND correct)::INT)::BIGINT AS correct, sum((known AND correct)::INT) / nullif(sum(known::INT), 0) AS accuracy, sum(known::INT) / count(*) AS coverage FROM m GROUP BY ROLLUP (kind, section)""")
 def e12_analogy_accuracy(spark, sf_dir):
     v = t(spark, sf_dir, "embeddings").select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("word"), F.col("embedding").alias("vector"), "label", "vec_id")
     at = lambda k: F.concat(F.lit("v"), (F.col("vec_id") + k).cast("string"))
-    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").cast("string").alias("section"), F.col("label").alias("section_no"), at(0).alias("a"), at(1).alias("b"), at(2).alias("c"), at(3).alias("expected"))
-    return ag.accuracy_rollup(embed.analogy_answers(v.select("word", "vector"), q))
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").cast("string").alias("section"), F.col("label").alias("section_no"), at(0).alias("a"), at(1).alias("b"), at(2).alias("c"), at(3).alias("expected"))
+    return ag.accuracy_rollup(embed.analogy_answers(v.select("word", "vector", F.col("vec_id").alias("rank")), q, 30_000))

@@ -2,26 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Fixed values of the word counter: patterns, irregular forms, stopwords, clitics and affixes.
 TOKEN = r"[a-z0-9]+(?:'[a-z0-9]+)*"
-
-# Irregular forms and affixes of the word counter.
+MARKUP = (
+    (r"```[\s\S]*?```", "\n"),
+    (r"`[^`]*`", " "),
+    (r"!\[[^\]]*\]\([^\)]+\)", " "),
+    (r"\[([^\]]+)\]\([^\)]+\)", "$1"),
+    (r"<[^>]+>", " "),
+)
 IRREGULAR = {
-    "am": "be", "are": "be", "is": "be", "was": "be", "were": "be", "been": "be", "being": "be", "has": "have", "had": "have",
-    "did": "do", "does": "do", "done": "do", "went": "go", "gone": "go", "children": "child", "men": "man", "women": "woman",
+    "went": "go", "gone": "go", "better": "good", "best": "good", "worse": "bad", "worst": "bad", "did": "do", "done": "do", "had": "have", "has": "have", "does": "do",
+    "aren't": "be", "isn't": "be", "was": "be", "were": "be", "been": "be", "am": "be", "i'm": "be", "you're": "be", "we're": "be", "they're": "be", "it's": "it",
+    "don't": "do", "can't": "can", "won't": "will",
 }
-STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
-PREFIXES = ("counter", "inter", "trans", "super", "under", "over", "anti", "fore", "mis", "non", "pre", "sub", "dis", "un", "re", "in")
-SUFFIXES = ("ization", "ational", "fulness", "ousness", "iveness", "ation", "ment", "ness", "able", "ible", "tion", "less", "ing", "ful", "est", "ly", "ed", "er", "es", "s")
+STOPWORDS = tuple("""
+    a about above after again against all am an and any are aren't as at be because been before being below between both but by can't cannot could
+    couldn't did didn't do does doesn't doing don't down during each few for from further had hadn't has hasn't have haven't having he he'd he'll he's
+    her here here's hers herself him himself his how how's i i'd i'll i'm i've if in into is isn't it it's its itself let's me more most mustn't
+    my myself no nor not of off on once only or other ought our ours ourselves out over own same shan't she she'd she'll she's should shouldn't so some
+    such than that that's the their theirs them themselves then there there's these they they'd they'll they're they've this those through to too under until up
+    very was wasn't we we'd we'll we're we've were weren't what what's when when's where where's which while who who's whom why why's with won't would
+    wouldn't you you'd you'll you're you've your yours yourself yourselves
+""".split())
+CLITICS = ("n't", "'re", "'ve", "'ll", "'d", "'m", "'s")
+PREFIXES = tuple("""
+    anti auto bi co contra counter de dis em en ex extra hetero homo hyper il im in inter intra ir macro micro mid mini mis mono multi non over
+    pan post pre proto pseudo re semi sub super tele thermo trans tri ultra un under uni pro
+""".split())
+SUFFIXES = tuple("""
+    ization ational fulness ousness iveness tional biliti lessli entli ation alism aliti ousli iviti fulli enci anci izer ator ally ably less ment ship
+    hood dom tion sion xion ingly edly ing ings ed er est able ible ism ist ity ive ous ize ise ness al en y ward wise s es
+""".split())
+
+
+def apply_rules(text: Column, rules) -> Column:
+    """Ordered pattern rules, each on what the one before left."""
+    for pattern, to in rules:
+        text = F.regexp_replace(text, pattern, to)
+    return text
 
 
 def strip_markup(text: Column) -> Column:
     """Code fences, inline code, images, links (their text stays), tags; in this order."""
-    for pattern, to in ((r"(?s)```.*?```", " "), (r"`[^`]*`", " "), (r"!\[[^\]]*\]\([^)]*\)", " "), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"<[^>]+>", " ")):
-        text = F.regexp_replace(text, pattern, to)
-    return text
+    return apply_rules(text, MARKUP)
 
 
 def tokens(text: Column) -> Column:
@@ -29,40 +56,48 @@ def tokens(text: Column) -> Column:
 
 
 def lemma(word: Column) -> Column:
-    """An irregular form, else the first ending that fits: ies, (s|x|z)es, s, ied, ed, ing; doubled letters are undone."""
+    """An irregular form, else the first ending that fits: ies (not eies), (s|x|z)es, s (not ss), ied, ed, ing, behind which a doubled letter is undone."""
     n = F.char_length(word)
-    cut = lambda k: F.left(word, n - k)
-    undoubled = lambda w: F.when(w.rlike(r"(bb|dd|gg|mm|nn|pp|rr|tt)$"), F.left(w, F.char_length(w) - 1)).otherwise(w)
+    cut = lambda k, to="": F.concat(F.left(word, n - k), F.lit(to))
+    stem = cut(3)
     rules = (
-        F.when(word.rlike("ies$") & (n > 4), F.concat(cut(3), F.lit("y")))
-        .when(word.rlike("(s|x|z)es$") & (n > 4), cut(2))
-        .when(word.rlike("[^s]s$") & (n > 3), cut(1))
-        .when(word.rlike("ied$") & (n > 4), F.concat(cut(3), F.lit("y")))
-        .when(word.rlike("ed$") & (n > 4), undoubled(cut(2)))
-        .when(word.rlike("ing$") & (n > 5), undoubled(cut(3)))
+        F.when((n > 4) & word.rlike("(?<!e)ies$"), cut(3, "y"))
+        .when((n > 3) & word.rlike("[sxz]es$"), cut(2))
+        .when((n > 2) & word.rlike("(?<!s)s$"), cut(1))
+        .when((n > 4) & word.endswith("ied"), cut(3, "y"))
+        .when((n > 3) & word.endswith("ed"), cut(2))
+        .when((n > 4) & word.endswith("ing"), F.when((n > 6) & stem.rlike(r"(.)\1$"), cut(4)).otherwise(stem))
         .otherwise(word)
     )
     return F.coalesce(F.create_map(*[F.lit(x) for kv in IRREGULAR.items() for x in kv])[word], rules)
 
 
-def morphemes(word: Column, peels: int = 12) -> Column:
-    """A clitic, one longest prefix and repeated longest suffixes, each leaving three letters or more."""
-    bare = F.regexp_replace(word, "'.*$", "")
-    clitic = F.regexp_extract(word, "('.+)$", 1)
-    head = "^(" + "|".join(sorted(PREFIXES, key=lambda p: (-len(p), p))) + ")(.{3,})$"
-    tail = "^(.{3,}?)(" + "|".join(sorted(SUFFIXES, key=lambda s: (-len(s), s))) + ")$"
+def longest_first(affixes) -> str:
+    return "|".join(sorted(affixes, key=lambda x: (-len(x), x)))
+
+
+def morphemes(word: Column) -> Column:
+    """A clitic behind two letters or more; one longest prefix and longest suffixes again and again, each leaving three letters or
+    more; scraps of one letter but i and a are dropped, unless nothing else is left."""
+    with_clitic = "^(.{2,})(" + "|".join(CLITICS) + ")$"
+    head = f"^({longest_first(PREFIXES)})(.{{3,}})$"
+    tail = f"^(.{{3,}}?)({longest_first(SUFFIXES)})$"
+    clitic = F.regexp_extract(word, with_clitic, 2)
+    bare = F.when(clitic != "", F.regexp_extract(word, with_clitic, 1)).otherwise(word)
     prefix = F.regexp_extract(bare, head, 1)
     rest = F.when(prefix != "", F.regexp_extract(bare, head, 2)).otherwise(bare)
 
     def peel(state: Column, _: Column) -> Column:
         root = F.regexp_extract(state["root"], tail, 1)
-        cut = F.regexp_extract(state["root"], tail, 2)
-        return F.when(root == "", state).otherwise(F.struct(root.alias("root"), F.concat(F.array(cut), state["ends"]).alias("ends")))
+        found = F.struct(root.alias("root"), F.concat(F.array(F.regexp_extract(state["root"], tail, 2)), state["ends"]).alias("ends"), F.lit(False).alias("done"))
+        ended = F.struct(state["root"].alias("root"), state["ends"].alias("ends"), F.lit(True).alias("done"))
+        return F.when(state["done"], state).when(root == "", ended).otherwise(found)
 
-    start = F.struct(rest.alias("root"), F.array().cast("array<string>").alias("ends"))
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(peels)), start, peel)
-    parts = F.concat(F.array(prefix), F.array(done["root"]), done["ends"], F.array(clitic))
-    return F.filter(parts, lambda p: (F.char_length(p) > 1) | p.isin("i", "a"))
+    start = F.struct(rest.alias("root"), F.array().cast("array<string>").alias("ends"), F.lit(False).alias("done"))
+    end = F.aggregate(F.sequence(F.lit(1), F.greatest(F.char_length(rest), F.lit(1))), start, peel)  # each ending has a letter or more
+    parts = F.concat(F.array(prefix), F.array(end["root"]), end["ends"], F.array(clitic))
+    kept = F.filter(parts, lambda p: (F.char_length(p) > 1) | p.isin("i", "a"))
+    return F.when(F.size(kept) > 0, kept).otherwise(F.array(word))
 
 
 def term_counts(df: DataFrame, text: str, kind: str = "word", strip: bool = True) -> DataFrame:
@@ -83,10 +118,58 @@ def normalise_corpus(text: Column) -> Column:
     return F.regexp_replace(F.translate(out, '"*_|-', "     "), r"[0-9]", " ")
 
 
+# What is taken out of wiki pages, in this order.
+WIKI = (
+    (r"<[^>\n]*>", ""),
+    ("&amp;", "&"),
+    ("&lt;", "<"),
+    ("&gt;", ">"),
+    (r"<ref[^<]*</ref>", ""),
+    (r"<[^>]*>", ""),
+    (r"\[http:[^\] ]*", "["),
+    (r"(?i)\|thumb", ""),
+    (r"(?i)\|left", ""),
+    (r"(?i)\|right", ""),
+    (r"(?i)\|\d+px", ""),
+    (r"(?i)\[\[image:[^\[\]]*\|", ""),
+    (r"(?i)\[\[category:([^|\]]*)[^\]]*\]\]", "[[$1]]"),
+    (r"\[\[[a-z\-]*:[^\]]*\]\]", ""),
+    (r"\[\[[^|\]]*\|", "[["),
+    (r"\{\{[^}]*\}\}", ""),
+    (r"\{[^}]*\}", ""),
+    (r"\[", ""),
+    (r"\]", ""),
+    (r"&[^;]*;", " "),
+)
+# What is taken out of a feed of tickets, in this order.
+TICKET = (
+    (r"<.*?>", ""),
+    (r"Changed [^\.]*from [^\.]*to .*?\.", ""),
+    (r"Added .*?\.", ""),
+    (r"Assigned [^\.]*to .*?\.", ""),
+    (r"Reassigned [^\.]*from [^\.]*to .*?\.", ""),
+    (r"Merged .*?\)[:\.]", ""),
+    (r"\[Merged from .*?\]", ""),
+    (r"Took primary responsibility .*?\.", ""),
+    (r"Posted By: .*?>", ""),
+    (r"This message was proxied .*>\.", ""),
+    (r"\[Created from .*?\]", ""),
+    (r"(\\r\\n|\\r|\\n)+", " "),
+    (r"(\s|\t)+", " "),
+    ("&#39;", "'"),
+    ("&lt;", "<"),
+    ("&gt;", ">"),
+    ("&quot;", '"'),
+    ("&amp;", "&"),
+)
+
+
 def strip_wiki(text: Column) -> Column:
-    for pattern, to in ((r"(?s)<ref[^<]*</ref>", ""), (r"(?s)\{\{[^{}]*\}\}", ""), (r"\[\[[^\[\]|]*\|([^\[\]]*)\]\]", "$1"), (r"\[\[([^\[\]]*)\]\]", "$1"), (r"\[https?:[^ \]]* ([^\]]*)\]", "$1"), (r"<[^>]*>", "")):
-        text = F.regexp_replace(text, pattern, to)
-    return text
+    return apply_rules(text, WIKI)
+
+
+def clean_ticket(text: Column) -> Column:
+    return apply_rules(text, TICKET)
 
 
 def html_text(html: Column) -> Column:
@@ -98,13 +181,6 @@ def html_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(out, " ", " "), r"[ \t\r\n]+", " "))
 
 
-def apply_rules(text: Column, rules: list[tuple[str, str]]) -> Column:
-    """Ordered pattern rules, each on what the one before left."""
-    for pattern, to in rules:
-        text = F.regexp_replace(text, pattern, to)
-    return text
-
-
 def replace_by_key(df: DataFrame, text: str, key: list[str], rules: dict[tuple, list[tuple[str, str]]]) -> DataFrame:
     """Literal replacements that depend on the value of some columns."""
     out = F.col(text)
@@ -125,22 +201,44 @@ def category(df: DataFrame, col: str, lookup: DataFrame, default: str = "Unknown
     return df.join(found, F.col(col) == F.col("_value"), "left").drop("_value").withColumn("category", F.coalesce("category", F.lit(default)))
 
 
-# Kinds of files by their ending.
-EXTENSIONS = {
-    "Images": ("jpg", "jpeg", "png", "gif", "bmp", "svg", "webp"), "Audio": ("mp3", "wav", "flac", "m4a"), "Video": ("mp4", "mkv", "avi", "mov"),
-    "Archives": ("zip", "tar", "gz", "7z", "rar"), "Data": ("csv", "json", "xml", "xlsx", "parquet", "sql"), "Documents": ("pdf", "docx", "doc", "txt", "md", "epub"),
+# Endings of files, and words in their names.
+BUCKETS = {
+    "Images": "png jpg jpeg gif bmp svg webp tiff", "Video": "mp4 mov m4v mkv avi webm", "Audio": "mp3 wav flac m4a aac ogg", "Software": "msi exe vsix appinstaller iso",
+    "Archives": "zip 7z tar gz tgz rar", "Backups": "bak dacpac ispac", "Logs": "log oxps",
 }
-
-
-def file_kind(path: Column, keywords: dict[str, tuple[str, ...]] | None = None) -> Column:
-    """A domain whose keyword is in the path, else the kind of the ending, else ``Other``."""
-    ending = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
-    out = F.lit("Other")
-    for kind, endings in EXTENSIONS.items():
-        out = F.when(ending.isin(*endings), kind).otherwise(out)
-    for domain, words in (keywords or {}).items():
-        out = F.when(F.lower(path).rlike("|".join(words)), domain).otherwise(out)
-    return out
+DATA = "csv tsv xlsx xls xlsm xlsb json xml yaml yml"
+SQL_OR_NOTEBOOK, BOOKS, NOTES = "sql ipynb", "pdf epub", "md txt"
+WORK = (
+    "twu", "jenzabar", "clover", "salesforce", "integration", "student", "housing", "enrollment", "finance", "trial", "tuition", "vena", "payee", "reconcile", "ledger", "gl", "ar", "ap",
+    "ssrs", "db", "backup", "prod", "test", "staging", "aq", "j1", "jics", "entra", "active directory", "email",
+)
+READING = ("paper", "article", "report", "guide", "handbook", "book", "thesis", "proceedings", "cvpr", "arxiv", "pnas", "nature", "springer", "oreilly")
+DOMAINS = {
+    "Finance": ("finance", "gl", "ledger", "trial", "balance", "tuition", "revenue", "ar ", " ap", "payee", "positivepay", "t2202", "t4a", "vena"),
+    "Student": ("student", "housing", "residence", "enrol", "enroll", "candidacy", "course"),
+    "Identity": ("entra", "adp", "active directory", "email", "sso", "ldap", "oauth"),
+    "Integrations": ("clover", "jenzabar", "salesforce", "wsdl", "sftp", "ssis", "api"),
+    "AI-ML": ("ai", "ml", "llm", "neural", "graph", "rag", "nlp", "vision", "transformer"),
+    "Security": ("security", "log4shell", "cert", "rsa", "key", "jks"),
+}
+
+
+def file_place(path: Column) -> Column:
+    """Where a file goes: a bucket by its ending; else Reading or Work; else Data or Work with a domain by a word in its name; else null."""
+    name = F.lower(F.regexp_extract(path, r"([^/]*)$", 1))
+    ending = F.regexp_extract(name, r"[^.]\.([^.]+)$", 1)
+    of = lambda endings: ending.isin(*endings.split())
+    has = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(name, w))
+    place, domain = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for kind, words in reversed(DOMAINS.items()):
+        domain = F.when(has(words), kind).otherwise(domain)
+    place = F.when(domain.isNotNull(), F.concat(F.when(of(DATA), "Data/").otherwise("Work/"), domain))
+    work = has(WORK) | of(SQL_OR_NOTEBOOK)
+    reading = (of(BOOKS) & ~has(WORK)) | (of(NOTES) & has(READING))
+    place = F.when(reading, "Reading").when(work, "Work").otherwise(place)
+    for bucket, endings in BUCKETS.items():
+        place = F.when(of(endings), bucket).otherwise(place)
+    return place
 
 
 def name_prefix(name: Column, style: str = "_") -> Column:
@@ -153,11 +251,19 @@ def strip_sql_comments(sql: Column) -> Column:
     return F.regexp_replace(sql, r"(--[^\n]*(\n|$))|((?s)/\*.*?\*/)", " ")
 
 
+# What marks a cell as SQL.
+SQL_MAGIC = r"(?i)^(%%sql|%%tsql|%%mssql|%sql|%tsql|%mssql|#!sql(?:[-_]\S+)?|#!tsql(?:[-_]\S+)?|#!mssql(?:[-_]\S+)?)\b"
+CONNECT_MAGIC = r"(?i)^#!connect\s+(?:mssql|sql|sqlserver)\b"
+SQL_FIRST = r"(?i)^(?:;\s*)?(select|with|insert|update|delete|merge|create|alter|drop|truncate|exec(?:ute)?|declare|use|begin|if|while|set|grant|revoke|deny|backup|restore|dbcc|commit|rollback)\b"
+
+
 def looks_like_sql(source: Column) -> Column:
-    body = F.trim(F.regexp_replace(strip_sql_comments(source), r"\s+", " "))
-    first = F.lower(F.regexp_extract(body, r"^(\w+)", 1))
-    words = ("select", "insert", "update", "delete", "create", "alter", "drop", "with", "merge", "exec", "use", "declare", "truncate")
-    return first.isin(*words) | source.rlike(r"(?im)^\s*go\s*$") | body.rlike(r"(?i)\bselect\b.+\bfrom\b")
+    """A magic line first; or, behind leading comments, a word that begins a statement, a line with GO, or a select with a from."""
+    body = F.regexp_replace(source, r"^\s+", "")
+    first_line = F.regexp_extract(body, r"^([^\r\n]*)", 1)
+    code = F.regexp_replace(body, r"^(?:\s+|--[^\n]*(?:\n|$)|/\*(?s:.*?)\*/)+", "")
+    statement = code.rlike(SQL_FIRST) | code.rlike(r"(?im)^\s*go\s*$") | (code.rlike(r"(?i)\bselect\b") & code.rlike(r"(?i)\bfrom\b"))
+    return first_line.rlike(SQL_MAGIC) | first_line.rlike(CONNECT_MAGIC) | ((code != "") & statement)
 
 
 def sid_text(sid: Column) -> Column:
@@ -265,13 +371,64 @@ def unurl_base64(text: Column) -> Column:
     return F.unbase64(F.rpad(plain, F.ceil(F.char_length(plain) / 4).cast("int") * 4, "="))
 
 
+# Fixed values of the calendar tables: months, the columns where a phase ends, kinds of eclipses, the distance that parts far from near.
+MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
+PHASES = ((19, "new"), (37, "first"), (55, "full"), (None, "last"))
+SOLAR, LUNAR = {"T": "T", "A": "A", "P": "P", "H": "A"}, {"T": "t", "P": "p", "N": "n"}
+FAR = 390_000
+
+
+def month_number(name: Column) -> Column:
+    return F.array_position(F.array(*map(F.lit, MONTHS)), name).cast("int")
+
+
 def carry_year(df: DataFrame, year: str, order: str, by: list[str]) -> DataFrame:
     """The last year seen before each line that has none."""
-    from pyspark.sql import Window
-
     return df.withColumn(year, F.last(year, ignorenulls=True).over(Window.partitionBy(*by).orderBy(order)))
 
 
+def phase_events(df: DataFrame, line: str, order: str, by: list[str], years: tuple[int, int] = (2001, 2100)) -> DataFrame:
+    """``by``, ``order``, year, phase, month, day, time, code of each event in lines of a table of phases: the column an event begins
+    in names the phase, the year stands at the head of a line or of one before it."""
+    event = rf"({'|'.join(MONTHS)})\s+(\d{{1,2}})\s+(\d{{2}}:\d{{2}})(?:\s+([A-Za-z]))?(?=\s{{2,}}|$)"
+    dated = df.select(*by, order, F.rtrim(line).alias("_l")).withColumn("year", F.regexp_extract("_l", r"^\s*(20\d{2}|2100)\b", 1).try_cast("int"))
+    dated = carry_year(dated, "year", order, by).where(F.col("year").between(*years))
+    parts = dated.withColumns({"_m": F.regexp_extract_all("_l", F.lit(event), F.lit(0)), "_p": F.split("_l", event)}).where(F.size("_m") > 0)
+    each = parts.select("*", F.posexplode("_m").alias("_k", "_e"))
+    start = F.char_length(F.array_join(F.slice("_p", F.lit(1), F.col("_k") + 1), "")) + F.char_length(F.array_join(F.slice("_m", F.lit(1), F.col("_k")), ""))
+    phase = F.lit(PHASES[-1][1])
+    for end, name in reversed(PHASES[:-1]):
+        phase = F.when(start < end, name).otherwise(phase)
+    group = lambda k: F.regexp_extract("_e", event, k)
+    return each.select(*by, order, "year", phase.alias("phase"), month_number(group(1)).alias("month"), group(2).cast("int").alias("day"), group(3).alias("time"), group(4).alias("code"))
+
+
+def eclipse_days(df: DataFrame, key: list[str], text: str, kinds: dict[str, str] = SOLAR) -> DataFrame:
+    """``key``, year, month, day, code of the rows of an eclipse table in a text; kinds without a code are left out."""
+    row = rf"\b(20\d{{2}}|2100)\s+({'|'.join(MONTHS)})\s+(\d{{2}})\s+(\d{{2}}:\d{{2}}:\d{{2}})\s+\d+\s+\d+\s+\d+\s+([A-Z][A-Za-z0-9+\-]*)\b"
+    each = df.select(*key, F.explode(F.regexp_extract_all(text, F.lit(row), F.lit(0))).alias("_r"))
+    group = lambda k: F.regexp_extract("_r", row, k)
+    code = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])[F.left(group(5), F.lit(1))]
+    return each.select(*key, group(1).cast("int").alias("year"), month_number(group(2)).alias("month"), group(3).cast("int").alias("day"), code.alias("code")).where("code is not null")
+
+
+def distance_rows(df: DataFrame, line: str, order: str, by: list[str], years: tuple[int, int] = (2001, 2100)) -> DataFrame:
+    """``by``, ``order``, year, perigee, apogee (each month, day, time, distance, flag, or null) of lines with one or two events."""
+    one = rf"(?:({'|'.join(MONTHS)})\s+(\d{{1,2}})\s+(\d{{2}}:\d{{2}})\s+(\d{{6}})(?:\s+([mM])(?=\s|$))?(?:\s+\d+\.\d+(?=\s|$))?)"
+    whole = rf"^\s*(?:(\d{{4}})\s+)?{one}(?:\s+{one})?(?:\s|$)"
+    timed = df.where(F.col(line).rlike(r"\d{2}:\d{2}")).select(*by, order, F.col(line).alias("_l"), F.regexp_extract(line, r"^\s*(\d{4})(?:\s|$)", 1).try_cast("int").alias("year"))
+    dated = carry_year(timed, "year", order, by).where(F.col("year").between(*years)).where(F.col("_l").rlike(whole))
+    group = lambda k: F.regexp_extract("_l", whole, k)
+
+    def event(k: int) -> Column:
+        made = F.struct(month_number(group(k)).alias("month"), group(k + 1).try_cast("int").alias("day"), group(k + 2).alias("time"), group(k + 3).try_cast("int").alias("distance"), group(k + 4).alias("flag"))
+        return F.when(group(k) != "", made)
+
+    both = dated.select(*by, order, "year", F.array(event(7), event(2)).alias("_e"))  # of two alike the second counts
+    pick = lambda far: F.try_element_at(F.filter("_e", lambda e: e.isNotNull() & ((e["distance"] >= FAR) == far)), F.lit(1))
+    return both.select(*by, order, "year", pick(False).alias("perigee"), pick(True).alias("apogee"))
+
+
 def override_code(df: DataFrame, key: str, code: str, overrides: DataFrame) -> DataFrame:
     """A listed code wins; else the first letter, H read as A. overrides: key, code."""
     found = overrides.select(F.col("key").alias("_key"), F.col("code").alias("_code"))
@@ -288,6 +445,7 @@ def sql_targets(df: DataFrame, key: str, sql: str) -> DataFrame:
 
 
 def drawn_items(key: Column, pool: list[str], seed: int = 1, most: int = 3) -> Column:
-    """One to ``most`` distinct items of a pool as text, the same for the same key."""
-    ranked = F.transform(F.array_sort(F.array(*[F.struct(F.xxhash64(F.lit(x), key, F.lit(seed)).alias("h"), F.lit(x).alias("v")) for x in pool])), lambda s: s["v"])
-    return F.array_join(F.slice(ranked, F.lit(1), F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(most)).cast("int") + 1), ", ")
+    """One to ``most`` distinct items of a pool as text, the same for the same key: the order of the pool and how many are drawn by MD5."""
+    hashed = lambda *parts: F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"), *map(F.lit, parts)))
+    ranked = F.transform(F.array_sort(F.array(*[F.struct(hashed(x).alias("h"), F.lit(x).alias("v")) for x in pool])), lambda s: s["v"])
+    return F.array_join(F.slice(ranked, F.lit(1), (F.conv(F.substring(hashed(), 1, 8), 16, 10).cast("long") % most).cast("int") + 1), ", ")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.sequence import with_row_number
+
 
 def list_agg(df: DataFrame, by: list[str], value: Column, order: Column, sep: str = ", ", name: str = "items") -> DataFrame:
     """Values of each group as one text, in order."""
@@ -19,19 +21,26 @@ def messages(df: DataFrame, by: list[str], cols: list[str], order: Column, name:
 
 
 def dimension(df: DataFrame, col: str, key: str = "id") -> DataFrame:
-    """Distinct values with a surrogate key in their order; one row a value."""
+    """Distinct values with a surrogate key in their order."""
     values = df.select(col).where(F.col(col).isNotNull()).distinct()
-    return values.withColumn(key, F.row_number().over(Window.orderBy(col)))
+    return with_row_number(values, [col]).withColumn(key, F.col("_row").cast("int")).drop("_row")
 
 
-def numbered_pivot(df: DataFrame, key: str, value: str, order: list, n: int, name: str) -> DataFrame:
-    """The first ``n`` values of each key as columns ``name_1`` to ``name_n``."""
+def numbered_pivot(df: DataFrame, key: str, value: str, order: list, name: str, most: int = 1000) -> DataFrame:
+    """The values of each key as columns ``name_1`` to ``name_n``, n being the size of the largest group; more than ``most`` is an error."""
+    n = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    if n > most:
+        raise ValueError(f"a key has {n} values, which is too wide a table")
     ranked = df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
     return ranked.groupBy(key).agg(*[F.max(F.when(F.col("_n") == k, F.col(value))).alias(f"{name}_{k}") for k in range(1, n + 1)])
 
 
-def presence_matrix(df: DataFrame, row: str, col: str, values: list) -> DataFrame:
-    """``x`` or blank for each pair of a row and one of the given values."""
+def presence_matrix(df: DataFrame, row: str, col: str, values: list | None = None, most: int = 1000) -> DataFrame:
+    """``x`` or blank for each pair of a row and one of the values: those given, or all there are; more than ``most`` is an error."""
+    if values is None:
+        values = sorted(r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().limit(most + 1).collect())
+    if len(values) > most:
+        raise ValueError("too many values for columns")
     return df.groupBy(row).agg(*[F.coalesce(F.max(F.when(F.col(col) == v, "x")), F.lit("")).alias(str(v)) for v in values])
 
 

@@ -141,21 +141,18 @@ def diff_summary(prev: DataFrame, curr: DataFrame, keys: list[str], only: DataFr
     return out.withColumn("unchanged", F.expr("total_keys - added - deleted - changed"))
 
 
+VOID = "array<struct<mismatch_type:string,property:string,desired_value:string,actual_value:string>>"
+
+
 def reconcile(desired: DataFrame, actual: DataFrame, keys: list[str], props: list[str] = ()) -> DataFrame:
     """Keys with mismatch_type MISSING (desired, not there), EXTRA (there, not desired) or, where a property
     differs (null is ''), PROPERTY with its name and both values."""
-    texts = lambda df, tag: df.select(*keys, *[F.coalesce(as_text(df, p), F.lit("")).alias(f"{tag}{p}") for p in props])
-    void = [F.lit(None).cast("string").alias(x) for x in ("property", "desired_value", "actual_value")]
-    missing = desired.join(actual, keys, "left_anti").select(*keys, F.lit("MISSING").alias("mismatch_type"), *void)
-    extra = actual.join(desired, keys, "left_anti").select(*keys, F.lit("EXTRA").alias("mismatch_type"), *void)
-    out = missing.unionByName(extra)
-    if props:
-        cells = F.array(*[F.struct(F.lit(p).alias("p"), F.col(f"d_{p}").alias("d"), F.col(f"a_{p}").alias("a")) for p in props])
-        both = texts(desired, "d_").join(texts(actual, "a_"), keys).select(*keys, F.explode(F.filter(cells, lambda x: x["d"] != x["a"])).alias("x"))
-        out = out.unionByName(
-            both.select(*keys, F.lit("PROPERTY").alias("mismatch_type"), F.col("x.p").alias("property"), F.col("x.d").alias("desired_value"), F.col("x.a").alias("actual_value"))
-        )
-    return out
+    side = lambda df, tag: df.select(*[F.col(k).alias(f"{tag}k_{k}") for k in keys], F.lit(1).alias(f"{tag}in"), *[F.coalesce(as_text(df, p), F.lit("")).alias(f"{tag}{p}") for p in props])
+    both = side(desired, "d_").join(side(actual, "a_"), reduce(lambda x, y: x & y, [F.col(f"d_k_{k}") == F.col(f"a_k_{k}") for k in keys]), "full")
+    cell = lambda kind, p=None, d=None, a=None: F.struct(*[(F.lit(None).cast("string") if x is None else x).alias(n) for n, x in (("mismatch_type", F.lit(kind)), ("property", p), ("desired_value", d), ("actual_value", a))])
+    unlike = F.filter(F.array(*[cell("PROPERTY", F.lit(p), F.col(f"d_{p}"), F.col(f"a_{p}")) for p in props]), lambda x: x["desired_value"] != x["actual_value"]) if props else F.array().cast(VOID)
+    found = F.when(F.col("a_in").isNull(), F.array(cell("MISSING"))).when(F.col("d_in").isNull(), F.array(cell("EXTRA"))).otherwise(unlike)
+    return both.select(*[F.coalesce(f"d_k_{k}", f"a_k_{k}").alias(k) for k in keys], F.explode(found).alias("x")).select(*keys, "x.*")
 
 
 def remediation(mismatches: DataFrame, templates: dict[str, str]) -> DataFrame:

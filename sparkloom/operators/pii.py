@@ -7,13 +7,23 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.operators.spread import FEW
+
+# What mail addresses, numbers and dates look like.
 EMAIL = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"
-PHONE = r"^\+?[0-9][0-9 ().-]{6,}[0-9]$"
-SSN = r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"
-DATE = r"^([0-9]{4}[-/][0-9]{2}[-/][0-9]{2}|[0-9]{2}[-/][0-9]{2}[-/][0-9]{4})$"
-FIRST = ("Alex", "Robin", "Sam", "Kim", "Jo", "Casey", "Lee", "Toni", "Max", "Nico", "Sasha", "Jules", "Noa", "Remy", "Kai", "Ari")
-LAST = ("Stone", "Rivers", "Field", "Marsh", "Brook", "Hill", "Wood", "Lake", "Frost", "Vale", "Reed", "Glen", "Moor", "Cliff", "Dale", "Ford")
-CITIES = ("Northam", "Eastbury", "Westford", "Southwick", "Midvale", "Highmoor", "Lowfield", "Oldtown")
+PHONE = r"^\+?\d[\d ().-]{6,}\d$"
+SSN = r"^\d{3}-\d{2}-\d{4}$"
+DATE = r"^(\d{4}[-/]\d{2}[-/]\d{2}|\d{2}[-/]\d{2}[-/]\d{4})$"
+
+
+def joined(heads: str, tails: str) -> tuple[str, ...]:
+    return tuple((a + b).capitalize() for a in heads.split() for b in tails.split())
+
+
+#: Names by a rule: each head with each tail, 256 first and last names and 64 places.
+FIRST = joined("al an be ca da el fe ga io jo ka le mi no re sa", "bin da dor fi gan ko lan mar nis ra sel ta vin xa ya zo")
+LAST = joined("ash black bright clear cold deep elm fair gold green high long oak red stone white", "brook cliff dale fall field ford frost gate hill lake marsh moor reed ridge vale wood")
+CITIES = joined("east high low mid new north south west", "bury ford gate ham moor stead town wick")
 
 
 def detect_pii(df: DataFrame, order: str, n: int = 20) -> list[str]:
@@ -99,27 +109,47 @@ def token(value: Column, name: str, key: str) -> Column:
     return F.when(value.isNotNull(), out)
 
 
+def apart(mapping: DataFrame, key: str, old: DataFrame | None = None) -> DataFrame:
+    """``mapping`` with one token for each original of a column: of tokens that several have, or that an older mapping has
+    given, digits of each original's digest make its own."""
+    every = mapping.select("column", "token") if old is None else mapping.select("column", "token").unionByName(old.select("column", "token"))
+    shared = every.groupBy("column", "token").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").withColumnsRenamed({"column": "_c", "token": "_t"})
+    own = F.left(hmac_hex(F.col("original"), key), F.lit(24))
+    told = F.when(F.contains("token", F.lit("@")), F.replace("token", F.lit("@"), F.concat(F.lit("."), own, F.lit("@")))).otherwise(F.concat("token", F.lit("-"), own))
+    joined = mapping.join(shared, (F.col("column") == F.col("_c")) & (F.col("token") == F.col("_t")), "left")
+    return joined.select("column", "original", F.when(F.col("_n").isNull(), F.col("token")).otherwise(told).alias("token"))
+
+
 def build_mapping(df: DataFrame, cols: list[str], key: str, old: DataFrame | None = None) -> DataFrame:
-    """column, original, token of each distinct value; tokens of an older mapping win."""
+    """column, original, token of each distinct value; tokens of an older mapping win, and no two originals share one."""
     parts = [df.select(F.lit(c).alias("column"), F.col(c).cast("string").alias("original")).where("original is not null").distinct().withColumn("token", token(F.col("original"), c, key)) for c in cols]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out if old is None else old.unionByName(out.join(old, ["column", "original"], "left_anti"))
+    if old is None:
+        return apart(out, key)
+    return old.select("column", "original", "token").unionByName(apart(out.join(old, ["column", "original"], "left_anti"), key, old))
 
 
 def pseudonymize(df: DataFrame, cols: list[str], key: str, old: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Tokens need no mapping unless an older one has to win: they are expressions on the rows themselves."""
-    mapping = build_mapping(df, cols, key, old)
-    if old is None:
-        return df.withColumns({c: token(F.col(c).cast("string"), c, key) for c in cols}), mapping
-    return apply_mapping(df, mapping, cols, "original", "token"), mapping
+    """The rows with tokens, and the mapping. Tokens are expressions on the rows; only where the mapping has another one, as
+    it is older or was told apart, the rows look it up."""
+    mapping = build_mapping(df, cols, key, old).checkpoint()
+    plain = F.lit(False)
+    for c in cols:
+        plain = plain | ((F.col("column") == c) & (F.col("token") == token(F.col("original"), c, key)))
+    other = mapping.where(~plain)
+    looked_up = apply_mapping(df.withColumns({f"_as_{c}": token(F.col(c).cast("string"), c, key) for c in cols}), other, cols, "original", "token", {c: F.col(f"_as_{c}") for c in cols})
+    return looked_up.drop(*[f"_as_{c}" for c in cols]), mapping
 
 
-def apply_mapping(df: DataFrame, mapping: DataFrame, cols: list[str], source: str, target: str) -> DataFrame:
+def apply_mapping(df: DataFrame, mapping: DataFrame, cols: list[str], source: str, target: str, otherwise: dict[str, Column] | None = None) -> DataFrame:
+    """Values replaced by what the mapping says, others by ``otherwise`` or left; a mapping of few rows is broadcast."""
+    few = mapping.count() <= FEW
     for c in cols:
         own = mapping.where(F.col("column") == c).select(F.col(source).alias("_from"), F.col(target).alias("_to"))
-        df = df.join(own, F.col(c).cast("string") == F.col("_from"), "left").withColumn(c, F.coalesce("_to", F.col(c).cast("string"))).drop("_from", "_to")
+        rest = (otherwise or {}).get(c, F.col(c).cast("string"))
+        df = df.join(F.broadcast(own) if few else own, F.col(c).cast("string") == F.col("_from"), "left").withColumn(c, F.coalesce("_to", rest)).drop("_from", "_to")
     return df
 
 
@@ -136,7 +166,8 @@ def row_mail_mapping(df: DataFrame, mail: str, first: str, last: str, order: str
     named = F.struct(token(F.col(first).cast("string"), "first_name", key).alias("f"), token(F.col(last).cast("string"), "last_name", key).alias("l"))
     one = df.where(F.col(mail).isNotNull()).groupBy(F.col(mail).cast("string").alias("original")).agg(F.min_by(named, order).alias("n"))
     name = F.lower(F.coalesce(F.nullif(F.concat_ws(".", "n.f", "n.l"), F.lit("")), F.lit("user")))
-    return one.select(F.lit(mail).alias("column"), "original", F.concat(name, digits(hmac_hex(F.col("original"), key), 4), F.lit("@example.org")).alias("token"))
+    made = one.select(F.lit(mail).alias("column"), "original", F.concat(name, digits(hmac_hex(F.col("original"), key), 4), F.lit("@example.org")).alias("token"))
+    return apart(made, key)
 
 
 def collisions(mapping: DataFrame) -> DataFrame:
@@ -145,6 +176,7 @@ def collisions(mapping: DataFrame) -> DataFrame:
 
 
 def restore(df: DataFrame, mapping: DataFrame, cols: list[str]) -> DataFrame:
-    """Of colliding tokens the largest original is taken; ``collisions`` lists them."""
-    one = mapping.groupBy("column", "token").agg(F.max("original").alias("original"))
-    return apply_mapping(df, one, cols, "token", "original")
+    """The originals of tokens; a mapping in which originals share a token is refused, as it can't be reversed."""
+    if not collisions(mapping).isEmpty():
+        raise ValueError("several originals share a token; see collisions()")
+    return apply_mapping(df, mapping, cols, "token", "original")

@@ -11,28 +11,32 @@ from sparkloom.operators.diff import as_text
 def profile(df: DataFrame, top_n: int = 5) -> DataFrame:
     """column, rows, missing, distinct_values, max_length, min_value, max_value, is_unique, top_values: one row a column.
 
-    Statistics come from one pass; top values from a count of values, ties by value."""
+    All comes from one count of the values of each column."""
     texts = df.select(*[as_text(df, c).alias(c) for c in df.columns])
-    stats = texts.agg(F.count(F.lit(1)).alias("_rows"), *[
-        x for i, c in enumerate(df.columns) for x in (
-            F.count(f"`{c}`").alias(f"n{i}"), F.count_distinct(f"`{c}`").alias(f"d{i}"), F.max(F.char_length(f"`{c}`")).alias(f"l{i}"),
-            F.min(f"`{c}`").alias(f"a{i}"), F.max(f"`{c}`").alias(f"z{i}"),
-        )
-    ])
-    per = F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col("_rows").alias("rows"), (F.col("_rows") - F.col(f"n{i}")).alias("missing"), F.col(f"d{i}").alias("distinct_values"),
-                 F.col(f"l{i}").alias("max_length"), F.col(f"a{i}").alias("min_value"), F.col(f"z{i}").alias("max_value"))
-        for i, c in enumerate(df.columns)
-    ])
-    rows = stats.select(F.explode(per).alias("x")).select("x.*")
+    counted = value_counts(texts)
+    stats = counted.groupBy("column").agg(
+        F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing"), F.count("value").alias("distinct_values"),
+        F.max(F.char_length("value")).alias("max_length"), F.min("value").alias("min_value"), F.max("value").alias("max_value"),
+    )
+    every = df.sparkSession.createDataFrame([(c,) for c in df.columns], "column string")
+    rows = F.broadcast(every).join(stats, "column", "left") if df.isEmpty() else stats
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("rows", "missing", "distinct_values")})
     rows = rows.withColumn("is_unique", (F.col("missing") == 0) & (F.col("distinct_values") == F.col("rows")))
-    return rows.join(top_values(texts, top_n), "column", "left").withColumn("top_values", F.coalesce("top_values", F.array().cast("array<string>")))
+    return rows.join(ranked_values(counted, top_n), "column", "left").withColumn("top_values", F.coalesce("top_values", F.array().cast("array<string>")))
+
+
+def value_counts(texts: DataFrame) -> DataFrame:
+    """column, value, n."""
+    return texts.unpivot([], texts.columns, "column", "value").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def top_values(texts: DataFrame, n: int) -> DataFrame:
-    long = texts.unpivot([], texts.columns, "column", "value").where("value is not null")
-    counted = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    ranked = counted.withColumn("k", F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), "value"))).where(F.col("k") <= n)
+    return ranked_values(value_counts(texts), n)
+
+
+def ranked_values(counted: DataFrame, n: int) -> DataFrame:
+    """column, top_values: the most frequent, ties by value. Each task keeps ``n`` a column before the last ranking."""
+    ranked = counted.where("value is not null").withColumn("k", F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), "value"))).where(F.col("k") <= n)
     return ranked.groupBy("column").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "value"))), lambda x: x["value"]).alias("top_values"))
 
 
@@ -102,16 +106,56 @@ def spreadsheet_types(df: DataFrame) -> dict[str, str]:
     return {c: "INT" if row[f"i{i}"] else "FLOAT" if row[f"f{i}"] else "NVARCHAR(255)" for i, c in enumerate(df.columns)}
 
 
+#: Fixed value: texts that may be longer are no keys.
+WIDEST_KEY = 200
+
+
+def may_be_key(kind: str) -> bool:
+    """Neither a float, nor a decimal with a scale, nor a wide text."""
+    scaled = kind.startswith("DECIMAL") and not kind.endswith(",0)")
+    wide = kind.startswith("NVARCHAR") and kind[9:-1].isdigit() and int(kind[9:-1]) > WIDEST_KEY
+    return kind != "FLOAT" and not scaled and not wide
+
+
 def key_candidates(profiled: DataFrame, types: dict[str, str]) -> list[tuple[str, int]]:
-    """Unique columns and their score, best first; reads one row a column."""
+    """Columns without nulls or repeated values that may be keys, and their score, best first; reads one row a column."""
     out = []
     for r in profiled.where("is_unique").collect():
-        name = r.column.lower()
-        score = 10 + 100 * (name == "id") + 60 * name.endswith("_id") + 50 * ("guid" in name) + 20 * (types[r.column] in ("INT", "BIGINT", "SMALLINT", "TINYINT")) + 15 * (types[r.column] == "UNIQUEIDENTIFIER")
-        out.append((r.column, score))
+        kind, name = types[r.column], r.column.strip().lower()
+        if may_be_key(kind):
+            points = {100: name == "id", 60: name.endswith("id") and name != "id", 50: "guid" in name or "uuid" in name, 20: kind in ("TINYINT", "SMALLINT", "INT", "BIGINT"), 15: kind == "UNIQUEIDENTIFIER"}
+            out.append((r.column, 10 + sum(n for n, holds in points.items() if holds)))
     return sorted(out, key=lambda x: (-x[1], x[0]))
 
 
+def report_rows(df: DataFrame, name: str, order: str) -> DataFrame:
+    """section, line_no, line: an exploration report on a table as rows; ``line`` is Markdown, so the lines in order are the report.
+
+    Its input is the profile, a row a column, and the first values by ``order`` as examples."""
+    spark = df.sparkSession
+    profiled, types = profile(df).collect(), infer_types(df)
+    by_name = {r.column: r for r in profiled}
+    rows = max((r.rows for r in profiled), default=0)
+    keys = [c for c, _ in key_candidates(spark.createDataFrame(profiled, profile(df.limit(0)).schema), types)] if profiled else []
+    first = df.orderBy(order).limit(5).select(*[as_text(df, c).alias(c) for c in df.columns]).collect()
+    escape = lambda x: str(x).replace("|", "\\|").replace("\n", " ").strip()
+    ranged = ("TINYINT", "SMALLINT", "INT", "BIGINT", "DECIMAL", "FLOAT", "DATETIME2")
+    lines = [("overview", f"# EDA Notes: {name}"), ("overview", f"- Rows: **{rows:,}**"), ("overview", f"- Columns: **{len(df.columns):,}**"), ("overview", f"- Primary key (chosen / suggested): **{keys[0]}**" if keys else "- Primary key: **(none)**")]
+    lines += [("columns", "| Column | Type | Nullable | Missing % | Distinct | Example values | Notes |"), ("columns", "|---|---:|:---:|---:|---:|---|---|")]
+    for c in df.columns:
+        r = by_name[c]
+        notes = ["PK candidate"] * (c in keys) + [f"max_len={r.max_length}"] * (r.max_length is not None) + [f"min={r.min_value}", f"max={r.max_value}"] * (r.min_value is not None and types[c].startswith(ranged))
+        examples = ", ".join(dict.fromkeys(str(x[c]) for x in first if x[c] is not None))
+        lines.append(("columns", f"| `{escape(c)}` | {types[c]} | {'YES' if r.missing else 'NO'} | {100 * r.missing / max(rows, 1):.2f}% | {r.distinct_values:,} | {escape(examples)} | {escape('; '.join(notes))} |"))
+    for r in sorted(profiled, key=lambda r: (-r.missing, r.column)):
+        if rows and r.missing >= 0.5 * rows:
+            lines.append(("quality", f"- `{r.column}`: {100 * r.missing / rows:.1f}% missing"))
+    lines += [("quality", f"- `{r.column}` has one value (e.g., `{escape(r.min_value)}`)") for r in (by_name[c] for c in df.columns) if r.distinct_values == 1]
+    lines.append(("quality", f"- Duplicate rows (exact): **{duplicate_rows(df).first()[0]:,}**"))
+    lines.append(("quality", f"- Candidate key columns: {', '.join(f'`{c}`' for c in keys) or '*(none found by heuristics)*'}"))
+    return spark.createDataFrame([(s, k, x) for k, (s, x) in enumerate(lines, 1)], "section string, line_no int, line string")
+
+
 def cluster_advice(profiled: DataFrame, key: str | None = None) -> DataFrame:
     """Columns worth clustering or bucketing by: present in most rows, neither constant nor unique."""
     share = F.col("distinct_values") / F.col("rows")

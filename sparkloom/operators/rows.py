@@ -74,6 +74,18 @@ def header_problems(names: list[str]) -> list[str]:
     return found
 
 
+def header_problem_list(names: Column) -> Column:
+    """The same for heads of files as arrays, a row a file."""
+    plain = F.transform(names, lambda x: F.trim(F.coalesce(x, F.lit(""))))
+    unnamed = lambda x: (x == "") | F.lower(x).startswith("unnamed") | x.rlike("^_c[0-9]+$")
+
+    def problem(x: Column, k: Column) -> Column:
+        before = F.exists(F.slice(plain, F.lit(1), k), lambda y: F.lower(y) == F.lower(x))
+        return F.when(unnamed(x), F.concat(F.lit("column "), (k + 1).cast("string"), F.lit(" has no name"))).when(before, F.concat(x, F.lit(" is there twice")))
+
+    return F.filter(F.transform(plain, problem), lambda x: x.isNotNull())
+
+
 def expected_vs_actual(expected: DataFrame, actual: DataFrame, validation_id: int, run_at: str) -> DataFrame:
     """One row for the log of runs: status, rows only in either result."""
     lack = expected.exceptAll(actual).agg(F.count(F.lit(1)).alias("missing_rows"))

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.spread import join_counted
+
 
 def split_rows(df: DataFrame, n: int, k: int, order_by: list[str]) -> DataFrame:
     """Chunk ``k`` of ``n`` even ones in order, as NTILE numbers them.
@@ -20,21 +22,31 @@ def split_rows(df: DataFrame, n: int, k: int, order_by: list[str]) -> DataFrame:
     return numbered.where(F.col("_row").between(low + 1, low + size + (k <= more))).drop("_row")
 
 
-def with_row_number(df: DataFrame, order_by: list[str], parts: int = 64) -> DataFrame:
-    """``df`` with _row, its number from 1 in the order (nulls first), by ranges of all order columns and their
-    counts. The bounds of the ranges come from a bounded random sample; they only decide how even the work is."""
+def in_ranges(df: DataFrame, order_by: list[str], parts: int = 64) -> DataFrame:
+    """``df`` with _bucket, its range of the order columns (nulls first). The bounds of the ranges come from a
+    bounded random sample; they only decide how even the work is."""
     keys = F.struct(*order_by)
     sample = sorted_sample(df.select(*order_by), order_by, parts * 32)
     bounds = [sample[len(sample) * i // parts] for i in range(1, parts)] if sample else []
     kinds = [df.schema[c].dataType for c in order_by]
     fixed = [F.struct(*[F.lit(v).cast(k).alias(c) for c, v, k in zip(order_by, b, kinds, strict=True)]) for b in dict.fromkeys(map(tuple, bounds))]
-    bucket = F.size(F.filter(F.array(*fixed), lambda b: b < keys)) if fixed else F.lit(0)
-    ranged = df.withColumn("_bucket", bucket)
-    sizes = ranged.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    return df.withColumn("_bucket", F.size(F.filter(F.array(*fixed), lambda b: b < keys)) if fixed else F.lit(0))
+
+
+def running(df: DataFrame, order_by: list[str], value: Column, name: str, parts: int = 64) -> DataFrame:
+    """``df`` with the sum of ``value`` up to and with each row in the order: within ranges, to which the sums of
+    the ranges before are added; so no task sees the whole table."""
+    ranged = in_ranges(df, order_by, parts)
+    sums = ranged.groupBy("_bucket").agg(F.sum(value).alias("_n"))  # one row a range
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select("_bucket", before.alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order_by))
-    return ranged.withColumn("_own", own).join(F.broadcast(sizes), "_bucket").withColumn("_row", F.col("_before") + F.col("_own")).drop("_bucket", "_own", "_before")
+    sums = sums.select("_bucket", before.alias("_before"))
+    own = F.sum(value).over(Window.partitionBy("_bucket").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn("_own", own).join(F.broadcast(sums), "_bucket").withColumn(name, F.col("_before") + F.col("_own")).drop("_bucket", "_own", "_before")
+
+
+def with_row_number(df: DataFrame, order_by: list[str], parts: int = 64) -> DataFrame:
+    """``df`` with _row, its number from 1 in the order (nulls first)."""
+    return running(df, order_by, F.lit(1).cast("long"), "_row", parts)
 
 
 def sorted_sample(df: DataFrame, order_by: list[str], n: int) -> list:
@@ -77,10 +89,11 @@ def find_peaks(df: DataFrame, by: list[str], order: str, value: str, refine: boo
 
 
 def number_first_seen(df: DataFrame, key: str, order: str, start: int = 1) -> DataFrame:
-    """number: keys numbered by first appearance; repeated keys keep their number. One row a key is numbered at once."""
-    first = df.groupBy(key).agg(F.min(order).alias("_first"))
-    first = first.withColumn("number", F.row_number().over(Window.orderBy("_first", key)) + (start - 1)).drop("_first")
-    return df.join(first, key)
+    """number: keys numbered by first appearance; repeated keys keep their number. Rows of frequent keys stay where they are."""
+    first = df.groupBy(key).agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    total = df.count()
+    numbered = with_row_number(first, ["_first", key]).select(key, (F.col("_row") + (start - 1)).cast("int").alias("number"), "_rows")
+    return join_counted(df, numbered, [key], "_rows", total)
 
 
 def range_labels(df: DataFrame, by: list[str], order: str, chapter: str, verse: str) -> DataFrame:
@@ -103,9 +116,14 @@ def segments(cuts: DataFrame, by: list[str], end: str, resume: str, total: Colum
     return out.withColumn("segment_end", F.greatest("segment_start", "_close")).drop("_close", "_reopen")
 
 
+def md5_draw(*parts: Column | str) -> Column:
+    """0 to 2**32 - 1 from the first 32 bits of an MD5 over the parts joined by colons, which other engines have as well."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts])), 1, 8), 16, 10).cast("long")
+
+
 def running_offset(df: DataFrame, by: list[str], order: str, low: float, high: float, seed: int = 1) -> DataFrame:
     """offset: the sum of the steps of the rows before, each drawn from [low, high) by a hash of its key."""
-    draw = F.pmod(F.xxhash64(F.lit(seed), *by, order), F.lit(1_000_000)) / 1_000_000.0
+    draw = md5_draw(F.lit(seed), *by, order) % 1_000_000 / 1_000_000.0
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn("_step", low + draw * (high - low)).withColumn("offset", F.coalesce(F.sum("_step").over(w), F.lit(0.0))).drop("_step")
 
@@ -122,7 +140,7 @@ def pace(df: DataFrame, by: list[str], order: str, due: str, step: int, last: in
 
 def sample_exact(df: DataFrame, n: int, key: list[str], seed: int = 1) -> DataFrame:
     """Exactly ``n`` rows, each as likely as any other, the same ones on each run; a top-k that each task bounds."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(n)
+    return df.orderBy(md5_draw(F.lit(seed), *key), *key).limit(n)
 
 
 def top_with_fallback(df: DataFrame, by: list[str], score: str, order: list, share: float = 0.05, least: int = 3, fallback: int = 10) -> DataFrame:

@@ -2,24 +2,53 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import name_prefix, strip_sql_comments
 from sparkloom.operators.sequence import with_row_number
+from sparkloom.operators.spread import join_counted
+
+
+def mention_edges(texts: DataFrame, names: DataFrame, reverse: bool = False, block: int = 100_000) -> DataFrame:
+    """parent, child: which code mentions which name, anywhere in it and in any case. texts: name, body; names: name.
+
+    An automaton of all names reads each text once; it is sent to the tasks, and more than ``block`` names go in
+    several passes over the texts. A mention of itself, or of a name that its own contains, is no edge."""
+    known = names.select("name", F.lower("name").alias("low")).where("low != ''").distinct()
+    n = known.count()
+    body = texts.select("name", F.lower(strip_sql_comments(F.col("body"))).alias("body")).where("body is not null")
+    out = None
+    for part in range(-(-n // block)):
+        rows = known.where(F.pmod(F.xxhash64("low"), F.lit(-(-n // block))) == part).collect()
+        found = body.mapInArrow(mentions(rows), "parent string, child string")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = body.select(F.col("name").alias("parent"), F.col("body").alias("child")).where("false")
+    edges = out.where("not contains(lower(parent), lower(child))").distinct()
+    return edges.select(F.col("child").alias("parent"), F.col("parent").alias("child")) if reverse else edges
 
 
+def mentions(rows: list) -> Callable:
+    """A task that finds names, each with its lower case, in texts."""
+    spelled: dict[str, list[str]] = {}
+    for name, low in rows:
+        spelled.setdefault(low, []).append(name)
 
-def mention_edges(texts: DataFrame, names: DataFrame, reverse: bool = False) -> DataFrame:
-    """parent, child: which code mentions which name. texts: name, body; names: name.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for low, as_named in spelled.items():
+            automaton.add_word(low, as_named)
+        automaton.make_automaton()
+        for b in batches:
+            edges = [(name, child) for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for child in {c for _, cs in automaton.iter(text) for c in cs}]
+            yield pa.RecordBatch.from_pydict({"parent": pa.array([a for a, _ in edges], pa.string()), "child": pa.array([c for _, c in edges], pa.string())})
 
-    Words of the code are joined with the names, so no text meets every name. A mention of itself, or of a
-    name that its own contains, is no edge."""
-    body = F.lower(strip_sql_comments(F.col("body")))
-    found = texts.select("name", F.explode(F.array_distinct(F.regexp_extract_all(body, F.lit(r"\w+(?:\.\w+)*"), F.lit(0)))).alias("_word"))
-    known = names.select(F.col("name").alias("child"), F.lower("name").alias("_word")).distinct()
-    edges = found.join(known, "_word").where("lower(name) != _word and not contains(lower(name), _word)").select(F.col("name").alias("parent"), "child").distinct()
-    return edges.select(F.col("child").alias("parent"), F.col("parent").alias("child")) if reverse else edges
+    return run
 
 
 def roots(edges: DataFrame) -> DataFrame:
@@ -31,18 +60,17 @@ def group_roots(edges: DataFrame, style: str = "_") -> DataFrame:
     return roots(edges).select(name_prefix(F.col("parent"), style).alias("parent"), F.col("parent").alias("child")).where("parent != child").distinct()
 
 
-def expand(edges: DataFrame, tops: DataFrame, max_depth: int = 50) -> DataFrame:
-    """root, node, depth, path (an array) of every path from the tops; a node on its own path ends it."""
+def expand(edges: DataFrame, tops: DataFrame) -> DataFrame:
+    """root, node, depth, path (an array) of every path from the tops; a node on its own path ends it. As many rounds as levels."""
     level = tops.select(F.col("parent").alias("root"), F.col("parent").alias("node"), F.lit(0).alias("depth"), F.array("parent").alias("path"))
     out = level
-    for _ in range(max_depth):
+    while True:
         level = level.join(edges, level["node"] == edges["parent"]).where(~F.array_contains("path", F.col("child"))).select(
             "root", F.col("child").alias("node"), (F.col("depth") + 1).alias("depth"), F.array_append("path", F.col("child")).alias("path")
         ).checkpoint()
         if level.isEmpty():
-            break
+            return out
         out = out.unionByName(level)
-    return out
 
 
 def insert_groups(edges: DataFrame, pattern: str, prefix: Column, label: str = "Courses", min_children: int = 1, min_types: int = 1) -> DataFrame:
@@ -60,15 +88,16 @@ def insert_groups(edges: DataFrame, pattern: str, prefix: Column, label: str = "
     return lower.unionByName(names.select("parent", F.col("_g").alias("child")))
 
 
-def indent_to_edges(df: DataFrame, line_no: str, text: str, by: list[str] = (), max_depth: int = 20) -> DataFrame:
-    """line_no, name, depth, parent_line from leading tabs: the last line before it that is one less deep."""
+def indent_to_edges(df: DataFrame, line_no: str, text: str, by: list[str] = ()) -> DataFrame:
+    """name, depth, parent_line from leading tabs: the last line before it that is one less deep, whatever the depth.
+
+    Each line is there twice, as a parent at its depth and as a child at the depth above."""
     depth = F.char_length(F.regexp_extract(text, "^(\t*)", 1))
-    w = Window.partitionBy(*by).orderBy(line_no).rowsBetween(Window.unboundedPreceding, -1)
     out = df.withColumns({"depth": depth, "name": F.trim(F.translate(text, "\t", " "))})
-    parent = F.lit(None).cast(dict(df.dtypes)[line_no])
-    for d in range(1, max_depth + 1):
-        parent = F.when(F.col("depth") == d, F.last(F.when(F.col("depth") == d - 1, F.col(line_no)), ignorenulls=True).over(w)).otherwise(parent)
-    return out.withColumn("parent_line", parent)
+    ends = F.array(F.struct(F.col("depth").alias("at"), F.col(line_no).alias("parent")), F.struct((F.col("depth") - 1).alias("at"), F.lit(None).cast(df.schema[line_no].dataType).alias("parent")))
+    both = out.withColumn("_end", F.explode(ends))
+    w = Window.partitionBy(*by, "_end.at").orderBy(line_no).rowsBetween(Window.unboundedPreceding, -1)
+    return both.withColumn("parent_line", F.last("_end.parent", ignorenulls=True).over(w)).where(F.col("_end.at") < F.col("depth")).drop("_end")
 
 
 def zip_lists(a: DataFrame, b: DataFrame, order: str) -> DataFrame:
@@ -93,36 +122,48 @@ def level_rows(df: DataFrame, levels: list[str]) -> DataFrame:
     return out.distinct()
 
 
-def closure(nodes: DataFrame, node: str, parent: str, max_depth: int = 60) -> DataFrame:
-    """ancestor, node, distance of all pairs, each node being its own at distance 0."""
-    up = nodes.select(F.col(node).alias("_n"), F.col(parent).alias("_p")).where("_p is not null")
-    level = nodes.select(F.col(node).alias("ancestor"), F.col(node).alias("node"), F.lit(0).alias("distance"))
-    out = level
-    for _ in range(max_depth):
-        level = level.join(up, level["ancestor"] == up["_n"]).select(F.col("_p").alias("ancestor"), "node", (F.col("distance") + 1).alias("distance")).checkpoint()
-        if level.isEmpty():
-            return out
-        out = out.unionByName(level)
-    raise ValueError("deeper than allowed, or a cycle")
-
-
 def span_self_time(spans: DataFrame, node: str, parent: str, elapsed: str) -> DataFrame:
     """node, total, self_time, percent: a span without time takes the longest below it; its own time is what
-    the longest below leaves, 0 at least; percent is of the longest of all."""
-    below = closure(spans, node, parent).where("distance > 0").join(spans.select(F.col(node).alias("node"), F.col(elapsed).alias("_e")), "node")
-    longest = below.groupBy("ancestor").agg(F.max("_e").alias("_below"))
-    out = spans.join(longest, F.col(node) == F.col("ancestor"), "left").withColumn("_b", F.coalesce("_below", F.lit(0)))
+    the longest below leaves, 0 at least; percent is of the longest of all. A cycle is an error.
+
+    The longest of a span and all below it climbs by doubling: each round joins a span with what it knows of the one
+    twice as far above, so rounds grow with the logarithm of the depth and there is a row a span."""
+    state = spans.select(F.col(node).alias("n"), F.col(parent).alias("up"), F.coalesce(F.col(elapsed), F.lit(0)).alias("most")).checkpoint()
+    rounds, most = 0, state.count().bit_length() + 1
+    while True:
+        rising = state.where("up is not null").groupBy("up").agg(F.max("most").alias("below"), F.count(F.lit(1)).alias("rows")).checkpoint()
+        if rising.isEmpty():
+            break
+        if (rounds := rounds + 1) > most:
+            raise ValueError("the spans go in a circle")
+        above = rising.join(state.select("n", F.col("up").alias("next")), F.col("up") == F.col("n"), "left").select("up", "next", "rows")
+        known = state.join(rising.select(F.col("up").alias("n"), "below"), "n", "left").select("n", "up", F.greatest("most", F.coalesce("below", "most")).alias("most"))
+        climbed = join_counted(known.where("up is not null"), above, ["up"], "rows", 1 << (most - 2)).select("n", F.col("next").alias("up"), "most")
+        state = climbed.unionByName(known.where("up is null")).checkpoint()
+    below = spans.select(F.col(node).alias("n"), F.col(parent).alias("p")).where("p is not null").join(state.select("n", "most"), "n").groupBy("p").agg(F.max("most").alias("_below"))
+    out = spans.join(below, F.col(node) == F.col("p"), "left").withColumn("_b", F.coalesce("_below", F.lit(0)))
     total = F.when(F.coalesce(F.col(elapsed), F.lit(0)) == 0, F.col("_b")).otherwise(F.col(elapsed))
     out = out.select(F.col(node).alias("node"), total.alias("total"), F.greatest(F.lit(0), total - F.col("_b")).alias("self_time"))
-    most = out.agg(F.max("total").alias("_most"))
-    return out.join(F.broadcast(most), F.lit(True)).withColumn("percent", F.try_divide(F.col("self_time") * 100.0, F.col("_most"))).drop("_most")
+    longest = out.agg(F.max("total").alias("_most"))
+    return out.join(F.broadcast(longest), F.lit(True)).withColumn("percent", F.try_divide(F.col("self_time") * 100.0, F.col("_most"))).drop("_most")
 
 
 def collapse_tree(nodes: DataFrame, node: str, parent: str, keep: Column) -> DataFrame:
-    """parent, child: kept nodes below their nearest kept ancestor."""
-    kept = nodes.where(keep).select(F.col(node).alias("_k"))
-    pairs = closure(nodes, node, parent).where("distance > 0").join(kept, F.col("ancestor") == F.col("_k")).drop("_k").join(kept, F.col("node") == F.col("_k")).drop("_k")
-    return pairs.groupBy(F.col("node").alias("child")).agg(F.min_by("ancestor", "distance").alias("parent"))
+    """parent, child: kept nodes below their nearest kept ancestor. A cycle is an error.
+
+    Each node points at its parent; as long as that isn't kept, at what that points at, so the way halves each round."""
+    state = nodes.select(F.col(node).alias("n"), F.col(parent).alias("up"), F.coalesce(keep, F.lit(False)).alias("kept")).checkpoint()
+    rounds, most = 0, state.count().bit_length() + 1
+    while True:
+        above = state.where("up is not null").groupBy("up").agg(F.count(F.lit(1)).alias("rows"))
+        above = above.join(state.select("n", F.col("up").alias("further"), F.col("kept").alias("stop")), F.col("up") == F.col("n"), "left")
+        above = above.select("up", "rows", F.when(F.col("stop"), F.col("up")).otherwise(F.col("further")).alias("next")).checkpoint()
+        if above.where("not up <=> next").isEmpty():
+            return state.where("kept and up is not null").select(F.col("up").alias("parent"), F.col("n").alias("child"))
+        if (rounds := rounds + 1) > most:
+            raise ValueError("the nodes go in a circle")
+        moved = join_counted(state.where("up is not null"), above, ["up"], "rows", 1 << (most - 2)).select("n", F.col("next").alias("up"), "kept")
+        state = moved.unionByName(state.where("up is null")).checkpoint()
 
 
 def node_counters(threads: DataFrame) -> DataFrame:

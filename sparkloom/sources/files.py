@@ -12,12 +12,16 @@ from pyspark.sql import types as T
 
 from sparkloom.operators.sequence import with_row_number
 
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a local one only where none is set."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``). A session on one machine may have none and gets a
+    local one; a cluster must name its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         context = spark.sparkContext
         if not context.getCheckpointDir():
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
         folder = context.getCheckpointDir()
     return folder.rstrip("/")
@@ -140,8 +144,9 @@ def load_vectors(spark: SparkSession, path: str, text: bool = False) -> DataFram
     if not text:
         return spark.read.parquet(path)
     parts = F.split(F.trim("value"), " ")
-    rows = spark.read.text(path).select(parts.alias("p")).where(F.size("p") > 2)  # not the head with two numbers
-    return rows.select(F.col("p")[0].alias("word"), F.transform(F.slice("p", 2, 1_000_000), lambda x: x.cast("float")).alias("vec"))
+    head = F.size("p").eqNullSafe(2) & F.col("p")[0].rlike(r"^\d+$") & F.col("p")[1].rlike(r"^\d+$")  # two whole numbers
+    rows = spark.read.text(path).select(parts.alias("p")).where((F.size("p") > 1) & ~head)
+    return rows.select(F.col("p")[0].alias("word"), F.transform(F.slice("p", F.lit(2), F.size("p") - 1), lambda x: x.cast("float")).alias("vec"))
 
 
 def save_vocab(df: DataFrame, path: str) -> None:

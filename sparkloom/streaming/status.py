@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import heapq
+import itertools
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sparkloom.operators.sequence import md5_draw
 from sparkloom.sources.files import shared_folder
 
 
@@ -48,13 +51,35 @@ def window_failures(events: DataFrame, key: str, ts: str, ok: Column, width: str
     return counted.where(F.col("failures") > more_than).select(F.col("w.start").alias("window_start"), key, "failures")
 
 
-def window_sample(events: DataFrame, ts: str, row_id: str, k: int = 100, width: str = "1 hour", late: str = "1 hour", seed: int = 1) -> DataFrame:
-    """window_start, slot, ``row_id``: at most ``k`` rows of each window, one for each of ``k`` slots that rows fall into
-    by hash; of a slot the row with the least second hash stays. State is one row a slot, and reruns agree."""
-    slot = F.pmod(F.xxhash64(row_id, F.lit(seed)), F.lit(k)).alias("slot")
-    rank = F.struct(F.xxhash64(row_id, F.lit(seed + 1)), F.col(row_id))
-    kept = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), slot).agg(F.min_by(row_id, rank).alias(row_id))
-    return kept.select(F.col("w.start").alias("window_start"), "slot", row_id)
+def window_sample(events: DataFrame, ts: str, row_id: str, k: int = 100, width: str = "1 hour", late: str = "1 hour", seed: int = 1, parts: int = 16) -> DataFrame:
+    """window_start, draw, ``row_id`` (as text): of each window that the watermark has passed, in each of ``parts`` parts of its
+    rows the ``k`` with the least MD5 draws; ``cut_sample`` makes of these the sample. State is k numbers and ids a part, so a
+    window of many rows is no task's alone, and reruns agree."""
+    timed = events.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", late)
+    part = F.pmod(F.xxhash64(row_id), F.lit(parts)).alias("part")
+    slim = timed.select("_ts", F.window("_ts", width)["start"].alias("w"), F.window("_ts", width)["end"].alias("e"), part, md5_draw(F.lit(seed), row_id).alias("draw"), F.col(row_id).cast("string").alias("id"))
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        draws, ids = state.get if state.exists else ([], [])
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"window_start": [key[0]] * len(ids), "draw": draws, row_id: ids})
+            return
+        least, end = list(zip(draws, ids, strict=True)), None
+        for b in batches:
+            least = heapq.nsmallest(k, itertools.chain(least, zip(b["draw"].tolist(), b["id"].tolist(), strict=True)))
+            end = b["e"].max()
+        state.update(([d for d, _ in least], [i for _, i in least]))
+        state.setTimeoutTimestamp(max(int(end.value // 1_000_000) - 1, state.getCurrentWatermarkMs() + 1))
+
+    out, kept = f"window_start timestamp, draw long, {row_id} string", "draws array<long>, ids array<string>"
+    return slim.groupBy("w", "part").applyInPandasWithState(step, out, kept, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def cut_sample(found: DataFrame, row_id: str, k: int = 100) -> DataFrame:
+    """window_start, ``row_id``: a uniform sample of ``k`` rows of each window, or all if it has fewer."""
+    w = Window.partitionBy("window_start").orderBy("draw", row_id)
+    return found.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k).select("window_start", row_id)
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:
