@@ -388,9 +388,9 @@ def w12_segments(spark, sf_dir):
 
 
 @query("""SELECT o_orderkey, round(coalesce(sum(10 + ('0x' || substr(md5('1:' || o_custkey || ':' || o_orderkey), 1, 8))::BIGINT % 1000000 / 1000000.0 * 10)
-    OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE, 3) AS "offset" FROM orders""")
+    OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE, 5) AS "offset" FROM orders""")
 def w13_running_offset(spark, sf_dir):
-    return sq.running_offset(t(spark, sf_dir, "orders"), ["o_custkey"], "o_orderkey", 10.0, 20.0).select("o_orderkey", F.round("offset", 3).alias("offset"))
+    return sq.running_offset(t(spark, sf_dir, "orders"), ["o_custkey"], "o_orderkey", 10.0, 20.0).select("o_orderkey", F.round("offset", 5).alias("offset"))
 
 
 @query("""WITH i AS (SELECT o_orderkey, o_custkey, row_number() OVER w - 1 AS i, o_totalprice FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))

@@ -397,15 +397,15 @@ def s1_s6_csv_round_trip(spark, sf_dir):
     return files.read_csv(spark, path, encoding="utf-8")
 
 
-@query("SELECT source, md5(string_agg(text, chr(10) || chr(10) ORDER BY doc_id)) AS corpus FROM documents GROUP BY 1")
+@query("SELECT source, md5(string_agg(text, chr(10) || chr(10) ORDER BY doc_id % 4, doc_id)) AS corpus FROM documents GROUP BY 1")
 def s11_corpus(spark, sf_dir):
-    """Texts written a file each, read again as one corpus a source."""
+    """Texts written to four files a source, read again as one corpus a source."""
     path = f"{files.shared_folder(spark)}/texts-{uuid.uuid4().hex}"
-    d = t(spark, sf_dir, "documents").select("source", F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("doc"), F.col("text").alias("value"))
-    d.write.partitionBy("source", "doc").option("lineSep", "\x00").text(path)
-    read = files.read_corpus(spark, [path])
-    named = read.select(F.regexp_extract("path", "source=([^/]+)/", 1).alias("source"), F.regexp_extract("path", "doc=([^/]+)/", 1).alias("doc"), F.rtrim(F.col("text"), F.lit("\x00")).alias("text"))
-    return ag.list_agg(named, ["source"], F.col("text"), F.col("doc"), "\n\n", "corpus").select("source", F.md5("corpus").alias("corpus"))
+    d = t(spark, sf_dir, "documents").withColumn("part", F.col("doc_id") % 4)
+    parts = ag.list_agg(d, ["source", "part"], F.col("text"), F.col("doc_id"), "\n\n", "value")
+    parts.write.partitionBy("source", "part").option("lineSep", "\x00").text(path)
+    named = files.read_corpus(spark, [path]).select(F.regexp_extract("path", "source=([^/]+)/", 1).alias("source"), F.regexp_extract("path", "part=([^/]+)/", 1).alias("part"), F.rtrim(F.col("text"), F.lit("\x00")).alias("text"))
+    return ag.list_agg(named, ["source"], F.col("text"), F.col("part"), "\n\n", "corpus").select("source", F.md5("corpus").alias("corpus"))
 
 
 @query("SELECT o_custkey AS batch, o_orderkey AS record_id, 'record ' || o_orderkey AS name FROM orders")
@@ -493,7 +493,7 @@ def e8_huffman(spark, sf_dir):
 @query()
 def e9_train_vectors(spark, sf_dir):
     d = t(spark, sf_dir, "documents")
-    return embed.train(vectors.words(d, "doc_id", "text"), "doc_id", vectors.vocab(vectors.line_words(d, "doc_id", "text"), 5))
+    return embed.train(vectors.words(d, "doc_id", "text"), "doc_id", vectors.vocab(vectors.line_words(d, "doc_id", "text"), 5), epochs=1)
 
 
 @query("""WITH u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS u FROM embeddings WHERE vec_id < 30000),
