@@ -52,6 +52,8 @@ class ByChunk:
 
     Ids of chunks stay in the worker's memory, up to CACHED_CHUNKS."""
 
+    width = 4
+
     def __init__(self):
         self.ids: dict[str, bytes] = {}
 
@@ -59,7 +61,7 @@ class ByChunk:
         raise NotImplementedError
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+        """Ids of each text as little-endian unsigned integers of ``width`` bytes."""
         if len(self.ids) > CACHED_CHUNKS:
             self.ids = {}
         cut = [(SPACE.split(t) if SEPARATOR.search(t) else t.split()) if t else [] for t in texts]
@@ -101,8 +103,9 @@ class LibraryEncoder(ByChunk):
 
     Latin letters alone are one word each, and of a word only the last token ends it, so many go as one text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, width: int = 4):
         super().__init__()
+        self.width = width
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -117,14 +120,14 @@ class LibraryEncoder(ByChunk):
         texts = [words[at : at + 500] for at in range(0, len(words), 500)]
         for some, e in zip(texts, self.tokenizer.encode_batch_fast([" ".join(x) for x in texts], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
-            upto = np.concatenate([[0], 4 * (np.flatnonzero(self.ends[ids]) + 1)]).tolist()
-            raw = ids.tobytes()
+            upto = np.concatenate([[0], self.width * (np.flatnonzero(self.ends[ids]) + 1)]).tolist()
+            raw = ids.astype(f"<u{self.width}").tobytes()
             self.ids.update(zip(some, [raw[a:z] for a, z in zip(upto, upto[1:], strict=False)], strict=True))
         rest = [c for c in chunks if c not in self.ids]
         for at in range(0, len(rest), 20_000):
             some = rest[at : at + 20_000]
             for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.ids[c] = array("I", e.ids).tobytes()
+                self.ids[c] = array("I" if self.width == 4 else "H", e.ids).tobytes()
 
 
 class WordBpe(ByChunk):

@@ -9,7 +9,8 @@ A folder has files and a manifest, a Parquet table that Spark commits as a whole
 again writes another file; only files that the manifest names count.
 
 Defined results: a null text counts as empty; the end id alone makes its frame; a null ``doc_id`` sorts
-before all others; repeated rows give repeated frames; no rows give an empty manifest and no rows."""
+before all others; very long texts make one long frame; repeated rows give repeated frames; extra columns, of
+any name, aren't looked at; no rows give an empty manifest and no rows."""
 
 from __future__ import annotations
 
@@ -28,6 +29,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from sparkloom.llm.bpe import WORD_BPE, LibraryEncoder
 from sparkloom.llm.common import slices
@@ -43,9 +45,14 @@ MANIFEST = "file string, first_id long, last_id long, n_docs long, n_tokens long
 
 
 @functools.cache
-def library(path: str) -> LibraryEncoder:
+def library(path: str, width: int) -> LibraryEncoder:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task a core
-    return LibraryEncoder(path)
+    return LibraryEncoder(path, width)
+
+
+@functools.cache
+def id_width(path: str, end_id: int | None) -> int:
+    return 2 if max(Tokenizer.from_file(path).get_vocab_size(), end_id or 0) < 1 << 16 else 4
 
 
 class FileWriter:
@@ -57,11 +64,10 @@ class FileWriter:
         self.doc_ids = bytearray()
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
-        """ids: unsigned 32-bit integers."""
-        content = ids if self.width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
-        frame = self.compressor.compress(content)
+        """ids: unsigned integers of ``width`` bytes."""
+        frame = self.compressor.compress(ids)
         self.out.write(frame)
-        self.entries += struct.pack("<III", len(frame), len(content), xxhash.xxh64_intdigest(content) & 0xFFFFFFFF)
+        self.entries += struct.pack("<III", len(frame), len(ids), xxhash.xxh64_intdigest(ids) & 0xFFFFFFFF)
         self.doc_ids += struct.pack("<q", NO_ID if doc_id is None else doc_id)
 
     def finish(self) -> None:
@@ -103,12 +109,12 @@ class FileReader:
 def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end_id: int | None = 1) -> None:
     """Encode ``docs(doc_id, text)`` and write token files in ascending order of doc_id to ``folder``."""
     path = path or public_tokenizers.path(WORD_BPE)
-    end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pyarrow.fs.FileSystem.from_uri(folder)
-        width = 2 if max(library(path).tokenizer.get_vocab_size(), end_id or 0) < 1 << 16 else 4
-        encoder, writer, name, first, last, tokens, n = library(path), None, f"{uuid.uuid4().hex}.ids.zst", None, None, 0, 0
+        width = id_width(path, end_id)
+        end = b"" if end_id is None else int(end_id).to_bytes(width, "little")
+        encoder, writer, name, first, last, tokens, n = library(path, width), None, f"{uuid.uuid4().hex}.ids.zst", None, None, 0, 0
         for b in slices(batches):
             for doc_id, ids in zip(b.column(0).to_pylist(), encoder.encode_batch(b.column(1).to_pylist()), strict=True):
                 if writer is None:
@@ -116,7 +122,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
                     out = fs.open_output_stream(f"{base}/{name}", compression=None)
                     writer, first = FileWriter(out, width), doc_id
                 writer.add(doc_id, ids + end)
-                tokens, last, n = tokens + len(ids + end) // 4, doc_id, n + 1
+                tokens, last, n = tokens + (len(ids) + len(end)) // width, doc_id, n + 1
         if writer:
             writer.finish()
             out.close()
