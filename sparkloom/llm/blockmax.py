@@ -36,13 +36,15 @@ def expanded(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def groups_of(matrix: np.ndarray) -> np.ndarray:
     """A group of like rows for each row: a few rounds of spherical k-means from rows at even steps."""
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-    rows = matrix / np.where(norms > 0, norms, 1)
-    centres = rows[:: max(1, -(-len(rows) // GROUPS))].copy()
-    at = np.zeros(len(rows), int)
+    norms[norms == 0] = 1
+    step = max(1, -(-len(matrix) // GROUPS))
+    centres = matrix[::step] / norms[::step]
+    at = np.zeros(len(matrix), int)
     for _ in range(ROUNDS):
-        at = (rows @ centres.T).argmax(axis=1)
+        at = (matrix @ centres.T).argmax(axis=1)
         for k in range(len(centres)):
-            if (mean := rows[at == k].sum(axis=0)).any():
+            of = at == k
+            if (mean := (matrix[of] / norms[of]).sum(axis=0)).any():
                 centres[k] = mean / np.linalg.norm(mean)
     return at
 
@@ -55,27 +57,33 @@ class BlockMax:
         self.n, self.words = len(begins) - 1, words
         if not self.n:
             return
-        rows = np.repeat(np.arange(self.n), np.diff(begins))
+        rows = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(begins))
         df = np.bincount(columns, minlength=words)
         frequent = np.flatnonzero(df > FREQUENT * self.n)
         frequent = frequent[np.argsort(-df[frequent], kind="stable")][:MOST_FREQUENT]
-        self.slot = np.full(words, -1)
+        self.slot = np.full(words, -1, np.int32)
         self.slot[frequent] = np.arange(len(frequent))
-        often = self.slot[columns] >= 0
+        slot = self.slot[columns]
+        often = np.flatnonzero(slot >= 0)
         matrix = np.zeros((self.n, len(frequent)), np.float32)
-        matrix[rows[often], self.slot[columns[often]]] = weights[often]
+        matrix[rows[often], slot[often]] = weights[often]
+        del often
         self.order = np.lexsort((np.diff(begins), groups_of(matrix), kinds))
         self.blocks = -(-self.n // BLOCK)
-        padded = np.zeros((self.blocks * BLOCK, len(frequent)), np.float32)
-        padded[: self.n] = matrix[self.order]
-        self.entries = padded.reshape(self.blocks, BLOCK, -1).transpose(0, 2, 1).copy()
+        # each block is laid out by itself, so that no second copy of the whole is made
+        self.entries = np.zeros((self.blocks, len(frequent), BLOCK), np.float32)
+        for b in range(self.blocks):
+            part = matrix[self.order[b * BLOCK : (b + 1) * BLOCK]]
+            self.entries[b, :, : len(part)] = part.T
+        del matrix
         self.maxima = self.entries.max(axis=2).T.copy()
         place = np.empty(self.n, np.int32)
         place[self.order] = np.arange(self.n, dtype=np.int32)
-        at, columns, weights = place[rows[~often]], columns[~often], weights[~often]
-        listed = np.lexsort((at, columns))
-        self.at, self.listed = at[listed], weights[listed].astype(np.float32)
-        self.lists = np.concatenate([[0], np.cumsum(np.bincount(columns, minlength=words))])
+        rare = np.flatnonzero(slot < 0)
+        del slot
+        rare = rare[np.lexsort((place[rows[rare]], columns[rare]))]
+        self.at, self.listed = place[rows[rare]], weights[rare].astype(np.float32)
+        self.lists = np.concatenate([[0], np.cumsum(np.bincount(columns[rare], minlength=words))])
 
     def search(self, queries: list[Query], k: int | None = None, least: float = 1e-12) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query the cosines and positions of the ``k`` nearest of at least ``least``, or of all such:

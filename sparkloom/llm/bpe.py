@@ -10,7 +10,6 @@ input are not looked at; repeated rows give repeated rows; no rows give no rows.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import heapq
 import json
@@ -25,7 +24,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from sparkloom.llm.common import slices
+from sparkloom.llm.common import once_a_worker, slices
 
 WORD_BPE = "word_bpe_49k.json"
 #: Chunks whose ids a Python worker keeps; beyond it starts anew.
@@ -245,9 +244,8 @@ class WordBpe(ByChunk):
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@functools.cache
 def loaded(path: str) -> WordBpe:
-    return WordBpe(path)
+    return once_a_worker(("word bpe", path), lambda: WordBpe(path))
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -38,6 +38,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What a Python worker keeps from task to task.
+_kept: dict = {}
+
+
+def once_a_worker(name, make):
+    """What ``make`` gives, made once in a Python worker and kept until another operator needs the memory."""
+    if name not in _kept:
+        forget()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def forget() -> None:
+    _kept.clear()
+
+
 #: Of ``total`` rows, at most so many keys can each have more than a share of 1 in as many.
 HEAVY = 1024
 

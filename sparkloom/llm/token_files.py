@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sparkloom.llm.bpe import WORD_BPE, LibraryEncoder
-from sparkloom.llm.common import slices
+from sparkloom.llm.common import once_a_worker, slices
 
 # Fixed values of the public seekable format.
 SKIPPABLE = 0x184D2A5E
@@ -44,10 +44,9 @@ NO_ID = -(1 << 63)
 MANIFEST = "file string, first_id long, last_id long, n_docs long, n_tokens long"
 
 
-@functools.cache
 def library(path: str, width: int) -> LibraryEncoder:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task a core
-    return LibraryEncoder(path, width)
+    return once_a_worker(("library", path, width), lambda: LibraryEncoder(path, width))
 
 
 @functools.cache

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm.blockmax import BlockMax, Query
-from sparkloom.llm.common import slices
+from sparkloom.llm.common import forget, slices
 from sparkloom.llm.labelled import is_held_out, rising_fit, training_rows
 
 FOLDS, HELD_OUT, CUT = 5, 0, 0.5
@@ -51,9 +51,10 @@ def terms_of(text: str) -> list[str]:
 
 
 def unit(rows: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
-    """Entries ``x`` of ``n`` vectors, each made of length 1."""
+    """Entries ``x`` of ``n`` vectors, each made of length 1, in place."""
     norm = np.sqrt(np.bincount(rows, x * x, n))
-    return x / np.where(norm > 0, norm, 1)[rows]
+    x /= np.where(norm > 0, norm, 1)[rows]
+    return x
 
 
 def vote(near: tuple[np.ndarray, np.ndarray], labels: np.ndarray, prior: float) -> float:
@@ -132,6 +133,7 @@ class Examples:
     def once(self, name: str, make):
         if name not in self.made:
             self.made.clear()
+            forget()  # what other operators keep in this worker
             self.made[name] = make()
         return self.made[name]
 
@@ -141,7 +143,15 @@ class Examples:
 
     @property
     def tf(self) -> np.ndarray:
-        return 1 + np.log(self.counts, dtype=float)
+        x = np.log(self.counts, dtype=float)
+        x += 1
+        return x
+
+    def times(self, weights: np.ndarray) -> np.ndarray:
+        """Unit vectors of term frequencies times the weights of the terms."""
+        x = self.tf
+        x *= weights[self.columns]
+        return unit(self.rows, x, len(self.ids))
 
     def kept(self, stay: np.ndarray) -> Examples:
         entries = np.repeat(stay, np.diff(self.begins))
@@ -173,23 +183,23 @@ class Examples:
         entries = slice(self.begins[k], self.begins[k + 1])
         return self.columns[entries], x[entries]
 
-    def without_own(self, df: np.ndarray, hits: np.ndarray) -> np.ndarray:
-        """Entries of the unit vectors in which the weights of each example's terms don't know that example."""
-        own = self.weights(df[self.columns] - 1, hits[self.columns] - self.labels[self.rows])
-        return unit(self.rows, self.tf * own, len(self.ids))
+    def left_out(self, df: np.ndarray, hits: np.ndarray, k: int) -> Query:
+        """The k-th example as a query in which the weights of its terms don't know it."""
+        columns, counts = self.query(self.counts, k)
+        x = self.weights(df[columns] - 1, hits[columns] - self.labels[k]) * (1 + np.log(counts, dtype=float))
+        return columns, x / (math.sqrt((x * x).sum()) or 1)
 
     def plain(self):
-        """Examples, index, entries as queries."""
-        x = unit(self.rows, self.tf * self.idf(self.seen()[0])[self.columns], len(self.ids))
-        return self, self.index(x), x
+        """Examples, index, what gives an example as a query."""
+        x = self.times(self.idf(self.seen()[0]))
+        return self, self.index(x), lambda k: self.query(x, k)
 
     def learned(self, stay: np.ndarray):
-        """Examples without copies, their index, entries as queries, weights of the terms."""
+        """Examples without copies, their index, what gives an example as a query, weights of the terms."""
         left = self.kept(stay)
         df, hits = left.seen()
         weights = left.weights(df, hits)
-        x = unit(left.rows, left.tf * weights[left.columns], len(left.ids))
-        return left, left.index(x), left.without_own(df, hits), weights
+        return left, left.index(left.times(weights)), lambda k: left.left_out(df, hits, k), weights
 
 
 def against_all(shared, name: str, make, of, n: int, least: int = 256) -> np.ndarray:
@@ -197,9 +207,9 @@ def against_all(shared, name: str, make, of, n: int, least: int = 256) -> np.nda
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, QUERIES):
-            examples, index, x, *_ = shared.value.once(name, lambda: make(shared.value))
+            examples, index, query, *_ = shared.value.once(name, lambda: make(shared.value))
             ks = b.column(0).to_pylist()
-            values = of(examples, index, [examples.query(x, k) for k in ks], ks)
+            values = of(examples, index, [query(k) for k in ks], ks)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values, pa.float64())], ["id", "value"])
 
     spark = SparkSession.active()
