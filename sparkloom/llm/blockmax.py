@@ -10,6 +10,8 @@ more in double precision, so that nothing hangs on blocks or batches."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 #: Vectors in a block, and how many blocks are scored first.
@@ -50,10 +52,13 @@ def groups_of(matrix: np.ndarray) -> np.ndarray:
 
 
 class BlockMax:
-    """``columns[begins[k] : begins[k + 1]]`` and as many ``weights`` are the k-th vector; ``kinds`` leads in the order."""
+    """``columns[begins[k] : begins[k + 1]]`` and as many ``weights`` are the k-th vector; ``kinds`` leads in the order.
+
+    With ``exact``, which gives the weights of entries and their vectors, the weights themselves aren't kept."""
 
-    def __init__(self, begins: np.ndarray, columns: np.ndarray, weights: np.ndarray, words: int, kinds: np.ndarray):
-        self.begins, self.columns, self.weights = begins, columns, weights
+    def __init__(self, begins: np.ndarray, columns: np.ndarray, weights: np.ndarray, words: int, kinds: np.ndarray, exact: Callable | None = None):
+        self.begins, self.columns = begins, columns
+        self.exact = exact or (lambda entries, vectors: weights[entries])
         self.n, self.words = len(begins) - 1, words
         if not self.n:
             return
@@ -131,7 +136,7 @@ class BlockMax:
             at = self.order[at[at < self.n]]
             whole[columns] = x
             where, sizes = expanded(self.begins[at], self.begins[at + 1])
-            exact = np.bincount(np.repeat(np.arange(len(at)), sizes), whole[self.columns[where]] * self.weights[where], len(at))
+            exact = np.bincount(np.repeat(np.arange(len(at)), sizes), whole[self.columns[where]] * self.exact(where, np.repeat(at, sizes)), len(at))
             whole[columns] = 0
             exact = np.round(exact, DIGITS)
             order = np.lexsort((at, -exact))

@@ -25,6 +25,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,11 +51,9 @@ def terms_of(text: str) -> list[str]:
     return TERM.findall(text.lower())
 
 
-def unit(rows: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
-    """Entries ``x`` of ``n`` vectors, each made of length 1, in place."""
-    norm = np.sqrt(np.bincount(rows, x * x, n))
-    x /= np.where(norm > 0, norm, 1)[rows]
-    return x
+def hashes(terms) -> np.ndarray:
+    """64 bits for each term; with half a million terms two share one with a chance of under 1 in 10^7."""
+    return np.fromiter((xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in terms), np.uint64, len(terms))
 
 
 def vote(near: tuple[np.ndarray, np.ndarray], labels: np.ndarray, prior: float) -> float:
@@ -79,12 +78,13 @@ class Model:
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Columns and weights; terms that no example has count in the length only."""
-        tf, column = Counter(terms_of(text)), self.examples.column
-        known = [(column[t], n) for t, n in tf.items() if t in column]
-        columns, counts = np.array([c for c, _ in known], int), np.array([n for _, n in known], float)
-        x = (1 + np.log(counts)) * self.weights[columns]
-        new = EVERY * self.examples.idf(0) * (1 + np.log(np.array([n for t, n in tf.items() if t not in column], float)))
-        return columns, x / (math.sqrt((x * x).sum() + (new * new).sum()) or 1)
+        tf = Counter(terms_of(text))
+        counts = 1 + np.log(np.fromiter(tf.values(), float, len(tf)))
+        columns = self.examples.columns_of(tf)
+        known = columns >= 0
+        x = counts[known] * self.weights[columns[known]]
+        new = EVERY * self.examples.idf(0) * counts[~known]
+        return columns[known], x / (math.sqrt((x * x).sum() + (new * new).sum()) or 1)
 
     def scores(self, texts: list[str | None]) -> Iterator[tuple[float, list[int]]]:
         """For each text its probability, and the ids of the nearest examples as evidence."""
@@ -123,7 +123,8 @@ class Examples:
     begins: np.ndarray
     columns: np.ndarray
     counts: np.ndarray
-    words: list[str]
+    #: A hash of 64 bits of the term of each column.
+    words: np.ndarray
     #: What a Python worker has made of these, by name; the last only.
     made: dict = field(default_factory=dict)
 
@@ -141,23 +142,21 @@ class Examples:
     def rows(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.begins))
 
-    @property
-    def tf(self) -> np.ndarray:
+    def times(self, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Unit vectors of term frequencies times the weights of the terms, and the lengths before."""
         x = np.log(self.counts, dtype=float)
         x += 1
-        return x
-
-    def times(self, weights: np.ndarray) -> np.ndarray:
-        """Unit vectors of term frequencies times the weights of the terms."""
-        x = self.tf
         x *= weights[self.columns]
-        return unit(self.rows, x, len(self.ids))
+        norms = np.sqrt(np.bincount(self.rows, x * x, len(self.ids)))
+        norms[norms == 0] = 1
+        x /= norms[self.rows]
+        return x, norms
 
     def kept(self, stay: np.ndarray) -> Examples:
         entries = np.repeat(stay, np.diff(self.begins))
         used, columns = np.unique(self.columns[entries], return_inverse=True)
         begins = np.concatenate([[0], np.cumsum(np.diff(self.begins)[stay])])
-        return Examples(self.ids[stay], self.labels[stay], begins, columns.astype(np.int32), self.counts[entries], [self.words[k] for k in used.tolist()])
+        return Examples(self.ids[stay], self.labels[stay], begins, columns.astype(np.int32), self.counts[entries], self.words[used])
 
     def seen(self) -> tuple[np.ndarray, np.ndarray]:
         """Of each term: examples, and examples of the class."""
@@ -173,15 +172,29 @@ class Examples:
         return self.idf(df) * (EVERY + np.maximum(np.log(share / (1 - share)) - math.log(prior / (1 - prior)), 0) ** 3)
 
     @functools.cached_property
-    def column(self) -> dict[str, int]:
-        return {t: k for k, t in enumerate(self.words)}
-
-    def index(self, x: np.ndarray) -> BlockMax:
-        return BlockMax(self.begins, self.columns, x, len(self.words), self.labels)
-
-    def query(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def sorted_words(self) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(self.words)
+        return self.words[order], order
+
+    def columns_of(self, terms) -> np.ndarray:
+        """The column of each term, -1 where no example has it."""
+        words, order = self.sorted_words
+        hashed = hashes(terms)
+        if not len(words):
+            return np.full(len(hashed), -1)
+        at = np.minimum(np.searchsorted(words, hashed), len(words) - 1)
+        return np.where(words[at] == hashed, order[at], -1)
+
+    def index(self, weights: np.ndarray) -> tuple[BlockMax, np.ndarray]:
+        """The index, and the lengths of the vectors; exact weights of entries are made again when asked for."""
+        x, norms = self.times(weights)
+        counts, columns = self.counts, self.columns
+        exact = lambda entries, vectors: (np.log(counts[entries], dtype=float) + 1) * weights[columns[entries]] / norms[vectors]
+        return BlockMax(self.begins, columns, x, len(self.words), self.labels, exact), norms
+
+    def query(self, values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         entries = slice(self.begins[k], self.begins[k + 1])
-        return self.columns[entries], x[entries]
+        return self.columns[entries], values[entries]
 
     def left_out(self, df: np.ndarray, hits: np.ndarray, k: int) -> Query:
         """The k-th example as a query in which the weights of its terms don't know it."""
@@ -191,15 +204,21 @@ class Examples:
 
     def plain(self):
         """Examples, index, what gives an example as a query."""
-        x = self.times(self.idf(self.seen()[0]))
-        return self, self.index(x), lambda k: self.query(x, k)
+        weights = self.idf(self.seen()[0])
+        index, norms = self.index(weights)
+
+        def query(k: int) -> Query:
+            columns, counts = self.query(self.counts, k)
+            return columns, (np.log(counts, dtype=float) + 1) * weights[columns] / norms[k]
+
+        return self, index, query
 
     def learned(self, stay: np.ndarray):
         """Examples without copies, their index, what gives an example as a query, weights of the terms."""
         left = self.kept(stay)
         df, hits = left.seen()
         weights = left.weights(df, hits)
-        return left, left.index(left.times(weights)), lambda k: left.left_out(df, hits, k), weights
+        return left, left.index(weights)[0], lambda k: left.left_out(df, hits, k), weights
 
 
 def against_all(shared, name: str, make, of, n: int, least: int = 256) -> np.ndarray:
@@ -242,7 +261,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | Learned:
     coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
     counts = pc.list_flatten(known.column("counts")).to_numpy()
     counts = counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
-    every = Examples(known.column("doc_id").to_numpy(), y, begins, coded.indices.to_numpy().astype(np.int32), counts, coded.dictionary.to_pylist())
+    every = Examples(known.column("doc_id").to_numpy(), y, begins, coded.indices.to_numpy().astype(np.int32), counts, hashes(coded.dictionary.to_pylist()))
     del known, coded, counts, begins
     if not y.any() or y.all():
         share = float(y.mean()) if len(y) else 0.0
