@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,11 +147,11 @@ def gaps(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 def shard_gaps(rows: pa.Table) -> pa.Table:
     """lang, source, item, value: the sum of f over the terms of a shard for each pair of its groups, both ways."""
     low, high = rows["low"][0].as_py(), rows["high"][0].as_py()
-    known = rows.filter(pa.compute.is_valid(rows["zero"]))
+    known = rows.filter(pc.is_valid(rows["zero"]))
     sources, block, zero = known["source"].to_pylist(), known["block"].to_numpy(), known["zero"].to_numpy()
     size = known["size"][0].as_py()
     place = {s: k for k, s in enumerate(sources)}
-    levels = rows.filter(pa.compute.is_valid(rows["bits"])).sort_by("word")
+    levels = rows.filter(pc.is_valid(rows["bits"])).sort_by("word")
     group = np.array([place[s] for s in levels["source"].to_pylist()], np.int64)
     word, p = levels["word"].to_numpy(), levels["p"].to_numpy()
     bits = levels["bits"].to_numpy().view(np.uint64)
