@@ -102,7 +102,7 @@ def numbered(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 def rebuilt(conversations: DataFrame, every: int = 20, most: int = 3) -> tuple[DataFrame, DataFrame]:
     """Turns (conv_id, pos, key, words) and lengths (conv_id, length) of the rebuilt conversations: each begins with the first h
     turns of conversation c - c % every, in place of its own; h is the CRC-32 of the decimal id modulo most + 1."""
-    ranged, spans = numbered(keyed_turns(conversations))
+    ranged, spans = numbered(written(keyed_turns(conversations), "trie-keys"))  # else ranges would hash all texts twice
     h = F.crc32(F.col("conv_id").cast("string")) % (most + 1)
     base = F.col("conv_id") - F.col("conv_id") % every
     convs = spans.groupBy("conv_id").agg(F.sum("n").alias("n_own")).select("conv_id", "n_own", h.alias("h"), base.alias("base"))
