@@ -2,25 +2,33 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from sparkloom.catalog import FRESH, NOW, SQL_WORDS, query, run_log, t
+from sparkloom.catalog import FRESH, NOW, ORDERS, PRINT, SQL_WORDS, orders_pair, query, run_log, t
 from sparkloom.catalog_more import KEY, hmac_sql
 from sparkloom.catalog_text import pool_sql
 from sparkloom.functions import text as tx
 from sparkloom.operators import diff, pii
 from sparkloom.operators import profile as pf
 from sparkloom.plans import ingest as ing
+from sparkloom.plans.versions import VersionedTable
+from sparkloom.shared import fresh_path
 from sparkloom.sources import files
 
-
-def fresh_path(spark, name: str) -> str:
-    return f"{files.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+# --- files ------------------------------------------------------------------------------------------------------
 
 
-# --- files ------------------------------------------------------------------------------------------------------
+@query("""SELECT DISTINCT c_nationkey AS nation, CASE WHEN c_nationkey % 3 = 1 THEN 'cp1252' ELSE 'utf-8' END AS encoding, CASE WHEN c_nationkey % 3 = 2 THEN 'CRLF' ELSE 'LF' END AS terminator
+    FROM customer""")
+def s3_terminators(spark, sf_dir):
+    """A file or more for each nation, in one of two encodings, with one of two line ends."""
+    path = fresh_path(spark, "terminators")
+    c = t(spark, sf_dir, "customer").select("c_nationkey", F.concat("c_name", F.lit(" é")).alias("value"))
+    for k, encoding in ((0, "UTF-8"), (1, "ISO-8859-1")):
+        c.where(F.col("c_nationkey") % 3 == k).write.mode("append").partitionBy("c_nationkey").csv(path, header=True, encoding=encoding)
+    c.where("c_nationkey % 3 = 2").withColumn("value", F.concat("value", F.lit("\r"))).write.mode("append").partitionBy("c_nationkey").text(path)
+    found = files.encodings(spark, f"{path}/*")
+    return found.select(F.regexp_extract("path", r"c_nationkey=(\d+)", 1).cast("int").alias("nation"), "encoding", "terminator").distinct()
 
 
 @query("SELECT c_custkey::VARCHAR AS c_custkey, c_name || ' é' AS c_name FROM customer")
@@ -114,13 +122,39 @@ def p2_p4_copy_and_override(spark, sf_dir):
 
 @query("SELECT o_orderkey, o_orderstatus, o_custkey FROM orders WHERE o_orderstatus <> 'F'")
 def l2_l3_full_replace(spark, sf_dir):
-    """A filtered source copied to staging, which then replaces the whole table."""
+    """A filtered source copied to staging, which then replaces the whole table by one new version."""
     folder = fresh_path(spark, "replace")
+    table = VersionedTable(spark, f"{folder}/orders")
     o = t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_custkey")
-    ing.load_table(o, f"{folder}/0", f"{folder}/1")
+    table.load(o)
     staging = ing.backup(o, folder, "staging", "1", F.col("o_orderstatus") != "F")
-    ing.load_table(spark.read.parquet(staging), f"{folder}/1", f"{folder}/2")
-    return spark.read.parquet(f"{folder}/2")
+    table.load(spark.read.parquet(staging))
+    return table.read()
+
+
+@query(f"""{ORDERS} SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE coalesce(NOT (o_custkey % 2 = 0), true)
+    UNION ALL SELECT o_orderkey, o_orderstatus, o_orderpriority FROM curr WHERE o_custkey % 2 = 0""")
+def l4_partial_load(spark, sf_dir):
+    """The rows of a filter taken from the source; the others stay in the files where they are."""
+    prev, curr = orders_pair(spark, sf_dir)
+    table = VersionedTable(spark, fresh_path(spark, "partial"))
+    table.load(prev)
+    table.load(curr, "o_custkey % 2 = 0")
+    return table.read().select("o_orderkey", "o_orderstatus", "o_orderpriority")
+
+
+@query(f"""{ORDERS} SELECT o_orderkey, o_orderstatus, o_orderpriority, year(o_orderdate)::INT AS year, 2 AS version FROM curr WHERE year(o_orderdate) % 2 = 0
+    UNION ALL SELECT o_orderkey, o_orderstatus, o_orderpriority, year(o_orderdate)::INT, 1 FROM orders WHERE year(o_orderdate) % 2 = 1""")
+def l6_load_changed_groups(spark, sf_dir):
+    """Orders kept by year, of which even years change; a load writes these alone, and each row tells the version whose files it is in."""
+    prev, curr = (o.withColumn("year", F.year("o_orderdate")) for o in orders_pair(spark, sf_dir))
+    curr = curr.where("year % 2 = 0").unionByName(prev.where("year % 2 = 1"))
+    table = VersionedTable(spark, fresh_path(spark, "groups"))
+    table.load_groups(prev, "year")
+    table.load_groups(curr, "year")
+    first = sorted({p["folder"].split("/")[0] for p in table.version(1).parts})
+    version = F.when(F.regexp_extract(F.col("_metadata.file_path"), "/data/([0-9a-f]+)/", 1).isin(first), 1).otherwise(2)
+    return table.read().select("o_orderkey", "o_orderstatus", "o_orderpriority", "year", version.alias("version"))
 
 
 @query(f"""{FRESH} SELECT id, name, numrows, (SELECT sum(event_id) FROM events WHERE user_id = id)::BIGINT AS checksum,

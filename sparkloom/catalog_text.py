@@ -14,6 +14,7 @@ from sparkloom.operators import aggregate as ag
 from sparkloom.operators import diff, embed, pii, rows, trees, vectors
 from sparkloom.operators import profile as pf
 from sparkloom.plans import ingest as ing
+from sparkloom.plans.versions import VersionedTable
 from sparkloom.sources import files
 from sparkloom.streaming import status
 
@@ -374,12 +375,12 @@ def t1_t3_types_and_keys(spark, sf_dir):
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT o_orderkey, o_custkey + 1 FROM orders WHERE o_orderkey % 3 = 0")
 def l1_l5_load_table(spark, sf_dir):
     """The rows of a condition replaced in a table that the load itself makes first."""
-    folder = f"{files.shared_folder(spark)}/load-{uuid.uuid4().hex}"
+    table = VersionedTable(spark, f"{files.shared_folder(spark)}/load-{uuid.uuid4().hex}")
     o = t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    ing.load_table(o, f"{folder}/0", f"{folder}/1")
+    table.load(o)
     changed = o.withColumn("o_custkey", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")))
-    ing.load_table(changed, f"{folder}/1", f"{folder}/2", F.col("o_orderkey") % 3 == 0)
-    return spark.read.parquet(f"{folder}/2")
+    table.load(changed, "o_orderkey % 3 = 0")
+    return table.read()
 
 
 @query("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderstatus = 'O'")

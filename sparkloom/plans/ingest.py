@@ -57,14 +57,6 @@ def load_table(source: DataFrame, target: str, next_target: str, cond: Column |
     return True
 
 
-def load_changed_groups(source: DataFrame, target: str, by: str) -> None:
-    """Overwrite only the partitions whose fingerprint differs from the source."""
-    now = source.sparkSession.read.parquet(target).select(*source.columns)
-    stale = changed_groups(source, now, by).select(F.col(by).alias("_by"))
-    rows = source.join(F.broadcast(stale), F.col(by).eqNullSafe(F.col("_by")), "left_semi")
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(target)
-
-
 def record_runs(objects: DataFrame, stats: DataFrame) -> DataFrame:
     """Objects with counts, checksum and times of their latest run: refreshed if completed, verified if it agreed."""
     new = stats.select("id", "numrows", "checksum", F.when(F.col("is_matching"), F.col("at")).alias("verified"), F.when(F.col("status") == "completed", F.col("at")).alias("refreshed"))

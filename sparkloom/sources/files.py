@@ -2,71 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.operators.sequence import with_row_number
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``). A session on one machine may have none and gets a
-    local one; a cluster must name its own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        context = spark.sparkContext
-        if not context.getCheckpointDir():
-            if not context.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
-        folder = context.getCheckpointDir()
-    return folder.rstrip("/")
-
-
-ENCODINGS = ("utf-8", "utf-8-sig", "cp1252", "latin1")
-
-
-def encodings(spark: SparkSession, path: str, first: str | None = None) -> DataFrame:
-    """path, encoding (the first that decodes the whole file), terminator (from its first million bytes)."""
-    order = ([first] if first else []) + list(ENCODINGS)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = []
-            for raw in b["content"]:
-                name = "latin1"
-                for e in order:
-                    try:
-                        raw.decode(e)
-                        name = "utf-8-sig" if e == "utf-8" and raw[:3] == b"\xef\xbb\xbf" else e
-                        break
-                    except (UnicodeDecodeError, LookupError):
-                        continue
-                found.append((name, "CRLF" if b"\r\n" in raw[:1_000_000] else "LF"))
-            yield pd.DataFrame({"path": b["path"], "encoding": [x for x, _ in found], "terminator": [x for _, x in found]})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, encoding string, terminator string")
-
-
-def read_csv(spark: SparkSession, path: str, sep: str = ",", quote: str = '"', encoding: str | None = None, header: bool = True) -> DataFrame:
-    """All columns as text. Without an encoding, files are read in groups by the first that decodes them."""
-    def one(paths, enc: str) -> DataFrame:
-        name = {"utf-8-sig": "utf-8", "cp1252": "windows-1252", "latin1": "iso-8859-1"}.get(enc, enc)
-        if name.startswith("windows"):  # Spark has such encodings only with this setting
-            spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-        return spark.read.csv(paths, sep=sep, quote=quote, escape=quote, encoding=name, header=header, multiLine=True)
-
-    if encoding:
-        return one(path, encoding)
-    groups = encodings(spark, path).groupBy("encoding").agg(F.collect_list("path").alias("paths")).collect()
-    out = one(groups[0].paths, groups[0].encoding)
-    for g in groups[1:]:
-        out = out.unionByName(one(g.paths, g.encoding), allowMissingColumns=True)
-    return out
+from sparkloom.shared import fresh_path, shared_folder  # noqa: F401  (the queries take them from here)
+from sparkloom.sources.delimited import encodings, read_csv  # noqa: F401
 
 
 def flatten(df: DataFrame, sep: str = ".") -> DataFrame:
