@@ -28,8 +28,8 @@ from sparkloom.llm.common import join_counted, slices, text_bytes, written
 SCALE = 1_000_000_000
 #: Terms and groups that a task counts before it gives them out.
 HELD = 400_000
-#: Ids of a shard, by their lowest bits, and groups of a block.
-SHARD_BITS, BLOCK = 12, 64
+#: Ids of a shard, by their lowest bits, and groups of a block. Words of terms that a language has so often have many levels and are a shard each.
+SHARD_BITS, BLOCK, OFTEN = 12, 64, 1024
 #: Terms in a text: bytes of ASCII letters in lower case and of other letters; the rest parts terms.
 TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -85,7 +85,7 @@ def gap(p: Column, q: Column) -> Column:
 
 class Audit:
     """What pairs and terms are made from: ``groups(lang, source, total, kept, zero)``, where zero is the likelihood of a term that
-    the group lacks, and ``terms(lang, source, term, id, n, p, lang_p)`` of the kept terms that a group has."""
+    the group lacks, and ``terms(lang, source, term, id, word, shard, n, p, lang_p)`` of the kept terms that a group has."""
 
     def __init__(self, docs: DataFrame, least_docs: int = 3):
         counts = written(term_counts(docs), "audit-counts")
@@ -93,9 +93,11 @@ class Audit:
         kept = kept.where(F.col("docs") >= least_docs).withColumn("rare", -F.col("lang_n"))
         order = ["lang", "rare", "term"]
         kept = kept.repartitionByRange(*order).sortWithinPartitions(*order).select("lang", "term", "lang_n", F.monotonically_increasing_id().alias("id"))
-        self.kept = written(kept, "audit-kept")
+        kept = written(kept, "audit-ids").withColumn("word", F.shiftright("id", 6))
+        most = F.max("lang_n").over(Window.partitionBy("lang", "word"))  # 64 rows
+        self.kept = written(kept.withColumn("shard", F.when(most >= OFTEN, -1 - F.col("word")).otherwise(F.shiftright("id", SHARD_BITS))), "audit-kept")
         langs = self.kept.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("lang_n").alias("lang_total"))
-        found = written(counts.where("term != ''").join(self.kept, ["lang", "term"]).select("lang", "source", "term", "id", "n", "lang_n"), "audit-found")
+        found = written(counts.where("term != ''").join(self.kept, ["lang", "term"]).select("lang", "source", "term", "id", "word", "shard", "n", "lang_n"), "audit-found")
         totals = found.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("n_rows"))
         groups = counts.where("term = ''").select("lang", "source").join(langs, "lang", "left").join(totals, ["lang", "source"], "left")
         groups = groups.na.fill(0, ["kept", "lang_total", "total", "n_rows"])
@@ -103,12 +105,12 @@ class Audit:
         self.groups = written(groups.withColumn("zero", zero), "audit-groups")
         joined = join_counted(found, self.groups.where("n_rows > 0").drop("zero"), ["lang", "source"], "n_rows", found.count())
         p, lang_p = likelihood(F.col("n"), F.col("total"), F.col("kept")), likelihood(F.col("lang_n"), F.col("lang_total"), F.col("kept"))
-        self.terms = joined.select("lang", "source", "term", "id", "n", p.alias("p"), lang_p.alias("lang_p"))
+        self.terms = joined.select("lang", "source", "term", "id", "word", "shard", "n", p.alias("p"), lang_p.alias("lang_p"))
 
     def level_words(self) -> DataFrame:
-        """lang, source, word, p, bits: the bitset of each count of a group, by words that have bits."""
+        """lang, shard, source, word, p, bits: the bitset of each count of a group, by words that have bits."""
         bit = F.expr("shiftleft(1L, cast(id & 63 AS int))")
-        return self.terms.groupBy("lang", "source", F.shiftright("id", 6).alias("word"), "n").agg(F.first("p").alias("p"), F.bit_or(bit).alias("bits"))
+        return self.terms.groupBy("lang", "shard", "source", "word", "n").agg(F.first("p").alias("p"), F.bit_or(bit).alias("bits"))
 
     def term_gaps(self, most: int = 200) -> DataFrame:
         """lang, source, item, value, rank of the terms that a group has more of than its language."""
@@ -123,12 +125,12 @@ class Audit:
         n_blocks = self.groups.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n_blocks"))
         block = F.pmod(F.xxhash64("source"), F.col("n_blocks")).cast("int")
         groups = self.groups.join(n_blocks, "lang").select("lang", "source", "kept", "zero", "n_blocks", block.alias("block"))
-        shards = self.kept.groupBy("lang", F.shiftright("id", SHARD_BITS).alias("shard")).agg(F.count(F.lit(1)).alias("size"))
+        shards = self.kept.groupBy("lang", "shard").agg(F.count(F.lit(1)).alias("size"))
         no_word = [F.lit(None).cast("long").alias(c) for c in ("word", "p", "bits")]
         absent = shards.join(groups, "lang").select("lang", "shard", "source", "block", "n_blocks", "size", "zero", *no_word)
         words = self.level_words().join(n_blocks, "lang")
         nulls = [F.lit(None).cast("long").alias(c) for c in ("size", "zero")]
-        words = words.select("lang", F.shiftright("word", SHARD_BITS - 6).alias("shard"), "source", block.alias("block"), "n_blocks", *nulls, "word", "p", "bits")
+        words = words.select("lang", "shard", "source", block.alias("block"), "n_blocks", *nulls, "word", "p", "bits")
         # a block meets each other block, in the order of the two
         dealt = absent.unionByName(words).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
         dealt = dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})

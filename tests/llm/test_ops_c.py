@@ -170,11 +170,12 @@ def brute_audit(docs, least=3, most=200):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("bits", "block"), [(12, 64), (6, 2)])
-def test_audit_equals_brute_force(spark, bits, block, monkeypatch):
+@pytest.mark.parametrize(("bits", "block", "often"), [(12, 64, 1024), (6, 2, 1024), (12, 3, 20)])
+def test_audit_equals_brute_force(spark, bits, block, often, monkeypatch):
     """Many shards, and more groups than a block has; null and empty columns, a language without kept terms, clashing names."""
     monkeypatch.setattr(divergence, "SHARD_BITS", bits)
     monkeypatch.setattr(divergence, "BLOCK", block)
+    monkeypatch.setattr(divergence, "OFTEN", often)
     monkeypatch.setattr(divergence, "HELD", 100)
     rng = random.Random(2)
     words = [f"{a}{b}" for a in "abcdeé漢ÀX" for b in "abcdefghijkzß"]
