@@ -10,6 +10,7 @@ from sparkloom.operators import aggregate as ag
 from sparkloom.operators import diff as df_
 from sparkloom.operators import rows as rw
 from sparkloom.operators import sequence as sq
+from sparkloom.operators.scan import Ordered
 from sparkloom.plans import ingest as ing
 
 QUERIES: dict = {}
@@ -309,10 +310,11 @@ def a20_distinct_active(spark, sf_dir):
 
 
 @query("""WITH l AS (SELECT 'o_orderstatus' AS field, o_custkey AS k, o_orderkey AS o, o_orderstatus AS v FROM orders UNION ALL SELECT 'o_orderpriority', o_custkey, o_orderkey, o_orderpriority FROM orders),
-    m AS (SELECT field, k, arg_max(v, o) AS v FROM l GROUP BY 1, 2)
-    SELECT field, '{' || string_agg('"' || k || '":"' || v || '"', ',' ORDER BY k::VARCHAR) || '}' AS mapping FROM m GROUP BY 1""")
+    m AS (SELECT field, k, arg_max(v, o) AS v FROM l GROUP BY 1, 2),
+    w AS (SELECT field, '{' || string_agg('"' || k || '":"' || v || '"', ',' ORDER BY k::VARCHAR) || '}' AS mapping FROM m GROUP BY 1)
+    SELECT field, piece, substr(mapping, piece * 5000 + 1, 5000) AS mapping FROM w, unnest(range((length(mapping) + 4999) // 5000)) u(piece)""")
 def a21_json_map(spark, sf_dir):
-    return ag.json_map(t(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", ["o_orderstatus", "o_orderpriority"])
+    return ag.json_map(t(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", ["o_orderstatus", "o_orderpriority"], 5000)
 
 
 # --- windows ----------------------------------------------------------------------------------------------------
@@ -331,11 +333,9 @@ def w2_split_columns(spark, sf_dir):
 @query("""SELECT o_orderkey, sum(o_custkey) OVER w::BIGINT AS running, (sum(o_custkey) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::BIGINT AS before,
     (row_number() OVER w)::INTEGER AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""".replace("OVER w::BIGINT", "OVER (w ROWS UNBOUNDED PRECEDING)::BIGINT"))
 def w3_w5_running(spark, sf_dir):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    to = lambda end: w.rowsBetween(Window.unboundedPreceding, end)
-    return t(spark, sf_dir, "orders").select("o_orderkey", F.sum("o_custkey").over(to(0)).alias("running"), F.sum("o_custkey").over(to(-1)).alias("before"), F.row_number().over(w).alias("n"))
+    o = Ordered(t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), ["o_custkey"], ["o_orderdate", "o_orderkey"])
+    out = o.add(running=("sum", F.col("o_custkey")), before=("sum_before", F.col("o_custkey")), n=("sum", F.lit(1)))
+    return out.done().select("o_orderkey", "running", "before", F.col("n").cast("int").alias("n"))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_retailprice = max(p_retailprice) OVER w THEN 'M' WHEN p_retailprice = min(p_retailprice) OVER w THEN 'm' ELSE '' END AS minmax FROM part WINDOW w AS (PARTITION BY p_brand)""")
@@ -530,9 +530,10 @@ def l11_candidates(spark, sf_dir):
     return ing.candidates(fresh(spark, sf_dir), F.lit(NOW).cast("timestamp")).select("id")
 
 
-@query(f"{FRESH} SELECT last_status, string_agg('<tr><td>' || name || '</td><td>' || failures || '</td></tr>', '' ORDER BY id) AS message FROM fresh WHERE failures > 1 GROUP BY 1")
+@query(f"""{FRESH}, m AS (SELECT last_status, string_agg('<tr><td>' || name || '</td><td>' || failures || '</td></tr>', '' ORDER BY id) AS message FROM fresh WHERE failures > 1 GROUP BY 1)
+    SELECT last_status, piece, substr(message, piece * 1000 + 1, 1000) AS message FROM m, unnest(range((length(message) + 999) // 1000)) u(piece)""")
 def l12_w4_alerts(spark, sf_dir):
-    return ing.alerts(fresh(spark, sf_dir), 1)
+    return ing.alerts(fresh(spark, sf_dir), 1, 1000)
 
 
 @query(f"{FRESH} SELECT id FROM objects WHERE epoch(TIMESTAMP '{NOW}') + 3000 > epoch(date_trunc('second', refreshed)) + frequency * 3600")

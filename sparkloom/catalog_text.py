@@ -11,10 +11,11 @@ from sparkloom.catalog import query, t
 from sparkloom.catalog_more import KEY, SPANS, hmac_sql
 from sparkloom.functions import text as tx
 from sparkloom.operators import aggregate as ag
-from sparkloom.operators import diff, embed, pii, rows, trees, vectors
+from sparkloom.operators import diff, embed, pieces, pii, rows, trees, vectors
 from sparkloom.operators import profile as pf
 from sparkloom.plans import ingest as ing
 from sparkloom.plans.versions import VersionedTable
+from sparkloom.shared import fresh_path
 from sparkloom.sources import files
 from sparkloom.streaming import status
 
@@ -398,15 +399,15 @@ def s1_s6_csv_round_trip(spark, sf_dir):
     return files.read_csv(spark, path, encoding="utf-8")
 
 
-@query("SELECT source, md5(string_agg(text, chr(10) || chr(10) ORDER BY doc_id % 4, doc_id)) AS corpus FROM documents GROUP BY 1")
+@query("""WITH c AS (SELECT source, string_agg(text, chr(10) || chr(10) ORDER BY doc_id % 4, doc_id) AS corpus FROM documents GROUP BY 1)
+    SELECT source, piece, md5(substr(corpus, piece * 20000 + 1, 20000)) AS corpus FROM c, unnest(range((length(corpus) + 19999) // 20000)) u(piece)""")
 def s11_corpus(spark, sf_dir):
-    """Texts written to four files a source, read again as one corpus a source."""
-    path = f"{files.shared_folder(spark)}/texts-{uuid.uuid4().hex}"
-    d = t(spark, sf_dir, "documents").withColumn("part", F.col("doc_id") % 4)
-    parts = ag.list_agg(d, ["source", "part"], F.col("text"), F.col("doc_id"), "\n\n", "value")
-    parts.write.partitionBy("source", "part").option("lineSep", "\x00").text(path)
-    named = files.read_corpus(spark, [path]).select(F.regexp_extract("path", "source=([^/]+)/", 1).alias("source"), F.regexp_extract("path", "part=([^/]+)/", 1).alias("part"), F.rtrim(F.col("text"), F.lit("\x00")).alias("text"))
-    return ag.list_agg(named, ["source"], F.col("text"), F.col("part"), "\n\n", "corpus").select("source", F.md5("corpus").alias("corpus"))
+    """Texts written to four folders a source, read again as one corpus a source, in pieces."""
+    path = fresh_path(spark, "texts")
+    d = t(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("-", "source", F.col("doc_id") % 4).alias("part"))
+    pieces.write_texts(d, "part", "text", ["doc_id"], path, "\x00")
+    texts = pieces.read_texts(spark, path, "\x00").withColumn("source", F.regexp_extract("path", "part=(.+)-[0-9]/", 1))
+    return pieces.text_pieces(texts, ["source"], F.col("text"), ["path", "start", "number"], "\n\n", most=20_000, name="corpus").select("source", "piece", F.md5("corpus").alias("corpus"))
 
 
 @query("SELECT o_custkey AS batch, o_orderkey AS record_id, 'record ' || o_orderkey AS name FROM orders")
@@ -494,7 +495,7 @@ def e8_huffman(spark, sf_dir):
 @query()
 def e9_train_vectors(spark, sf_dir):
     d = t(spark, sf_dir, "documents")
-    return embed.train(vectors.words(d, "doc_id", "text"), "doc_id", vectors.vocab(vectors.line_words(d, "doc_id", "text"), 5), epochs=1)
+    return embed.train(vectors.words(d, "doc_id", "text"), "doc_id", vectors.vocab(vectors.line_words(d, "doc_id", "text"), 5))
 
 
 @query("""WITH u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS u FROM embeddings WHERE vec_id < 30000),

@@ -5,19 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.pieces import PIECE, text_pieces
+from sparkloom.operators.scan import LONG_GROUP
 from sparkloom.operators.sequence import with_row_number
 
 
 def list_agg(df: DataFrame, by: list[str], value: Column, order: Column, sep: str = ", ", name: str = "items") -> DataFrame:
-    """Values of each group as one text, in order."""
+    """Values of each group as one text, in order. For groups that a row can hold; ``text_pieces`` takes any."""
     pairs = F.array_sort(F.collect_list(F.struct(order.alias("o"), value.cast("string").alias("v"))))
     return df.groupBy(*by).agg(F.array_join(F.transform(pairs, lambda x: x["v"]), sep).alias(name))
 
 
+def table_row(cols: list[str]) -> Column:
+    cell = F.concat(*[F.concat(F.lit("<td>"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("</td>")) for c in cols])
+    return F.concat(F.lit("<tr>"), cell, F.lit("</tr>"))
+
+
 def messages(df: DataFrame, by: list[str], cols: list[str], order: Column, name: str = "message") -> DataFrame:
     """The rows of each group as one HTML table body."""
-    cell = F.concat(*[F.concat(F.lit("<td>"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("</td>")) for c in cols])
-    return list_agg(df, by, F.concat(F.lit("<tr>"), cell, F.lit("</tr>")), order, "", name)
+    return list_agg(df, by, table_row(cols), order, "", name)
 
 
 def dimension(df: DataFrame, col: str, key: str = "id") -> DataFrame:
@@ -54,13 +60,15 @@ def accuracy_rollup(answers: DataFrame, early: int = 5) -> DataFrame:
     return out.withColumns({"accuracy": F.try_divide(F.col("correct"), F.col("seen")), "coverage": F.try_divide(F.col("seen"), F.col("asked"))})
 
 
-def json_map(df: DataFrame, key: str, order: str, fields: list[str]) -> DataFrame:
-    """field, mapping: for each field one JSON text of key to value; blanks are skipped, the later of equal keys wins."""
+def json_map(df: DataFrame, key: str, order: str, fields: list[str], most: int = PIECE, long_group: int = LONG_GROUP) -> DataFrame:
+    """field, piece, mapping: for each field a JSON text of key to value, in pieces of ``most`` characters; blanks are skipped, the later of
+    equal keys wins."""
     texts = df.select(key, order, *[F.col(f).cast("string").alias(f) for f in fields])
     long = texts.unpivot([key, order], fields, "field", "value").where("value is not null and value != ''")
-    last = long.groupBy("field", key).agg(F.max_by("value", order).alias("value"))
-    entries = F.array_sort(F.collect_list(F.struct(F.col(key).cast("string").alias("k"), "value")))
-    return last.groupBy("field").agg(F.to_json(F.map_from_entries(entries)).alias("mapping"))
+    last = long.groupBy("field", F.col(key).cast("string").alias("_k")).agg(F.max_by("value", order).alias("value"))
+    entry = F.to_json(F.create_map("_k", "value"))
+    entry = F.substring(entry, F.lit(2), F.length(entry) - 2)
+    return text_pieces(last, ["field"], entry, ["_k"], ",", "{", "}", most, long_group, "mapping")
 
 
 def run_summary(runs: DataFrame, by: str, start: str, seconds: str) -> DataFrame:

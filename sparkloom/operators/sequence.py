@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.scan import LONG_GROUP, Ordered
 from sparkloom.operators.spread import join_counted
 
 
@@ -64,22 +63,25 @@ def split_columns(df: DataFrame, n: int, k: int, keys: list[str]) -> DataFrame:
 
 
 def minmax_flags(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """minmax: ``M`` on the largest of each group, ``m`` on the smallest; the largest wins where they are equal."""
-    w = Window.partitionBy(*by)
-    return df.withColumn("minmax", F.when(F.col(value) == F.max(value).over(w), "M").when(F.col(value) == F.min(value).over(w), "m").otherwise(""))
+    """minmax: ``M`` on the largest of each group, ``m`` on the smallest; the largest wins where they are equal. Rows of large groups
+    stay where they are."""
+    keyed = df.withColumn("_key", F.to_json(F.struct(*by)))  # null and empty differ
+    ends = keyed.groupBy("_key").agg(F.max(value).alias("_max"), F.min(value).alias("_min"), F.count(F.lit(1)).alias("_rows"))
+    met = join_counted(keyed, ends, ["_key"], "_rows", df.count())
+    flag = F.when(F.col(value) == F.col("_max"), "M").when(F.col(value) == F.col("_min"), "m").otherwise("")
+    return met.withColumn("minmax", flag).drop("_key", "_max", "_min")
 
 
-def pack_rows(df: DataFrame, by: list[str], order: list[str], slot: str) -> DataFrame:
+def pack_rows(df: DataFrame, by: list[str], order: list[str], slot: str, long_group: int = LONG_GROUP) -> DataFrame:
     """row_no: a new output row begins where the slot is not after the one before."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    begins = (F.lag(slot).over(w).isNull() | (F.col(slot) <= F.lag(slot).over(w))).cast("int")
-    return df.withColumn("_new", begins).withColumn("row_no", F.sum("_new").over(w)).drop("_new")
+    rows = Ordered(df, by, order, long_group).add(_prior=("lag", F.col(slot)))
+    begins = (F.col("_prior").isNull() | (F.col(slot) <= F.col("_prior"))).cast("int")
+    return rows.add(row_no=("sum", begins)).done("_prior")
 
 
-def find_peaks(df: DataFrame, by: list[str], order: str, value: str, refine: bool = True) -> DataFrame:
+def find_peaks(df: DataFrame, by: list[str], order: str, value: str, refine: bool = True, long_group: int = LONG_GROUP) -> DataFrame:
     """Rows above both neighbours; refined, with the offset (in steps, within one) and value of the parabola's top."""
-    w = Window.partitionBy(*by).orderBy(order)
-    sided = df.withColumns({"_l": F.lag(value).over(w), "_r": F.lead(value).over(w)})
+    sided = Ordered(df, by, [order], long_group).add(_l=("lag", F.col(value)), _r=("lead", F.col(value))).done()
     peaks = sided.where((F.col(value) > F.col("_l")) & (F.col(value) > F.col("_r")))
     if refine:
         bend = F.col("_l") - 2 * F.col(value) + F.col("_r")
@@ -102,18 +104,19 @@ def range_labels(df: DataFrame, by: list[str], order: str, chapter: str, verse:
     return df.groupBy(*by).agg(F.concat(part(F.min_by), F.lit("–"), part(F.max_by)).alias("label"))
 
 
-def segments(cuts: DataFrame, by: list[str], end: str, resume: str, total: Column, trim: bool = True, start_pad: float = 0.0, end_pad: float = 0.0) -> DataFrame:
+def segments(
+    cuts: DataFrame, by: list[str], end: str, resume: str, total: Column, trim: bool = True, start_pad: float = 0.0, end_pad: float = 0.0, long_group: int = LONG_GROUP
+) -> DataFrame:
     """segment_start, segment_end from silences between items: each row has the ``end`` of its item and where
     the next may ``resume``. Untrimmed, segments meet at the middle of a silence; trimmed, they keep the pads.
     Starts never run backwards; the last segment ends at ``total``."""
-    w = Window.partitionBy(*by).orderBy(end)
-    last = F.lead(end).over(w).isNull()
     middle = (F.col(end) + F.col(resume)) / 2
     close = F.least(F.col(end) + end_pad, F.col(resume)) if trim else middle
     reopen = F.greatest(F.col(resume) - start_pad, F.col(end)) if trim else middle
-    out = cuts.withColumns({"_close": F.when(last, total).otherwise(close), "_reopen": reopen})
-    out = out.withColumn("segment_start", F.coalesce(F.max("_reopen").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    return out.withColumn("segment_end", F.greatest("segment_start", "_close")).drop("_close", "_reopen")
+    rows = Ordered(cuts, by, [end], long_group).add(_next=("lead", F.lit(1)), _start=("max_before", reopen)).done()
+    out = rows.withColumn("segment_start", F.coalesce("_start", F.lit(0.0)))
+    last = F.when(F.col("_next").isNull(), total).otherwise(close)
+    return out.withColumn("segment_end", F.greatest(F.col("segment_start"), last)).drop("_next", "_start")
 
 
 def md5_draw(*parts: Column | str) -> Column:
@@ -121,20 +124,19 @@ def md5_draw(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts])), 1, 8), 16, 10).cast("long")
 
 
-def running_offset(df: DataFrame, by: list[str], order: str, low: float, high: float, seed: int = 1) -> DataFrame:
+def running_offset(df: DataFrame, by: list[str], order: str, low: float, high: float, seed: int = 1, long_group: int = LONG_GROUP) -> DataFrame:
     """offset: the sum of the steps of the rows before, each drawn from [low, high) by a hash of its key."""
     draw = md5_draw(F.lit(seed), *by, order) % 1_000_000 / 1_000_000.0
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("_step", low + draw * (high - low)).withColumn("offset", F.coalesce(F.sum("_step").over(w), F.lit(0.0))).drop("_step")
+    rows = Ordered(df, by, [order], long_group).add(_before=("sum_before", low + draw * (high - low))).done()
+    return rows.withColumn("offset", F.coalesce("_before", F.lit(0.0))).drop("_before")
 
 
-def pace(df: DataFrame, by: list[str], order: str, due: str, step: int, last: int | None = None) -> DataFrame:
+def pace(df: DataFrame, by: list[str], order: str, due: str, step: int, last: int | None = None, long_group: int = LONG_GROUP) -> DataFrame:
     """tick: items in order on a grid of ``step``, one a tick at most, none before it is due; with ``last``,
     items past that time are dropped. In closed form tick i is i + max over j <= i of (due j - j)."""
-    w = Window.partitionBy(*by).orderBy(order)
-    out = df.withColumn("_i", F.row_number().over(w) - 1)
-    need = F.ceil(F.col(due) / step) - F.col("_i")
-    out = out.withColumn("_need", need).withColumn("tick", (F.col("_i") + F.max("_need").over(w)) * step).drop("_i", "_need")
+    rows = Ordered(df, by, [order], long_group).add(_n=("sum", F.lit(1).cast("long")))
+    rows = rows.add(_need=("max", F.ceil(F.col(due) / step) - (F.col("_n") - 1))).done()
+    out = rows.withColumn("tick", (F.col("_n") - 1 + F.col("_need")) * step).drop("_n", "_need")
     return out if last is None else out.where(F.col("tick") <= last)
 
 

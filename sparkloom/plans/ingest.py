@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import boundary_diff, schedule_time, status_label
-from sparkloom.operators.aggregate import messages
+from sparkloom.operators.aggregate import table_row
 from sparkloom.operators.diff import fingerprints_match, upsert
+from sparkloom.operators.pieces import PIECE, text_pieces
 from sparkloom.operators.sequence import failures_since_success
 
 
@@ -97,9 +98,10 @@ def due_objects(objects: DataFrame, now: Column, lookahead_min: int = 50) -> Dat
     return objects.where(ahead > F.unix_timestamp("refreshed") + F.col("frequency") * 3600)
 
 
-def alerts(fresh: DataFrame, max_failures: int = 3) -> DataFrame:
-    """One message for each last status with the objects that failed too often."""
-    return messages(fresh.where(F.col("failures") > max_failures), ["last_status"], ["name", "failures"], F.col("id"))
+def alerts(fresh: DataFrame, max_failures: int = 3, most: int = PIECE) -> DataFrame:
+    """last_status, piece, message: a message for each last status with the objects that failed too often, in pieces of ``most`` characters."""
+    failing = fresh.where(F.col("failures") > max_failures)
+    return text_pieces(failing, ["last_status"], table_row(["name", "failures"]), ["id"], most=most, name="message")
 
 
 def update_objects(objects: DataFrame, listed: DataFrame) -> DataFrame:

@@ -70,10 +70,6 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.array_remove(F.split(F.translate("value", "\r", ""), "[ \t]+"), "").alias("tokens"))
 
 
-def read_corpus(spark: SparkSession, paths: list[str]) -> DataFrame:
-    return spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-
-
 def save_vectors(df: DataFrame, path: str, text: bool = False) -> None:
     """word, vec; as Parquet, or as text with a line a word."""
     if text:
