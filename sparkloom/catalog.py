@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as tx
@@ -12,6 +12,7 @@ from sparkloom.operators import rows as rw
 from sparkloom.operators import sequence as sq
 from sparkloom.operators.scan import Ordered
 from sparkloom.plans import ingest as ing
+from sparkloom.shared import written
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -169,7 +170,7 @@ def l13_upsert(spark, sf_dir):
 def j9_missing_from_product(spark, sf_dir):
     c = t(spark, sf_dir, "customer")
     current = c.where("c_acctbal > 5000").select(F.col("c_nationkey").alias("n_nationkey"), F.col("c_mktsegment").alias("seg"))
-    return df_.missing_from_product(t(spark, sf_dir, "nation"), F.broadcast(c.select(F.col("c_mktsegment").alias("seg")).distinct()), current, ["n_nationkey", "seg"])
+    return df_.missing_from_product(t(spark, sf_dir, "nation"), c.select(F.col("c_mktsegment").alias("seg")).distinct(), current, ["n_nationkey", "seg"])
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
@@ -282,9 +283,12 @@ def a14_dimension(spark, sf_dir):
     return ag.dimension(t(spark, sf_dir, "part"), "p_type")
 
 
-@query("""SELECT * FROM (PIVOT (SELECT o_custkey, o_orderkey, 'order_' || row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders) ON n USING max(o_orderkey) GROUP BY o_custkey)""")
+@query("""WITH r AS (SELECT o_custkey, o_orderkey, 'order_' || row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS name FROM orders)
+    SELECT o_custkey, name, o_orderkey AS value FROM r""")
 def a15_numbered_pivot(spark, sf_dir):
-    return ag.numbered_pivot(t(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", ["o_orderdate", "o_orderkey"], "order")
+    """The wide table, read back as a row a value."""
+    wide = ag.numbered_pivot(t(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", ["o_orderdate", "o_orderkey"], "order")
+    return wide.unpivot("o_custkey", [c for c in wide.columns if c != "o_custkey"], "name", "value").where("value is not null")
 
 
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
@@ -399,9 +403,15 @@ def j17_pace(spark, sf_dir):
     return sq.pace(t(spark, sf_dir, "orders").withColumn("o", F.struct("o_orderdate", "o_orderkey")), ["o_custkey"], "o", "o_totalprice", 50_000).select("o_orderkey", F.col("tick").cast("long").alias("tick"))
 
 
-@query("SELECT o_orderkey, o_custkey FROM orders")
+@query("SELECT (row_number() OVER (ORDER BY o_custkey, o_orderkey DESC))::BIGINT AS place, o_orderkey, o_custkey FROM orders")
 def o1_sort(spark, sf_dir):
-    return t(spark, sf_dir, "orders").orderBy("o_custkey", F.desc("o_orderkey")).select("o_orderkey", "o_custkey")
+    """Each row with its place after the sort: the rows before it in its sorted partition, and those of the partitions before."""
+    rows = t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey").orderBy("o_custkey", F.desc("o_orderkey"))
+    rows = written(rows.withColumn("at", F.monotonically_increasing_id()), "sorted").withColumn("part", F.shiftright("at", 33))
+    counts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row a partition
+    before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = F.col("before") + F.col("at") - F.shiftleft("part", 33) + 1
+    return rows.join(F.broadcast(before), "part").select(place.alias("place"), "o_orderkey", "o_custkey")
 
 
 @query("SELECT o_orderkey FROM orders ORDER BY ('0x' || substr(md5('1:' || o_orderkey), 1, 8))::BIGINT, o_orderkey LIMIT 100")
@@ -471,6 +481,29 @@ def f15_f19_times(spark, sf_dir):
     return e.select("event_id", tx.hhmmss_seconds(F.col("event_id") % 240_000).alias("seconds"), tx.date_label(F.col("ts")).alias("label"), tx.clock_label(F.col("ts")).alias("clock"))
 
 
+@query("SELECT event_id, date_trunc('second', ts) AS at FROM events")
+def f15_day_and_time(spark, sf_dir):
+    """Times taken apart into the two numbers of a job log, and put together again."""
+    ts = F.col("ts").cast("timestamp")
+    day, time = F.date_format(ts, "yyyyMMdd").cast("int"), (F.hour(ts) * 10_000 + F.minute(ts) * 100 + F.second(ts)).cast("int")
+    return t(spark, sf_dir, "events").select("event_id", tx.day_and_time(day, time).alias("at"))
+
+
+@query("""WITH e AS (SELECT event_id, ts FROM events), w AS (SELECT event_id, unnest([
+    {'name': 'Today', 'a': date_trunc('day', ts), 'b': date_trunc('day', ts) + INTERVAL 1 DAY},
+    {'name': 'ThisWeek', 'a': date_trunc('day', ts) - to_days(dayofweek(ts)::INT), 'b': date_trunc('day', ts) + to_days(7 - dayofweek(ts)::INT)},
+    {'name': 'ThisMonth', 'a': date_trunc('month', ts), 'b': date_trunc('month', ts) + INTERVAL 1 MONTH}, {'name': 'ThisHour', 'a': date_trunc('hour', ts), 'b': date_trunc('hour', ts) + INTERVAL 1 HOUR},
+    {'name': 'FourHours', 'a': ts - INTERVAL 2 HOUR, 'b': ts + INTERVAL 2 HOUR}, {'name': 'Centered 2 hour', 'a': ts - INTERVAL 2 HOUR, 'b': ts + INTERVAL 2 HOUR},
+    {'name': 'Forward 3 day', 'a': ts, 'b': ts + INTERVAL 3 DAY}, {'name': 'Backward 10 minute', 'a': ts - INTERVAL 10 MINUTE, 'b': ts}]) AS w FROM e)
+    SELECT event_id, w.name AS name, w.a AS begins, w.b AS ends FROM w""")
+def f16_all_windows(spark, sf_dir):
+    """The eight kinds of windows around each event."""
+    ts = F.col("ts").cast("timestamp")
+    kinds = ("Today", "ThisWeek", "ThisMonth", "ThisHour", "FourHours", "Centered 2 hour", "Forward 3 day", "Backward 10 minute")
+    each = F.array(*[F.struct(F.lit(k).alias("name"), a.alias("begins"), b.alias("ends")) for k in kinds for a, b in (tx.time_window(k, ts),)])
+    return t(spark, sf_dir, "events").select("event_id", F.inline(each))
+
+
 @query("""SELECT event_id, date_diff('hour', ts, TIMESTAMP '2024-06-01 12:30:00') AS hours, date_diff('minute', ts, TIMESTAMP '2024-06-01 12:30:00') AS minutes,
     date_trunc('day', ts) AS today, date_trunc('month', ts) AS month_start, date_trunc('month', ts) + INTERVAL 1 MONTH AS month_end, date_trunc('day', ts) - to_days(dayofweek(ts)::INT) AS week_start FROM events""")
 def f16_f17_windows(spark, sf_dir):

@@ -11,9 +11,10 @@ from sparkloom.functions import text as tx
 from sparkloom.operators import diff, pii
 from sparkloom.operators import profile as pf
 from sparkloom.plans import ingest as ing
+from sparkloom.plans import security
 from sparkloom.plans.versions import VersionedTable
 from sparkloom.shared import fresh_path
-from sparkloom.sources import files
+from sparkloom.sources import files, jdbc
 
 # --- files ------------------------------------------------------------------------------------------------------
 
@@ -98,16 +99,62 @@ def s15_edge_file(spark, sf_dir):
     return files.read_csv(spark, path, sep="\t", encoding="utf-8").select("Parent", "Child")
 
 
-@query("""SELECT l_orderkey::VARCHAR AS path, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag) - 1)::INT AS cell,
-    l_returnflag AS cell_type, 'SELECT ' || l_linenumber AS source FROM lineitem""")
+@query("""WITH c AS (SELECT l_orderkey, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag) - 1)::INT AS cell, l_linenumber % 5 AS k, l_linenumber AS n FROM lineitem),
+    b AS (SELECT *, CASE l_orderkey % 4 WHEN 0 THEN 'sql' WHEN 1 THEN 'python' WHEN 2 THEN 'sql-server' END AS book, CASE k WHEN 1 THEN 'python' WHEN 2 THEN 't-sql' WHEN 3 THEN 'r' END AS own FROM c)
+    SELECT l_orderkey::VARCHAR AS path, cell, CASE WHEN k = 4 THEN 'markdown' ELSE 'code' END AS cell_type, book AS notebook_language, coalesce(own, book) AS language,
+    k <> 4 AND (coalesce(own = 't-sql', false) OR (own IS NULL AND (coalesce(book IN ('sql', 'sql-server'), false) OR n % 2 = 0))) AS is_sql, CASE WHEN n % 2 = 0 THEN 'SELECT ' ELSE 'print ' END || n AS source FROM b""")
 def s17_notebook_cells(spark, sf_dir):
-    """An order is a notebook, its lines are the cells."""
+    """An order is a notebook, its lines are the cells; both tell their languages in places of different depth, or not at all."""
     path = fresh_path(spark, "notebooks")
-    text = F.array(F.lit("SELECT "), F.col("l_linenumber").cast("string"))
-    lines = t(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_returnflag", text.alias("source")).alias("c"))
-    books = lines.groupBy(F.col("l_orderkey").cast("string").alias("path")).agg(F.sort_array(F.collect_list("c")).alias("c"))
-    books.select("path", F.transform("c", lambda c: F.struct(c["l_returnflag"].alias("cell_type"), c["source"].alias("source"))).alias("cells")).write.json(path)
-    return files.notebook_cells(spark.read.json(path))
+    n = F.col("l_linenumber")
+    where = F.element_at(F.array(*[F.lit(x) for x in ("{}", '{"language":" Python ","vscode":{"languageId":"sql"}}', '{"language":"","dotnet_interactive":{"language":"T-SQL"}}', '{"custom":{"metadata":{"vscode":{"languageId":"R"}}}}', "{}")]), (n % 5 + 1).cast("int"))
+    source = F.to_json(F.array(F.when(n % 2 == 0, "SELECT ").otherwise("print "), n.cast("string")))
+    cell = F.concat(F.lit('{"cell_type":"'), F.when(n % 5 == 4, "markdown").otherwise("code"), F.lit('","metadata":'), where, F.lit(',"source":'), source, F.lit("}"))
+    lines = t(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_returnflag", cell.alias("cell")).alias("c"))
+    books = lines.groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list("c"))["cell"], ",").alias("cells"))
+    told = ('{"custom":{"metadata":{"language_info":{"name":"SQL"}}},"language_info":{"name":"r"}}', '{"language_info":{"name":" "},"kernelspec":{"name":"Python","display_name":"x"}}', '{"metadata":{"kernelspec":{"display_name":"sql-server"}}}', "{}")
+    head = F.element_at(F.array(*map(F.lit, told)), (F.col("l_orderkey") % 4 + 1).cast("int"))
+    text = F.concat(F.lit('{"metadata":'), head, F.lit(',"cells":['), "cells", F.lit("]}"))
+    books.select(F.col("l_orderkey").cast("string").alias("path"), text.alias("value")).write.parquet(path)
+    return files.notebook_cells(spark.read.parquet(path))
+
+
+@query("SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 10 <> 0 THEN o_totalprice END AS o_totalprice, o_orderpriority FROM orders WHERE o_orderstatus = 'O' AND o_custkey > 20")
+def s7_jdbc_round_trip(spark, sf_dir):
+    """A table written to the database that comes with Spark and read again in ranges of a column with nulls; one condition is given to the source, one to Spark."""
+    url = f"jdbc:derby:memory:{fresh_path(spark, 'db').rsplit('/', 1)[1]};create=true"
+    o = t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.when(F.col("o_orderkey") % 10 != 0, F.col("o_totalprice")).alias("o_totalprice"), "o_orderstatus", "o_orderpriority")
+    jdbc.write_jdbc(o.coalesce(4), url, "orders", driver=jdbc.DERBY, createTableColumnTypes="o_orderstatus VARCHAR(8), o_orderpriority VARCHAR(64)")
+    read = jdbc.read_jdbc(spark, url, "orders", "\"o_orderstatus\" = 'O'", '"o_totalprice"', 4, driver=jdbc.DERBY)
+    return read.where("o_custkey > 20").drop("o_orderstatus")
+
+
+# --- sheets -----------------------------------------------------------------------------------------------------
+
+ALLOWED = "(VALUES " + ", ".join(f"('{k}', '{v}')" for k, values in security.DATABASE_PERMISSIONS.items() for v in values) + ") a(scope, permission)"
+
+
+@query(f"""WITH s AS (SELECT event_id, CASE event_id % 11 WHEN 0 THEN '' WHEN 1 THEN 'ghost' ELSE 'role' || user_id % 5 END AS role, CASE event_id % 7 WHEN 1 THEN 'DENY' WHEN 2 THEN 'REVOKE' ELSE 'GRANT' END AS state,
+    CASE event_id % 5 WHEN 0 THEN 'DATABASE' WHEN 1 THEN 'SCHEMA' WHEN 2 THEN 'OBJECT' WHEN 3 THEN 'SCHEMA' ELSE 'SERVER' END AS scope, CASE WHEN event_id % 3 > 0 THEN 'dbo' END AS schema,
+    CASE WHEN event_id % 4 > 0 THEN 't' || user_id % 3 ELSE '' END AS object, list_extract(['SELECT', 'EXECUTE', 'CONNECT', 'CREATE TABLE', 'REFERENCES', ''], (event_id % 6 + 1)::INT) AS permission, event_id % 2 = 0 AS wgo FROM events),
+    r AS (SELECT *, CASE WHEN role = '' THEN 'no RoleName' WHEN permission = '' THEN 'no Permission' WHEN role = 'ghost' THEN 'role not in Roles' WHEN state = 'REVOKE' THEN 'state unknown' WHEN scope = 'SERVER' THEN 'scope unknown'
+        WHEN scope <> 'DATABASE' AND schema IS NULL THEN 'no schema' WHEN scope = 'OBJECT' AND object = '' THEN 'no object'
+        WHEN NOT EXISTS (SELECT 1 FROM {ALLOWED} WHERE a.scope = s.scope AND a.permission = s.permission) THEN 'not for this scope' END AS reason, wgo AND state <> 'DENY' AS granted FROM s),
+    n AS (SELECT *, CASE WHEN reason IS NULL AND row_number() OVER (PARTITION BY reason IS NULL, role, state, scope, coalesce(schema, ''), object, permission, granted ORDER BY event_id) > 1 THEN 'duplicate' ELSE reason END AS why FROM r)
+    SELECT event_id, why AS reason, granted AS with_grant, CASE WHEN wgo AND state = 'DENY' AND (reason IS NULL) THEN 'a denial grants nothing' ELSE '' END AS repairs FROM n""")
+def q1_permission_sheet(spark, sf_dir):
+    """A sheet of permissions made of events, by the rules of its table: defaults, allow-list by scope, roles of another sheet, repairs, duplicates."""
+    i, pick = F.col("event_id"), lambda k, *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (i % k + 1).cast("int"))
+    e = t(spark, sf_dir, "events").select(
+        "event_id", F.when(i % 11 == 0, " ").when(i % 11 == 1, "ghost").otherwise(F.concat(F.lit("role"), (F.col("user_id") % 5).cast("string"))).alias("RoleName"),
+        pick(7, None, " deny ", "REVOKE", "Grant", "GRANT", "", "grant").alias("State"), pick(5, "database", "SCHEMA", "Object", " schema", "SERVER").alias("Scope"),
+        F.when(i % 3 > 0, "dbo").alias("SchemaName"), F.when(i % 4 > 0, F.concat(F.lit("t"), (F.col("user_id") % 3).cast("string"))).otherwise("").alias("ObjectName"),
+        pick(6, "select", "EXECUTE", "CONNECT", "Create Table", "REFERENCES", "").alias("Permission"), F.when(i % 2 == 0, "Yes").otherwise("").alias("WithGrantOption"),
+    )
+    roles = t(spark, sf_dir, "events").select(F.lit("1").alias("n"), F.concat(F.lit("role"), (F.col("user_id") % 5).cast("string")).alias("RoleName")).distinct()
+    good, bad = security.validate(e, "Permissions", "event_id", security.validate(roles, "Roles", "n")[0])
+    both = good.withColumn("reason", F.lit(None).cast("string")).unionByName(bad)
+    return both.select("event_id", "reason", F.col("WithGrantOption").alias("with_grant"), F.array_join("repairs", ", ").alias("repairs"))
 
 
 # --- rows and loads ---------------------------------------------------------------------------------------------

@@ -8,10 +8,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from sparkloom.catalog import query, t
-from sparkloom.catalog_more import KEY, SPANS, hmac_sql
+from sparkloom.catalog_more import KEY, hmac_sql
 from sparkloom.functions import text as tx
 from sparkloom.operators import aggregate as ag
-from sparkloom.operators import diff, embed, pieces, pii, rows, trees, vectors
+from sparkloom.operators import diff, embed, names, pieces, pii, rows, trees, vectors
 from sparkloom.operators import profile as pf
 from sparkloom.plans import ingest as ing
 from sparkloom.plans.versions import VersionedTable
@@ -68,17 +68,25 @@ def any_of(words, x: str = "f") -> str:
     return "(" + " OR ".join(f"contains({x}, '{w}')" for w in words) + ")"
 
 
-def one_of(endings: str) -> str:
-    return "e IN (" + ", ".join(f"'{x}'" for x in endings.split()) + ")"
+def one_of(endings) -> str:
+    return "e IN (" + ", ".join(f"'{x}'" for x in endings) + ")"
+
+
+#: Where files go, as a user may say it.
+FILES = tx.FileRules(
+    buckets={"Images": ("png", "jpg", "gif"), "Video": ("mkv", "mp4"), "Audio": ("ogg", "mp3"), "Software": ("iso", "exe"), "Archives": ("tgz", "zip"), "Backups": ("bak",), "Logs": ("log",)},
+    data=("csv", "json", "xml"), code=("sql", "ipynb"), books=("pdf", "epub"), notes=("md", "txt"), work=("tuition", "invoice", "ledger"), reading=("paper", "course", "book"),
+    domains={"Finance": ("revenue", "invoice"), "Identity": ("oauth", "mail"), "Learning": ("neural", "vision"), "Security": ("jks", "cert")},
+)
 
 
 @query(f"""WITH n AS (SELECT p_partkey, lower({FILE}) AS f FROM part), x AS (SELECT *, CASE WHEN contains(f, '.') THEN regexp_extract(f, '\\.([^.]+)$', 1) ELSE '' END AS e FROM n)
-    SELECT p_partkey, CASE {' '.join(f"WHEN {one_of(v)} THEN '{k}'" for k, v in tx.BUCKETS.items())} WHEN {one_of(tx.BOOKS)} AND NOT {any_of(tx.WORK)} THEN 'Reading' WHEN {one_of(tx.NOTES)} AND {any_of(tx.READING)} THEN 'Reading'
-    WHEN {any_of(tx.WORK)} OR {one_of(tx.SQL_OR_NOTEBOOK)} THEN 'Work' ELSE CASE WHEN {one_of(tx.DATA)} THEN 'Data/' ELSE 'Work/' END || CASE {' '.join(f"WHEN {any_of(v)} THEN '{k}'" for k, v in tx.DOMAINS.items())} END END AS place FROM x""")
+    SELECT p_partkey, CASE {' '.join(f"WHEN {one_of(v)} THEN '{k}'" for k, v in FILES.buckets.items())} WHEN {one_of(FILES.books)} AND NOT {any_of(FILES.work)} THEN 'Reading' WHEN {one_of(FILES.notes)} AND {any_of(FILES.reading)} THEN 'Reading'
+    WHEN {any_of(FILES.work)} OR {one_of(FILES.code)} THEN 'Work' ELSE CASE WHEN {one_of(FILES.data)} THEN 'Data/' ELSE 'Work/' END || CASE {' '.join(f"WHEN {any_of(v)} THEN '{k}'" for k, v in FILES.domains.items())} END END AS place FROM x""")
 def f11_file_place(spark, sf_dir):
     pick = lambda values, k: F.element_at(F.array(*map(F.lit, ast.literal_eval(values))), (k + 1).cast("int"))
     path = F.concat(F.lit("/in.box/"), "p_name", F.lit(" "), pick(WORDS, F.col("p_size") % 9), pick(ENDINGS, F.col("p_partkey") % 16))
-    return t(spark, sf_dir, "part").select("p_partkey", tx.file_place(path).alias("place"))
+    return t(spark, sf_dir, "part").select("p_partkey", tx.file_place(path, FILES).alias("place"))
 
 
 @query(r"""SELECT p_partkey, regexp_extract(replace(p_name, ' ', '_'), '^([^_]+)', 1) AS snake, regexp_extract(replace(p_name, ' ', '.'), '^([^.]+)', 1) AS dotted,
@@ -102,17 +110,19 @@ def f13_strip_sql_comments(spark, sf_dir):
     return code(spark, sf_dir).select("p_partkey", tx.strip_sql_comments(F.col("body")).alias("body"))
 
 
-#: Cells of notebooks, and whether they are SQL.
-CELLS = (
-    ("a note on parts", False), ("-- note\n{body}", True), ("x = 1\n go \n", True), ("\n %%tsql --conn\nfoo", True), ("#!connect mssql x", True), ("from a import b", False), ("/* c\n */ -- d\n;WITH x", True),
-    ("df.select(1).from_(2)", False), ("the select and\nthe FROM", True), ("/* only */", False), ("%sqlite", False), ("Execute x", True), ("selects", False),
-)
+#: Texts of documents, as they are, as comments, and in statements.
+CELL = """CASE doc_id % 7 WHEN 0 THEN text WHEN 1 THEN '-- note' || chr(10) || text WHEN 2 THEN '/* ' || text || ' */ select ' || doc_id WHEN 3 THEN text || chr(10) || ' Go ' || chr(10)
+    WHEN 4 THEN ' ' || chr(10) || '%%tsql ' || text WHEN 5 THEN 'x := Select' || chr(10) || text || ' from y' ELSE '#!connect mssql ' || text END"""
 
 
-@query("SELECT p_partkey, list_extract([" + ", ".join(str(x) for _, x in CELLS) + f"], (p_size % {len(CELLS)} + 1)::INT) AS is_sql FROM part")
+@query(rf"""WITH c AS (SELECT doc_id, regexp_replace({CELL}, '^[ \t\n\x0B\f\r]+', '') AS body FROM documents),
+    d AS (SELECT *, regexp_extract(body, '^([^\r\n]*)', 1) AS line, regexp_replace(body, '^(?:[ \t\n\x0B\f\r]+|--[^\n]*(?:\n|$)|/\*(?s:.*?)\*/)+', '') AS code FROM c)
+    SELECT doc_id, regexp_matches(line, '(?i)^(%%sql|%%tsql|%%mssql|%sql|%tsql|%mssql|#!sql(?:[-_]\S+)?|#!tsql(?:[-_]\S+)?|#!mssql(?:[-_]\S+)?)\b') OR regexp_matches(line, '(?i)^#!connect\s+(?:mssql|sql|sqlserver)\b')
+        OR (code <> '' AND (regexp_matches(code, '(?i)^(?:;\s*)?(select|with|insert|update|delete|merge|create|alter|drop|truncate|exec(?:ute)?|declare|use|begin|if|while|set|grant|revoke|deny|backup|restore|dbcc|commit|rollback)\b')
+            OR regexp_matches(code, '(?im)^\s*go\s*$') OR (regexp_matches(code, '(?i)\bselect\b') AND regexp_matches(code, '(?i)\bfrom\b')))) AS is_sql FROM d""")
 def f20_looks_like_sql(spark, sf_dir):
-    source = F.element_at(F.array(*[F.replace(F.lit(x), F.lit("{body}"), F.col("body")) for x, _ in CELLS]), F.col("p_size") % len(CELLS) + 1)
-    return code(spark, sf_dir).select("p_partkey", tx.looks_like_sql(source).alias("is_sql"))
+    cell = F.expr(CELL.replace("chr(10)", "char(10)"))
+    return t(spark, sf_dir, "documents").select("doc_id", tx.looks_like_sql(cell).alias("is_sql"))
 
 
 @query("""SELECT p_partkey, 'read' AS mode, replace(p_name, ' ', '_') AS target FROM part UNION SELECT p_partkey, 'read', p_type FROM part
@@ -134,9 +144,18 @@ def f21_is_uuid(spark, sf_dir):
     return t(spark, sf_dir, "events").select("event_id", tx.is_uuid(F.when(F.col("event_id") % 2 == 0, made).otherwise(h)).alias("is_uuid"))
 
 
-@query(r"SELECT c_custkey, regexp_replace(regexp_replace(trim(n), '[^0-9A-Za-z_]+', '_', 'g'), '^([0-9])', '_\1') AS name FROM (SELECT c_custkey, c_custkey || ' ' || c_name AS n FROM customer)")
+@query(r"""WITH n AS (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN ' ' || p_type || '!!' WHEN 1 THEN '_' || p_brand || '__' || (p_size % 3) WHEN 2 THEN '#%' || p_size || ' ]' ELSE '?!' END AS text FROM part),
+    o AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(trim(text), '[^A-Za-z0-9_]+', '_', 'g'), '__+', '_', 'g'), '^_|_$', '', 'g') AS safe FROM n),
+    b AS (SELECT *, CASE WHEN safe = '' THEN 'obj' ELSE safe END AS base FROM o), k AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY p_partkey) AS k FROM b),
+    m AS (SELECT *, CASE WHEN base = 'obj' AND k >= 3 THEN k + 1 ELSE k END AS number FROM k)
+    SELECT p_partkey, base || CASE WHEN number = 1 THEN '' ELSE '_' || number END AS name, '[' || replace(text, ']', ']]') || ']' AS quoted,
+    chr(39) || replace(text || chr(39), chr(39), chr(39) || chr(39)) || chr(39) AS literal FROM m""")
 def f22_object_name(spark, sf_dir):
-    return t(spark, sf_dir, "customer").select("c_custkey", tx.object_name(F.concat(F.col("c_custkey").cast("string"), F.lit(" "), "c_name")).alias("name"))
+    """Names made of texts, each given once, also beside a name that is taken already."""
+    text = F.expr("CASE p_size % 4 WHEN 0 THEN concat(' ', p_type, '!!') WHEN 1 THEN concat('_', p_brand, '__', p_size % 3) WHEN 2 THEN concat('#%', p_size, ' ]') ELSE '?!' END")
+    p = t(spark, sf_dir, "part").select("p_partkey", text.alias("text")).withColumn("base", names.object_name(F.col("text")))
+    named = names.unique_names(p, "base", "p_partkey", spark.createDataFrame([("obj_3",)], "name string"))
+    return named.select("p_partkey", "name", names.bracketed(F.col("text")).alias("quoted"), names.literal(F.concat("text", F.lit("'"))).alias("literal"))
 
 
 @query("SELECT p_partkey, p_name AS title, CASE WHEN p_size % 2 = 0 THEN '2024-01-' || lpad((p_size % 28 + 1)::VARCHAR, 2, '0') END AS date FROM part")
@@ -201,10 +220,13 @@ def f28_override_code(spark, sf_dir):
     return tx.override_code(c, "c_custkey", "c_mktsegment", listed).select("c_custkey", F.col("c_mktsegment").alias("code"))
 
 
-@query("""WITH p AS (SELECT p_partkey, unnest(['slow', 'fast', 'bright', 'dark']) AS v FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY md5('1:' || p_partkey || ':' || v), v) AS k FROM p)
-    SELECT p_partkey, string_agg(v, ', ' ORDER BY k) AS items FROM r WHERE k <= ('0x' || substr(md5('1:' || p_partkey), 1, 8))::BIGINT % 3 + 1 GROUP BY 1""")
+@query("""WITH p AS (SELECT p_partkey, unnest(['slow', 'fast', 'bright', 'dark']) AS v FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY md5('1:' || p_partkey || ':' || v), v) AS k FROM p),
+    i AS (SELECT p_partkey, string_agg(v, ', ' ORDER BY k) AS items FROM r WHERE k <= ('0x' || substr(md5('1:' || p_partkey), 1, 8))::BIGINT % 3 + 1 GROUP BY 1)
+    SELECT p_partkey, items, trunc(p_retailprice * 0.75)::BIGINT AS frame FROM i JOIN part USING (p_partkey)""")
 def f30_drawn_items(spark, sf_dir):
-    return t(spark, sf_dir, "part").select("p_partkey", tx.drawn_items(F.col("p_partkey"), ["slow", "fast", "bright", "dark"]).alias("items"))
+    """Items for each part, and its price, kept as a text, scaled to a frame number."""
+    frame = tx.scaled(F.col("p_retailprice").cast("string"), 0.75)
+    return t(spark, sf_dir, "part").select("p_partkey", tx.drawn_items(F.col("p_partkey"), ["slow", "fast", "bright", "dark"]).alias("items"), frame.alias("frame"))
 
 
 @query("SELECT c_custkey, 'S-1-5-21-' || c_custkey || '-' || c_nationkey AS sid FROM customer")
@@ -253,13 +275,14 @@ def j16_deny_same_scope(spark, sf_dir):
     return diff.deny_conflicts(perms(spark, sf_dir), ["login"], [["db", "object_id"]]).select("event_id")
 
 
-def bought(spark, sf_dir):
-    return t(spark, sf_dir, "lineitem").select(F.concat(F.lit("cust_"), F.col("l_suppkey").cast("string")).alias("parent"), F.concat(F.lit("part_"), F.col("l_partkey").cast("string")).alias("child"))
-
-
-@query("SELECT DISTINCT 'cust' AS parent, 'cust_' || l_suppkey AS child FROM lineitem")
+@query("""WITH n AS (SELECT DISTINCT CASE WHEN l_suppkey % 3 = 0 THEN 'supplierlong' || l_suppkey ELSE 'cust_' || l_suppkey % 10 || '_' || l_suppkey END AS root FROM lineitem),
+    p AS (SELECT root, CASE WHEN contains(root, '_') THEN 'cust' ELSE left(root, 10) END AS one, CASE WHEN contains(root, '_') THEN regexp_extract(root, '^([^_]+_[^_]+)', 1) ELSE root END AS two FROM n)
+    SELECT one AS parent, two AS child FROM p WHERE one <> two UNION SELECT two, root FROM p WHERE two <> root""")
 def g3_group_roots(spark, sf_dir):
-    return trees.group_roots(bought(spark, sf_dir))
+    """Suppliers, which are sold by none, under two segments of their names, or under ten letters of names without any."""
+    s = F.col("l_suppkey").cast("string")
+    parent = F.when(F.col("l_suppkey") % 3 == 0, F.concat(F.lit("supplierlong"), s)).otherwise(F.concat(F.lit("cust_"), (F.col("l_suppkey") % 10).cast("string"), F.lit("_"), s))
+    return trees.group_roots(t(spark, sf_dir, "lineitem").select(parent.alias("parent"), F.concat(F.lit("part_"), F.col("l_partkey").cast("string")).alias("child")))
 
 
 @query("""WITH e AS (SELECT DISTINCT s_nationkey::VARCHAR AS parent, s_name AS child, (s_suppkey % 3)::VARCHAR AS p FROM supplier),
@@ -289,7 +312,8 @@ def g7_step_edges(spark, sf_dir):
     return trees.step_edges(t(spark, sf_dir, "events").select(i.alias("step_id"), F.when(i % 10 < 9, i + 1).alias("on_success"), F.when(F.col("event_type") == "error", i - i % 10).alias("on_failure")))
 
 
-@query(f"""{SPANS} SELECT c.node AS child, c.node - c.node % 10 AS parent FROM s c WHERE c.node % 10 <> 1 AND EXISTS (SELECT 1 FROM s p WHERE p.node = c.parent)""")
+@query("""WITH s AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem), one AS (SELECT l_orderkey, count(*) FILTER (l_linenumber = 1) > 0 AS there FROM s GROUP BY 1)
+    SELECT l_orderkey * 10 + l_linenumber AS child, l_orderkey * 10 AS parent FROM s JOIN one USING (l_orderkey) WHERE l_linenumber <> 1 AND there""")
 def g10_collapse_tree(spark, sf_dir):
     i = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
     top = F.col("l_orderkey") * 10

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -201,49 +203,45 @@ def category(df: DataFrame, col: str, lookup: DataFrame, default: str = "Unknown
     return df.join(found, F.col(col) == F.col("_value"), "left").drop("_value").withColumn("category", F.coalesce("category", F.lit(default)))
 
 
-# Endings of files, and words in their names.
-BUCKETS = {
-    "Images": "png jpg jpeg gif bmp svg webp tiff", "Video": "mp4 mov m4v mkv avi webm", "Audio": "mp3 wav flac m4a aac ogg", "Software": "msi exe vsix appinstaller iso",
-    "Archives": "zip 7z tar gz tgz rar", "Backups": "bak dacpac ispac", "Logs": "log oxps",
-}
-DATA = "csv tsv xlsx xls xlsm xlsb json xml yaml yml"
-SQL_OR_NOTEBOOK, BOOKS, NOTES = "sql ipynb", "pdf epub", "md txt"
-WORK = (
-    "twu", "jenzabar", "clover", "salesforce", "integration", "student", "housing", "enrollment", "finance", "trial", "tuition", "vena", "payee", "reconcile", "ledger", "gl", "ar", "ap",
-    "ssrs", "db", "backup", "prod", "test", "staging", "aq", "j1", "jics", "entra", "active directory", "email",
-)
-READING = ("paper", "article", "report", "guide", "handbook", "book", "thesis", "proceedings", "cvpr", "arxiv", "pnas", "nature", "springer", "oreilly")
-DOMAINS = {
-    "Finance": ("finance", "gl", "ledger", "trial", "balance", "tuition", "revenue", "ar ", " ap", "payee", "positivepay", "t2202", "t4a", "vena"),
-    "Student": ("student", "housing", "residence", "enrol", "enroll", "candidacy", "course"),
-    "Identity": ("entra", "adp", "active directory", "email", "sso", "ldap", "oauth"),
-    "Integrations": ("clover", "jenzabar", "salesforce", "wsdl", "sftp", "ssis", "api"),
-    "AI-ML": ("ai", "ml", "llm", "neural", "graph", "rag", "nlp", "vision", "transformer"),
-    "Security": ("security", "log4shell", "cert", "rsa", "key", "jks"),
-}
-
-
-def file_place(path: Column) -> Column:
+@dataclass(frozen=True)
+class FileRules:
+    """What tells where a file goes, given by the caller: endings by bucket, endings of data, of code, of books and of notes, words in names of
+    work and of reading, and words by domain. The first that holds counts."""
+
+    buckets: dict[str, tuple[str, ...]]
+    data: tuple[str, ...]
+    code: tuple[str, ...]
+    books: tuple[str, ...]
+    notes: tuple[str, ...]
+    work: tuple[str, ...]
+    reading: tuple[str, ...]
+    domains: dict[str, tuple[str, ...]]
+
+
+def file_place(path: Column, rules: FileRules) -> Column:
     """Where a file goes: a bucket by its ending; else Reading or Work; else Data or Work with a domain by a word in its name; else null."""
     name = F.lower(F.regexp_extract(path, r"([^/]*)$", 1))
     ending = F.regexp_extract(name, r"[^.]\.([^.]+)$", 1)
-    of = lambda endings: ending.isin(*endings.split())
     has = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(name, w))
-    place, domain = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for kind, words in reversed(DOMAINS.items()):
+    domain = F.lit(None).cast("string")
+    for kind, words in reversed(rules.domains.items()):
         domain = F.when(has(words), kind).otherwise(domain)
-    place = F.when(domain.isNotNull(), F.concat(F.when(of(DATA), "Data/").otherwise("Work/"), domain))
-    work = has(WORK) | of(SQL_OR_NOTEBOOK)
-    reading = (of(BOOKS) & ~has(WORK)) | (of(NOTES) & has(READING))
+    place = F.when(domain.isNotNull(), F.concat(F.when(ending.isin(*rules.data), "Data/").otherwise("Work/"), domain))
+    work = has(rules.work) | ending.isin(*rules.code)
+    reading = (ending.isin(*rules.books) & ~has(rules.work)) | (ending.isin(*rules.notes) & has(rules.reading))
     place = F.when(reading, "Reading").when(work, "Work").otherwise(place)
-    for bucket, endings in BUCKETS.items():
-        place = F.when(of(endings), bucket).otherwise(place)
+    for bucket, endings in rules.buckets.items():
+        place = F.when(ending.isin(*endings), bucket).otherwise(place)
     return place
 
 
-def name_prefix(name: Column, style: str = "_") -> Column:
-    """The first segment of a name: before ``_`` or ``.``, or the first CamelCase word."""
-    pattern = {"_": "^([^_]+)", ".": r"^([^.]+)", "camel": "^([A-Z]?[a-z0-9]+)"}[style]
+def name_prefix(name: Column, style: str = "_", segments: int = 1) -> Column:
+    """The first segment of a name, or the first two: before ``_``; before ``.`` and then the first word in CamelCase; or CamelCase words.
+    Empty if the name has no such segments."""
+    pattern = {
+        ("_", 1): "^([^_]+)", (".", 1): r"^([^.]+)", ("camel", 1): "^([A-Z]?[a-z0-9]+)",
+        ("_", 2): "^([^_]+(?:_[^_]*)?)", (".", 2): r"^([^.]+\.[A-Z][^A-Z.]*)", ("camel", 2): "^([A-Z]?[a-z0-9]+(?:[A-Z][a-z0-9]*)?)",
+    }[style, segments]
     return F.regexp_extract(name, pattern, 1)
 
 
@@ -257,13 +255,18 @@ CONNECT_MAGIC = r"(?i)^#!connect\s+(?:mssql|sql|sqlserver)\b"
 SQL_FIRST = r"(?i)^(?:;\s*)?(select|with|insert|update|delete|merge|create|alter|drop|truncate|exec(?:ute)?|declare|use|begin|if|while|set|grant|revoke|deny|backup|restore|dbcc|commit|rollback)\b"
 
 
+def sql_magic(source: Column) -> Column:
+    """Whether the first line that isn't blank is a magic for SQL."""
+    first_line = F.regexp_extract(F.regexp_replace(source, r"^\s+", ""), r"^([^\r\n]*)", 1)
+    return first_line.rlike(SQL_MAGIC) | first_line.rlike(CONNECT_MAGIC)
+
+
 def looks_like_sql(source: Column) -> Column:
     """A magic line first; or, behind leading comments, a word that begins a statement, a line with GO, or a select with a from."""
     body = F.regexp_replace(source, r"^\s+", "")
-    first_line = F.regexp_extract(body, r"^([^\r\n]*)", 1)
     code = F.regexp_replace(body, r"^(?:\s+|--[^\n]*(?:\n|$)|/\*(?s:.*?)\*/)+", "")
     statement = code.rlike(SQL_FIRST) | code.rlike(r"(?im)^\s*go\s*$") | (code.rlike(r"(?i)\bselect\b") & code.rlike(r"(?i)\bfrom\b"))
-    return first_line.rlike(SQL_MAGIC) | first_line.rlike(CONNECT_MAGIC) | ((code != "") & statement)
+    return sql_magic(source) | ((code != "") & statement)
 
 
 def sid_text(sid: Column) -> Column:
@@ -342,10 +345,6 @@ def is_uuid(text: Column) -> Column:
     return text.rlike(r"(?i)^\{?[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}\}?$")
 
 
-def object_name(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.trim(text), r"[^0-9A-Za-z_]+", "_"), r"^([0-9])", "_$1")
-
-
 def front_matter(text: Column) -> dict[str, Column]:
     """title and date from the head, else the title from the first heading."""
     head = F.regexp_extract(text, r"(?s)\A---\s*\n(.*?)\n---", 1)
@@ -444,6 +443,11 @@ def sql_targets(df: DataFrame, key: str, sql: str) -> DataFrame:
     return df.select(key, F.explode(both).alias("x")).select(key, "x.mode", "x.target").distinct()
 
 
+def scaled(value: Column, factor: float) -> Column:
+    """A text or number times the factor, towards zero to a whole number; null if it is no number."""
+    return (value.try_cast("double") * factor).cast("long")
+
+
 def drawn_items(key: Column, pool: list[str], seed: int = 1, most: int = 3) -> Column:
     """One to ``most`` distinct items of a pool as text, the same for the same key: the order of the pool and how many are drawn by MD5."""
     hashed = lambda *parts: F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"), *map(F.lit, parts)))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ARROW = " <--> "
+#: Rows of a list that is broadcast, and shares of the other side that each part of a longer one meets.
+SHORT, SHARES = 100_000, 64
 
 
 def as_text(df: DataFrame, name: str) -> Column:
@@ -167,8 +169,15 @@ def remediation(mismatches: DataFrame, templates: dict[str, str]) -> DataFrame:
 
 
 def missing_from_product(left: DataFrame, right: DataFrame, current: DataFrame, cols: list[str]) -> DataFrame:
-    """Every pairing of ``left`` with the short list ``right`` that ``current`` lacks; distinct, nulls equal."""
-    pairs = left.withColumn("_all", F.lit(1)).join(right.withColumn("_all", F.lit(1)), "_all")
+    """Every pairing of ``left`` with the list ``right`` that ``current`` lacks; distinct, nulls equal. The list is broadcast while it is
+    short; a long one is dealt to parts, and each share of ``left`` meets each part."""
+    parts = -(-right.count() // SHORT) or 1
+    if parts == 1:
+        pairs = left.join(F.broadcast(right), F.lit(True))
+    else:
+        dealt = right.withColumn("_part", F.pmod(F.xxhash64(*right.columns), F.lit(parts)).cast("int"))
+        pairs = left.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("_share", F.pmod(F.xxhash64(*left.columns), F.lit(SHARES)).cast("int"))
+        pairs = pairs.join(dealt.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))), ["_part", "_share"])
     return pairs.select(*cols).subtract(current.select(*cols))
 
 

@@ -55,9 +55,14 @@ def roots(edges: DataFrame) -> DataFrame:
     return edges.select("parent").distinct().join(edges.select(F.col("child").alias("parent")), "parent", "left_anti")
 
 
-def group_roots(edges: DataFrame, style: str = "_") -> DataFrame:
-    """Edges from the prefix of each root's name to the root."""
-    return roots(edges).select(name_prefix(F.col("parent"), style).alias("parent"), F.col("parent").alias("child")).where("parent != child").distinct()
+def group_roots(edges: DataFrame, style: str = "_", letters: int = 10) -> DataFrame:
+    """Edges from the first segment of each root's name to its first two, and from these to the root. Where both are the same, the first
+    ``letters`` of it stand above it."""
+    named = roots(edges).select(F.col("parent").alias("root"), name_prefix(F.col("parent"), style).alias("one"), name_prefix(F.col("parent"), style, 2).alias("two"))
+    named = named.withColumn("two", F.when(F.col("two") == "", F.col("one")).otherwise(F.col("two")))
+    named = named.withColumn("one", F.when(F.col("one") == F.col("two"), F.substring("two", 1, letters)).otherwise(F.col("one")))
+    levels = F.array(F.struct(F.col("one").alias("parent"), F.col("two").alias("child")), F.struct(F.col("two").alias("parent"), F.col("root").alias("child")))
+    return named.select(F.explode(levels).alias("e")).select("e.*").where("parent != child and parent != ''").distinct()
 
 
 def expand(edges: DataFrame, tops: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkloom.functions.text import looks_like_sql, sql_magic
 from sparkloom.operators.sequence import with_row_number
 from sparkloom.shared import fresh_path, shared_folder  # noqa: F401  (the queries take them from here)
 from sparkloom.sources.delimited import encodings, read_csv  # noqa: F401
@@ -43,13 +44,6 @@ def write_any(df: DataFrame, path: str, row_tag: str = "row") -> None:
         df.write.csv(path, header=True, escape='"')
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str, condition: str | None, column: str, low: int, high: int, parts: int, **options) -> DataFrame:
-    """A table read in ranges of a column, the condition pushed into the source."""
-    query = f"(SELECT * FROM {table}{f' WHERE {condition}' if condition else ''}) t"
-    reader = spark.read.format("jdbc").option("url", url).option("dbtable", query).options(**options)
-    return reader.option("partitionColumn", column).option("lowerBound", low).option("upperBound", high).option("numPartitions", parts).load()
-
-
 def append_with_rejects(df: DataFrame, ok, path: str, rejects: str) -> None:
     """Good rows to one table, the others to another."""
     df.where(ok).write.mode("append").parquet(path)
@@ -126,7 +120,39 @@ def notebook_grids(raw: DataFrame) -> DataFrame:
     return found.select("path", "source", "recorded", F.size("rows").alias("actual"), F.explode_outer("rows").alias("row"))
 
 
+def first_named(value: Column, paths: list[str]) -> Column:
+    """The first of the paths into a JSON text that has more than blanks, in small letters."""
+    found = [F.trim(F.lower(F.get_json_object(value, p))) for p in paths]
+    return F.coalesce(*[F.when(x != "", x) for x in found])
+
+
+# Where notebooks and cells tell their language, first to last, and languages that are SQL.
+NOTEBOOK_LANGUAGE = [f"$.metadata.{at}language_info.name" for at in ("custom.metadata.", "metadata.", "")] + [
+    f"$.metadata.{at}kernelspec.{name}" for at in ("custom.metadata.", "metadata.", "") for name in ("language", "name", "display_name")
+]
+CELL_LANGUAGE = [
+    "$.language", "$.vscode.languageId", "$.dotnet_interactive.language", "$.polyglot_notebook.kernelName", "$.custom.metadata.language", "$.custom.metadata.vscode.languageId",
+]
+SQL_LANGUAGES = (
+    "sql", "tsql", "t-sql", "mssql", "mysql", "postgresql", "postgres", "sqlite", "plsql", "snowflake", "bigquery", "redshift", "duckdb", "trino", "presto", "oracle", "db2", "sparksql",
+)
+SQL_PREFIX = "^(sql-|sql_|mssql-)"
+
+
+def is_sql_language(language: Column) -> Column:
+    return F.coalesce(language.isin(*SQL_LANGUAGES) | language.rlike(SQL_PREFIX), F.lit(False))
+
+
 def notebook_cells(raw: DataFrame) -> DataFrame:
-    """path, cell, cell_type, source from notebooks read as JSON with column ``path``."""
-    cells = raw.select("path", F.posexplode("cells").alias("cell", "c"))
-    return cells.select("path", "cell", F.col("c.cell_type").alias("cell_type"), F.array_join("c.source", "").alias("source"))
+    """path, cell, cell_type, notebook_language, language, is_sql, source from notebooks as whole texts (columns path, value).
+
+    A cell without a language has its notebook's. A code cell is SQL if its own language is, or, unless its own is another, if the
+    notebook's is or its text looks like it; or by a magic in its first line."""
+    kind = "struct<cells:array<struct<cell_type:string,metadata:string,source:string>>>"
+    cells = raw.select("path", first_named(F.col("value"), NOTEBOOK_LANGUAGE).alias("notebook_language"), F.posexplode(F.from_json("value", kind)["cells"]).alias("cell", "c"))
+    source = F.coalesce(F.array_join(F.from_json("c.source", "array<string>"), ""), F.col("c.source"), F.lit(""))
+    cells = cells.select("path", "cell", F.lower(F.trim("c.cell_type")).alias("cell_type"), "notebook_language", first_named(F.col("c.metadata"), CELL_LANGUAGE).alias("own"), source.alias("source"))
+    own_sql = is_sql_language(F.col("own"))
+    other = F.col("own").isNotNull() & ~own_sql
+    sql = own_sql | sql_magic(F.col("source")) | (~other & (is_sql_language(F.col("notebook_language")) | looks_like_sql(F.col("source"))))
+    return cells.select("path", "cell", "cell_type", "notebook_language", F.coalesce("own", "notebook_language").alias("language"), ((F.col("cell_type") == "code") & sql).alias("is_sql"), "source")

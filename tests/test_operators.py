@@ -272,16 +272,18 @@ def test_lemmas_and_morphemes_equal_plain_code(spark, sf_dir):
 
 
 def test_cleaning_rules(spark):
+    from sparkloom.catalog_text import FILES
+
     wiki = "<page><text xml>[[Category:Cats|x]] a [[Image:b.jpg|thumb|200px|A ''cat'']] {{icon|x}} [http://x.org/a label] [[de:Katze]] [[Felis|cat]] &amp;nbsp; &lt;ref name=a&gt;no&lt;/ref&gt; {|table}</text>"
     assert one(spark, tx.strip_wiki(F.lit(wiki))).split() == ["Cats", "a", "A", "''cat''", "label", "cat"]
     feed = "<b>Changed Status from Open to Closed.</b>Merged tickets (x): hi\\r\\n  there&#39;s &lt;a&gt; &quot;b&quot; &amp;amp; [Created from mail]"
     assert one(spark, tx.clean_ticket(F.lit(feed))) == " hi there's <a> \"b\" &amp; "
     places = {
-        "/a/photo.PNG": "Images", "x.iso": "Software", "y.bak": "Backups", "novel.pdf": "Reading", "tuition.pdf": "Work", "report.md": "Reading", "q.sql": "Work", "oauth.docx": "Work/Identity",
-        "neuron.json": None, "neural.json": "Data/AI-ML", "candidacy.json": "Data/Student", "zzz": None, ".pdf": None,
+        "/a/photo.PNG": "Images", "x.iso": "Software", "y.bak": "Backups", "novel.pdf": "Reading", "tuition.pdf": "Work", "course.md": "Reading", "q.sql": "Work", "oauth.docx": "Work/Identity",
+        "neuron.json": None, "neural.json": "Data/Learning", "revenue.json": "Data/Finance", "zzz": None, ".pdf": None,
     }
     for path, place in places.items():
-        assert one(spark, tx.file_place(F.lit(path))) == place, path
+        assert one(spark, tx.file_place(F.lit(path), FILES)) == place, path
 
 
 def test_calendar_tables(spark):
@@ -365,15 +367,3 @@ def test_subsample_keeps_rare_words(spark):
     kept = {r.word: r.n for r in vectors.subsample(tokens, "doc", vocabulary, 1e-2).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = (math.sqrt(5000 / (0.01 * 5006)) + 1) * 0.01 * 5006 / 5000
     assert kept["rare"] == 5 and abs(kept["the"] / 5000 - share) < 0.05
-
-
-def test_jdbc_options_are_built(spark, monkeypatch):
-    """No driver is at hand, so only what is asked of Spark is looked at."""
-    from sparkloom.sources import files
-
-    asked = {}
-    monkeypatch.setattr(type(spark.read), "load", lambda self, *a, **k: spark.range(1))
-    real = type(spark.read).option
-    monkeypatch.setattr(type(spark.read), "option", lambda self, k, v: asked.update({k: v}) or real(self, k, v))
-    files.read_jdbc(spark, "jdbc:x", "dbo.t", "year = 2024", "id", 1, 100, 4)
-    assert asked == {"url": "jdbc:x", "dbtable": "(SELECT * FROM dbo.t WHERE year = 2024) t", "partitionColumn": "id", "lowerBound": 1, "upperBound": 100, "numPartitions": 4}
