@@ -17,9 +17,10 @@ from __future__ import annotations
 
 import functools
 import math
+import pickle
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -44,6 +45,8 @@ EVERY, PRIOR_EXAMPLES = 0.02, 10.0
 #: Examples at the prior share that each step of the fit starts with, as a step of few examples says little.
 FIT_EXAMPLES = 2
 NEIGHBOURS, QUERIES = 25, 128
+#: Bytes of a finished index that go in one row.
+CHUNK = 16 << 20
 TERM = re.compile(r"[^\W\d_]+")
 
 
@@ -126,19 +129,6 @@ class Examples:
     counts: np.ndarray
     #: A hash of 64 bits of the term of each column.
     words: np.ndarray
-    #: What a Python worker has made of these, by name; the last only.
-    made: dict = field(default_factory=dict)
-
-    def __getstate__(self):
-        return self.__dict__ | {"made": {}}
-
-    def once(self, name: str, make):
-        if name not in self.made:
-            self.made.clear()
-            forget()  # what other operators keep in this worker
-            self.made[name] = make()
-        return self.made[name]
-
     @property
     def rows(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.begins))
@@ -186,51 +176,86 @@ class Examples:
         at = np.minimum(np.searchsorted(words, hashed), len(words) - 1)
         return np.where(words[at] == hashed, order[at], -1)
 
-    def index(self, weights: np.ndarray) -> tuple[BlockMax, np.ndarray]:
-        """The index, and the lengths of the vectors; exact weights of entries are made again when asked for."""
+    def built(self, weights: np.ndarray) -> Built:
+        """The index; exact weights of entries are made again when asked for."""
         x, norms = self.times(weights)
-        counts, columns = self.counts, self.columns
-        exact = lambda entries, vectors: (np.log(counts[entries], dtype=float) + 1) * weights[columns[entries]] / norms[vectors]
-        return BlockMax(self.begins, columns, x, len(self.words), self.labels, exact), norms
+        exact = Exact(self.counts, self.columns, weights, norms)
+        block = BlockMax(self.begins, self.columns, x, len(self.words), self.labels, exact)
+        self.sorted_words  # noqa: B018  (made here once, not by each worker)
+        return Built(self, block, weights, norms, self.seen())
+
+    def entries(self, values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        some = slice(self.begins[k], self.begins[k + 1])
+        return self.columns[some], values[some]
+
+    def plain(self) -> Built:
+        """All examples under plain TF-IDF."""
+        return self.built(self.idf(self.seen()[0]))
+
+    def learned(self, stay: np.ndarray) -> Built:
+        """Examples without copies, under weights that know the labels."""
+        left = self.kept(stay)
+        return left.built(left.weights(*left.seen()))
+
+
+@dataclass
+class Exact:
+    """Weights of entries in double precision."""
 
-    def query(self, values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        entries = slice(self.begins[k], self.begins[k + 1])
-        return self.columns[entries], values[entries]
+    counts: np.ndarray
+    columns: np.ndarray
+    weights: np.ndarray
+    norms: np.ndarray
 
-    def left_out(self, df: np.ndarray, hits: np.ndarray, k: int) -> Query:
+    def __call__(self, entries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+        return (np.log(self.counts[entries], dtype=float) + 1) * self.weights[self.columns[entries]] / self.norms[vectors]
+
+
+@dataclass
+class Built:
+    """Examples with their finished index, as it is sent to all workers, which make nothing of it themselves."""
+
+    examples: Examples
+    index: BlockMax
+    weights: np.ndarray
+    norms: np.ndarray
+    seen: tuple[np.ndarray, np.ndarray]
+
+    def query(self, k: int) -> Query:
+        """The k-th example."""
+        columns, counts = self.examples.entries(self.examples.counts, k)
+        return columns, (np.log(counts, dtype=float) + 1) * self.weights[columns] / self.norms[k]
+
+    def left_out(self, k: int) -> Query:
         """The k-th example as a query in which the weights of its terms don't know it."""
-        columns, counts = self.query(self.counts, k)
-        x = self.weights(df[columns] - 1, hits[columns] - self.labels[k]) * (1 + np.log(counts, dtype=float))
+        df, hits = self.seen
+        columns, counts = self.examples.entries(self.examples.counts, k)
+        x = self.examples.weights(df[columns] - 1, hits[columns] - self.examples.labels[k]) * (1 + np.log(counts, dtype=float))
         return columns, x / (math.sqrt((x * x).sum()) or 1)
 
-    def plain(self):
-        """Examples, index, what gives an example as a query."""
-        weights = self.idf(self.seen()[0])
-        index, norms = self.index(weights)
 
-        def query(k: int) -> Query:
-            columns, counts = self.query(self.counts, k)
-            return columns, (np.log(counts, dtype=float) + 1) * weights[columns] / norms[k]
+def built_once(shared: Broadcast, how: Callable[[Examples], Built]) -> Broadcast:
+    """What ``how`` makes of the shared examples: made by one task, then sent to all. Its size is bounded by MOST_ROWS examples."""
 
-        return self, index, query
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        for _ in batches:
+            raw = pickle.dumps(how(shared.value), 5)
+            for k, at in enumerate(range(0, len(raw), CHUNK)):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([raw[at : at + CHUNK]], pa.binary())], ["k", "part"])
 
-    def learned(self, stay: np.ndarray):
-        """Examples without copies, their index, what gives an example as a query, weights of the terms."""
-        left = self.kept(stay)
-        df, hits = left.seen()
-        weights = left.weights(df, hits)
-        return left, left.index(weights)[0], lambda k: left.left_out(df, hits, k), weights
+    spark = SparkSession.active()
+    parts = spark.range(0, 1, 1, 1).mapInArrow(run, "k long, part binary").toArrow().sort_by("k")
+    return spark.sparkContext.broadcast(pickle.loads(b"".join(p.as_py() for p in parts.column("part"))))
 
 
-def against_all(shared, name: str, make, of, n: int, least: int = 256) -> np.ndarray:
-    """``of(examples, index, queries, ks)`` for all positions ``ks`` below ``n`` in what ``make`` makes of the shared ones; by the executors."""
+def against_all(shared: Broadcast, of: Callable[[Built, list[int]], list[float]], n: int, least: int = 256) -> np.ndarray:
+    """``of`` what is shared, for all positions below ``n``; by the executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in slices(batches, QUERIES):
-            examples, index, query, *_ = shared.value.once(name, lambda: make(shared.value))
-            ks = b.column(0).to_pylist()
-            values = of(examples, index, [query(k) for k in ks], ks)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values, pa.float64())], ["id", "value"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(of(shared.value, b.column(0).to_pylist()), pa.float64())], ["id", "value"])
 
     spark = SparkSession.active()
     parts = max(1, min(spark.sparkContext.defaultParallelism, n // least))
@@ -240,15 +265,17 @@ def against_all(shared, name: str, make, of, n: int, least: int = 256) -> np.nda
     return out
 
 
-def are_copies(examples: Examples, index: BlockMax, queries: list[Query], ks: list[int]) -> list[float]:
-    labels = examples.labels
-    return [float(bool((labels[at[at < k]] == labels[k]).any())) for k, (_, at) in zip(ks, index.search(queries, least=COPY), strict=True)]
+def are_copies(built: Built, ks: list[int]) -> list[float]:
+    labels = built.examples.labels
+    near = built.index.search([built.query(k) for k in ks], least=COPY)
+    return [float(bool((labels[at[at < k]] == labels[k]).any())) for k, (_, at) in zip(ks, near, strict=True)]
 
 
-def left_out_votes(examples: Examples, index: BlockMax, queries: list[Query], ks: list[int]) -> list[float]:
-    prior = float(examples.labels.mean())
-    found = [(c[at != k][:NEIGHBOURS], at[at != k][:NEIGHBOURS]) for k, (c, at) in zip(ks, index.search(queries, NEIGHBOURS + 1), strict=True)]
-    return [vote(near, examples.labels, prior) for near in found]
+def left_out_votes(built: Built, ks: list[int]) -> list[float]:
+    labels = built.examples.labels
+    prior = float(labels.mean())
+    near = built.index.search([built.left_out(k) for k in ks], NEIGHBOURS + 1)
+    return [vote((c[at != k][:NEIGHBOURS], at[at != k][:NEIGHBOURS]), labels, prior) for k, (c, at) in zip(ks, near, strict=True)]
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | Learned:
@@ -269,24 +296,28 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | Learned:
         return Model(every, None, share, (np.array([0.0]), np.array([share])))
     shared = docs.sparkSession.sparkContext.broadcast(every)
     del every  # the driver needs the labels only
-    stay = against_all(shared, "plain", Examples.plain, are_copies, len(y)) == 0
-    votes = against_all(shared, "learned", lambda e: e.learned(stay), left_out_votes, int(stay.sum()))
+    plain = built_once(shared, Examples.plain)
+    stay = against_all(plain, are_copies, len(y)) == 0
+    plain.destroy()
+    learned = built_once(shared, lambda e: e.learned(stay))
+    shared.destroy()
+    votes = against_all(learned, left_out_votes, int(stay.sum()))
     prior = float(y[stay].mean())
-    return Learned(shared, stay, prior, careful_fit(votes, y[stay], prior))
+    return Learned(learned, prior, careful_fit(votes, y[stay], prior))
 
 
 @dataclass
 class Learned:
-    """A model as it is sent: the shared examples, which of them stay, and the fit. The driver holds no index."""
+    """A model as it is sent: the finished index and the fit."""
 
     shared: Broadcast
-    stay: np.ndarray
     prior: float
     fit: tuple[np.ndarray, np.ndarray]
 
     def made(self) -> Model:
-        left, index, _, weights = self.shared.value.once("learned", lambda: self.shared.value.learned(self.stay))
-        return Model(left, index, self.prior, self.fit, weights)
+        forget()  # what other operators keep in this worker
+        built = self.shared.value
+        return Model(built.examples, built.index, self.prior, self.fit, built.weights)
 
     def scores(self, texts: list[str | None]) -> Iterator[tuple[float, list[int]]]:
         return self.made().scores(texts)
