@@ -19,6 +19,7 @@ import functools
 import math
 import pickle
 import re
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -26,13 +27,14 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm.blockmax import BlockMax, Query
-from sparkloom.llm.common import forget, slices
+from sparkloom.llm.common import forget, once_a_worker, shared_folder, slices
 from sparkloom.llm.labelled import is_held_out, rising_fit, training_rows
 
 FOLDS, HELD_OUT, CUT = 5, 0, 0.5
@@ -45,8 +47,8 @@ EVERY, PRIOR_EXAMPLES = 0.02, 10.0
 #: Examples at the prior share that each step of the fit starts with, as a step of few examples says little.
 FIT_EXAMPLES = 2
 NEIGHBOURS, QUERIES = 25, 128
-#: Bytes of a finished index that go in one row.
-CHUNK = 16 << 20
+#: Bytes that are read at once from a finished index.
+READ = 8 << 20
 TERM = re.compile(r"[^\W\d_]+")
 
 
@@ -234,26 +236,63 @@ class Built:
         return columns, x / (math.sqrt((x * x).sum()) or 1)
 
 
-def built_once(shared: Broadcast, how: Callable[[Examples], Built]) -> Broadcast:
-    """What ``how`` makes of the shared examples: made by one task, then sent to all. Its size is bounded by MOST_ROWS examples."""
+@dataclass
+class Stored:
+    """An object in a file of the shared folder, which each worker reads once; large arrays lie behind one another after the rest."""
+
+    folder: str
+    name: str
+
+    @staticmethod
+    def write(folder: str, name: str, value) -> None:
+        buffers: list[pickle.PickleBuffer] = []
+        head = pickle.dumps(value, 5, buffer_callback=buffers.append)
+        raw = [b.raw() for b in buffers]
+        head = pickle.dumps((head, [x.nbytes for x in raw]), 5)
+        fs, base = pyarrow.fs.FileSystem.from_uri(folder)
+        fs.create_dir(base, recursive=True)
+        with fs.open_output_stream(f"{base}/{name}", compression=None) as out:
+            out.write(len(head).to_bytes(8, "little") + head)
+            for x in raw:
+                out.write(x)
+
+    def read(self):
+        fs, base = pyarrow.fs.FileSystem.from_uri(self.folder)
+        with fs.open_input_stream(f"{base}/{self.name}", compression=None, buffer_size=1 << 20) as stream:
+            head, sizes = pickle.loads(stream.read(int.from_bytes(stream.read(8), "little")))
+            buffers = [bytearray(n) for n in sizes]
+            for x in buffers:
+                view, at = memoryview(x), 0
+                while at < len(x):
+                    part = stream.read(min(READ, len(x) - at))
+                    view[at : at + len(part)] = part
+                    at += len(part)
+        return pickle.loads(head, buffers=buffers)
+
+    @property
+    def value(self) -> Built:
+        return once_a_worker(("stored", self.name), self.read)
+
+
+def built_once(shared: Broadcast, how: Callable[[Examples], Built]) -> Stored:
+    """What ``how`` makes of the shared examples: made by one task and written for all. Its size is bounded by MOST_ROWS examples."""
+    spark = SparkSession.active()
+    folder = shared_folder(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
+        name = f"toxicity-{uuid.uuid4().hex}.pickle"
         for _ in batches:
-            raw = pickle.dumps(how(shared.value), 5)
-            for k, at in enumerate(range(0, len(raw), CHUNK)):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([raw[at : at + CHUNK]], pa.binary())], ["k", "part"])
+            Stored.write(folder, name, how(shared.value))
+            yield pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
 
-    spark = SparkSession.active()
-    parts = spark.range(0, 1, 1, 1).mapInArrow(run, "k long, part binary").toArrow().sort_by("k")
-    return spark.sparkContext.broadcast(pickle.loads(b"".join(p.as_py() for p in parts.column("part"))))
+    return Stored(folder, spark.range(0, 1, 1, 1).mapInArrow(run, "name string").first().name)
 
 
-def against_all(shared: Broadcast, of: Callable[[Built, list[int]], list[float]], n: int, least: int = 256) -> np.ndarray:
+def against_all(shared: Stored, of: Callable[[Built, list[int]], list[float]], n: int, least: int = 256) -> np.ndarray:
     """``of`` what is shared, for all positions below ``n``; by the executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
         for b in slices(batches, QUERIES):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(of(shared.value, b.column(0).to_pylist()), pa.float64())], ["id", "value"])
 
@@ -298,7 +337,6 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | Learned:
     del every  # the driver needs the labels only
     plain = built_once(shared, Examples.plain)
     stay = against_all(plain, are_copies, len(y)) == 0
-    plain.destroy()
     learned = built_once(shared, lambda e: e.learned(stay))
     shared.destroy()
     votes = against_all(learned, left_out_votes, int(stay.sum()))
@@ -310,12 +348,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | Learned:
 class Learned:
     """A model as it is sent: the finished index and the fit."""
 
-    shared: Broadcast
+    shared: Stored
     prior: float
     fit: tuple[np.ndarray, np.ndarray]
 
     def made(self) -> Model:
-        forget()  # what other operators keep in this worker
         built = self.shared.value
         return Model(built.examples, built.index, self.prior, self.fit, built.weights)
 
