@@ -8,7 +8,8 @@ cycles; the list runs empty at the fixpoint. Characters of a layer know where in
 kept as runs, so a find in any layer is a span of the text.
 
 Defined results: a null text counts as empty; a text without finds has empty strings of spans; escapes that
-stand for nothing (invalid UTF-8, half a surrogate pair) stay as they are, those beside them are resolved;
+stand for nothing (invalid UTF-8, half a surrogate pair) stay as they are, those beside them are resolved; a percent sign escaped
+24 times or more is resolved in one step, so what only the layers between would show isn't looked for;
 bytes that are no UTF-8 are read with a mark in their place; very long texts are read whole, and an opened
 layer of more than WINDOW bytes in windows that overlap, so there what is hidden must fit in OVERLAP to be
 sure of a find; extra columns, of any name, aren't looked at; repeated rows give repeated rows; no rows
@@ -46,7 +47,9 @@ WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 #: What quoting makes of bytes: escapes, and the letters and marks that need none.
-QUOTED = re.compile(r"[A-Za-z0-9_.~/-]*(?:%[0-9A-Fa-f]{2}[A-Za-z0-9_.~/-]*){4,}")
+QUOTED = re.compile(r"(?<![A-Za-z0-9_.~/-])[A-Za-z0-9_.~/-]*+(?:%[0-9A-Fa-f]{2}[A-Za-z0-9_.~/-]*+){4,}")
+#: A percent sign that was escaped so often is resolved at once, not by a layer a time.
+DEEP = re.compile(r"%(?:25){24,}")
 UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
 UNICODE_ONE = re.compile(r"\\(?:u\{([0-9A-Fa-f]+)\}|[uUx]([0-9A-Fa-f]+))")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
@@ -307,7 +310,9 @@ def base64_bytes(run: str) -> bytes:
 def unwrapped(layer: Layer) -> Iterator[Layer]:
     text = layer.text
     if "%" in text:
-        if new := resolved(layer, URL, url_chars):
+        if new := resolved(layer, DEEP, lambda run: [("%", len(run))]):
+            yield new
+        elif new := resolved(layer, URL, url_chars):
             yield new
             for m in QUOTED.finditer(text):
                 if opener(data := urllib.parse.unquote_to_bytes(m[0])):
