@@ -9,8 +9,9 @@ A folder has files and a manifest, a Parquet table that Spark commits as a whole
 again writes another file; only files that the manifest names count.
 
 Defined results: a null text counts as empty; the end id alone makes its frame; a null ``doc_id`` sorts
-before all others; very long texts make one long frame; repeated rows give repeated frames; extra columns, of
-any name, aren't looked at; no rows give an empty manifest and no rows."""
+before all others; rows of one id are in the order of a hash of their texts, then of the texts; very long texts make one
+long frame; repeated rows give repeated frames; extra columns, of any name, aren't looked at; no rows give an empty manifest
+and no rows."""
 
 from __future__ import annotations
 
@@ -41,7 +42,7 @@ CHECKSUMS = 1 << 7
 
 INDEX = 0x184D2A50
 NO_ID = -(1 << 63)
-MANIFEST = "file string, first_id long, last_id long, n_docs long, n_tokens long"
+MANIFEST = "part long, file string, first_id long, last_id long, n_docs long, n_tokens long"
 
 
 def library(path: str, width: int) -> LibraryEncoder:
@@ -113,22 +114,23 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
         fs, base = pyarrow.fs.FileSystem.from_uri(folder)
         width = id_width(path, end_id)
         end = b"" if end_id is None else int(end_id).to_bytes(width, "little")
-        encoder, writer, name, first, last, tokens, n = library(path, width), None, f"{uuid.uuid4().hex}.ids.zst", None, None, 0, 0
+        encoder, writer, name, first, last, part, tokens, n = library(path, width), None, f"{uuid.uuid4().hex}.ids.zst", None, None, 0, 0, 0
         for b in slices(batches):
             for doc_id, ids in zip(b.column(0).to_pylist(), encoder.encode_batch(b.column(1).to_pylist()), strict=True):
                 if writer is None:
                     fs.create_dir(base, recursive=True)
                     out = fs.open_output_stream(f"{base}/{name}", compression=None)
-                    writer, first = FileWriter(out, width), doc_id
+                    writer, first, part = FileWriter(out, width), doc_id, b.column(2)[0].as_py()
                 writer.add(doc_id, ids + end)
                 tokens, last, n = tokens + (len(ids) + len(end)) // width, doc_id, n + 1
         if writer:
             writer.finish()
             out.close()
-            yield pa.RecordBatch.from_pydict({"file": [name], "first_id": pa.array([first], pa.int64()), "last_id": pa.array([last], pa.int64()), "n_docs": [n], "n_tokens": [tokens]})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "file": [name], "first_id": pa.array([first], pa.int64()), "last_id": pa.array([last], pa.int64()), "n_docs": [n], "n_tokens": [tokens]})
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
+    keyed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"))
+    ordered = keyed.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
+    ordered.select("doc_id", "text", F.spark_partition_id().cast("long").alias("part")).mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
 
 
 def read_token_files(spark: SparkSession, folder: str, doc_ids: list[int] | None = None) -> DataFrame:
@@ -137,11 +139,14 @@ def read_token_files(spark: SparkSession, folder: str, doc_ids: list[int] | None
     ``start`` counts the ids of all documents before. Files without an id asked for aren't opened, and
     of the others only the frames asked for are decompressed."""
     wanted = None if doc_ids is None else np.array(sorted(doc_ids), dtype=np.int64)
+    asked = lambda first, last: wanted is None or np.searchsorted(wanted, NO_ID if first is None else first) < np.searchsorted(wanted, NO_ID if last is None else last, "right")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pyarrow.fs.FileSystem.from_uri(folder)
         for b in batches:
-            for name, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for name, start, first, last in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if not asked(first, last):
+                    continue
                 with fs.open_input_file(f"{base}/{name}") as stream:
                     reader = FileReader(stream)
                     starts = start + np.concatenate([[0], np.cumsum(reader.lengths // reader.width)])
@@ -155,13 +160,10 @@ def read_token_files(spark: SparkSession, folder: str, doc_ids: list[int] | None
 
     files = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
     # one row a file: as many as there were partitions
-    before = Window.orderBy(F.col("first_id").asc_nulls_first(), F.col("last_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     files = files.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0).cast("long")))
-    if wanted is not None:
-        inside = F.exists(F.array(*[F.lit(int(x)) for x in wanted]), lambda x: x.between(F.col("first_id"), F.col("last_id")))
-        files = files.where(inside if len(wanted) else F.lit(False))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return files.select("file", "start").repartition(n, "file").mapInArrow(run, "doc_id long, start long, ids binary")
+    return files.select("file", "start", "first_id", "last_id").repartition(n, "file").mapInArrow(run, "doc_id long, start long, ids binary")
 
 
 def token_spans(read: DataFrame) -> DataFrame:
