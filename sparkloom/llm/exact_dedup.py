@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import as_doc, join_counted, written
 
+#: Groups that are broadcast.
+FEW = 1_000_000
 #: White space but for the space itself.
 OTHER_WHITE = "\t\n\x0b\f\r"
 
@@ -39,13 +41,22 @@ def exact_dedup(docs: DataFrame, hash_of: Callable[[Column], Column] = content_h
     a partition; the rows themselves move as hashes only, those of very large groups not at all."""
     norm = docs.select("doc_id", normalised(F.col("text")).alias("norm")).withColumn("h", hash_of(F.col("norm")))
     sha = F.sha2("norm", 256).alias("text_sha256")
-    each = written(norm.select("doc_id", "h", sha), "exact-rows")
+    each = written(norm.select("doc_id", "h", sha, F.monotonically_increasing_id().alias("row")), "exact-rows")
+    total = each.count()
     groups = norm.groupBy("h", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     groups = written(groups.select("h", sha, "keep_id", "group_size", F.col("group_size").alias("n")), "exact-groups")
-    rows = join_counted(each, groups, ["h", "text_sha256"], "n", each.count())
-    copies = Window.partitionBy("text_sha256", "doc_id").orderBy("keep_id")
-    first = F.row_number().over(copies) == 1  # of rows with one id and text, one stays
-    return rows.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & first).alias("kept"), "text_sha256")
+    rows = join_counted(each, groups, ["h", "text_sha256"], "n", total)
+    # of rows with one id and text, one stays; there are none where ids are unique
+    first = rows.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("h", "text_sha256").agg(F.min("row").alias("first"), F.max("group_size").alias("n"), F.count(F.lit(1)).alias("same")).where("same > 1")
+    first = written(first.drop("same"), "exact-firsts")
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    names = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    if not first.limit(1).count():
+        return rows.withColumn("kept", stays).select(names)
+    alike = rows.join(F.broadcast(first.select("h", "text_sha256")) if first.count() <= FEW else first.select("h", "text_sha256"), ["h", "text_sha256"], "left_anti")
+    alike = alike.withColumn("kept", stays)
+    one = join_counted(rows, first, ["h", "text_sha256"], "n", total).withColumn("kept", stays & (F.col("row") == F.col("first")))
+    return alike.select(names).unionByName(one.select(names))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
