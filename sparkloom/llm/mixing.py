@@ -1,9 +1,10 @@
 """Mixing sources to target weights: repetition rates by source, hash-seeded Bernoulli copies.
 
 Defined results: a null text has size 0; the null source is a source of its own, last in order;
-a source without words has target and rate 0; repeated rows each take part on their own and, with
-the same id, draw the same number of copies; the words of very long texts are all counted; extra columns,
-of any name, pass through; no rows give no rows."""
+a source without words has target and rate 0; repeated rows each take part on their own: equal ids and texts are numbered, and
+each number draws for itself, so rows without an id come near the target too; the words of very long texts are all counted;
+extra columns, of any name, pass through; no rows give no rows. Reruns agree; of over ALIKE rows with one id and text, under
+other input partitions, others of them may be taken twice."""
 
 from __future__ import annotations
 
@@ -15,18 +16,40 @@ from sparkloom.llm.common import as_doc, written
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Sources are one row each; up to so many go to all executors, more are joined by a shuffle.
 BROADCAST_SOURCES = 50_000
+#: Rows with one id and text that one task numbers.
+ALIKE = 10_000
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
 
-def hash_draw(doc_id: Column, seed: int) -> Column:
-    """0 to 1 (exclusive) from the first 32 bits of an MD5, which other engines have as well."""
-    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 8)
+def hash_draw(row: Column, seed: int) -> Column:
+    """0 to 1 (exclusive) from the first 32 bits of an MD5 of what names the row, which other engines have as well."""
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), row)), 1, 8)
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
+def row_names(sized: DataFrame) -> DataFrame:
+    """``sized`` with ``name``: id, MD5 of the text and the number among the rows that have both alike.
+
+    Only names that occur twice or more are numbered: up to ALIKE rows by one window, more by one in each input partition."""
+    name = F.concat_ws(":", F.coalesce(F.col("doc.doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("doc.text"), F.lit(""))))
+    named = sized.withColumn("name", name)
+    twice = written(named.groupBy("name").agg(F.count(F.lit(1)).alias("alike")).where("alike > 1"), "mix-alike")
+    number = twice.count()
+    if not number:
+        return named.withColumn("name", F.concat("name", F.lit(":1")))
+    few = F.broadcast(twice) if number <= BROADCAST_SOURCES else twice
+    marked = named.join(few, "name", "left")
+    alone = marked.where("alike is null").withColumn("name", F.concat("name", F.lit(":1")))
+    part = F.when(F.col("alike") > ALIKE, F.spark_partition_id()).otherwise(0)
+    several = marked.where("alike is not null").withColumn("part", part)
+    place = F.row_number().over(Window.partitionBy("name", "part").orderBy("size"))
+    several = several.withColumn("number", place).withColumn("name", F.concat_ws(":", "name", F.when(F.col("part") > 0, F.col("part")), "number"))
+    return alone.drop("alike").unionByName(several.drop("alike", "part", "number"))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0) -> DataFrame:
     """source, source_size, target, rate from ``sizes(source, source_size)``.
 
@@ -57,8 +80,8 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float
     if targets.count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
     floor = F.floor("rate")
-    copies = floor + (hash_draw(F.col("doc.doc_id"), seed) < F.col("rate") - floor).cast("long")
-    joined = sized.join(targets, F.col("from_source").eqNullSafe(F.col("source")))
+    copies = floor + (hash_draw(F.col("name"), seed) < F.col("rate") - floor).cast("long")
+    joined = row_names(sized).join(targets, F.col("from_source").eqNullSafe(F.col("source")))
     return joined.select("doc", "size", "source_size", "target", copies.alias("copies"))
 
 

@@ -106,7 +106,8 @@ ORACLES = {
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM n JOIN g USING (norm)""",
     "op10_source_mixing": r"""
         WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-            ('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296::DOUBLE AS draw FROM documents),
+            ('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')) || ':'
+                || row_number() OVER (PARTITION BY doc_id, coalesce(text, ''))), 1, 8))::BIGINT / 4294967296::DOUBLE AS draw FROM documents),
         s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
         w AS (SELECT *, list_extract([5, 2, 1], (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight FROM s),
         r AS (SELECT *, source_size * 3::DOUBLE / weight AS ratio FROM w),

@@ -482,8 +482,8 @@ def test_pipeline(spark, sf_dir):
             words = {r.doc_id: len(re.findall(r"[^ \t-\r]+", r.text or "")) for r in rows}
             sizes = {s: sum(words[r.doc_id] for r in rows if r.source == s) for s in {r.source for r in rows}}
             rate = {s: t / sizes[s] if sizes[s] else 0 for s, t in brute_targets(sizes).items()}
-            draw = lambda d: int(hashlib.md5(f"7:{d}".encode()).hexdigest()[:8], 16) / 2**32
-            want = [r for r in rows for _ in range(int(rate[r.source]) + (draw(r.doc_id) < rate[r.source] % 1))]
+            draw = lambda r: int(hashlib.md5(f"7:{r.doc_id}:{hashlib.md5(r.text.encode()).hexdigest()}:1".encode()).hexdigest()[:8], 16) / 2**32
+            want = [r for r in rows for _ in range(int(rate[r.source]) + (draw(r) < rate[r.source] % 1))]
         else:
             ids = lambda t: np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()
             assert sorted((r.doc_id, bytes(r.ids)) for r in out.collect()) == sorted((r.doc_id, ids(r.text)) for r in rows)

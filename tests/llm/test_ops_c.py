@@ -197,3 +197,82 @@ def test_likelihood_is_exact_beyond_a_long(spark):
     n, total, kept = 7_000_000_000_001, 90_000_000_000_007, 12_345
     row = spark.range(1).select(divergence.likelihood(F.lit(n), F.lit(total), F.lit(kept)).alias("p")).first()
     assert row.p == 1 + 1_000_000_000 * (n + 1) // (total + kept)
+
+
+def test_token_files_beside_null_ids(spark):
+    """Ids asked for in a file that begins with null ids; rows of one id in one order under any partitions."""
+    from sparkloom.llm import token_files
+    from sparkloom.llm.common import shared_folder
+
+    df = spark.createDataFrame([(None, "x"), (1, "a"), (2, "b"), (3, "c")], "doc_id long, text string")
+    folder = f"{shared_folder(spark)}/beside-null"
+    token_files.write_token_files(df.coalesce(1), folder)
+    assert sorted(r.doc_id for r in token_files.read_token_files(spark, folder, [1, 2]).collect()) == [1, 2]
+    assert token_files.read_token_files(spark, folder, []).count() == 0 and token_files.read_token_files(spark, folder, [9]).count() == 0
+    rng = random.Random(1)
+    rows = [(rng.choice([None, 7, 7, 8]), " ".join(rng.choices("abcdef", k=rng.randrange(9)))) for _ in range(60)]
+    read = []
+    for n in (1, 5):
+        rng.shuffle(rows)
+        folder = f"{shared_folder(spark)}/one-id-{n}"
+        token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), folder)
+        read.append(sorted((r.start, r.doc_id or -1, bytes(r.ids)) for r in token_files.read_token_files(spark, folder).collect()))
+    assert read[0] == read[1] and [r[1] for r in read[0]] == sorted(r[1] for r in read[0])
+    assert [r[0] for r in read[0]] == list(np.cumsum([0, *(len(r[2]) // 4 for r in read[0])]))[:-1]
+
+
+@pytest.mark.parametrize("alike", [10_000, 5])
+def test_mix_without_ids(spark, alike, monkeypatch):
+    """Null and repeated ids, and equal rows, come near the targets; reruns agree."""
+    from sparkloom.llm import mixing
+
+    monkeypatch.setattr(mixing, "ALIKE", alike)
+    rng = random.Random(3)
+    rows = [(None, " ".join(["w"] * rng.randrange(1, 9)) + f" {k}", s) for k in range(2500) for s in "abc"]
+    rows += [(None, "same text here", "d")] * 4000 + [(5, f"x {k}", "e") for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    runs = []
+    for n in (3, 3 if alike == 5 else 7):
+        plan = mixing.mix_plan(df.repartition(n, "text"))
+        got = plan.select("doc.source", "doc.text", "size", "target", "copies").collect()
+        runs.append(sorted(map(tuple, got)))
+        for s in "abcde":
+            target = next(r.target for r in got if r.source == s)
+            taken = sum(r["size"] * r.copies for r in got if r.source == s)
+            spread = sum(r["size"] ** 2 for r in got if r.source == s) ** 0.5 / 2  # at most, of independent draws
+            assert abs(taken - target) <= 3 * spread < 0.2 * target, (s, taken, target)
+    assert runs[0] == runs[1]
+
+
+def test_exact_dedup_of_many_rows_without_id(spark):
+    """Of equal rows without an id one stays, and no task gets them all."""
+    from sparkloom.llm import exact_dedup
+
+    rows = [(None, "hot  text")] * 3000 + [(None, "b"), (4, "b"), (4, "b"), (9, "hot text"), (1, "c"), (1, "c"), (2, "d"), (None, None), (None, "")]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(8))
+    kept = sorted((r.doc_id or -1, r.group_size) for r in got.where("kept").collect())
+    assert kept == [(-1, 2), (1, 2), (2, 1), (4, 3), (9, 3001)] and got.count() == len(rows)
+    alone = exact_dedup.exact_dedup(spark.createDataFrame([(None, "x")] * 5000, "doc_id long, text string").repartition(8))
+    assert alone.where("kept").count() == 1
+    assert alone.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 2500
+
+
+@pytest.mark.parametrize("name", ["letters", "four", "nest", "nests", "hex", "url64", "escapes", "mixed", "words"])
+def test_secrets_in_long_runs_end_soon(name):
+    """A megabyte of what a pattern could start anew at each place, and deep escapes."""
+    import base64
+    import time
+
+    from sparkloom.llm import secrets
+
+    raw = random.Random(1).randbytes(700_000)
+    text = {
+        "letters": "a" * 1_000_000 + "%41", "four": "a" * 1_000_000 + "%41%42%43%44", "nest": "%" + "25" * 50_000 + "41 password=abcdefgh1", "nests": ("%" + "25" * 800 + "41 ") * 60,
+        "hex": raw.hex()[:1_000_000] + "%41", "url64": base64.urlsafe_b64encode(raw).decode() + "%41", "escapes": "%41" * 300_000, "mixed": ("a" * 50 + "%41") * 20_000,
+        "words": "lorem ipsum/dolor-sit_amet " * 40_000 + "%41",
+    }[name]
+    began = time.time()
+    secrets.find_secrets(text)
+    assert time.time() - began < 20
+    chain = "x %" + "25" * 30 + "41KIA" + "Z" * 16
+    assert ("access", 2, 2 + 1 + 60 + 2 + 19) in secrets.find_secrets(chain)[1]
