@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.catalog import query, t
+from sparkloom.operators import diff as df_
 from sparkloom.operators import pii, trees, vectors
 from sparkloom.operators import profile as pf
+from sparkloom.operators import sketches as sk
+from sparkloom.shared import fresh_path
 
 
 def profile_sql(table: str, cols: dict[str, str]) -> str:
@@ -22,6 +25,26 @@ def a5_profile(spark, sf_dir):
     return pf.profile(t(spark, sf_dir, "orders")).drop("top_values")
 
 
+@query("""WITH u AS (SELECT unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority']) AS "column")
+    SELECT "column", (SELECT count(*) FROM orders) AS rows, CASE WHEN "column" = 'o_orderpriority' THEN (SELECT count(*) FROM orders WHERE o_orderkey % 83 = 0) ELSE 0 END AS missing, true AS distinct_near, true AS median_near, true AS top_near FROM u""")
+def a5_kept_sketches(spark, sf_dir):
+    """Sketches of three loads of orders, kept as tables and merged, held against the exact profile within their bounds."""
+    o = t(spark, sf_dir, "orders").withColumn("o_orderpriority", F.when(F.col("o_orderkey") % 83 != 0, F.col("o_orderpriority")))
+    folder = fresh_path(spark, "sketches")
+    for load in range(3):  # each load adds its rows to the table of sketches
+        sk.sketched(o.where(F.col("o_orderkey") % 3 == load)).write.mode("append").parquet(folder)
+    kept = sk.estimated(sk.merged(spark.read.parquet(folder)), (0.5,))
+    exact = pf.profile(o).select("column", F.col("distinct_values").alias("distinct"), F.col("top_values")[0].alias("top"))
+    texts = o.select(*[df_.as_text(o, c).alias(c) for c in o.columns]).unpivot([], o.columns, "column", "value")
+    both = kept.join(exact, "column").join(texts.withColumnRenamed("column", "of"), F.col("column") == F.col("of"))
+    below = F.avg((F.col("value").try_cast("double") <= F.col("quantiles")[0]).cast("int"))
+    counts = both.groupBy("column", "rows", "missing", "distinct_values", "distinct", "quantiles", "top_values", "top_error").agg(below.alias("below"), F.count_if(F.col("value") == F.col("top_values")[0]["value"]).alias("n"), F.count_if(F.col("value") == F.col("top")).alias("most"))
+    near = F.abs(F.col("distinct_values") - F.col("distinct")) <= 0.06 * F.col("distinct") + 1
+    median = F.col("quantiles").isNull() | F.col("below").between(0.48, 0.6)
+    top = (F.abs(F.col("top_values")[0]["n"] - F.col("n")) <= F.col("top_error")) & (F.col("most") - F.col("n") <= 2 * F.col("top_error"))
+    return counts.select("column", "rows", "missing", near.alias("distinct_near"), median.alias("median_near"), top.alias("top_near"))
+
+
 PART = {"p_partkey": "p_partkey::VARCHAR", "p_name": "p_name", "p_brand": "p_brand", "p_type": "p_type", "p_size": "p_size::VARCHAR", "p_retailprice": "p_retailprice::DECIMAL(38,4)::VARCHAR"}
 
 
