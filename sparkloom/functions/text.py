@@ -49,8 +49,9 @@ def apply_rules(text: Column, rules) -> Column:
 
 
 def strip_markup(text: Column) -> Column:
-    """Code fences, inline code, images, links (their text stays), tags; in this order."""
-    return apply_rules(text, MARKUP)
+    """Code fences, inline code, images, links (their text stays), tags; in this order. Only texts with a mark of these meet the patterns."""
+    marked = F.contains(text, F.lit("`")) | F.contains(text, F.lit("[")) | F.contains(text, F.lit("<"))
+    return F.when(marked, apply_rules(text, MARKUP)).otherwise(text)
 
 
 def tokens(text: Column) -> Column:

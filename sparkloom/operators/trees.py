@@ -135,10 +135,8 @@ def span_self_time(spans: DataFrame, node: str, parent: str, elapsed: str) -> Da
     twice as far above, so rounds grow with the logarithm of the depth and there is a row a span."""
     state = spans.select(F.col(node).alias("n"), F.col(parent).alias("up"), F.coalesce(F.col(elapsed), F.lit(0)).alias("most")).checkpoint()
     rounds, most = 0, state.count().bit_length() + 1
-    while True:
+    while not state.where("up is not null").isEmpty():
         rising = state.where("up is not null").groupBy("up").agg(F.max("most").alias("below"), F.count(F.lit(1)).alias("rows")).checkpoint()
-        if rising.isEmpty():
-            break
         if (rounds := rounds + 1) > most:
             raise ValueError("the spans go in a circle")
         above = rising.join(state.select("n", F.col("up").alias("next")), F.col("up") == F.col("n"), "left").select("up", "next", "rows")
