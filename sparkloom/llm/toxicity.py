@@ -29,7 +29,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs
 import xxhash
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,7 +71,7 @@ def vote(near: tuple[np.ndarray, np.ndarray], labels: np.ndarray, prior: float)
 class Model:
     """What is learned, ready for use."""
 
-    examples: Examples
+    examples: Examples | None
     index: BlockMax | None
     prior: float
     fit: tuple[np.ndarray, np.ndarray]
@@ -93,12 +92,12 @@ class Model:
 
     def scores(self, texts: list[str | None]) -> Iterator[tuple[float, list[int]]]:
         """For each text its probability, and the ids of the nearest examples as evidence."""
+        if self.index is None:
+            yield from ((self.prior, []) for _ in texts)
+            return
         ids, labels = self.examples.ids.tolist(), self.examples.labels
         for start in range(0, len(texts), QUERIES):
             some = texts[start : start + QUERIES]
-            if self.index is None:
-                yield from ((self.prior, []) for _ in some)
-                continue
             for near in self.index.search([self.vector(t or "") for t in some], NEIGHBOURS):
                 found = len(near[0])
                 p = float(np.interp(vote(near, labels, self.prior), *self.fit)) if found else self.prior
@@ -271,11 +270,12 @@ class Stored:
 
     @property
     def value(self) -> Built:
+        """What a worker has read and keeps until another operator needs the memory."""
         return once_a_worker(("stored", self.name), self.read)
 
 
-def built_once(shared: Broadcast, how: Callable[[Examples], Built]) -> Stored:
-    """What ``how`` makes of the shared examples: made by one task and written for all. Its size is bounded by MOST_ROWS examples."""
+def built_once(shared: Stored, how: Callable[[Examples], Built]) -> Stored:
+    """What ``how`` makes of the stored examples: made by one task and written for all. Its size is bounded by MOST_ROWS examples."""
     spark = SparkSession.active()
     folder = shared_folder(spark)
 
@@ -283,7 +283,7 @@ def built_once(shared: Broadcast, how: Callable[[Examples], Built]) -> Stored:
         forget()
         name = f"toxicity-{uuid.uuid4().hex}.pickle"
         for _ in batches:
-            Stored.write(folder, name, how(shared.value))
+            Stored.write(folder, name, how(shared.read()))
             yield pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
 
     return Stored(folder, spark.range(0, 1, 1, 1).mapInArrow(run, "name string").first().name)
@@ -317,28 +317,41 @@ def left_out_votes(built: Built, ks: list[int]) -> list[float]:
     return [vote((c[at != k][:NEIGHBOURS], at[at != k][:NEIGHBOURS]), labels, prior) for k, (c, at) in zip(ks, near, strict=True)]
 
 
+def stored_examples(rows: DataFrame) -> tuple[Stored | None, np.ndarray]:
+    """The examples of ``rows(doc_id, y, terms, counts)``, put together and written by one task, and their labels; None without rows."""
+    folder = shared_folder(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = list(batches)  # MOST_ROWS rows at most
+        if not sum(b.num_rows for b in parts):
+            return
+        known = pa.Table.from_batches(parts)
+        y = known.column("y").to_numpy().astype(float)
+        begins = np.concatenate([[0], np.cumsum(pc.list_value_length(known.column("terms")).to_numpy())]).astype(np.int64)
+        coded = pc.list_flatten(known.column("terms")).combine_chunks().dictionary_encode()
+        coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+        counts = pc.list_flatten(known.column("counts")).to_numpy()
+        counts = counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
+        every = Examples(known.column("doc_id").to_numpy(), y, begins, coded.indices.to_numpy().astype(np.int32), counts, hashes(coded.dictionary.to_pylist()))
+        name = f"toxicity-{uuid.uuid4().hex}.pickle"
+        Stored.write(folder, name, every)
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([y.tobytes()], pa.binary())], ["name", "y"])
+
+    made = rows.repartition(1).sortWithinPartitions("doc_id").mapInArrow(run, "name string, y binary").collect()  # a row
+    return (Stored(folder, made[0].name), np.frombuffer(made[0].y)) if made else (None, np.zeros(0))
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model | Learned:
-    """Learns from at most MOST_ROWS rows."""
+    """Learns from at most MOST_ROWS rows; the driver sees their labels and votes only."""
     ids = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     rows = training_rows(ids, labels, "toxic", FOLDS, HELD_OUT, MOST_ROWS).groupBy("doc_id", "y").agg(F.min("text").alias("text"))
-    known = tokenised(rows).toArrow().sort_by("doc_id").combine_chunks()
-    y = known.column("y").to_numpy().astype(float)
-    begins = np.concatenate([[0], np.cumsum(pc.list_value_length(known.column("terms")).to_numpy())]).astype(np.int64)
-    coded = pc.list_flatten(known.column("terms")).combine_chunks().dictionary_encode()
-    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
-    counts = pc.list_flatten(known.column("counts")).to_numpy()
-    counts = counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
-    every = Examples(known.column("doc_id").to_numpy(), y, begins, coded.indices.to_numpy().astype(np.int32), counts, hashes(coded.dictionary.to_pylist()))
-    del known, coded, counts, begins
+    shared, y = stored_examples(tokenised(rows))
     if not y.any() or y.all():
         share = float(y.mean()) if len(y) else 0.0
-        return Model(every, None, share, (np.array([0.0]), np.array([share])))
-    shared = docs.sparkSession.sparkContext.broadcast(every)
-    del every  # the driver needs the labels only
+        return Model(None, None, share, (np.array([0.0]), np.array([share])))
     plain = built_once(shared, Examples.plain)
     stay = against_all(plain, are_copies, len(y)) == 0
     learned = built_once(shared, lambda e: e.learned(stay))
-    shared.destroy()
     votes = against_all(learned, left_out_votes, int(stay.sum()))
     prior = float(y[stay].mean())
     return Learned(learned, prior, careful_fit(votes, y[stay], prior))
