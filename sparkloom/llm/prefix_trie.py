@@ -35,8 +35,8 @@ from sparkloom.llm.mixing import word_count
 BAND = 256
 #: Turns of a shard: with its arrays, some ten MB.
 SHARD_TURNS = 1 << 15
-#: Free places that are tried for the children of a node before they go to the end.
-TRIES = 32
+#: Places that are looked at together, and how often, for the children of a node before they go to the end.
+WINDOW, TRIES = 1024, 16
 #: Hex digits of a turn, and of a node as two numbers.
 TURN, HALF = 32, 15
 ROOT = "0" * (2 * HALF)
@@ -150,15 +150,15 @@ def end_keys(pieces: DataFrame, band: int) -> DataFrame:
 class DoubleArray:
     """BASE and CHECK over sequences of dense symbols: from state s, symbol c leads to BASE[s] + c if CHECK there is s.
 
-    Laid out level by level. The children of a node go to the first free places that fit them, an only child to
-    the first free place."""
+    Laid out level by level, by first fit: the children of a node go where the first of the free places lets all of them fit, only
+    children to what is free after that. Places that large families no longer fit into are passed over by the next ones."""
 
     def __init__(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
         room = 2 * len(symbols) + (int(symbols.max()) if len(symbols) else 0) + 2
         self.base, self.check = np.zeros(room, np.int64), np.full(room, -1, np.int64)
         self.check[0] = 0
         self.end = 1  # all places from here on are free
-        holes: list[int] = []
+        self.tried = 1  # families are placed from here on
         state = np.zeros(len(lengths), np.int64)
         for level in range(int(lengths.max()) if len(lengths) else 0):
             rows = np.flatnonzero(lengths > level)
@@ -170,11 +170,11 @@ class DoubleArray:
             parents, children = at[fresh], symbol[fresh]
             firsts = np.flatnonzero(np.concatenate([[True], parents[1:] != parents[:-1]]))
             sizes = np.diff(np.concatenate([firsts, [len(parents)]]))
-            for k in np.flatnonzero(sizes > 1).tolist():  # the large ones leave holes
-                self.place(int(parents[firsts[k]]), children[firsts[k] : firsts[k] + sizes[k]], holes)
+            for k in np.flatnonzero(sizes > 1).tolist():
+                self.place(int(parents[firsts[k]]), children[firsts[k] : firsts[k] + sizes[k]])
             single = firsts[sizes == 1]
-            places = [holes.pop() for _ in range(min(len(holes), len(single)))]
-            places = np.array(places + list(range(self.end, self.end + len(single) - len(places))), np.int64)
+            places = np.flatnonzero(self.check[: self.end] < 0)[: len(single)]
+            places = np.concatenate([places, np.arange(self.end, self.end + len(single) - len(places))])
             self.end = max(self.end, int(places.max(initial=0)) + 1)
             self.grow(self.end)
             self.base[parents[single]] = places - children[single]
@@ -182,21 +182,25 @@ class DoubleArray:
             state[rows] = self.step(state[rows], symbols[starts[rows] + level])
         self.base, self.check = self.base[: self.end], self.check[: self.end]
 
-    def place(self, parent: int, children: np.ndarray, holes: list[int]) -> None:
-        low, span = int(children[0]), int(children[-1] - children[0])
-        self.grow(self.end + span + 1)
-        for hole in holes[-TRIES:]:
-            if (self.check[hole - low + children] < 0).all():
-                break
-        else:
-            hole = self.end
-        slots = hole - low + children
-        self.base[parent], self.check[slots] = hole - low, parent
-        if int(slots[-1]) >= self.end:
-            holes += [x for x in range(self.end, int(slots[-1])) if self.check[x] < 0]
-            self.end = int(slots[-1]) + 1
-        taken = set(slots.tolist())
-        holes[:] = [x for x in holes if x not in taken]
+    def place(self, parent: int, children: np.ndarray) -> None:
+        offsets = children - children[0]
+        span, first = int(offsets[-1]), self.end
+        if len(children) <= WINDOW:
+            for tries, at in enumerate(range(self.tried, min(self.end, self.tried + TRIES * WINDOW), WINDOW)):
+                free = at + np.flatnonzero(self.check[at : min(at + WINDOW, self.end)] < 0)
+                if len(free):
+                    self.grow(int(free[-1]) + span + 1)
+                    fits = np.ones(len(free), bool)
+                    for x in offsets[1:]:
+                        fits &= self.check[free + x] < 0
+                    if fits.any():
+                        first = int(free[fits.argmax()])
+                        break
+                if not tries:
+                    self.tried = at + WINDOW
+        self.grow(first + span + 1)
+        self.base[parent], self.check[first + offsets] = first - int(children[0]), parent
+        self.end = max(self.end, first + span + 1)
 
     def grow(self, size: int) -> None:
         if size > len(self.base):
@@ -318,7 +322,7 @@ def double_claims(edges: DataFrame, band: int) -> DataFrame:
                 keys = path_keys(first["prefix"], e["band"], first["path"], band)
                 words = [0, *e["first_words"][:shared]]
                 leaf = -1 if shared * TURN == len(last["path"]) else 0
-                out += [(keys[k], None, None, None, 0, -1 if k < shared else 0, leaf, sum(words[k:])) for k in range(shared + 1)]
+                out += [(keys[k], keys[k - 1] if k else None, None, None, 0, -1 if k < shared else 0, leaf, sum(words[k:])) for k in range(shared + 1)]
             kinds = [pa.string(), pa.string(), *[pa.int64()] * 6]
             columns = list(zip(*out, strict=True)) if out else [[]] * 8
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], [f.split()[0] for f in NODE.split(", ")])
@@ -337,7 +341,8 @@ def from_below(nodes: DataFrame, pieces: DataFrame, band: int, max_band: int) ->
     own = [F.conv(F.substring("prefix", k, HALF), 16, 10).cast("decimal(38,0)") for k in (1, 1 + HALF)]
     full = pieces.where("longer").withColumn("root", key_of([own[0] + a, own[1] + b]))
     up = full.select(F.col("root").alias("node"), F.when(F.col("band") > 0, F.col("prefix")).alias("up"))
-    tops = nodes.where(F.col("node") != ROOT).groupBy("node").agg(F.sum("n_leaves").alias("n_leaves"), F.sum("saved_tokens").alias("saved_tokens"))
+    # of a node that ends one band and begins the next, what it has in the next; its own words are counted in the first
+    tops = nodes.where(F.col("parent").isNull() & (F.col("node") != ROOT)).groupBy("node").agg(F.sum("n_leaves").alias("n_leaves"), F.sum("saved_tokens").alias("saved_tokens"))
     state = written(up.join(tops, "node"), "trie-bands")
     reach = 1
     while reach <= max_band:

@@ -276,3 +276,15 @@ def test_secrets_in_long_runs_end_soon(name):
     assert time.time() - began < 20
     chain = "x %" + "25" * 30 + "41KIA" + "Z" * 16
     assert ("access", 2, 2 + 1 + 60 + 2 + 19) in secrets.find_secrets(chain)[1]
+
+
+@pytest.mark.parametrize("far", [1, 30_000])
+def test_double_array_stays_dense(far):
+    """Families whose children are far apart share the places between them."""
+    rng = random.Random(far)
+    sequences = sorted({(rng.randrange(2000), rng.choice([0, far, far + 1]), rng.randrange(3)) for _ in range(6000)})
+    symbols = np.array([x for s in sequences for x in s])
+    starts = np.arange(len(sequences)) * 3
+    trie = prefix_trie.DoubleArray(symbols, starts, np.full(len(sequences), 3))
+    nodes = len(set(trie.walk(symbols, starts, np.full(len(sequences), 3)).tolist()))
+    assert len(trie.base) <= 2 * nodes + 2 * far + 4000
