@@ -20,3 +20,16 @@ def test_file_place_query_has_all_rules():
     from sparkloom.catalog import ORACLES
 
     assert all(f"'{x}'" in ORACLES["f11_file_place"] for x in ("webp", "appinstaller", "oxps", "xlsb", "jics", "springer", "positivepay", "candidacy", "AI-ML", "Integrations"))
+
+
+def test_kept_sketches_without_a_frequent_value(spark, tmp_path):
+    """So many values that the sketches of some columns surely know none to be frequent."""
+    from pyspark.sql import functions as F
+
+    from sparkloom.catalog_more import a5_kept_sketches
+
+    k = F.col("id")
+    cols = {"o_orderkey": k, "o_custkey": k % 9999, "o_orderstatus": F.lit("O"), "o_totalprice": k * 1.5, "o_orderdate": F.timestamp_seconds(k), "o_orderpriority": F.concat(F.lit("1-"), (k % 5).cast("string"))}
+    spark.range(120_000).select(*[v.alias(c) for c, v in cols.items()]).write.parquet(f"{tmp_path}/orders.parquet")
+    got = a5_kept_sketches(spark, str(tmp_path)).collect()
+    assert len(got) == 6 and all(r.distinct_near and r.median_near and r.top_near for r in got)
