@@ -33,3 +33,27 @@ def test_kept_sketches_without_a_frequent_value(spark, tmp_path):
     spark.range(120_000).select(*[v.alias(c) for c, v in cols.items()]).write.parquet(f"{tmp_path}/orders.parquet")
     got = a5_kept_sketches(spark, str(tmp_path)).collect()
     assert len(got) == 6 and all(r.distinct_near and r.median_near and r.top_near for r in got)
+
+
+def test_counts_of_context_pairs_equal_the_pairs(spark, monkeypatch):
+    """Over several pieces, with lines of one word, none, null keys and words beyond ASCII."""
+    from pyspark.sql import functions as F
+
+    from sparkloom.operators import vectors
+
+    rows = [(k if k else None, [[f"wörd{(k * j) % 7}" for j in range(k % 9)], [], ["one"], ["a", "b"] * (k % 5)]) for k in range(60)]
+    lines = spark.createDataFrame(rows, "doc long, lines array<array<string>>")
+    want = {(r.center, r.context): r.n for r in vectors.context_pairs(lines, "doc", 4, 3).groupBy("center", "context").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert {(r.center, r.context): r.n for r in vectors.context_pair_counts(lines, "doc", 4, 3).collect()} == want and len(want) > 20
+
+
+def test_phrases_of_rows_with_one_key(spark):
+    """Texts that share an id, or have none, keep a row each; runs of pairs go two by two; equal texts too."""
+    from sparkloom.operators import vectors
+
+    rows = [(1, [["a", "b", "a", "b", "c"], [], ["b"]]), (1, [["c", "a", "b"]]), (None, [["a", "b"]]), (2, [["a", "b"]]), (2, [["a", "b"]]), (3, [["a"], ["b"]]), (4, [[]])]
+    lines = spark.createDataFrame(rows, "doc long, lines array<array<string>>")
+    pairs = spark.createDataFrame([("a", "b", 9.0), ("b", "a", 9.0)], "word string, next string, score double")
+    got = sorted(((r.doc, r.lines) for r in vectors.join_phrases(lines, "doc", pairs).collect()), key=str)
+    want = [(1, [["a_b", "a_b", "c"], ["b"]]), (1, [["c", "a_b"]]), (None, [["a_b"]]), (2, [["a_b"]]), (2, [["a_b"]]), (3, [["a"], ["b"]])]
+    assert got == sorted(want, key=str)
