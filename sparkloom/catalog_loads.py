@@ -257,5 +257,5 @@ def t2_spreadsheet_types(spark, sf_dir):
 def t5_create_table(spark, sf_dir):
     o = t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate")
     types = pf.infer_types(o)
-    keys = {c for c, _ in pf.key_candidates(pf.profile(o.select("o_orderkey")), types)}
+    keys = {c for c, _ in pf.key_candidates(pf.unique_columns(o.select("o_orderkey")), types)}
     return spark.createDataFrame([(pf.create_table_ddl("orders", types, keys),)], "ddl string")

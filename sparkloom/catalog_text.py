@@ -413,7 +413,7 @@ def t1_t3_types_and_keys(spark, sf_dir):
     out = []
     for df in (t(spark, sf_dir, "orders"), t(spark, sf_dir, "events").select("event_id", "user_id", "event_type")):
         types = pf.infer_types(df)
-        scores = dict(pf.key_candidates(pf.profile(df), types))
+        scores = dict(pf.key_candidates(pf.unique_columns(df), types))
         out += [(c, types[c], scores.get(c)) for c in df.columns]
     return spark.createDataFrame(out, "column string, type string, score int")
 

@@ -40,6 +40,22 @@ def ranked_values(counted: DataFrame, n: int) -> DataFrame:
     return ranked.groupBy("column").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "value"))), lambda x: x["value"]).alias("top_values"))
 
 
+#: One value in so many, by its hash, is looked at first to find columns that repeat some.
+LOOKED_AT = 64
+
+
+def unique_columns(df: DataFrame) -> DataFrame:
+    """column, is_unique of each column, as ``profile`` tells it: no nulls and no value twice.
+
+    A share of the values shows most columns that repeat some; only the others are counted whole."""
+    texts = df.select(*[as_text(df, c).alias(c) for c in df.columns])
+    some = texts.unpivot([], texts.columns, "column", "value").where(F.col("value").isNull() | (F.pmod(F.xxhash64("value"), F.lit(LOOKED_AT)) == 0))
+    repeated = {r.column for r in some.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or value is null").select("column").distinct().collect()}
+    rest = [c for c in texts.columns if c not in repeated]
+    single = {r.column: r.single for r in value_counts(texts.select(*[F.col(f"`{c}`") for c in rest])).groupBy("column").agg(F.max("n").alias("most")).select("column", (F.col("most") == 1).alias("single")).collect()} if rest else {}
+    return df.sparkSession.createDataFrame([(c, c not in repeated and single.get(c, True)) for c in texts.columns], "column string, is_unique boolean")
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """duplicates: rows after the first of each group of equal rows."""
     return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n")).agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicates"))
@@ -54,6 +70,8 @@ def quality_lists(profiled: DataFrame) -> DataFrame:
 # Texts that count as boolean, formats tried for times.
 BOOLEAN = ("0", "1", "true", "false", "yes", "no", "y", "n", "t", "f")
 FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "MM/dd/yyyy", "yyyy-MM-dd'T'HH:mm:ss")
+#: What begins each text of the formats.
+TIME = r"^([-+]?\d{4,}-\d\d-\d\d|\d\d/\d\d/)"
 UUID = r"(?i)^\{?[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}\}?$"
 
 
@@ -66,8 +84,8 @@ def infer_types(df: DataFrame) -> dict[str, str]:
     aggs = []
     for i, c in enumerate(df.columns):
         v = F.nullif(F.trim(as_text(df, c)), F.lit(""))
-        number = v.try_cast("decimal(38,10)")
-        time = F.coalesce(*[F.try_to_timestamp(v, F.lit(f)) for f in FORMATS])
+        number = F.when(~v.rlike("[A-DF-Za-df-z]"), v.try_cast("decimal(38,10)"))  # a failed cast costs more than a look
+        time = F.when(v.rlike(TIME), F.coalesce(*[F.try_to_timestamp(v, F.lit(f)) for f in FORMATS]))
         scale = F.char_length(F.regexp_replace(F.regexp_extract(v, r"\.(\d+)$", 1), "0+$", ""))
         aggs += [
             share(v.rlike(UUID), v).alias(f"u{i}"), share(F.lower(v).isin(*BOOLEAN), v).alias(f"b{i}"), share(time.isNotNull(), v).alias(f"t{i}"),

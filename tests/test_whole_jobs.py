@@ -57,3 +57,26 @@ def test_phrases_of_rows_with_one_key(spark):
     got = sorted(((r.doc, r.lines) for r in vectors.join_phrases(lines, "doc", pairs).collect()), key=str)
     want = [(1, [["a_b", "a_b", "c"], ["b"]]), (1, [["c", "a_b"]]), (None, [["a_b"]]), (2, [["a_b"]]), (2, [["a_b"]]), (3, [["a"], ["b"]])]
     assert got == sorted(want, key=str)
+
+
+def test_unique_columns_equal_the_profile(spark):
+    from sparkloom.operators import profile as pf
+
+    rows = [(k, k // 2, None if k == 7 else k, "a-b" if k % 2 else f"{k}") for k in range(3000)]
+    df = spark.createDataFrame(rows, "id long, twice long, hole long, `a.text` string")
+    for some in (df, df.limit(0), df.where("id = 7")):
+        plain = some.withColumnRenamed("a.text", "text")
+        want = {r.column: r.is_unique for r in pf.profile(plain).collect()}
+        assert {r.column: r.is_unique for r in pf.unique_columns(plain).collect()} == want
+
+
+def test_remainders_and_shapes_of_any_length(spark):
+    """Digests of up to 64 digits; values longer than the digits that replace theirs."""
+    from pyspark.sql import functions as F
+
+    from sparkloom.operators import pii
+
+    digest = "f" * 40 + "0123456789abcdef01234567"
+    got = spark.range(1).select(pii.modulo(F.lit(digest), 36_500).alias("a"), pii.modulo(F.lit(digest[:15]), 97).alias("b"), pii.keep_shape(F.lit("7-" * 70), F.lit(digest)).alias("c"), pii.digits(F.lit(digest), 64).alias("d")).first()
+    assert (got.a, got.b) == (int(digest, 16) % 36_500, int(digest[:15], 16) % 97)
+    assert got.c == "".join("-" if k % 2 else got.d[k % 64] for k in range(140))
