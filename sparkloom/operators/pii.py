@@ -52,9 +52,14 @@ def hmac_hex(value: Column, key: str) -> Column:
 
 
 def modulo(digest: Column, n: int) -> Column:
-    """The 256-bit digest modulo ``n``, digit by digit."""
-    digits = F.filter(F.split(digest, ""), lambda d: d != "")
-    return F.aggregate(digits, F.lit(0).cast("long"), lambda acc, d: (acc * 16 + F.conv(d, 16, 10).cast("long")) % n)
+    """A digest of up to 256 bits modulo ``n``, eight digits at a time; the digest is made once."""
+    def folded(d: Column) -> Column:
+        acc = F.lit(0).cast("long")
+        for at in range(1, 65, 8):
+            acc = (acc * (16**8 % n) + F.conv(F.substring(d, at, 8), 16, 10).cast("long")) % n
+        return acc
+
+    return F.get(F.transform(F.array(F.lpad(digest, 64, "0")), folded), F.lit(0))
 
 
 def column_kind(name: str) -> str | None:
@@ -80,8 +85,9 @@ def digits(digest: Column, n: int) -> Column:
 
 def keep_shape(value: Column, digest: Column) -> Column:
     """Digits replaced one by one, all else as it was."""
-    chars, new = F.split(value, ""), F.split(digits(digest, 64), "")
-    return F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("^[0-9]$"), F.element_at(new, (i % 64 + 1).cast("int"))).otherwise(c)), "")
+    chars, new = F.split(value, ""), F.slice(F.split(digits(digest, 64), ""), 1, 64)
+    new = F.flatten(F.array_repeat(new, F.ceil(F.char_length(value) / 64).cast("int") + 1))
+    return F.array_join(F.zip_with(chars, F.slice(new, F.lit(1), F.size(chars)), lambda c, d: F.when(c.between("0", "9"), d).otherwise(c)), "")
 
 
 def fake_date(value: Column, digest: Column) -> Column:
