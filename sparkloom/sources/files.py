@@ -122,13 +122,13 @@ def notebook_grids(raw: DataFrame) -> DataFrame:
 
 def first_named(value: Column, paths: list[str]) -> Column:
     """The first of the paths into a JSON text that has more than blanks, in small letters."""
-    found = [F.trim(F.lower(F.get_json_object(value, p))) for p in paths]
-    return F.coalesce(*[F.when(x != "", x) for x in found])
+    found = F.filter(F.array(*[F.trim(F.lower(F.get_json_object(value, p))) for p in paths]), lambda x: x != "")  # each made once
+    return F.when(value != "{}", F.get(found, F.lit(0)))
 
 
 # Where notebooks and cells tell their language, first to last, and languages that are SQL.
-NOTEBOOK_LANGUAGE = [f"$.metadata.{at}language_info.name" for at in ("custom.metadata.", "metadata.", "")] + [
-    f"$.metadata.{at}kernelspec.{name}" for at in ("custom.metadata.", "metadata.", "") for name in ("language", "name", "display_name")
+NOTEBOOK_LANGUAGE = [f"$.{at}language_info.name" for at in ("custom.metadata.", "metadata.", "")] + [
+    f"$.{at}kernelspec.{name}" for at in ("custom.metadata.", "metadata.", "") for name in ("language", "name", "display_name")
 ]
 CELL_LANGUAGE = [
     "$.language", "$.vscode.languageId", "$.dotnet_interactive.language", "$.polyglot_notebook.kernelName", "$.custom.metadata.language", "$.custom.metadata.vscode.languageId",
@@ -148,8 +148,9 @@ def notebook_cells(raw: DataFrame) -> DataFrame:
 
     A cell without a language has its notebook's. A code cell is SQL if its own language is, or, unless its own is another, if the
     notebook's is or its text looks like it; or by a magic in its first line."""
-    kind = "struct<cells:array<struct<cell_type:string,metadata:string,source:string>>>"
-    cells = raw.select("path", first_named(F.col("value"), NOTEBOOK_LANGUAGE).alias("notebook_language"), F.posexplode(F.from_json("value", kind)["cells"]).alias("cell", "c"))
+    kind = "struct<metadata:string,cells:array<struct<cell_type:string,metadata:string,source:string>>>"
+    books = raw.select("path", F.from_json("value", kind).alias("book"))  # the text is parsed once, the languages are in its head
+    cells = books.select("path", first_named(F.col("book.metadata"), NOTEBOOK_LANGUAGE).alias("notebook_language"), F.posexplode("book.cells").alias("cell", "c"))
     source = F.coalesce(F.array_join(F.from_json("c.source", "array<string>"), ""), F.col("c.source"), F.lit(""))
     cells = cells.select("path", "cell", F.lower(F.trim("c.cell_type")).alias("cell_type"), "notebook_language", first_named(F.col("c.metadata"), CELL_LANGUAGE).alias("own"), source.alias("source"))
     own_sql = is_sql_language(F.col("own"))
