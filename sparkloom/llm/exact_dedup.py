@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import as_doc, join_counted, written
+from sparkloom.llm.common import first_rows, join_counted, written
 
 #: Groups that are broadcast.
 FEW = 1_000_000
@@ -62,6 +62,4 @@ def exact_dedup(docs: DataFrame, hash_of: Callable[[Column], Column] = content_h
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     stay = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("stays"), F.col("text_sha256").alias("stays_sha"))
-    rows = docs.select(as_doc(docs), F.col("doc_id").alias("id"), F.sha2(normalised(F.col("text")), 256).alias("sha"))
-    rows = rows.join(stay, rows["id"].eqNullSafe(stay["stays"]) & (rows["sha"] == stay["stays_sha"]), "left_semi")
-    return rows.dropDuplicates(["id", "sha"]).select("doc.*")
+    return first_rows(docs, F.sha2(normalised(F.col("text")), 256), stay)

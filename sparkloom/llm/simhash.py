@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import as_doc, join_counted, slices, text_bytes, written
+from sparkloom.llm.common import first_rows, join_counted, slices, text_bytes, written
 from sparkloom.llm.components import connected_components
 
 #: Buckets with more fingerprints than this are compared in pairs of blocks of about this many.
@@ -161,12 +161,10 @@ def keep_representatives(docs: DataFrame, radius: int = 4, width: int = 4) -> Da
 
     A component is known by its key, not by an id, so that components whose rows have no id, or one id,
     each keep a row. Texts are not moved to pick the rows; a component's rows combine before the shuffle."""
-    sha = F.sha2(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), 256).alias("sha")
-    each = written(fingerprints(docs.select(F.struct("doc_id", sha).alias("doc_id"), "text"), width), "simhash")
+    sha = F.sha2(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), 256)
+    each = written(fingerprints(docs.select(F.struct("doc_id", sha.alias("sha")).alias("doc_id"), "text"), width), "simhash")
     first = F.min(F.struct(F.col("doc_id.doc_id").isNull().alias("last"), "doc_id.doc_id", "doc_id.sha"))
     of_fp = written(each.groupBy("fp").agg(first.alias("first"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
     # equal texts have one fingerprint, so id and hash belong to one component
     stay = placed(of_fp, radius, BLOCK).where("fp = component").select(F.col("first.doc_id").alias("stays"), F.col("first.sha").alias("stays_sha"))
-    rows = docs.select(as_doc(docs), F.col("doc_id").alias("id"), sha)
-    rows = rows.join(stay, rows["id"].eqNullSafe(stay["stays"]) & (rows["sha"] == stay["stays_sha"]), "left_semi")
-    return rows.dropDuplicates(["id", "sha"]).select("doc.*")
+    return first_rows(docs, sha, stay)
