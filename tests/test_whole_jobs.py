@@ -80,3 +80,21 @@ def test_remainders_and_shapes_of_any_length(spark):
     got = spark.range(1).select(pii.modulo(F.lit(digest), 36_500).alias("a"), pii.modulo(F.lit(digest[:15]), 97).alias("b"), pii.keep_shape(F.lit("7-" * 70), F.lit(digest)).alias("c"), pii.digits(F.lit(digest), 64).alias("d")).first()
     assert (got.a, got.b) == (int(digest, 16) % 36_500, int(digest[:15], 16) % 97)
     assert got.c == "".join("-" if k % 2 else got.d[k % 64] for k in range(140))
+
+
+def test_only_values_of_heavy_keys_are_broadcast(spark):
+    """Spark knows nothing of how many rows an explode makes, and took the exploded rows of a small table for small."""
+    from pyspark.sql import functions as F
+
+    from sparkloom.llm import common, simhash
+    from sparkloom.operators import spread
+
+    distinct = common.written(spark.range(2000).select((F.col("id") * 7919).alias("fp")), "fps")
+    plan = simhash.links(distinct)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastExchange") == 2 and "SortMergeJoin" in plan
+    rows = distinct.select("fp", F.explode(F.sequence(F.lit(1), F.lit(50))).alias("k"))
+    counted = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("fp").alias("s"))
+    for how in (common.join_counted, spread.join_counted):
+        got = how(rows, counted, ["k"], "n", 100_000_000)
+        assert got._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange") == 2
+        assert got.count() == 100_000 and got.select("s").distinct().count() == 1
