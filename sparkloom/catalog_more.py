@@ -9,7 +9,7 @@ from sparkloom.operators import diff as df_
 from sparkloom.operators import pii, trees, vectors
 from sparkloom.operators import profile as pf
 from sparkloom.operators import sketches as sk
-from sparkloom.shared import fresh_path
+from sparkloom.shared import fresh_path, written
 
 
 def profile_sql(table: str, cols: dict[str, str]) -> str:
@@ -35,15 +35,16 @@ def a5_kept_sketches(spark, sf_dir):
         sk.sketched(o.where(F.col("o_orderkey") % 3 == load)).write.mode("append").parquet(folder)
     kept = sk.estimated(sk.merged(spark.read.parquet(folder)), (0.5,))
     exact = pf.profile(o).select("column", F.col("distinct_values").alias("distinct"), F.get("top_values", F.lit(0)).alias("top"))
-    texts = o.select(*[df_.as_text(o, c).alias(c) for c in o.columns]).unpivot([], o.columns, "column", "value")
-    both = kept.join(exact, "column").join(texts.withColumnRenamed("column", "of"), F.col("column") == F.col("of"))
-    below = F.avg((F.col("value").try_cast("double") <= F.col("quantiles")[0]).cast("int"))
     first = F.get("top_values", F.lit(0))  # none where no value is surely frequent
-    counts = both.groupBy("column", "rows", "missing", "distinct_values", "distinct", "quantiles", "top_values", "top_error").agg(below.alias("below"), F.count_if(F.col("value") == first["value"]).alias("n"), F.count_if(F.col("value") == F.col("top")).alias("most"))
+    said = written(kept.join(exact, "column").withColumn("first", first), "sketches-said")  # a row a column
+    texts = o.select(*[df_.as_text(o, c).alias(c) for c in o.columns]).unpivot([], o.columns, "column", "value")
+    asked = F.broadcast(said.select("column", F.col("quantiles")[0].alias("median"), F.col("first.value").alias("first"), "top"))
+    below = F.avg((F.col("value").try_cast("double") <= F.col("median")).cast("int"))
+    counts = texts.join(asked, "column").groupBy("column").agg(below.alias("below"), F.count_if(F.col("value") == F.col("first")).alias("n"), F.count_if(F.col("value") == F.col("top")).alias("most"))
     near = F.abs(F.col("distinct_values") - F.col("distinct")) <= 0.06 * F.col("distinct") + 1
     median = F.col("quantiles").isNull() | F.col("below").between(0.48, 0.6)
-    top = (F.abs(F.coalesce(first["n"], F.lit(0)) - F.col("n")) <= F.col("top_error")) & (F.col("most") - F.col("n") <= 2 * F.col("top_error"))
-    return counts.select("column", "rows", "missing", near.alias("distinct_near"), median.alias("median_near"), top.alias("top_near"))
+    top = (F.abs(F.coalesce("first.n", F.lit(0)) - F.col("n")) <= F.col("top_error")) & (F.col("most") - F.col("n") <= 2 * F.col("top_error"))
+    return said.join(counts, "column").select("column", "rows", "missing", near.alias("distinct_near"), median.alias("median_near"), top.alias("top_near"))
 
 
 PART = {"p_partkey": "p_partkey::VARCHAR", "p_name": "p_name", "p_brand": "p_brand", "p_type": "p_type", "p_size": "p_size::VARCHAR", "p_retailprice": "p_retailprice::DECIMAL(38,4)::VARCHAR"}

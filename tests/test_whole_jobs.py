@@ -98,3 +98,15 @@ def test_only_values_of_heavy_keys_are_broadcast(spark):
         got = how(rows, counted, ["k"], "n", 100_000_000)
         assert got._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange") == 2
         assert got.count() == 100_000 and got.select("s").distinct().count() == 1
+
+
+def test_kept_sketches_move_no_values_to_their_column(spark, sf_dir):
+    """There are few columns, so a join by column would hold all values of one in a task; also where Spark broadcasts nothing by its size."""
+    from sparkloom.catalog_more import a5_kept_sketches
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = a5_kept_sketches(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Expand" in plan and "BroadcastHashJoin" in plan
