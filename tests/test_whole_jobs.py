@@ -110,3 +110,19 @@ def test_kept_sketches_move_no_values_to_their_column(spark, sf_dir):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "Expand" in plan and "BroadcastHashJoin" in plan
+
+
+def test_context_pairs_move_a_row_a_center(spark):
+    """Not a row a pair; also a center whose contexts are all words."""
+    from pyspark.sql import functions as F
+
+    from sparkloom.operators import vectors
+
+    rows = [(k, [["all", f"w{k % 50}", "all", f"v{k % 40}"], [f"w{k % 7}"]]) for k in range(400)]
+    lines = spark.createDataFrame(rows, "doc long, lines array<array<string>>")
+    got = vectors.context_pair_counts(lines, "doc", 3, 1)
+    moved = [x for x in got._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in x]
+    assert len(moved) == 1 and "context" not in moved[0]
+    want = vectors.context_pairs(lines, "doc", 3, 1).groupBy("center", "context").agg(F.count(F.lit(1)).alias("n"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert vectors.context_pair_counts(lines.limit(0), "doc").count() == 0
