@@ -126,3 +126,20 @@ def test_context_pairs_move_a_row_a_center(spark):
     want = vectors.context_pairs(lines, "doc", 3, 1).groupBy("center", "context").agg(F.count(F.lit(1)).alias("n"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert vectors.context_pair_counts(lines.limit(0), "doc").count() == 0
+
+
+def test_texts_stay_while_phrases_are_few(spark, monkeypatch):
+    """No text moves; the same lines as by the shuffle that many pairs need."""
+    from sparkloom.operators import vectors
+
+    words = ["a", "b", "é", "a_b", "'"]
+    rows = [(k, [[words[(k * j + j * j) % 5] for j in range(k % 11)], [], [words[k % 5]]]) for k in range(200)]
+    lines = spark.createDataFrame(rows, "doc long, lines array<array<string>>")
+    pairs = spark.createDataFrame([("a", "b", 9.0), ("b", "é", 9.0), ("é", "é", 9.0), ("a_b", "'", 9.0)], "word string, next string, score double")
+    few = vectors.join_phrases(lines, "doc", pairs)
+    assert "Exchange" not in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(vectors, "FEW", 0)
+    many = vectors.join_phrases(lines, "doc", pairs)
+    assert "Exchange" in many._jdf.queryExecution().executedPlan().toString()
+    assert sorted(few.collect()) == sorted(many.collect()) and few.count() == 200
+    assert vectors.join_phrases(lines, "doc", pairs.limit(0)).count() == 200
